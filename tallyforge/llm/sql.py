@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tallyforge.llm.license_scan import license_scan_sql
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_license_scan": license_scan_sql()}
