@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyforge.llm.common import table
 from tallyforge.llm.license_scan import license_scan
 from tallyforge.llm.token_counts import count_tokens
+from tallyforge.llm.vector_search import top_k
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +21,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_license_scan, op6_token_counts)}
+    return {f.__name__: f for f in (op5_license_scan, op6_token_counts, op10_exact_top_k)}
