@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm.common import table
 from tallyforge.llm.license_scan import license_scan
+from tallyforge.llm.media import store_and_digest
 from tallyforge.llm.token_counts import count_tokens
 from tallyforge.llm.vector_search import top_k
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_and_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -26,4 +31,4 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_license_scan, op6_token_counts, op10_exact_top_k)}
+    return {f.__name__: f for f in (op4_media_columns, op5_license_scan, op6_token_counts, op10_exact_top_k)}
