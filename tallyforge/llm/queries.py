@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyforge.llm.common import table
 from tallyforge.llm.license_scan import license_scan
 from tallyforge.llm.media import store_and_digest
+from tallyforge.llm.near_dup import near_duplicates
 from tallyforge.llm.token_counts import count_tokens
 from tallyforge.llm.vector_search import top_k
 
@@ -26,9 +27,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_media_columns, op5_license_scan, op6_token_counts, op10_exact_top_k)}
+    return {f.__name__: f for f in (op4_media_columns, op5_license_scan, op6_token_counts, op9_minhash_near_dedup, op10_exact_top_k)}
