@@ -11,6 +11,7 @@ from tallyforge.llm.common import table
 from tallyforge.llm.license_scan import license_scan
 from tallyforge.llm.media import store_and_digest
 from tallyforge.llm.near_dup import near_duplicates
+from tallyforge.llm.quality import score_quality
 from tallyforge.llm.token_counts import count_tokens
 from tallyforge.llm.toxicity import score_toxicity
 from tallyforge.llm.vector_search import top_k
@@ -28,6 +29,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,4 +46,4 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_media_columns, op5_license_scan, op6_token_counts, op8_toxicity, op9_minhash_near_dedup, op10_exact_top_k)}
+    return {f.__name__: f for f in (op4_media_columns, op5_license_scan, op6_token_counts, op7_quality, op8_toxicity, op9_minhash_near_dedup, op10_exact_top_k)}
