@@ -14,6 +14,7 @@ from tallyforge.llm.mixing import mixing_rates
 from tallyforge.llm.near_dup import near_duplicates
 from tallyforge.llm.piece_sampling import sampling_digest
 from tallyforge.llm.quality import score_quality
+from tallyforge.llm.quote_threads import quote_digest
 from tallyforge.llm.token_counts import count_tokens
 from tallyforge.llm.toxicity import score_toxicity
 from tallyforge.llm.vector_search import top_k
@@ -27,6 +28,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_digest(table(spark, sf_dir, "conversations"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_digest(table(spark, sf_dir, "documents"))
 
@@ -56,4 +61,4 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_piece_sampling, op2_mixing, op4_media_columns, op5_license_scan, op6_token_counts, op7_quality, op8_toxicity, op9_minhash_near_dedup, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_piece_sampling, op2_mixing, op3_quote_threads, op4_media_columns, op5_license_scan, op6_token_counts, op7_quality, op8_toxicity, op9_minhash_near_dedup, op10_exact_top_k)}
