@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tallyforge.plans import matching, vectors
+
+BOOKS = [vectors.book, matching.book]
+QUERIES = {name: f for b in BOOKS for name, f in b.queries.items()}
+ORACLE_SQL = {name: s for b in BOOKS for name, s in b.sql.items()}
