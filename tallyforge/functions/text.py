@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -32,10 +33,8 @@ def hits(text: Column, terms: Sequence[str]) -> Column:
 
 
 def has_any(text: Column, terms: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for t in terms:
-        out = out | F.contains(text, F.lit(t))
-    return out
+    """Whether any of the terms is a substring: one regular expression, so the text is evaluated once."""
+    return text.rlike("|".join(re.escape(t) for t in terms))
 
 
 def tag_terms(text: Column, needles: dict[str, Sequence[str]]) -> Column:

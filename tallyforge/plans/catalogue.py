@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import matching, vectors
+from tallyforge.plans import dossier, matching, signals, tables, text, vectors
 
-BOOKS = [vectors.book, matching.book]
+BOOKS = [vectors.book, matching.book, text.book, signals.book, tables.book, dossier.book]
 QUERIES = {name: f for b in BOOKS for name, f in b.queries.items()}
 ORACLE_SQL = {name: s for b in BOOKS for name, s in b.sql.items()}
