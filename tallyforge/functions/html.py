@@ -50,7 +50,12 @@ def visible_text(html: str | None) -> str:
     return " ".join(" ".join([*p.described, *(p.inner or p.all)]).lower().split())
 
 
-@F.pandas_udf("string")
-def page_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for html in batches:
-        yield html.map(visible_text)
+def page_text(html: Column) -> Column:
+    """visible_text as a column, in Arrow batches."""
+
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in batches:
+            yield part.map(visible_text)
+
+    work.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(work, "string")(html)

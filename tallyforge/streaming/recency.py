@@ -14,7 +14,7 @@ from tallyforge.operators.tables import staleness
 
 def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events by type and window; state is dropped once the watermark is past a window."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
 
 
 def last_seen(events: DataFrame) -> DataFrame:
