@@ -75,6 +75,18 @@ PUBLIC_MEDIUM = ("press release", "portfolio", "newsroom", "investment update",
 ROUND_TERMS = ("led", "funding", "round", "invested in", "announced investment")
 US_TOKENS = ("united states", "u.s.", "us", "usa", "texas", "california", "new york")
 
+FUND_TOPICS = ("new fund", "closed fund", "fundraise", "fundraising", "fund close")
+FUND_ACTIONS = ("announced", "closed", "launch", "raise", "raises", "closes")
+HIRING_TERMS = ("we are hiring", "hiring", "open role", "open position", "join our team", "careers", "job opening")
+HIRING_ROLES = ("investment team", "venture associate", "investment associate", "principal", "analyst", "investor relations")
+WARM_PLACES = ("u.s.", "united states", "usa", "texas", "california", "new york")
+PORTFOLIO_MARKERS = ("portfolio", "invested in", "backed", "led round", "co-invest")
+PUBLIC_ACTIVITY = ("investment thesis", "blog", "press", "announcement", "conference")
+SITE_WORDS = ("official", "about", "team", "portfolio", "contact", "partners", "venture")
+RECENT_VERBS = ("announced", "invested", "led", "launch", "closed", "hiring")
+QUERY_KEYS = ("recent_deal_text", "new_fund_text", "hiring_text", "public_signal_text", "outreach_text")
+ACTIVITY_SOURCES = ("news_rss", "google_news", "news_mention", "linkedin_post", "twitter_post", "press_release", "portfolio_announcement", "crunchbase_deal", "pitchbook_activity", "pitchbook_activity_count", "fundraising_status", "pitchbook_deal")
+
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 MONTH_PATTERN = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 

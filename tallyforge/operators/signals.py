@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.fixed import ACTIVITY_TERMS, FINTECH_EXPLICIT, FINTECH_WEAK, INSTITUTIONAL_MARKERS, PUBLIC_MEDIUM, PUBLIC_STRONG, ROUND_TERMS, SECTOR_TERMS, STAGE_TERMS, TARGET_CHECK, US_TOKENS, VENTURE_MARKERS
+from tallyforge.functions.fixed import ACTIVITY_TERMS, FINTECH_EXPLICIT, FINTECH_WEAK, FUND_ACTIONS, FUND_TOPICS, HIRING_ROLES, HIRING_TERMS, INSTITUTIONAL_MARKERS, PORTFOLIO_MARKERS, PUBLIC_ACTIVITY, PUBLIC_MEDIUM, PUBLIC_STRONG, ROUND_TERMS, SECTOR_TERMS, STAGE_TERMS, TARGET_CHECK, US_TOKENS, VENTURE_MARKERS, WARM_PLACES
 from tallyforge.functions.text import has_any, hits
 
 FRESH = ("Last 30 days", "Last 30-60 days")
@@ -24,7 +24,7 @@ def fit_sector(sheet: Column, merged: Column, inst: Column) -> Column:
     return F.when((es >= 2) | ((es >= 1) & (em >= 3)), 3 - less).when(es >= 1, 2 - less).when(em >= 1, 1).when((weak >= 2) & ~inst, 1).otherwise(0)
 
 
-def fit_stage(merged: Column, inst: Column, hints: tuple[str, ...] = ("venture", "early")) -> Column:
+def fit_stage(merged: Column, inst: Column, hints: tuple[str, ...] = ("venture", "angel", "early")) -> Column:
     less = F.when(inst, 1).otherwise(0)
     return F.when(has_any(merged, STAGE_TERMS["seed"]), 2 - less).when(has_any(merged, hints), 1 - less).otherwise(0)
 
@@ -56,7 +56,7 @@ def fit_geography(text: Column) -> Column:
 def fit_strategic(sheet: Column, merged: Column, inst: Column) -> Column:
     s, m = hits(sheet, SECTOR_TERMS["fintech"]), hits(merged, SECTOR_TERMS["fintech"])
     less = F.when(inst, 1).otherwise(0)
-    return F.when(s >= 2, 2 - less).when((s == 1) | (m >= 2), 1 - less).otherwise(0)
+    return F.when(s >= 2, 2 - less).when((s == 1) | (m >= 1), 1 - less).otherwise(0)
 
 
 # ---- intent, 0 to 10 -------------------------------------------------------------------
@@ -71,12 +71,12 @@ def intent_recent(n7: Column, n6m: Column, n12m: Column, last_points: Column, we
     return F.when((sheet >= 2) & (from_web >= 2), 3).otherwise(F.greatest(sheet, from_web))
 
 
-def intent_fund(named: Column, close_age: Column, sized: Column, flagged: Column, web: Column, topics: tuple[str, ...] = ("new fund", "fund ii", "fund iii", "closes fund"), actions: tuple[str, ...] = ("raised", "closes", "closed", "announces")) -> Column:
+def intent_fund(named: Column, close_age: Column, sized: Column, flagged: Column, web: Column, topics: tuple[str, ...] = FUND_TOPICS, actions: tuple[str, ...] = FUND_ACTIONS) -> Column:
     sheet = F.when(named & (close_age <= 730), 2).when(named & (close_age.isNotNull() | sized), 1).when(flagged, 1).otherwise(0)
     return F.greatest(sheet, (has_any(web, topics) & has_any(web, actions)).cast("int"))
 
 
-def intent_hiring(text: Column, acts: tuple[str, ...] = ("hiring", "careers", "job"), roles: tuple[str, ...] = ("associate", "analyst", "principal", "investment")) -> Column:
+def intent_hiring(text: Column, acts: tuple[str, ...] = HIRING_TERMS, roles: tuple[str, ...] = HIRING_ROLES) -> Column:
     return (has_any(text, acts) & has_any(text, roles)).cast("int")
 
 
@@ -85,6 +85,26 @@ def intent_public(dated: Column, text: Column) -> Column:
     return F.when((dated >= 2) & ((strong >= 1) | (medium >= 2)), 2).when((dated >= 1) & (strong >= 1), 1).when(strong >= 2, 1).when((strong >= 1) & (medium >= 1), 1).otherwise(0)
 
 
+def warm_signals(geo: Column, sector: Column, public: Column, recent: Column, described: Column) -> Column:
+    """Names of the warm-intro signals that merged texts show, in order."""
+    target, both = SECTOR_TERMS["fintech"], F.concat_ws(" ", public, recent)
+    return F.array_compact(
+        F.array(
+            F.when(has_any(geo, WARM_PLACES), "shared geography"),
+            F.when(has_any(sector, target), "same industry"),
+            F.when(has_any(both, PORTFOLIO_MARKERS) & has_any(both, target), "similar portfolio"),
+            F.when(has_any(public, PUBLIC_ACTIVITY) & has_any(public, target), "public activity in same space"),
+            F.when(described, "existing database / history"),
+        )
+    )
+
+
+def data_sources(sheet: Column, site: Column, news: Column, snippets: Column) -> Column:
+    """Names of the sources that evidence came from; search only counts without news."""
+    found = F.concat_ws(", ", F.when(sheet, "Investor database"), F.when(site, "Official site"), F.when(news, "News/press"), F.when(snippets & ~news, "Public search"))
+    return F.when(found == "", "Limited evidence").otherwise(found)
+
+
 def intent_warm(signals: Column) -> Column:
     return F.when(signals >= 3, 2).when(signals >= 1, 1).otherwise(0)
 
@@ -137,7 +157,7 @@ def confidence(sources: Column, total: Column, fresh: Column) -> Column:
 
 
 def check_label(points: Column) -> Column:
-    return F.when(points >= 2, "Strong fit").when(points == 1, "Partial fit").otherwise("No fit / unknown")
+    return F.when(points >= 2, "Perfect fit").when(points == 1, "Slight mismatch").otherwise("Poor fit")
 
 
 def warm_label(n: Column) -> Column:
@@ -161,4 +181,4 @@ def action(score: Column, warm: Column, fresh: Column, intent: Column) -> Column
 
 def urgency(score: Column, label: Column, intent: Column) -> Column:
     fresh = label.isin(*FRESH)
-    return F.when((label == "Last 30 days") & ((score >= 65) | (intent >= 5)), "Act within 14 days").when((fresh & (score >= 50)) | ((score >= 60) & (intent >= 4)), "Act within 30 days").otherwise("No immediate urgency")
+    return F.when((label == "Last 30 days") & ((score >= 65) | (intent >= 5)), "Act within 14 days").when((fresh & (score >= 50)) | ((score >= 60) & (intent >= 4)), "Act within 30 days").otherwise("No urgency")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.dates import recent_points
-from tallyforge.functions.fixed import ACTIVITY_TERMS, FINTECH_EXPLICIT, FINTECH_WEAK, INSTITUTIONAL_MARKERS, PUBLIC_MEDIUM, PUBLIC_STRONG, REPORT_COLUMNS, ROUND_TERMS, SECTOR_TERMS, STAGE_TERMS, US_TOKENS, VENTURE_MARKERS
+from tallyforge.functions.fixed import ACTIVITY_TERMS, FINTECH_EXPLICIT, FINTECH_WEAK, FUND_ACTIONS, FUND_TOPICS, HIRING_ROLES, HIRING_TERMS, INSTITUTIONAL_MARKERS, PORTFOLIO_MARKERS, PUBLIC_ACTIVITY, PUBLIC_MEDIUM, PUBLIC_STRONG, REPORT_COLUMNS, ROUND_TERMS, SECTOR_TERMS, STAGE_TERMS, US_TOKENS, VENTURE_MARKERS, WARM_PLACES
+from tallyforge.operators import phrases as P
 from tallyforge.operators import signals as S
 from tallyforge.plans.book import Book, quoted, sql_any, sql_hits, table
 
@@ -32,21 +33,21 @@ m AS (SELECT *, sheet || CASE WHEN site <> '' THEN ' ' || site ELSE '' END AS me
 ES, EM, WEAK = sql_hits("sheet", FINTECH_EXPLICIT), sql_hits("merged", FINTECH_EXPLICIT), sql_hits("merged", FINTECH_WEAK)
 LESS = "CASE WHEN inst THEN 1 ELSE 0 END"
 FIT = f"""fit AS (SELECT *, CASE WHEN {ES} >= 2 OR ({ES} >= 1 AND {EM} >= 3) THEN 3 - {LESS} WHEN {ES} >= 1 THEN 2 - {LESS} WHEN {EM} >= 1 THEN 1 WHEN {WEAK} >= 2 AND NOT inst THEN 1 ELSE 0 END AS sector,
-  CASE WHEN {sql_any('merged', STAGE_TERMS['seed'])} THEN 2 - {LESS} WHEN {sql_any('merged', ['venture', 'early'])} THEN 1 - {LESS} ELSE 0 END AS stage,
+  CASE WHEN {sql_any('merged', STAGE_TERMS['seed'])} THEN 2 - {LESS} WHEN {sql_any('merged', ['venture', 'angel', 'early'])} THEN 1 - {LESS} ELSE 0 END AS stage,
   CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN CASE WHEN 1e6 BETWEEN low AND high THEN 2 WHEN 1e6 < 0.35 * low OR 1e6 > 3.0 * high THEN 0 ELSE 1 END
     WHEN low IS NOT NULL AND 1e6 / low >= 0.35 THEN 1 WHEN high IS NOT NULL AND high / 1e6 BETWEEN 0.5 AND 3.0 THEN 1 WHEN high IS NOT NULL AND high / 1e6 < 0.5 THEN 0
     WHEN middle IS NOT NULL THEN CASE WHEN middle / 1e6 BETWEEN 0.6 AND 1.6 THEN 2 WHEN middle / 1e6 BETWEEN 0.25 AND 4.0 THEN 1 ELSE 0 END WHEN low IS NOT NULL OR high IS NOT NULL THEN 1 ELSE 0 END AS checks,
   {sql_any('place', US_TOKENS)}::INT AS geo,
-  CASE WHEN {sql_hits('sheet', SECTOR_TERMS['fintech'])} >= 2 THEN 2 - {LESS} WHEN {sql_hits('sheet', SECTOR_TERMS['fintech'])} = 1 OR {sql_hits('merged', SECTOR_TERMS['fintech'])} >= 2 THEN 1 - {LESS} ELSE 0 END AS strategic FROM m)"""
+  CASE WHEN {sql_hits('sheet', SECTOR_TERMS['fintech'])} >= 2 THEN 2 - {LESS} WHEN {sql_hits('sheet', SECTOR_TERMS['fintech'])} = 1 OR {sql_hits('merged', SECTOR_TERMS['fintech'])} >= 1 THEN 1 - {LESS} ELSE 0 END AS strategic FROM m)"""
 LAST = "CASE WHEN last_age IS NULL THEN 0 WHEN last_age <= 90 THEN 3 WHEN last_age <= 180 THEN 2 WHEN last_age <= 365 THEN 1 ELSE 0 END"
 INTENT = f"""it AS (SELECT *, CASE WHEN n7 >= 1 THEN 3 WHEN n6m >= 3 THEN 3 WHEN n6m >= 1 OR n12m >= 4 THEN 2 ELSE {LAST} END AS sh, coalesce(CASE WHEN web_age <= 90 THEN 2 WHEN web_age <= 365 THEN 1 ELSE 0 END, 0) AS wd FROM fit),
 iw AS (SELECT *, CASE WHEN NOT {sql_any('site', ACTIVITY_TERMS)} THEN 0 WHEN wd = 0 AND {sql_hits('site', ROUND_TERMS)} >= 2 THEN 1 ELSE wd END AS fw FROM it),
 ii AS (SELECT *, CASE WHEN sh >= 2 AND fw >= 2 THEN 3 ELSE greatest(sh, fw) END AS recent,
-  greatest(CASE WHEN named AND close_age <= 730 THEN 2 WHEN named AND (close_age IS NOT NULL OR flagged) THEN 1 WHEN flagged THEN 1 ELSE 0 END, ({sql_any('merged', ['new fund', 'fund ii', 'fund iii', 'closes fund'])} AND {sql_any('merged', ['raised', 'closes', 'closed', 'announces'])})::INT) AS fund,
-  ({sql_any('merged', ['hiring', 'careers', 'job'])} AND {sql_any('merged', ['associate', 'analyst', 'principal', 'investment'])})::INT AS hiring,
+  greatest(CASE WHEN named AND close_age <= 730 THEN 2 WHEN named AND (close_age IS NOT NULL OR flagged) THEN 1 WHEN flagged THEN 1 ELSE 0 END, ({sql_any('merged', FUND_TOPICS)} AND {sql_any('merged', FUND_ACTIONS)})::INT) AS fund,
+  ({sql_any('merged', HIRING_TERMS)} AND {sql_any('merged', HIRING_ROLES)})::INT AS hiring,
   CASE WHEN {LAST} >= 2 AND ({sql_hits('merged', PUBLIC_STRONG)} >= 1 OR {sql_hits('merged', PUBLIC_MEDIUM)} >= 2) THEN 2 WHEN {LAST} >= 1 AND {sql_hits('merged', PUBLIC_STRONG)} >= 1 THEN 1 WHEN {sql_hits('merged', PUBLIC_STRONG)} >= 2 THEN 1 WHEN {sql_hits('merged', PUBLIC_STRONG)} >= 1 AND {sql_hits('merged', PUBLIC_MEDIUM)} >= 1 THEN 1 ELSE 0 END AS public,
-  (geo + (sector >= 1)::INT + (portfolio_mark AND sector_mark)::INT + (public >= 1)::INT + 1) AS warm_n
-  FROM (SELECT *, contains(merged, 'portfolio') AS portfolio_mark, {sql_any('merged', SECTOR_TERMS['fintech'])} AS sector_mark FROM iw)),
+  ({sql_any('place', WARM_PLACES)}::INT + {sql_any('merged', SECTOR_TERMS['fintech'])}::INT + ({sql_any('merged', PORTFOLIO_MARKERS)} AND {sql_any('merged', SECTOR_TERMS['fintech'])})::INT + ({sql_any('merged', PUBLIC_ACTIVITY)} AND {sql_any('merged', SECTOR_TERMS['fintech'])})::INT + 1) AS warm_n
+  FROM iw),
 t AS (SELECT *, least(10, sector + stage + checks + geo + strategic) AS fit_score, CASE WHEN warm_n >= 3 THEN 2 WHEN warm_n >= 1 THEN 1 ELSE 0 END AS warm, least(10, recent + fund + hiring + public + CASE WHEN warm_n >= 3 THEN 2 WHEN warm_n >= 1 THEN 1 ELSE 0 END) AS intent_score FROM ii)"""
 ALL = f"{BASE}, {FIT}, {INTENT}"
 
@@ -83,8 +84,7 @@ def with_intent(f: DataFrame) -> DataFrame:
         "*", S.intent_recent(c("n7"), c("n6m"), c("n12m"), points, c("web_age"), c("site")).alias("recent"), S.intent_fund(c("named"), c("close_age"), c("flagged"), c("flagged"), c("merged")).alias("fund"),
         S.intent_hiring(c("merged")).alias("hiring"), S.intent_public(points, c("merged")).alias("public"),
     )
-    adjacent = F.contains("merged", F.lit("portfolio")) & S.has_any(c("merged"), SECTOR_TERMS["fintech"])
-    out = out.withColumn("warm_n", c("geo") + (c("sector") >= 1).cast("int") + adjacent.cast("int") + (c("public") >= 1).cast("int") + 1)
+    out = out.withColumn("warm_n", F.size(S.warm_signals(c("place"), c("merged"), c("merged"), c("site"), F.lit(True))))
     return out.withColumn("warm", S.intent_warm(c("warm_n"))).withColumn("intent_score", S.capped(*map(c, ("recent", "fund", "hiring", "public", "warm"))))
 
 
@@ -110,18 +110,43 @@ r3 AS (SELECT *, recency IN ('Last 30 days', 'Last 30-60 days') AS fresh FROM r2
 r4 AS (SELECT *, CASE WHEN sources = 2 AND total >= 10 AND fresh THEN 'High' WHEN sources = 2 AND total >= 8 THEN 'Medium' WHEN sources >= 1 AND total >= 6 AND fresh THEN 'Medium' ELSE 'Low' END AS conf,
   CASE WHEN warm_n >= 4 THEN 'Direct connection' WHEN warm_n = 3 THEN '1st degree mutual' WHEN warm_n >= 1 THEN '2nd degree' ELSE 'None' END AS wl, round_even(2 + 0.78::DOUBLE * s, 0) AS b FROM r3)"""
 SIGNAL_TYPE = "CASE WHEN recent >= 2 THEN 'Active Investing' WHEN fund >= 1 THEN CASE WHEN flagged THEN 'Fundraising' ELSE 'New Fund' END WHEN recent >= 1 AND public >= 1 THEN 'Active Investing' WHEN public >= 2 THEN 'Public Activity' WHEN public >= 1 THEN 'Similar Portfolio Activity' WHEN recent >= 1 THEN 'Active Investing' WHEN sector >= 2 THEN 'Sector Match Only' ELSE 'Weak / No Recent Signal' END"
+N = "CASE WHEN n7 >= 1 THEN n7 WHEN n6m >= 1 THEN n6m ELSE n12m END"
+ACTS = """CASE WHEN n7 >= 1 THEN 'Invested in ' || n7 || ' ' || CASE WHEN sector >= 2 THEN 'fintech ' ELSE '' END || CASE WHEN n7 = 1 THEN 'company' ELSE 'companies' END || ' in the last 7 days'
+  WHEN n6m >= 1 THEN 'Invested in ' || n6m || ' ' || CASE WHEN sector >= 2 THEN 'fintech ' ELSE '' END || CASE WHEN n6m = 1 THEN 'company' ELSE 'companies' END || ' in the last 6 months'
+  WHEN n12m >= 1 THEN 'Invested in ' || n12m || ' ' || CASE WHEN n12m = 1 THEN 'company' ELSE 'companies' END || ' in the last 12 months'
+  WHEN last_age <= 365 THEN 'Last known investment in ' || strftime(last_date, '%b %Y') ELSE '' END"""
+FUNDS = "CASE WHEN named AND close_age <= 730 THEN 'recently closed Fund II' WHEN named AND close_age <= 1825 THEN 'closed Fund II' WHEN named THEN 'named fund: Fund II' WHEN flagged THEN 'actively fundraising' ELSE '' END"
+FITS = """CASE WHEN sector >= 3 THEN CASE WHEN stage >= 2 THEN 'Strong fintech and stage fit' WHEN geo >= 1 THEN 'Strong fintech fit in target geography' ELSE 'Strong fintech fit' END
+  WHEN sector >= 2 THEN CASE WHEN stage >= 2 THEN 'Fintech and stage match' WHEN geo >= 1 THEN 'Fintech match in target geography' ELSE 'Fintech sector match' END
+  WHEN sector >= 1 THEN CASE WHEN stage >= 2 THEN 'Partial sector overlap and good stage fit' ELSE 'Some sector overlap' END WHEN stage >= 2 THEN 'Good stage fit' WHEN geo >= 1 THEN 'Geographic match' ELSE 'Some alignment' END"""
+INTENTS = """CASE WHEN recent >= 3 THEN CASE WHEN fund >= 1 THEN 'very recent deals and fund activity' WHEN hiring >= 1 THEN 'very recent deals and team growth' WHEN public >= 1 THEN 'very recent deals and public signals' ELSE 'very recent deal activity' END
+  WHEN recent >= 2 THEN CASE WHEN public >= 1 THEN 'recent deals and public signals' WHEN fund >= 1 THEN 'recent deals and fund activity' WHEN hiring >= 1 THEN 'recent deals and hiring signals' ELSE 'recent investing activity' END
+  WHEN fund >= 2 THEN 'a recently closed fund' WHEN fund >= 1 AND recent >= 1 THEN 'fund activity and some deals' WHEN fund >= 1 THEN 'new fund or fundraising signals' WHEN recent >= 1 AND public >= 1 THEN 'some deal activity and public signals'
+  WHEN recent >= 1 THEN 'some recent deal activity' WHEN public >= 1 THEN 'public portfolio signals' WHEN hiring >= 1 THEN 'hiring for investment roles' ELSE 'some activity' END"""
+TAGS = "array_to_string(list_filter([CASE WHEN sector >= 2 THEN 'strong fintech alignment' WHEN sector >= 1 THEN 'partial fintech alignment' END, CASE WHEN checks >= 2 THEN 'check-size aligned' END], lambda x: x IS NOT NULL), ', ')"
+REASON = f"""CASE WHEN {ACTS} <> '' AND {FUNDS} <> '' THEN {ACTS} || ' and ' || {FUNDS} || '.' WHEN {ACTS} <> '' THEN {ACTS} || CASE WHEN {TAGS} <> '' THEN '; ' || {TAGS} ELSE '' END || '.'
+  WHEN {FUNDS} <> '' THEN upper(substr({FUNDS}, 1, 1)) || lower(substr({FUNDS}, 2)) || '; ' || CASE WHEN sector >= 2 THEN 'strong' WHEN sector >= 1 THEN 'partial' ELSE 'limited' END || ' fintech alignment.'
+  WHEN fit_score >= 4 AND intent_score >= 3 THEN {FITS} || ' with ' || {INTENTS} || '.' WHEN fit_score >= 4 THEN {FITS} || ', but limited recent activity.' WHEN intent_score >= 3 THEN 'Shows ' || {INTENTS} || ', but sector alignment is limited.'
+  WHEN total >= 4 THEN CASE WHEN sector >= 1 THEN 'Some sector overlap, but signals are mixed.' WHEN recent >= 1 OR fund >= 1 THEN 'Some activity signals, but overall fit is unclear.' ELSE 'Partial signals, but no strong fit or activity.' END ELSE 'No significant signals detected.' END"""
 CLOSE = "wl IN ('Direct connection', '1st degree mutual')"
 R = list(REPORT_COLUMNS)
 
 
+def reason_of(rows: DataFrame):
+    c = F.col
+    activity = P.activity_clause(c("n7"), c("n6m"), c("n12m"), F.lit(""), c("last_date"), F.lit(AS_OF).cast("date"), c("sector"))
+    fund = P.fund_clause(F.when(c("named"), "Fund II"), c("close_age"), F.lit(None).cast("date"), c("flagged"))
+    return P.reason(activity, fund, *map(c, ("sector", "stage", "checks", "geo", "recent", "fund", "hiring", "public", "fit_score", "intent_score")))
+
+
 @book.query(
     f"""WITH {REPORT} SELECT c_name AS "{R[0]}", s AS "{R[1]}", {PROB.format(c='conf')} AS "{R[2]}", {SIGNAL_TYPE} AS "{R[3]}", CASE WHEN sector >= 3 THEN 'High' WHEN sector >= 1 THEN 'Medium' ELSE 'Low' END AS "{R[4]}",
-  CASE WHEN checks >= 2 THEN 'Strong fit' WHEN checks = 1 THEN 'Partial fit' ELSE 'No fit / unknown' END AS "{R[5]}", wl AS "{R[6]}", recency AS "{R[7]}", conf AS "{R[8]}",
-  'fit ' || fit_score || '/10; intent ' || intent_score || '/10' AS "{R[9]}",
+  CASE WHEN checks >= 2 THEN 'Perfect fit' WHEN checks = 1 THEN 'Slight mismatch' ELSE 'Poor fit' END AS "{R[5]}", wl AS "{R[6]}", recency AS "{R[7]}", conf AS "{R[8]}",
+  {REASON} AS "{R[9]}",
   CASE WHEN s >= 75 AND fresh THEN CASE WHEN {CLOSE} THEN 'Prioritize with warm intro' ELSE 'Reach out immediately' END WHEN s >= 60 AND {CLOSE} THEN 'Prioritize with warm intro' WHEN s >= 60 AND (fresh OR intent_score >= 4) THEN 'Reach out immediately' WHEN s >= 40 THEN 'Monitor for now' ELSE 'Low priority' END AS "{R[10]}",
   CASE WHEN s >= 75 AND fresh OR s >= 70 AND intent_score >= 5 THEN 'Immediate Target' WHEN s >= 60 OR s >= 50 AND (fresh OR intent_score >= 4) THEN 'High Priority' WHEN s >= 35 THEN 'Secondary' ELSE 'Ignore' END AS "{R[11]}",
-  CASE WHEN recency = 'Last 30 days' AND (s >= 65 OR intent_score >= 5) THEN 'Act within 14 days' WHEN fresh AND s >= 50 OR s >= 60 AND intent_score >= 4 THEN 'Act within 30 days' ELSE 'No immediate urgency' END AS "{R[12]}",
-  CASE WHEN site <> '' THEN 'Spreadsheet, Website' ELSE 'Spreadsheet' END AS "{R[13]}", coalesce(strftime(last_date, '%Y-%m-%d'), '') AS "{R[14]}" FROM r4"""
+  CASE WHEN recency = 'Last 30 days' AND (s >= 65 OR intent_score >= 5) THEN 'Act within 14 days' WHEN fresh AND s >= 50 OR s >= 60 AND intent_score >= 4 THEN 'Act within 30 days' ELSE 'No urgency' END AS "{R[12]}",
+  'Investor database' || CASE WHEN site <> '' THEN ', Official site' ELSE '' END AS "{R[13]}", coalesce(strftime(last_date, '%Y-%m-%d'), '') AS "{R[14]}" FROM r4"""
 )
 def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 columns of the report, one row for each investor."""
@@ -131,8 +156,8 @@ def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("fresh", c("recency").isin(*S.FRESH)).withColumn("conf", S.confidence(1 + (c("site") != "").cast("int"), c("total"), c("fresh"))).withColumn("wl", S.warm_label(c("warm_n")))
     columns = [
         c("c_name"), c("s"), S.probability(c("s"), c("conf")), S.signal_type(c("recent"), c("fund"), c("public"), c("sector"), c("flagged")), S.sector_relevance(c("sector")), S.check_label(c("checks")), c("wl"), c("recency"), c("conf"),
-        F.concat(F.lit("fit "), c("fit_score"), F.lit("/10; intent "), c("intent_score"), F.lit("/10")), S.action(c("s"), c("wl"), c("fresh"), c("intent_score")), S.signal_bucket(c("s"), c("fresh"), c("intent_score")),
-        S.urgency(c("s"), c("recency"), c("intent_score")), F.when(c("site") != "", "Spreadsheet, Website").otherwise("Spreadsheet"), F.coalesce(F.date_format("last_date", "yyyy-MM-dd"), F.lit("")),
+        reason_of(rows), S.action(c("s"), c("wl"), c("fresh"), c("intent_score")), S.signal_bucket(c("s"), c("fresh"), c("intent_score")),
+        S.urgency(c("s"), c("recency"), c("intent_score")), S.data_sources(F.lit(True), c("site") != "", F.lit(False), F.lit(False)), F.coalesce(F.date_format("last_date", "yyyy-MM-dd"), F.lit("")),
     ]
     return rows.select(*[x.alias(name) for x, name in zip(columns, REPORT_COLUMNS, strict=True)])
 
