@@ -8,12 +8,15 @@ that each register is in one band at least, are the buckets in which candidates
 similarity 0.8 is missed with a chance of about 1e-8.
 
 No bucket is expanded into its pairs. In each round a bucket names a leader (the least salted hash), the others are
-its candidates, and what is linked is contracted: only buckets that still hold more than one component go on to the next
-round, with another leader. What is left after ROUNDS rounds is compared in blocks of bounded size, all against all
-of the other components, by registers alone. Every candidate pair has a collision-corrected estimate first; a pair
-goes on unless its estimate is SIGMAS standard errors below the threshold, and is then verified on full sets.
+its candidates, and what is linked is contracted. The leader then leaves, all its pairs being looked at, and only
+buckets that still hold more than one component go on to the next round. A first stage takes a few bands, so that large
+groups are contracted before their other buckets are read. What the rounds left is compared in blocks of bounded
+size, members of different components only, which pass on links alone. Every candidate pair has a collision-corrected
+estimate first; a pair goes on unless its estimate is SIGMAS standard errors below the threshold, and is then verified on
+full sets.
 
-Components of verified links come from alternating large-star and small-star steps on tables in the shared folder.
+Components of verified links come from one task while they are few (a counted bound), beyond that from alternating
+large-star and small-star steps on tables in the shared folder.
 
 Cases: null and empty texts have no shingles and are their own component; texts with fewer words than a shingle have
 one, the whole sequence; rows with null doc_id are not linked, with component_id null and kept true; rows with equal
@@ -37,12 +40,16 @@ from tallyforge.llm.common import SPACE, arrow_map, broadcast_if_small, discard,
 REGISTERS, BANDS, ROWS = 256, 64, 6
 #: Bits of a register's mantissa; the leading-zero count has the other 5 of 16.
 MANTISSA = 11
-#: Rounds with leaders before what is left is compared in blocks; classes of one block.
-ROUNDS, BLOCK = 3, 512
+#: Bands and rounds with leaders of each stage: a few bands contract large groups before the others are looked at.
+STAGES = ((range(0, 6), 2), (range(6, BANDS), 1))
+#: Classes of one block, where what the rounds left is compared, and of a cluster of buckets that is one group.
+BLOCK, CLUSTER = 512, 8192
 #: Standard errors that an estimate may fall below the threshold.
 SIGMAS = 6.0
 #: Ids that may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Links (16 bytes each) whose components one task finds; beyond it they are found by rounds of shuffles.
+ONE_TASK_LINKS = 500_000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -135,17 +142,17 @@ def _set_key(s: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the set; null if empty), regs (binary) for each row."""
+    """doc_id, h (a hash of the text), n_shingles, node (a hash of the set; null if empty), regs (binary) for each row."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1), size)
         full = [len(s) > 0 for s in sets]
         return pa.record_batch(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) if f else None for s, f in zip(sets, full, strict=True)], pa.int64()), pa.array([registers(s).tobytes() if f else None for s, f in zip(sets, full, strict=True)], pa.binary())],
-            ["doc_id", "n_shingles", "node", "regs"],
+            [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) if f else None for s, f in zip(sets, full, strict=True)], pa.int64()), pa.array([registers(s).tobytes() if f else None for s, f in zip(sets, full, strict=True)], pa.binary())],
+            ["doc_id", "h", "n_shingles", "node", "regs"],
         )
 
-    return _shaped(docs).mapInArrow(arrow_map(work, 8 << 20), "doc_id long, n_shingles long, node long, regs binary")
+    return _shaped(docs).withColumn("h", F.xxhash64("text")).mapInArrow(arrow_map(work, 4 << 20), "doc_id long, h long, n_shingles long, node long, regs binary")
 
 
 def _shaped(docs: DataFrame) -> DataFrame:
@@ -154,8 +161,9 @@ def _shaped(docs: DataFrame) -> DataFrame:
 
 def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """node, s (array of long): the sets of the asked classes, from the text of one row of each."""
-    wanted = classes.join(nodes, "node", "left_semi").select("node", "first_id")
-    wanted = broadcast_if_small(wanted, nodes.count(), BROADCAST_IDS)
+    n = nodes.count()
+    wanted = classes.select("node", "first_id").join(broadcast_if_small(nodes, n, BROADCAST_IDS), "node", "left_semi")
+    wanted = broadcast_if_small(wanted, n, BROADCAST_IDS)
     rows = _shaped(docs).join(wanted, F.col("doc_id") == F.col("first_id")).select("node", "text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -165,12 +173,13 @@ def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int)
         return pa.record_batch([pa.array([n for n, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.list_(pa.int64()))], ["node", "s"])
 
     # rows that share a doc_id and a set give the same set: one is enough
-    return rows.mapInArrow(arrow_map(work, 8 << 20), "node long, s array<long>")
+    return rows.mapInArrow(arrow_map(work, 4 << 20), "node long, s array<long>")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the estimate does not rule out, with set sizes."""
-    side = classes.select("node", "n_shingles", "regs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    side = classes.select("node", "n_shingles", "regs").join(broadcast_if_small(nodes, nodes.count(), BROADCAST_IDS), "node", "left_semi")
     both = pairs.join(side.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra")), "a").join(side.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb")), "b")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -185,7 +194,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the pairs (a, b, na, nb), those whose full sets are similar enough."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     sets = materialise(_full_sets(docs, classes, nodes, size).dropDuplicates(["node"]), "sets")
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
@@ -195,10 +204,40 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     return links
 
 
-def components(links: DataFrame, label: str = "components") -> DataFrame:
-    """node, comp (the smallest node reachable) for each node of the links (a, b)."""
+def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links, and the smallest node reachable from each."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(nodes)))
+    for x, y in zip(flat[: len(a)].tolist(), flat[len(a) :].tolist(), strict=True):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        while up[y] != y:
+            up[y] = up[up[y]]
+            y = up[y]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    for x in range(len(up)):
+        up[x] = up[up[x]]
+    return nodes, nodes[np.array(up, np.int64)] if len(nodes) else nodes
+
+
+def components(links: DataFrame, label: str = "components", one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """node, comp (the smallest node reachable) for each node of the links (a, b).
+
+    Up to one_task links (counted, 16 bytes each) go through one task; more are contracted by alternating large-star
+    and small-star steps, each a few shuffles with pre-aggregated minima.
+    """
     spark = links.sparkSession
     edges = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
+    if edges.count() <= one_task:
+
+        def find(batches):
+            parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+            if parts:
+                yield pa.record_batch(list(map(pa.array, union_find(*(np.concatenate(p) for p in zip(*parts, strict=True))))), ["node", "comp"])
+
+        return materialise(edges.coalesce(1).mapInArrow(find, "node long, comp long"), label)
     digest = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -221,14 +260,17 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 # ---- rounds ----------------------------------------------------------------------------
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """bucket, node: each class in each of its bands."""
+def _buckets(classes: DataFrame, bands: range) -> DataFrame:
+    """bucket, node: each class in each of these bands."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS))
-        return pa.record_batch([pa.array(_signed(keys.reshape(-1))), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "node"])
+        keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS))[:, bands.start : bands.stop]
+        return pa.record_batch([pa.array(_signed(np.ascontiguousarray(keys).reshape(-1))), pa.array(np.repeat(batch.column(0).to_numpy(), len(bands)))], ["bucket", "node"])
 
-    return classes.select("node", "regs").mapInArrow(arrow_map(work, 1 << 20), "bucket long, node long")
+    rows = classes.select("node", "regs").mapInArrow(arrow_map(work, 1 << 20), "bucket long, node long")
+    # most buckets hold one class: only what shares its bucket goes on
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket")
+    return materialise(rows.join(shared, "bucket", "left_semi"), "buckets")
 
 
 def _with_comp(members: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -243,62 +285,126 @@ def _open_buckets(members: DataFrame, turn: int) -> DataFrame:
     return members.groupBy("bucket").agg(F.min(turned).alias("lead"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket", F.col("lead.node").alias("leader"), F.col("lead.comp").alias("leader_comp"))
 
 
-def _in_blocks(members: DataFrame, classes: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """What the rounds left: all pairs of different components in a bucket, compared by registers in blocks."""
-    sized = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    rows = members.join(sized, "bucket").join(classes.select("node", "n_shingles", "regs"), "node").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("nb")).cast("int"))
-    # a row goes to the pairs of blocks (i, j), i <= j, that have its own block
-    spread = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n_shingles", "regs")
+def _in_blocks(docs: DataFrame, members: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components in what the rounds left of the buckets; exact, on full sets.
+
+    Buckets that share members form a cluster; a cluster of up to CLUSTER classes is compared as one group, so that a
+    class is read once and not for each bucket. Buckets of larger clusters are groups of their own. A group's main
+    component (that of one member drawn by hash) is compared with all others, and the others with each other, in
+    blocks; members of the main component are not compared among themselves.
+    """
+    mixed = members.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket")
+    members = materialise(members.join(mixed, "bucket"), "rest-open")
+    cluster = components(members.select(F.col("bucket").alias("a"), F.col("node").alias("b")), "clusters").select(F.col("node").alias("bucket"), F.col("comp").alias("cluster"))
+    grouped = members.join(cluster, "bucket")
+    small = grouped.groupBy("cluster").agg(F.countDistinct("node").alias("n")).filter(F.col("n") <= CLUSTER).select("cluster", F.lit(True).alias("small"))
+    members = grouped.join(small, "cluster", "left").select(F.when(F.col("small"), F.col("cluster")).otherwise(F.col("bucket")).alias("bucket"), "node", "comp").distinct()
+    drawn = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(99), "node").alias("p"), "comp")).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket", F.col("m.comp").alias("main_comp"))
+    rows = materialise(members.join(drawn, "bucket").select("bucket", "node", "comp", (F.col("comp") == F.col("main_comp")).alias("main")), "rest-rows")
+    sized = rows.groupBy("bucket").agg(F.ceil(F.count_if("main") / BLOCK).cast("int").alias("mains"), F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("others"))
+    sets = _full_sets(docs, classes, rows.select("node").distinct(), size).dropDuplicates(["node"])
+    own = F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    placed = rows.join(sized, "bucket").withColumn("own", own)
+    kind = "array<struct<kind:int,i:int,j:int>>"
+    with_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.lit(0).alias("kind"), F.least("own", o).alias("i"), F.greatest("own", o).alias("j"))).cast(kind)
+    with_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: F.struct(F.lit(1).alias("kind"), F.col("own").alias("i"), m.alias("j"))).cast(kind)
+    from_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.lit(1).alias("kind"), o.alias("i"), F.col("own").alias("j"))).cast(kind)
+    spread = placed.withColumn("at", F.explode(F.when(F.col("main"), from_main).otherwise(F.concat(with_others, with_mains)))).select("bucket", "at.*", "own", "main", "node", "comp")
+    full = spread.join(classes.select("node", "n_shingles", "regs"), "node").join(sets, "node")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        regs = np.frombuffer(b"".join(part.regs), np.uint16).reshape(-1, REGISTERS)
-        node, comp, n, own = part.node.to_numpy(), part.comp.to_numpy(), part.n_shingles.to_numpy(), part.own.to_numpy()
-        i, j = part.i.iloc[0], part.j.iloc[0]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((node[right] > node[x]) if i == j else True)]
-            y = y[may_link((regs[y] == regs[x]).sum(1), n[x], n[y], percent)]
-            out.append(pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
+        kind, i, j = part.kind.iloc[0], part.i.iloc[0], part.j.iloc[0]
+        main, own = part.main.to_numpy(), part.own.to_numpy()
+        left = np.flatnonzero(~main if kind else own == i)
+        right = np.flatnonzero(main if kind else own == j)
+        found = block_links(part.node.to_numpy(), part.comp.to_numpy(), part.n_shingles.to_numpy(), np.frombuffer(b"".join(part.regs), np.uint16).reshape(-1, REGISTERS), part.s.to_list(), left, right, percent)
+        return pd.DataFrame({"a": [min(x) for x in found], "b": [max(x) for x in found]}, dtype="int64")
+
+    return full.groupBy("bucket", "kind", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def block_links(node: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between rows left and right that join components, no more than needed to join them."""
+    mask = np.zeros((len(left), len(right)), bool)
+    for k, x in enumerate(left):
+        y = np.flatnonzero(comp[right] != comp[x])
+        if len(y):
+            mask[k, y] = may_link((regs[right[y]] == regs[x]).sum(1), n[x], n[right[y]], percent)
+    if not mask.any():
+        return []
+    left, right, mask = left[mask.any(1)], right[mask.any(0)], mask[mask.any(1)][:, mask.any(0)]
+    # numbers for the shingles that more than one row has; equal rows of a 0/1 matrix by these give all common counts
+    rows = np.concatenate([left, right])
+    flat, owner = np.concatenate([sets[r] for r in rows]), np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows])
+    _, at, many = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = many > 1
+    number = np.cumsum(shared) - 1
+    good = shared[at]
+    column, owner = number[at[good]], owner[good]
+    common = np.zeros(mask.shape, np.float32)
+    for c in range(0, int(shared.sum()), 4096):
+        part = (column >= c) & (column < c + 4096)
+        m = np.zeros((len(rows), 4096), np.float32)
+        m[owner[part], column[part] - c] = 1
+        common += m[: len(left)] @ m[len(left) :].T
+    linked = mask & (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common))
+    x, y = np.nonzero(linked)
+    if not len(x):
+        return []
+    _, first = np.unique(np.stack([comp[left[x]], comp[right[y]]], 1), axis=0, return_index=True)
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
 
-    pairs = spread.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    out = []
+    for k in first:
+        a, b = root(int(comp[left[x[k]]])), root(int(comp[right[y[k]]]))
+        if a != b:
+            up[a] = b
+            out.append((int(node[left[x[k]]]), int(node[right[y[k]]])))
+    return out
 
 
 def linked_components(docs: DataFrame, size: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles, node) of docs, and node, component_id for the classes in components of more than one."""
+    """Rows (doc_id, h, n_shingles, node) of docs, and node, component_id for the classes in components of more than one."""
     spark = docs.sparkSession
     rows = materialise(sketches(docs, size), "sketches")
     classes = materialise(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("regs").alias("regs")), "classes")
-    members, links, comps, tried = _with_comp(_buckets(classes), None), None, None, None
-    for turn in range(ROUNDS):
-        leaders = _open_buckets(members, turn)
-        active = materialise(members.join(leaders, "bucket"), "active")
-        pairs = active.filter("comp <> leader_comp").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        likely = materialise(_estimated(pairs, classes, percent), "likely")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        if likely.isEmpty():
-            members = active.select("bucket", "node", "comp")
-            continue
-        new = _verified(docs, classes, likely, size, percent)
-        links = new if links is None else links.unionAll(new)
-        comps = components(links)
-        members = _with_comp(active.select("bucket", "node"), comps)
-    rest = materialise(_estimated(_in_blocks(members, classes, tried, percent), classes, percent), "rest")
-    if not rest.isEmpty():
-        new = _verified(docs, classes, rest, size, percent)
-        links = new if links is None else links.unionAll(new)
+    links = comps = tried = rest = None
+    for bands, turns in STAGES:
+        members = _with_comp(_buckets(classes, bands), comps)
+        for turn in range(turns):
+            leaders = _open_buckets(members, turn)
+            active = materialise(members.join(leaders, "bucket"), "active")
+            pairs = active.filter("comp <> leader_comp").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = materialise(pairs, "pairs")
+            likely = materialise(_estimated(pairs, classes, percent), "likely")
+            tried = pairs if tried is None else tried.unionAll(pairs)
+            if not likely.isEmpty():
+                links = _more(links, _verified(docs, classes, likely, size, percent))
+                comps = components(links)
+            # all pairs of the leader have been looked at: it leaves its bucket
+            members = _with_comp(active.filter("node <> leader").select("bucket", "node"), comps)
+        rest = _more(rest, materialise(members.select("bucket", "node"), "rest"))
+    left = materialise(_in_blocks(docs, _with_comp(rest, comps), classes, size, percent), "left")
+    if not left.isEmpty():
+        links = _more(links, left)
         comps = components(links)
     if comps is None:
         comps = spark.createDataFrame([], "node long, comp long")
     # components are named by nodes so far; their smallest doc_id names them from here
     first = classes.select("node", "first_id").join(comps, "node")
     named = first.join(first.groupBy("comp").agg(F.min("first_id").alias("component_id")), "comp").select("node", "component_id")
-    return rows.select("doc_id", "n_shingles", "node"), classes.select("node", "first_id").join(named, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
+    return rows.select("doc_id", "h", "n_shingles", "node"), classes.select("node", "first_id").join(named, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
+
+
+def _more(all_: DataFrame | None, new: DataFrame) -> DataFrame:
+    return new if all_ is None else all_.unionAll(new)
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -308,3 +414,26 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     found = rows.filter(takes_part).join(named, "node").select("doc_id", "n_shingles", "component_id")
     alone = rows.filter(~takes_part).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionAll(alone).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with their columns, less all but one of each component: the one with the smallest doc_id, of
+    rows with that id the one with the smallest text hash, and one of rows that repeat it. Rows with null doc_id and
+    rows without shingles all stay. Only ids are shuffled, unless more go than BROADCAST_IDS."""
+    rows, named = linked_components(docs, size, percent)
+    placed = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").join(named, "node").select("component_id", "doc_id", "h")
+    placed = materialise(placed, "placed")
+    first = placed.filter("doc_id = component_id").groupBy("component_id").agg(F.min("h").alias("first_h"))
+    out = placed.join(first, "component_id").filter("doc_id <> component_id OR h <> first_h").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    out = materialise(out, "dropped")
+    twice = materialise(placed.join(first, "component_id").filter("doc_id = component_id AND h = first_h").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count("*").alias("n")).filter("n > 1").select("_id", "_h"), "repeated")
+    names = docs.columns
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (text_hash == F.col("_h"))
+    left = docs.join(broadcast_if_small(out, out.count(), BROADCAST_IDS), same, "left_anti")
+    repeated = twice.count()
+    if not repeated:
+        return left.select(*names)
+    twice = broadcast_if_small(twice, repeated, BROADCAST_IDS)
+    once = left.join(twice, same).groupBy("_id", "_h").agg(F.first(F.struct(*[docs[c] for c in names])).alias("r")).select("r.*")
+    return left.join(twice, same, "left_anti").select(*names).unionAll(once.select(*names))
