@@ -1,12 +1,54 @@
-"""Corpus pipeline: quality, toxicity, near-duplicates, mixing, encoding."""
+"""Corpus pipeline: quality, toxicity, near-duplicates, mixing to target weights, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next stage's docs. All but the last return the columns of documents; the last returns the sampled segmentations
+(doc_id, sample, n_pieces, log_prob, perturbed, inclusion, ids). The classifiers' labels come from
+the labels table in sf_dir.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tallyforge.llm.common import new_dir, table
+from tallyforge.llm.mixing import mix
+from tallyforge.llm.near_dup import keep_one
+from tallyforge.llm.piece_sampling import sample_segmentations
+from tallyforge.llm.quality import keep_quality
+from tallyforge.llm.toxicity import drop_toxic
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs, table(spark, sf_dir, "labels"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality", quality), ("toxicity", toxicity), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]
+
+#: Trained classifiers and sampling are beyond SQL; tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        at = new_dir(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+    return docs
