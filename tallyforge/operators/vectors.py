@@ -49,3 +49,22 @@ def metadata_matches(conditions: dict[str, object], arrays: set[str] = frozenset
         values = list(want) if isinstance(want, (list, tuple, set)) else [want]
         out = out & (F.arrays_overlap(F.col(name), F.array(*map(F.lit, values))) if name in arrays else F.col(name).isin(values))
     return F.coalesce(out, F.lit(False))
+
+
+def hash_embedding(docs: DataFrame, dim: int = 96) -> DataFrame:
+    """doc_id, i, x: unit vectors of signed feature hashing, in long form without zeros; token multiplicity counts."""
+    t = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([a-zA-Z0-9_#+.-]+)"), F.lit(1))
+    h = F.sha2("token", 256)
+    i = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim))
+    sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+    # equal tokens of one text are hashed once
+    each = docs.select("doc_id", F.explode(t).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n")).select("doc_id", i.alias("i"), (sign * (1.0 + F.length("token") / 20.0) * F.col("n")).alias("x"))
+    cells = each.groupBy("doc_id", "i").agg(F.sum(F.col("x").cast("decimal(20,6)")).cast("double").alias("x"))
+    norm = cells.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return cells.join(norm, "doc_id").filter("x <> 0").select("doc_id", "i", F.round(F.col("x") / F.col("norm"), 6).alias("x"))
+
+
+def dense(cells: DataFrame, dim: int = 96) -> DataFrame:
+    """doc_id, embedding (array of dim floats) of the long form; documents without tokens have no row in it."""
+    found = cells.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
+    return found.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0)).cast("float")).alias("embedding"))

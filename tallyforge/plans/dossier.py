@@ -13,10 +13,10 @@ FIELDS = ["company_name", "website", "revenue", "valuation", "use_of_funds", "ma
 
 
 @book.query(
-    """SELECT conv_id, '# Document: ' || conv_id || coalesce(chr(10) || string_agg('[' || turn || '] ' || role || ': ' || substr(text, 1, 60), chr(10) ORDER BY turn) FILTER (role <> 'system'), '') AS feed FROM conversations GROUP BY conv_id"""
+    """SELECT conv_id, '# Document: ' || conv_id || coalesce(chr(10) || string_agg('[' || turn || '] ' || role || ': ' || text, chr(10) ORDER BY turn) FILTER (role <> 'system'), '') AS feed FROM conversations GROUP BY conv_id"""
 )
 def feed_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit("["), F.col("turn"), F.lit("] "), F.col("role"), F.lit(": "), F.substring("text", 1, 60))
+    line = F.concat(F.lit("["), F.col("turn"), F.lit("] "), F.col("role"), F.lit(": "), F.col("text"))
     return O.feed(table(spark, sf_dir, "conversations"), "conv_id", "turn", line, F.col("role") != "system")
 
 

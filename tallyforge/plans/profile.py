@@ -80,12 +80,12 @@ def official_site_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query(
-    f"""WITH x AS (SELECT doc_id, lower(substr(text, 1, 200)) || CASE doc_id % 3 WHEN 0 THEN ' led a funding round' WHEN 1 THEN ' portfolio' ELSE '' END AS t, CASE WHEN doc_id % 4 = 0 THEN (doc_id % 500)::INT END AS age, (doc_id % 2)::INT AS n FROM documents)
+    f"""WITH x AS (SELECT doc_id, lower(text) || CASE doc_id % 3 WHEN 0 THEN ' led a funding round' WHEN 1 THEN ' portfolio' ELSE '' END AS t, CASE WHEN doc_id % 4 = 0 THEN (doc_id % 500)::INT END AS age, (doc_id % 2)::INT AS n FROM documents)
 SELECT doc_id, coalesce(age BETWEEN 0 AND 365 AND {sql_hits('t', ACTIVITY_TERMS)} >= 1, false) OR ({sql_hits('t', ACTIVITY_TERMS)} >= 3 AND {sql_any('t', RECENT_VERBS)}) AS active, CASE WHEN n > 0 OR length(trim(t)) >= 120 THEN {quoted([','.join(QUERY_KEYS[:4])])} ELSE {quoted([','.join(QUERY_KEYS)])} END AS query_keys FROM x"""
 )
 def search_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    text = F.concat(F.lower(F.substring("text", 1, 200)), F.when(k % 3 == 0, " led a funding round").when(k % 3 == 1, " portfolio").otherwise(""))
+    text = F.concat(F.lower("text"), F.when(k % 3 == 0, " led a funding round").when(k % 3 == 1, " portfolio").otherwise(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("t"), F.when(k % 4 == 0, (k % 500).cast("int")).alias("age"), (k % 2).cast("int").alias("n"))
     return rows.select("doc_id", P.recently_active(F.col("t"), F.col("age")).alias("active"), F.array_join(P.query_keys(F.col("n"), F.col("t")), ",").alias("query_keys"))
 

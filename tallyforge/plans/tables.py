@@ -57,9 +57,9 @@ def staleness_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.stale_counts(stale(spark, sf_dir), "ns")
 
 
-@book.query("SELECT doc_id, CASE WHEN quality IS NULL THEN 'orphan' ELSE 'pushed' END AS outcome, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 2 = 0")
+@book.query("SELECT doc_id, CASE WHEN quality IS NULL THEN 'orphan' ELSE 'pushed' END AS outcome, quality FROM documents LEFT JOIN labels USING (doc_id)")
 def cache_push_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache, known = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    cache, known = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     pushed = cache.join(known, "doc_id").select("doc_id", F.lit("pushed").alias("outcome"), "quality")
     return pushed.unionByName(cache.join(known, "doc_id", "left_anti").select("doc_id", F.lit("orphan").alias("outcome"), F.lit(None).cast("int").alias("quality")))
 
@@ -70,9 +70,9 @@ def embedding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.coverage(rows, ["quality", "toxic_hit"])
 
 
-@book.query("SELECT doc_id, (quality IS NOT NULL)::INT + (toxic IS NOT NULL)::INT + (text IS NOT NULL)::INT AS n_indexed FROM documents LEFT JOIN labels USING (doc_id) WHERE lang = 'en'")
+@book.query("SELECT doc_id, (quality IS NOT NULL)::INT + (toxic IS NOT NULL)::INT + (text IS NOT NULL)::INT AS n_indexed FROM documents LEFT JOIN labels USING (doc_id)")
 def indexed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").filter("lang = 'en'").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return rows.select("doc_id", sum((F.col(c).isNotNull().cast("int") for c in ("quality", "toxic", "text")), F.lit(0)).alias("n_indexed"))
 
 

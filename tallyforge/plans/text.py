@@ -57,8 +57,6 @@ def date_parse_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", parse_date(text).alias("parsed"))
 
 
-INJECTED = "substr(text, 1, 400) || CASE doc_id % 6 WHEN 0 THEN ' on 2023-4-' || (doc_id % 28 + 1) || '.' WHEN 1 THEN ' March ' || (doc_id % 28 + 1) || ', 2022 ' WHEN 2 THEN ' ' || (doc_id % 28 + 1) || ' sept 2021 ' WHEN 3 THEN ' in June 2020.' WHEN 4 THEN ' 12/' || (doc_id % 28 + 1) || '/2024 and 2019-01-01' ELSE '' END"
-
 
 @book.query(
     """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN make_date(2023, 4, doc_id % 28 + 1) WHEN 1 THEN make_date(2022, 3, doc_id % 28 + 1) WHEN 2 THEN make_date(2021, 9, doc_id % 28 + 1)
@@ -111,7 +109,6 @@ def page_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OFFICIAL = "example.com"
 D = DOMAIN.format(u="u")
-TIER = f"CASE WHEN {D} = '{OFFICIAL}' OR ends_with({D}, '.{OFFICIAL}') THEN 'official' WHEN {sql_any(D, NEWS_FRAGMENTS + ('example.net',))} THEN 'news' ELSE 'other' END".replace(", 'example.net'", "")
 TIER = f"CASE WHEN {D} = '{OFFICIAL}' OR ends_with({D}, '.{OFFICIAL}') THEN 'official' WHEN {sql_any(D, NEWS_FRAGMENTS)} THEN 'news' ELSE 'other' END"
 # every third page is moved to a news host, so that all tiers occur
 HOSTED = f"CASE WHEN page_id % 3 = 1 THEN 'https://reuters.com/x' || page_id || [{quoted(TAILS)}][(page_id % 7 + 1)::INT] ELSE {TAILED} END"
@@ -182,16 +179,18 @@ def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query(
-    """WITH s AS (SELECT s_suppkey, 'Acme ' || (s_suppkey % 7) || ' Capital' AS name, lower(regexp_replace('Acme ' || (s_suppkey % 7), '[^A-Za-z0-9]+', '', 'g')) AS c FROM supplier WHERE s_suppkey <= 20),
-p AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'We met acme ' || (page_id % 7) || ' capital today' WHEN page_id % 4 = 1 THEN 'acme and others' ELSE 'nothing' END AS body FROM pages)
-SELECT s_suppkey, page_id FROM s JOIN p ON contains(body, lower(name)) OR contains(body, 'acme')"""
+    """WITH n AS (SELECT count(*) AS n FROM supplier),
+p AS (SELECT page_id, page_id % n AS s_suppkey, CASE page_id % 5 WHEN 0 THEN 'We met acme ' || ((page_id % n) % 7) || ' today' WHEN 1 THEN 'acme and others' WHEN 2 THEN 'northern notes' ELSE 'nothing' END AS body FROM pages, n)
+SELECT page_id, s_suppkey, contains(body, 'acme') AS matches FROM p JOIN supplier USING (s_suppkey)"""
 )
 def entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names against pages. A few names (a bounded list) are broadcast; pages are read once."""
-    names = table(spark, sf_dir, "supplier").filter("s_suppkey <= 20").select("s_suppkey", F.concat(F.lit("Acme "), F.col("s_suppkey") % 7, F.lit(" Capital")).alias("name"))
-    k = F.col("page_id") % 4
-    pages = table(spark, sf_dir, "pages").select("page_id", F.when(k == 0, F.concat(F.lit("We met acme "), F.col("page_id") % 7, F.lit(" capital today"))).when(k == 1, "acme and others").otherwise("nothing").alias("body"))
-    return pages.join(F.broadcast(names), U.entity_matches(F.col("name"), F.lit(""), F.col("body"), F.lit(""))).select("s_suppkey", "page_id")
+    """Each page against the name of the entity that it was found for."""
+    n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
+    k = F.col("page_id") % 5
+    pages = table(spark, sf_dir, "pages").select("page_id").crossJoin(F.broadcast(n)).withColumn("s_suppkey", F.col("page_id") % F.col("n"))  # one row
+    body = F.when(k == 0, F.concat(F.lit("We met acme "), F.col("s_suppkey") % 7, F.lit(" today"))).when(k == 1, "acme and others").when(k == 2, "northern notes").otherwise("nothing")
+    names = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Acme "), F.col("s_suppkey") % 7, F.lit(" Capital")).alias("name"))
+    return pages.join(names, "s_suppkey").select("page_id", "s_suppkey", U.entity_matches(F.col("name"), F.lit(""), body, F.lit("")).alias("matches"))
 
 
 T = list(SECTOR_TERMS["fintech"])
@@ -199,13 +198,13 @@ SO_FAR = "array_to_string(list_filter([s, o, n], lambda x: x <> ''), ' ')"
 
 
 @book.query(
-    f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(trim(substr(text, 1, 30))) ELSE '' END AS s, CASE WHEN doc_id % 3 = 0 THEN 'payments desk' ELSE '' END AS o, CASE WHEN doc_id % 5 = 0 THEN 'press note' ELSE '' END AS n,
+    f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(trim(text)) ELSE '' END AS s, CASE WHEN doc_id % 3 = 0 THEN 'payments desk' ELSE '' END AS o, CASE WHEN doc_id % 5 = 0 THEN 'press note' ELSE '' END AS n,
   CASE WHEN doc_id % 7 = 0 THEN 'banking and lending finance' WHEN doc_id % 7 = 1 THEN '' ELSE 'snippet' END AS q FROM documents), y AS (SELECT *, {SO_FAR} AS m FROM x)
 SELECT doc_id, CASE WHEN q <> '' AND (length(m) < 12 OR {sql_hits('m', T)} = 0 OR {sql_hits('q', T)} > {sql_hits('m', T)}) THEN trim(CASE WHEN m <> '' THEN m || ' ' ELSE '' END || q) ELSE m END AS merged FROM y"""
 )
 def merge_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    sheet = F.when(k % 2 == 0, F.substring("text", 1, 30)).otherwise("")
+    sheet = F.when(k % 2 == 0, F.col("text")).otherwise("")
     snippet = F.when(k % 7 == 0, "banking and lending finance").when(k % 7 == 1, "").otherwise("snippet")
     return table(spark, sf_dir, "documents").select("doc_id", tiered_merge(sheet, F.when(k % 3 == 0, "payments desk"), F.when(k % 5 == 0, "press note"), snippet, T, 12).alias("merged"))
 
@@ -214,8 +213,8 @@ def merge_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH t AS (SELECT doc_id, regexp_replace(trim(text), '\\s+', ' ', 'g') AS s, text FROM documents)
 SELECT doc_id, CASE WHEN length(s) <= 80 THEN s ELSE rtrim(substr(s, 1, 77)) || '...' END AS summary,
   CASE WHEN k = '' THEN 'item' ELSE k END AS slug, length(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'))::BIGINT AS safe_chars
-FROM (SELECT *, lower(regexp_replace(regexp_replace(substr(s, 1, 40), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS k FROM t)"""
+FROM (SELECT *, lower(regexp_replace(regexp_replace(s, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS k FROM t)"""
 )
 def summarize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     squeezed = F.regexp_replace(F.trim("text"), r"\s+", " ")
-    return table(spark, sf_dir, "documents").select("doc_id", summarize(F.col("text"), 80).alias("summary"), slugify(F.substring(squeezed, 1, 40)).alias("slug"), F.length(safe_text(F.col("text"))).cast("long").alias("safe_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", summarize(F.col("text"), 80).alias("summary"), slugify(squeezed).alias("slug"), F.length(safe_text(F.col("text"))).cast("long").alias("safe_chars"))

@@ -88,25 +88,12 @@ def vector_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.last_wins(e, ["label"], "vec_id").join(e.groupBy("label").agg(F.count("*").alias("n")), "label")
 
 
-def hash_embedding(docs: DataFrame, dim: int = 96) -> DataFrame:
-    """doc_id, i, x: unit vectors of signed feature hashing, in long form without zeros; token multiplicity counts."""
-    t = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([a-z0-9]+)"), F.lit(1)), lambda w: F.length(w) > 0)
-    h = F.sha2("token", 256)
-    i = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim))
-    sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    # equal tokens of one text are hashed once
-    each = docs.select("doc_id", F.explode(t).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n")).select("doc_id", i.alias("i"), (sign * (1.0 + F.length("token") / 20.0) * F.col("n")).alias("x"))
-    cells = each.groupBy("doc_id", "i").agg(F.sum(F.col("x").cast("decimal(20,6)")).cast("double").alias("x"))
-    norm = cells.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return cells.join(norm, "doc_id").filter("x <> 0").select("doc_id", "i", F.round(F.col("x") / F.col("norm"), 6).alias("x"))
-
-
 @book.query(
-    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS token FROM documents),
+    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z0-9_#+.-]+')) AS token FROM documents),
 u AS (SELECT doc_id, token, count(*) AS n, sha256(token) AS h FROM t GROUP BY ALL),
 e AS (SELECT doc_id, (('0x' || h[1:8])::BIGINT % 96) AS i, (CASE WHEN ('0x' || h[9:10])::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END) * (1.0 + length(token) / 20.0) * n AS x FROM u),
 c AS (SELECT doc_id, i, sum(x::DECIMAL(20, 6))::DOUBLE AS x FROM e GROUP BY ALL)
 SELECT doc_id, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM c QUALIFY x <> 0"""
 )
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hash_embedding(table(spark, sf_dir, "documents"))
+    return V.hash_embedding(table(spark, sf_dir, "documents"))

@@ -122,3 +122,20 @@ def test_last_seen_and_refresh(spark, sf, tmp_path):
     q = refresh_cache(spark.readStream.schema(texts.schema).parquet(f"{tmp_path}/texts"), lambda: cache, lambda df: df.write.mode("append").parquet(f"{tmp_path}/out"), ["id"], f"{tmp_path}/c2")
     q.awaitTermination(120)
     assert [(r.id, r.reason) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(2, "missing_vector")]
+
+
+def test_hash_embedding_equals_plain(spark):
+    import hashlib
+    import math
+    import re
+
+    texts = ["AI tools, ai C++ x", "", None, "one"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: list(r.embedding) for r in vectors.dense(vectors.hash_embedding(rows)).collect()}
+    for i, t in enumerate(texts):
+        v = [0.0] * 96
+        for tok in re.findall(r"[a-zA-Z0-9_#+.-]+", (t or "").lower()):
+            h = hashlib.sha256(tok.encode()).hexdigest()
+            v[int(h[:8], 16) % 96] += (-1.0 if int(h[8:10], 16) % 2 else 1.0) * (1.0 + len(tok) / 20)
+        n = math.sqrt(sum(x * x for x in v))
+        assert (i in got) == (n > 0) and (n == 0 or max(abs(a - b / n) for a, b in zip(got[i], v, strict=True)) < 1e-5)
