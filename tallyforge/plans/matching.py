@@ -11,7 +11,7 @@ from tallyforge.functions.fixed import INDUSTRY_NEEDLES
 from tallyforge.functions.text import geography_matches, strings, tag_terms, tokens
 from tallyforge.operators import matching as M
 from tallyforge.plans.book import Book, sql_any, table
-from tallyforge.plans.vectors import DOT, SCORED, fused
+from tallyforge.plans.vectors import SCORED, fused
 
 book = Book()
 DEAL = M.Profile(industry="BUILDING", stage="series_a", geography=("america",), raise_amount=100_000_000.0, terms=("building",))
