@@ -7,7 +7,7 @@ row of the table in the training texts; all parameters are then trained by mini-
 
 The model is fitted on at most `sample` labelled rows whose crc32(doc_id) mod 5 is not 0. Of these, those with
 remainder 1 are kept apart to calibrate: scores become probabilities by Platt scaling, and each language gets the
-threshold that is best there by F1, shrunk toward the common one by the number of its rows. Only the text enters a
+threshold that is best there by F1, shrunk toward the common one (and that toward 0.5) by the number of toxic rows. Only the text enters a
 score; the language picks a threshold.
 
 Cases: null and empty texts have no words and get the score of a text without evidence; texts of any length are
@@ -28,8 +28,8 @@ from tallyforge.llm.labelled import SAMPLE, fold, labelled_sample, platt, sigmoi
 
 ROWS_BITS, DIM, FILTERS, WIDTHS, STEMS = 18, 8, 8, (1, 2, 3), (4, 6)
 EPOCHS, BATCH = 6, 64
-#: Rows of a language at which its own threshold and the common one weigh the same.
-SHRINK = 200
+#: Toxic rows kept apart at which a threshold of their own and the one above it (0.5 above the common one) weigh the same.
+SHRINK = 20
 WINDOW = 1 << 15
 _OFFSETS = [(w, j) for w in WIDTHS for j in range(w)]
 
@@ -172,12 +172,16 @@ class Model:
     def calibrate(self, z: np.ndarray, y: np.ndarray, lang: list) -> None:
         self.scale, self.shift = platt(z.astype(np.float64), y)
         p = sigmoid(self.scale * z.astype(np.float64) + self.shift)
-        self.common = best_threshold(p, y)
+        self.common = self._shrunk(p, y, 0.5)
         for name in sorted({x for x in lang if x is not None}):
             own = np.array([x == name for x in lang])
             if 0 < y[own].sum() < own.sum():
-                n = own.sum()
-                self.thresholds[name] = float((n * best_threshold(p[own], y[own]) + SHRINK * self.common) / (n + SHRINK))
+                self.thresholds[name] = self._shrunk(p[own], y[own], self.common)
+
+    @staticmethod
+    def _shrunk(p: np.ndarray, y: np.ndarray, above: float) -> float:
+        n = int(y.sum())
+        return float((n * best_threshold(p, y) + SHRINK * above) / (n + SHRINK))
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
