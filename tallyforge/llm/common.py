@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,9 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one Arrow batch; texts are long, and both the JVM and the worker hold whole batches.
+ROWS_A_BATCH = 1000
+
+
+def modest_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's rows of an Arrow batch to ROWS_A_BATCH where they are more."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS_A_BATCH:
+        conf.set(key, str(ROWS_A_BATCH))
+    return df
+
+
 def doc_text(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), and nothing else that could clash with what an operator adds."""
-    return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    return modest_batches(docs).select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 # ---- storage that all executors share --------------------------------------------------
@@ -194,19 +209,37 @@ def _piece(raw: np.ndarray, begins: np.ndarray, ends_word: np.ndarray, prefixes:
 # ---- Arrow batches ---------------------------------------------------------------------
 
 
-def arrow_map(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], most_bytes: int = 16 << 20):
-    """For mapInArrow: work gets batches of a bounded number of text bytes (one text at least)."""
+def arrow_map(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], most_bytes: int = 4 << 20, done: Callable[[], None] | None = None):
+    """For mapInArrow: work gets batches of a bounded number of text bytes (one text at least).
+
+    At the end of a task `done` is called and free memory goes back to the system: a worker outlives its tasks, and
+    what it holds counts against the executor in the tasks of other operators.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in bounded(batch, most_bytes):
-                out = work(part)
-                if out is not None:
-                    yield out
+        try:
+            for batch in batches:
+                for part in bounded(batch, most_bytes):
+                    out = work(part)
+                    if out is not None:
+                        yield out
+        finally:
+            if done is not None:
+                done()
+            release_memory()
 
     return run
 
 
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def bounded(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with up to so many bytes of text each."""
     if not batch.num_rows:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.common import modest_batches
+
 #: Labelled rows that a classifier is fitted on at most (a parameter of each fit).
 SAMPLE = 8000
 
@@ -25,7 +27,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int =
     if where is not None:
         own = own.filter(where)
     drawn = own.groupBy("doc_id").agg(F.max("target").alias("target")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    shaped = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
+    shaped = modest_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
     return shaped.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "target", *more)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import LOWER, SPACE, arrow_map, materialise, mix as mix_bits, text_buffers
+from tallyforge.llm.common import LOWER, SPACE, arrow_map, materialise, mix as mix_bits, modest_batches, text_buffers
 from tallyforge.llm.labelled import SAMPLE, fit_logistic, labelled_sample, softmax
 
 #: Target weights of the registered query.
@@ -148,7 +148,7 @@ def _posteriors(docs: DataFrame, model: Domains) -> DataFrame:
         x, tokens = features(batch.column(1))
         return pa.record_batch([batch.column(0), pa.array(tokens.astype(np.int64)), pa.array(list(shared.value.posterior(x)), pa.list_(pa.float64()))], ["doc_id", "tokens", "p"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(arrow_map(work), "doc_id long, tokens long, p array<double>")
+    return modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(arrow_map(work), "doc_id long, tokens long, p array<double>")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang", sample: int = SAMPLE, seed: int = 0) -> DataFrame:

@@ -34,8 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-from tallyforge.llm.common import SPACE, arrow_map, broadcast_if_small, discard, materialise, mix, words_of
+from tallyforge.llm.common import SPACE, arrow_map, broadcast_if_small, discard, materialise, mix, modest_batches, words_of
 
 REGISTERS, BANDS, ROWS = 256, 64, 6
 #: Bits of a register's mantissa; the leading-zero count has the other 5 of 16.
@@ -156,7 +155,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _shaped(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -296,9 +295,11 @@ def _in_blocks(docs: DataFrame, members: DataFrame, classes: DataFrame, size: in
     mixed = members.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket")
     members = materialise(members.join(mixed, "bucket"), "rest-open")
     cluster = components(members.select(F.col("bucket").alias("a"), F.col("node").alias("b")), "clusters").select(F.col("node").alias("bucket"), F.col("comp").alias("cluster"))
-    grouped = members.join(cluster, "bucket")
-    small = grouped.groupBy("cluster").agg(F.countDistinct("node").alias("n")).filter(F.col("n") <= CLUSTER).select("cluster", F.lit(True).alias("small"))
-    members = grouped.join(small, "cluster", "left").select(F.when(F.col("small"), F.col("cluster")).otherwise(F.col("bucket")).alias("bucket"), "node", "comp").distinct()
+    # a cluster may hold most rows: its size is summed up, and known where its rows are
+    grouped = materialise(members.join(broadcast_if_small(cluster, cluster.count(), BROADCAST_IDS), "bucket"), "grouped")
+    small = grouped.select("cluster", "node").distinct().groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") <= CLUSTER).select("cluster", F.lit(True).alias("small"))
+    small = materialise(small, "small")
+    members = grouped.join(broadcast_if_small(small, small.count(), BROADCAST_IDS), "cluster", "left").select(F.when(F.col("small"), F.col("cluster")).otherwise(F.col("bucket")).alias("bucket"), "node", "comp").distinct()
     drawn = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(99), "node").alias("p"), "comp")).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket", F.col("m.comp").alias("main_comp"))
     rows = materialise(members.join(drawn, "bucket").select("bucket", "node", "comp", (F.col("comp") == F.col("main_comp")).alias("main")), "rest-rows")
     sized = rows.groupBy("bucket").agg(F.ceil(F.count_if("main") / BLOCK).cast("int").alias("mains"), F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("others"))

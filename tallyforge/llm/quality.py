@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACE, arrow_map, broadcast_if_small, materialise, text_buffers, words_of
+from tallyforge.llm.common import SPACE, arrow_map, broadcast_if_small, materialise, modest_batches, text_buffers, words_of
 from tallyforge.llm.labelled import SAMPLE, fit_logistic, labelled_sample
 
 BROADCAST_PATHS = 200_000
@@ -96,7 +96,7 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ev
 def with_evidence(docs: DataFrame, model: Evidence, keep: list[str], host: Column, path: Column) -> DataFrame:
     """docs' columns in keep, and _host, _path, _evidence."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    shaped = docs.select(*keep, host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.coalesce("text", F.lit("")).alias("_text"))
+    shaped = modest_batches(docs).select(*keep, host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.coalesce("text", F.lit("")).alias("_text"))
     schema = shaped.drop("_text").schema.add("_evidence", "double")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

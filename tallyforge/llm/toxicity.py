@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import NOT_ALNUM, arrow_map, words_of
+from tallyforge.llm.common import NOT_ALNUM, arrow_map, modest_batches, words_of
 from tallyforge.llm.labelled import SAMPLE, fold, labelled_sample, platt, sigmoid
 
 ROWS_BITS, DIM, FILTERS, WIDTHS, STEMS = 18, 8, 8, (1, 2, 3), (4, 6)
@@ -228,7 +228,7 @@ def apply_model(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> Da
     """docs' columns in keep, and _score, _threshold, for each row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    shaped = docs.select(*[F.col(c) for c in keep], F.coalesce("text", F.lit("")).alias("_text"), F.col("lang").cast("string").alias("_lang"))
+    shaped = modest_batches(docs).select(*[F.col(c) for c in keep], F.coalesce("text", F.lit("")).alias("_text"), F.col("lang").cast("string").alias("_lang"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) if keep else ""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
