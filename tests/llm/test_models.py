@@ -224,6 +224,40 @@ def test_samples_follow_the_distribution(text):
     assert abs(np.mean([sum(p[k] / q for k, _, _, q in x) for x in found]) - 1) < 0.1
 
 
+def every_segmentation_with_runs(model, text):
+    """As above, with the pieces that are runs of marks."""
+    raw = (" " + text).encode()
+    known = {b: i for i, b in enumerate(model.bytes_of) if b and i not in set(model.byte_id.tolist())}
+
+    def walk(at):
+        if at == len(raw):
+            return [((), 0.0)]
+        return [((known[raw[at:to]], *rest), w + model.log_weight[known[raw[at:to]]]) for to in range(at + 1, len(raw) + 1) if raw[at:to] in known for rest, w in walk(to)]
+
+    found = walk(0)
+    z = np.logaddexp.reduce([w for _, w in found])
+    return {k: float(w - z) for k, w in found}
+
+
+@pytest.mark.parametrize("text", ["a    b", "   if", "x  ", "  ", "a   "])
+def test_runs_of_marks_are_sampled(text):
+    import sentencepiece
+
+    model = piece_sampling.pieces(PIECES)
+    want = every_segmentation_with_runs(model, text)
+    assert tuple(sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text)) in want and max(map(len, model.bytes_of)) <= 25
+    t = piece_sampling.Texts(model, [text, text[:-1], " "], np.arange(3, dtype=np.uint64))
+    got, *others = t.top_k(5000)
+    assert {tuple(t.ids(a).tolist()) for a, *_ in got} == set(want)
+    assert all(abs(lp - want[tuple(t.ids(a).tolist())]) < 1e-9 for a, lp, *_ in got)
+    # the texts of a batch stay apart, also where one ends in marks
+    assert all(b"".join(model.bytes_of[i] for i in t.ids(a)) == (" " + x).encode() for x, found in zip([text[:-1], " "], others, strict=True) for a, *_ in found)
+    n = 3000
+    t = piece_sampling.Texts(model, [text] * n, piece_sampling.mix(np.arange(n, dtype=np.uint64)))
+    first = Counter(tuple(t.ids(x[0][0]).tolist()) for x in t.top_k(1))
+    assert all(abs(first[k] / n - math.exp(v)) < 0.04 for k, v in want.items())
+
+
 def test_all_segmentations_when_few():
     model = piece_sampling.pieces(PIECES)
     t = piece_sampling.Texts(model, ["the", "", "\n"], np.arange(3, dtype=np.uint64))
