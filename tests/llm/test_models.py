@@ -258,6 +258,53 @@ def test_runs_of_marks_are_sampled(text):
     assert all(abs(first[k] / n - math.exp(v)) < 0.04 for k, v in want.items())
 
 
+def plain_beta(model, raw):
+    """Log masses of the rest of a word from each byte on, one lattice for all of it."""
+    known = {b: w for i, (b, w) in enumerate(zip(model.bytes_of, model.log_weight, strict=True)) if b and i not in set(model.byte_id.tolist())}
+    chars = [i for i in range(len(raw)) if raw[i] & 0xC0 != 0x80] + [len(raw)]
+    arcs = {(a, a + n): known[raw[a : a + n]] for a in chars[:-1] for n in range(1, 26) if raw[a : a + n] in known and a + n <= len(raw)}
+    arcs |= {(x, x + 1): model.log_weight[model.byte_id[raw[x]]] for a, b in zip(chars, chars[1:], strict=False) if (a, b) not in arcs for x in range(a, b)}
+    beta = np.append(np.full(len(raw), -np.inf), 0.0)
+    for a in range(len(raw) - 1, -1, -1):
+        out = [w + beta[a + n] for n in range(1, 26) if (w := arcs.get((a, a + n))) is not None]
+        beta[a] = np.logaddexp.reduce(out) if out else -np.inf
+    return arcs, beta
+
+
+URL = "https://example.org/documentation/internationalization/administration/reference/index.html"
+
+
+@pytest.mark.parametrize("text", [URL, "a" * 64 + "é漢\x00" * 40, "-" * 300, "b" + " " * 200 + "c", "/srv/data/" * 1000 + "end"])
+def test_long_words_have_whole_lattices(text):
+    model = piece_sampling.pieces(PIECES)
+    arcs, beta = plain_beta(model, (" " + text).encode())
+    t = piece_sampling.Texts(model, ["before it", text, "after", text + " x"], np.arange(4, dtype=np.uint64))
+    own = t.top_k(3)[1]
+    assert len({tuple(t.ids(a).tolist()) for a, *_ in own}) == 3
+    for a, lp, *_ in own:
+        ids = t.ids(a).tolist()
+        assert b"".join(model.bytes_of[i] for i in ids) == (" " + text).encode()
+        ends = np.cumsum([len(model.bytes_of[i]) for i in ids]).tolist()
+        plain = sum(arcs[x] for x in zip([0, *ends], ends, strict=False)) - beta[0]
+        assert abs(lp - plain) < 1e-7 * max(1, -plain)
+
+
+def test_pieces_at_any_place_of_a_long_word_are_sampled():
+    model = piece_sampling.pieces(PIECES)
+    arcs, beta = plain_beta(model, (" " + URL).encode())
+    alpha = np.append(0.0, np.full(len(URL) + 1, -np.inf))
+    for (a, b), w in sorted(arcs.items()):
+        alpha[b] = np.logaddexp(alpha[b], alpha[a] + w)
+    want = {k: math.exp(alpha[k[0]] + w + beta[k[1]] - beta[0]) for k, w in arcs.items()}
+    n, got = 3000, Counter()
+    t = piece_sampling.Texts(model, [URL] * n, piece_sampling.mix(np.arange(n, dtype=np.uint64)))
+    for x in t.top_k(1):
+        ends = np.cumsum([len(model.bytes_of[i]) for i in t.ids(x[0][0]).tolist()]).tolist()
+        got.update(zip([0, *ends], ends, strict=False))
+    assert max(abs(got[k] / n - p) for k, p in want.items()) < 0.05 and set(got) <= set(want)
+    assert any(got[k] for k in want if k[0] < 64 < k[1]) and got[(56, 65)] > 0
+
+
 def test_all_segmentations_when_few():
     model = piece_sampling.pieces(PIECES)
     t = piece_sampling.Texts(model, ["the", "", "\n"], np.arange(3, dtype=np.uint64))
