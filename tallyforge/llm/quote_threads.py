@@ -2,9 +2,11 @@
 
 Lines that begin with one or more ">" are quotes of that level; a run of lines of one level is a passage, and a line
 such as "On ... wrote:" right before a passage belongs to it. Passages are normalised (lower case, white space
-squeezed) and hashed, line by line and as a whole; messages' own lines are hashed alike. A hash of a passage is
-linked to the latest earlier message of its conversation that has it, and a passage to the message that most of its
-hashes name (the later one among equals). A message replies to what its first-level passages name; without one, to
+squeezed) and hashed: each line, each paragraph (a run between blank lines), each sentence of these, and the whole;
+messages' own text is hashed alike. So a quote is found also where it was wrapped anew, or is some of the paragraphs
+or sentences of a message; a part of a sentence that is not a line is not found. A hash of a passage is linked to the
+latest earlier message of its conversation that has it, and a passage to the message that its hashes name with most
+characters together (the later one among equals). A message replies to what its first-level passages name; without one, to
 the message before it.
 
 A message that replies to another one than the message before it begins a branch. A branch comes right after the
@@ -24,6 +26,7 @@ stays unlinked; an empty table gives an empty one; other columns are ignored.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -36,6 +39,8 @@ from tallyforge.llm.common import arrow_map, materialise
 SPAN = 1024
 QUOTE = re.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$")
 WROTE = re.compile(r"^\s*(?:on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb|el\b.*\bescribió)\s*:\s*$", re.IGNORECASE)
+#: Where a sentence of normalised text ends, with the quotation marks and brackets after it.
+SENTENCE_END = re.compile(r"([.!?…]+[\"'”’»)\]]*(?= )|[。！？]+[”’」』）]*) ?")
 
 
 def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
@@ -60,11 +65,14 @@ def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
     return "\n".join(own).strip(), passages
 
 
-def unit_hashes(lines: list[str]) -> list[int]:
-    """Hashes of the normalised lines and of all of them together; none of what is empty."""
-    clean = [c for c in (" ".join(x.lower().split()) for x in lines) if c]
-    units = {*clean, " ".join(clean)} if clean else ()
-    return sorted(xxhash.xxh64_intdigest(u) - (1 << 63) for u in units)
+def unit_hashes(lines: list[str]) -> dict[int, int]:
+    """Hashes of the normalised lines, paragraphs, their sentences and all together, with their lengths; none of what is empty."""
+    clean = [" ".join(x.lower().split()) for x in lines]
+    units = {" ".join(c) for full, c in groupby(clean, bool) if full} | {c for c in clean if c}
+    units |= {u for x in units for u in SENTENCE_END.sub(r"\1\n", x).split("\n") if u}
+    if any(clean):
+        units.add(" ".join(filter(None, clean)))
+    return {xxhash.xxh64_intdigest(u) - (1 << 63): len(u) for u in sorted(units)}
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
@@ -75,16 +83,16 @@ def _parsed(messages: DataFrame) -> DataFrame:
         for text in batch.column(3).to_pylist():
             body, passages = parse(text)
             content.append(body)
-            own.append(unit_hashes(body.split("\n")))
-            quotes.append([{"passage": i, "level": level, "h": h} for i, (level, lines) in enumerate(passages) for h in unit_hashes(lines)] if passages else [])
+            own.append(sorted(unit_hashes(body.split("\n"))))
+            quotes.append([{"passage": i, "level": level, "h": h, "chars": n} for i, (level, lines) in enumerate(passages) for h, n in sorted(unit_hashes(lines).items())] if passages else [])
         counts = [len({q["passage"] for q in x}) for x in quotes]
-        kinds = pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("h", pa.int64())]))
+        kinds = pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("h", pa.int64()), ("chars", pa.int64())]))
         return pa.record_batch([*batch.columns[:3], batch.column(4), pa.array(content), pa.array(own, pa.list_(pa.int64())), pa.array(quotes, kinds), pa.array(counts, pa.int32())], ["conv_id", "turn", "role", "message", "content", "own", "quotes", "n_quotes"])
 
     shaped = messages.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("conv_id", "turn", "role", "text").alias("message")
     )
-    return shaped.mapInArrow(arrow_map(work), "conv_id long, turn long, role string, message long, content string, own array<long>, quotes array<struct<passage:int,level:int,h:long>>, n_quotes int")
+    return shaped.mapInArrow(arrow_map(work), "conv_id long, turn long, role string, message long, content string, own array<long>, quotes array<struct<passage:int,level:int,h:long,chars:long>>, n_quotes int")
 
 
 def latest_before(asked: DataFrame, there: DataFrame) -> DataFrame:
@@ -106,7 +114,7 @@ def _links(parsed: DataFrame) -> DataFrame:
     quoted = parsed.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND n_quotes > 0").select("conv_id", "turn", "message", F.explode("quotes").alias("q")).select("conv_id", "turn", "message", "q.*").distinct()
     own = parsed.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("own").alias("h"))
     found = quoted.join(latest_before(quoted, own), ["conv_id", "h", "turn"])
-    votes = found.groupBy("conv_id", "message", "passage", "level", F.col("before").alias("original")).agg(F.count("*").alias("n"))
+    votes = found.groupBy("conv_id", "message", "passage", "level", F.col("before").alias("original")).agg(F.sum("chars").alias("n"))
     best = F.max(F.when(F.col("original").isNotNull(), F.struct("n", "original")))
     return votes.groupBy("conv_id", "message", "passage", "level").agg(best.alias("b")).select("conv_id", "message", "passage", "level", F.col("b.n").alias("n"), F.col("b.original").alias("original"))
 

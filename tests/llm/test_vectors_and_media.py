@@ -120,6 +120,32 @@ def test_quotes_become_reply_order(spark):
     assert quote_threads.link_quotes(df.filter("false")).count() == 0
 
 
+FIRST = "The first point is about the harvest of this year.\nIt was good.\n\nThe second point is longer. It says that nothing was lost on the way, as some had feared.\n\nA third one."
+
+
+@pytest.mark.parametrize(
+    "quote",
+    [
+        "> It says that nothing was lost on the way, as some had feared.",
+        "> The first point is about\n> the harvest of this year. It\n> was good.\n>\n> The second point is longer. It says\n> that nothing was lost on the\n> way, as some had feared.",
+        "> The second point is longer. It says\n> that nothing was lost on the\n> way, as some had feared.\n>\n> A third\n> one.",
+        "> was lost on the way. It was\n> good. The second point is longer. It",
+    ],
+)
+def test_parts_of_messages_are_found(spark, quote):
+    rows = [(1, 0, "a", FIRST), (1, 1, "b", "Something else. It is longer."), (1, 2, "a", "More of it"), (1, 3, "b", f"{quote}\n\nI agree")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in quote_threads.link_quotes(df).collect()}
+    assert (got[3].reply_to, got[3].n_quotes, got[3].n_linked, got[3].content) == (0, 1, 1, "I agree") and got[2].reply_to == 1
+
+
+def test_longer_common_text_decides(spark):
+    rows = [(1, 0, "a", "Yes. No. That is the whole of what I know about it."), (1, 1, "b", "Yes. No."), (1, 2, "a", "> Yes. No. That is the whole of what I know about it.\nso"), (1, 3, "b", "> Never said\nwhat")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.reply_to, r.n_linked) for r in quote_threads.link_quotes(df).collect()}
+    assert got[2] == (0, 1) and got[3] == (2, 0)
+
+
 def test_latest_before_crosses_spans(spark, monkeypatch):
     monkeypatch.setattr(quote_threads, "SPAN", 4)
     r = np.random.default_rng(5)
