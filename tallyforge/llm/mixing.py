@@ -4,6 +4,8 @@ A softmax regression on byte frequencies, fitted on at most `sample` rows that t
 document a posterior over domains (the languages of those rows). Rates r >= 0 are then fitted so that the expected
 tokens of each domain, sum of r * tokens * posterior, meet the target weights times the corpus total: projected
 gradient on least squares, with the residuals weighed by the inverse second moments of the posteriors, from r = 1.
+All domains of the sample are told apart. Where the largest residual is not below CLOSE after STEPS steps, a warning
+gives it.
 
 The fit is distributed and keeps no state by document: a document's rate follows from its posterior and the residuals
 of the earlier steps, so each step is one pass that replays them and sums one number for each domain. A lost executor
@@ -14,12 +16,15 @@ Tokens are words between ASCII white space.
 
 Cases: null and empty texts have no tokens, the mean posterior of a text without bytes and rate 1; texts of any length
 are read whole; null doc_ids draw like one id; repeated rows get equal rates and copies; an empty table gives an
-empty one; a target domain that no document has is left short; fewer than two domains in the sample give rate 1;
+empty one; a target domain that no document has is left short, with a warning; one that documents have, but none of
+the sample, is an error; fewer than two domains in the sample give rate 1;
 other columns are ignored by mixing_rates and returned as they are by mix.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +35,9 @@ from tallyforge.llm.labelled import SAMPLE, fit_logistic, labelled_sample, softm
 
 #: Target weights of the registered query.
 TARGETS = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
-#: Domains at most (the most frequent of the sample); steps of the fit at most; the residual that ends it.
-DOMAINS, STEPS, CLOSE = 64, 25, 1e-5
+#: Steps of the fit at most; the residual that ends it.
+STEPS, CLOSE = 25, 1e-5
+log = logging.getLogger(__name__)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +60,10 @@ class Domains:
     """Posteriors over named domains."""
 
     def __init__(self, x: np.ndarray, domain: list[str]):
-        names, n = np.unique(np.array(domain, dtype=object).astype(str), return_counts=True)
-        self.names = sorted(names[np.argsort(-n, kind="stable")][:DOMAINS].tolist())
-        own = [i for i, d in enumerate(domain) if d in set(self.names)]
-        self.mean = x[own].mean(0) if own else np.zeros(256)
-        self.w = fit_logistic((x[own] - self.mean) * 8, np.array([self.names.index(domain[i]) for i in own], int), len(self.names)) if len(self.names) > 1 else None
+        self.names = sorted(set(map(str, domain)))
+        self.mean = x.mean(0) if len(x) else np.zeros(256)
+        place = {n: i for i, n in enumerate(self.names)}
+        self.w = fit_logistic((x - self.mean) * 8, np.array([place[str(d)] for d in domain], int), len(self.names)) if len(self.names) > 1 else None
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
         if self.w is None:
@@ -111,7 +116,7 @@ def fit_rates(weighted: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
 
     steps: list[np.ndarray] = []
     weigh = None
-    for _ in range(STEPS):
+    while True:
         got = sums(steps, weigh is None)
         total = got[0]
         if not total:
@@ -121,6 +126,9 @@ def fit_rates(weighted: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
         error = got[1 : 1 + d] / total - targets
         if np.abs(error).max() < CLOSE:
             break
+        if len(steps) == STEPS:
+            log.warning("mixing: largest residual %.2g of the tokens after %d steps, above %g", np.abs(error).max(), STEPS, CLOSE)
+            break
         steps.append(weigh @ error)
     return steps
 
@@ -141,6 +149,17 @@ def _target_vector(model: Domains, targets: dict[str, float]) -> np.ndarray:
     return t / t.sum() if t.sum() > 0 else np.full(len(t), 1 / max(1, len(t)))
 
 
+def _check_targets(docs: DataFrame, model: Domains, targets: dict[str, float], domain: str) -> None:
+    """Refuse targets of domains that documents have and the model does not know; warn of those that no document has."""
+    missing = sorted(n for n, t in targets.items() if t > 0 and n not in model.names)
+    if not missing or len(model.names) < 2:
+        return
+    there = sorted(r[0] for r in docs.select(F.col(domain).cast("string")).filter(F.col(domain).cast("string").isin(missing)).distinct().collect())
+    if there:
+        raise ValueError(f"targets for {there}, of which the sample of labelled documents has none: label some, or draw a larger sample")
+    log.warning("mixing: no document has %s, whose targets are left short", missing)
+
+
 def _posteriors(docs: DataFrame, model: Domains) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -154,6 +173,7 @@ def _posteriors(docs: DataFrame, model: Domains) -> DataFrame:
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang", sample: int = SAMPLE, seed: int = 0) -> DataFrame:
     """doc_id, domain (the likeliest), posterior (its probability), tokens, rate, copies for each row of docs."""
     model = fit_domains(docs, labels, domain, sample)
+    _check_targets(docs, model, targets, domain)
     rows = materialise(_posteriors(docs, model), "posteriors")
     steps = fit_rates(rows, _target_vector(model, targets)) if len(model.names) > 1 else []
 
@@ -171,6 +191,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang", sample: int = SAMPLE, seed: int = 0) -> DataFrame:
     """The rows of docs, with their columns, each as often as its copies. Texts are read twice and not shuffled."""
     model = fit_domains(docs, labels, domain, sample)
+    _check_targets(docs, model, targets, domain)
     rows = materialise(_posteriors(docs, model).select("tokens", "p"), "posteriors")
     steps = fit_rates(rows, _target_vector(model, targets)) if len(model.names) > 1 else []
     shared = docs.sparkSession.sparkContext.broadcast((model, steps))

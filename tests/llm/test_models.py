@@ -161,6 +161,36 @@ def test_targets_are_met(spark, mid):
     assert Counter(r.doc_id for r in mixing.mix(docs, labels).collect()) == Counter({r.doc_id: r.copies for r in rows if r.copies})
 
 
+def test_no_domain_is_dropped():
+    domain = [f"d{i % 70:02}" for i in range(700)]
+    x = np.zeros((700, 256))
+    x[np.arange(700), [int(d[1:]) for d in domain]] = 1
+    model = mixing.Domains(x, domain)
+    assert model.names == sorted(set(domain)) and [model.names[i] for i in model.posterior(x).argmax(1)] == domain
+    t = mixing._target_vector(model, dict.fromkeys(model.names, 1 / 70))
+    assert np.allclose(t, 1 / 70)
+
+
+def test_targets_outside_the_sample(spark, docs, caplog):
+    rows = docs([(i, f"{'aei ' if i % 3 == 0 else 'xyz ' if i % 3 == 1 else 'mno '}" * 9, ("a", "b", "c")[i % 3], None, 9) for i in range(30)])
+    some = spark.createDataFrame([(i, 1, 0) for i in range(30) if i % 3 < 2], "doc_id long, quality int, toxic int")
+    for f in (mixing.mixing_rates, mixing.mix):
+        with pytest.raises(ValueError, match="'c'"):
+            f(rows, some, {"a": 0.5, "b": 0.3, "c": 0.2})
+    with caplog.at_level("WARNING", mixing.__name__):
+        assert mixing.mixing_rates(rows, some, {"a": 0.5, "b": 0.3, "none": 0.2}).count() == 30
+    assert "'none'" in caplog.text
+
+
+def test_residual_is_reported(spark, caplog):
+    rows = spark.createDataFrame([(10, [0.6, 0.4]), (10, [0.4, 0.6])], "tokens long, p array<double>")
+    with caplog.at_level("WARNING", mixing.__name__):
+        steps = mixing.fit_rates(rows, np.array([0.5, 0.5]))
+        assert len(steps) < mixing.STEPS and not caplog.text
+        steps = mixing.fit_rates(rows, np.array([1.0, 0.0]))
+    assert len(steps) == mixing.STEPS and "largest residual" in caplog.text
+
+
 def test_rates_stay_nonnegative(spark):
     r = np.random.default_rng(1)
     p = r.dirichlet([0.2, 0.2, 0.2], 500)
