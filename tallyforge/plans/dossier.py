@@ -32,6 +32,12 @@ def doc_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.split_feed(feeds, "feed").select("name", F.regexp_replace("body", r"^\n+", "").alias("body"))
 
 
+@book.query("SELECT conv_id::VARCHAR AS name, coalesce(trim(string_agg('[' || turn || '] ' || role || ': ' || text, chr(10) ORDER BY turn) FILTER (role <> 'system')), '') AS body FROM conversations GROUP BY conv_id")
+def doc_split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feeds of feed_assembly, with whole texts, split. A marker within a text begins a document, too; the SQL's texts have none."""
+    return O.split_feed(feed_assembly(spark, sf_dir), "feed").select("name", F.regexp_replace("body", r"^\n+", "").alias("body"))
+
+
 @book.query(
     f"""WITH f AS (SELECT doc_id, unnest([{quoted(FIELDS)}]) AS field, quality, toxic FROM labels) SELECT doc_id, field, CASE field WHEN 'company_name' THEN quality::VARCHAR WHEN 'revenue' THEN toxic::VARCHAR END AS value FROM f"""
 )

@@ -96,6 +96,15 @@ def test_feed_keeps_header_of_discarded_documents(spark):
     assert [(r.name, r.body.strip()) for r in parts] == [("d1", "a\nb"), ("d2", "")]
 
 
+def test_whole_texts_are_split(spark, tmp_path):
+    from tallyforge.plans import catalogue
+
+    rows = [(1, 0, "system", "left out"), (1, 1, "user", "two\n\nlines "), (1, 2, "assistant", "see\n# Document: other\nits text"), (2, 0, "system", "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.name, r.body.strip()) for r in catalogue.QUERIES["doc_split_texts"](spark, str(tmp_path)).collect()}
+    assert got == {("1", "[1] user: two\n\nlines \n[2] assistant: see"), ("other", "its text"), ("2", "")}
+
+
 def test_windows_match_batch(spark, sf, tmp_path):
     from tallyforge.streaming.recency import windowed_counts
 
