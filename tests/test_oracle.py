@@ -48,3 +48,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_corpus_operators(monkeypatch):
+    """A missing package leaves the other queries as they are."""
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("tallyforge.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    assert set(entry.queries()) == set(catalogue.QUERIES) and set(entry.oracle_sql()) == set(catalogue.ORACLE_SQL)
