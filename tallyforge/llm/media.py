@@ -1,12 +1,13 @@
 """Media columns: payloads as lossless 8-bit images in archives, and a data source that reads them in byte ranges.
 
-Writing: each task writes ZIP archives of PNG members (grey, 8 bits, 64 samples a row) to the shared folder under a
-name of its own and moves them into place, so a repeated task replaces what a lost one left.
+Writing: each attempt of a task writes ZIP archives of PNG members (grey, 8 bits, 64 samples a row) to the shared
+folder under names of its own, and the job commits a table of them; what a lost attempt left is not in it.
 
-Reading: ``ArchiveMedia`` is a Spark data source over a folder of archives. The driver only lists files and their
-sizes and plans byte ranges; each task reads the archive's directory, takes the members whose header lies in its
-range, and streams them as Arrow batches of bounded size. A member is read by its offset, checked against the
-directory's CRC, and retried alone; one that stays unreadable comes as a row with an error, not as a failed job.
+Reading: ``ArchiveMedia`` is a Spark data source over a folder of archives. The driver only reads that table (one row
+an archive; without it, it lists the files) and plans byte ranges; each task reads the archive's directory, takes the members
+whose header lies in its range, and streams them as Arrow batches of bounded size, through one handle. A member is read
+by its offset, checked against the directory's CRC, and retried alone, on a new handle; one that stays unreadable comes as
+a row with an error, not as a failed job.
 
 Cases: null and empty texts give one row of 64 zero samples; texts of any length are stored whole; null doc_ids
 come back null; repeated rows are members of their own; an empty table gives no rows; other columns are ignored.
@@ -14,25 +15,31 @@ come back null; repeated rows are members of their own; an empty table gives no
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
+import urllib.parse
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from tallyforge.llm.common import doc_text, new_dir
+from tallyforge.llm.common import doc_text, kind_of, modest_batches, new_dir
 
 WIDTH = 64
 #: Bytes of an archive before a task begins the next one; bytes of a read partition; bytes of an Arrow batch.
-ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 256 << 20, 32 << 20, 4 << 20
+ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 256 << 20, 128 << 20, 4 << 20
+#: The table of the archives that a write job has committed, in their folder.
+LISTED = "archives"
 RETRIES = 3
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -109,20 +116,21 @@ def _open(where: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _Archives:
-    """The archives that one task writes."""
+    """The archives that one attempt of a task writes, under names of its own."""
 
     def __init__(self, where: str, part: int, most: int):
         self.fs, self.root = _open(where)
-        self.part, self.most, self.n, self.zip = part, most, 0, None
+        self.part, self.attempt, self.most, self.zip = part, uuid.uuid4().hex, most, None
+        self.done: list[tuple[str, int, int]] = []
 
     def add(self, name: str, media: bytes) -> None:
         if self.zip is None:
-            self.temp, self.size = f"{self.root}/_writing-{uuid.uuid4().hex}", 0
-            self.stream = self.fs.open_output_stream(self.temp)
+            self.name, self.size, self.members = f"part-{self.part:06d}-{len(self.done):04d}-{self.attempt}.zip", 0, 0
+            self.stream = self.fs.open_output_stream(f"{self.root}/{self.name}")
             self.zip = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_STORED)
-        info = zipfile.ZipInfo(name)
-        self.zip.writestr(info, media)
+        self.zip.writestr(zipfile.ZipInfo(name), media)
         self.size += len(media)
+        self.members += 1
         if self.size >= self.most:
             self.close()
 
@@ -131,12 +139,24 @@ class _Archives:
             return
         self.zip.close()
         self.stream.close()
-        self.fs.move(self.temp, f"{self.root}/part-{self.part:06d}-{self.n:04d}.zip")
-        self.zip, self.n = None, self.n + 1
+        self.done.append((self.name, self.fs.get_file_info(f"{self.root}/{self.name}").size, self.members))
+        self.zip = None
+
+
+def member_name(k: int, doc_id) -> str:
+    """A member's name: its place in the task, and its row's id, quoted (nothing after the place: null)."""
+    return f"{k:09d}.png" if doc_id is None else f"{k:09d}_{urllib.parse.quote(str(doc_id), safe='')}.png"
+
+
+def member_id(name: str) -> str | None:
+    return urllib.parse.unquote(name[10:-4]) if name[9] == "_" else None
 
 
 def write_archives(docs: DataFrame, where: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Store the padded text of every row as a member of an archive in that folder (an action)."""
+    """Store the padded text of every row as a member of an archive in that folder (an action).
+
+    What attempts of tasks have written counts only by the list in LISTED, which Spark commits with the job.
+    """
     fs, root = _open(where)
     fs.create_dir(root)
 
@@ -145,14 +165,15 @@ def write_archives(docs: DataFrame, where: str, archive_bytes: int = ARCHIVE_BYT
 
         out, k = _Archives(where, TaskContext.get().partitionId(), archive_bytes), 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = text.as_buffer().to_pybytes()
-                out.add(f"{k:09d}_{'' if doc_id.as_py() is None else doc_id.as_py()}.png", encode_png(pad(data), len(data)))
+                out.add(member_name(k, doc_id), encode_png(pad(data), len(data)))
                 k += 1
         out.close()
-        yield pa.record_batch([pa.array([k], pa.int64())], ["members"])
+        names, sizes, members = zip(*out.done, strict=True) if out.done else ((), (), ())
+        yield pa.record_batch([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(members, pa.int64())], ["archive", "bytes", "members"])
 
-    doc_text(docs).mapInArrow(write, "members long").write.format("noop").mode("overwrite").save()
+    doc_text(modest_batches(docs)).mapInArrow(write, "archive string, bytes long, members long").write.mode("overwrite").parquet(f"{where}/{LISTED}")
 
 
 # ---- the data source -------------------------------------------------------------------
@@ -186,48 +207,71 @@ class ArchiveReader(DataSourceReader):
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.retries = int(options.get("retries", RETRIES))
 
-    def partitions(self) -> list[InputPartition]:
+    def archives(self) -> list[tuple[str, int]]:
+        """Paths and sizes: as listed by the job that wrote them, or, in a folder of other origin, of all ZIP files."""
         fs, root = _open(self.where)
-        found = [f for f in fs.get_file_info(pafs.FileSelector(root)) if f.is_file and f.path.endswith(".zip")]
-        return [Range(f.path, at, min(at + self.range_bytes, f.size)) for f in sorted(found, key=lambda f: f.path) for at in range(0, f.size, self.range_bytes)] or [Range("", 0, 0)]
+        if fs.get_file_info(f"{root}/{LISTED}").type == pafs.FileType.Directory:
+            rows = pq.read_table(f"{root}/{LISTED}", filesystem=fs, columns=["archive", "bytes"])
+            return [(f"{root}/{a}", n) for a, n in zip(rows["archive"].to_pylist(), rows["bytes"].to_pylist(), strict=True)]
+        return [(f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(root)) if f.is_file and f.path.endswith(".zip")]
+
+    def partitions(self) -> list[InputPartition]:
+        return [Range(path, at, min(at + self.range_bytes, size)) for path, size in sorted(self.archives()) for at in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if not part.archive:
             return
         fs, _ = _open(self.where)
-        with fs.open_input_file(part.archive) as f, zipfile.ZipFile(f) as directory:
+        archive = Archive(lambda: fs.open_input_file(part.archive))
+        with archive.file() as f, zipfile.ZipFile(f) as directory:
             members = sorted((m for m in directory.infolist() if part.start <= m.header_offset < part.end), key=lambda m: m.header_offset)
         rows: list[tuple] = []
         size = 0
         for m in members:
-            media, attempts, error = read_member(lambda: fs.open_input_file(part.archive), m.header_offset, m.compress_size, m.CRC, self.retries)
+            media, attempts, error = archive.member(m.header_offset, m.compress_size, m.CRC, self.retries)
             rows.append((part.archive, m.header_offset, m.filename, media, attempts, error))
             size += len(media or b"")
             if size >= BATCH_BYTES:
                 yield _rows(rows)
                 rows, size = [], 0
+        archive.close()
         if rows:
             yield _rows(rows)
 
 
-def read_member(open_archive, offset: int, size: int, crc: int, retries: int = RETRIES) -> tuple[bytes | None, int, str | None]:
-    """A stored member's bytes by its header's offset; how many attempts it took; the last error if none succeeded."""
-    error = None
-    for attempt in range(1, retries + 2):
-        try:
-            with open_archive() as f:
+class Archive:
+    """An archive that is read by offset through one handle, opened anew after an error only."""
+
+    def __init__(self, open_file: Callable):
+        self.file, self.handle = open_file, None
+
+    def member(self, offset: int, size: int, crc: int, retries: int = RETRIES) -> tuple[bytes | None, int, str | None]:
+        """A stored member's bytes by its header's offset; how many attempts it took; the last error if none succeeded."""
+        error = None
+        for attempt in range(1, retries + 2):
+            try:
+                if self.handle is None:
+                    self.handle = self.file()
+                f = self.handle
                 f.seek(offset)
                 head = f.read(30)
                 if head[:4] != b"PK\x03\x04":
                     raise ValueError("no member header at the offset")
                 f.seek(offset + 30 + sum(struct.unpack("<HH", head[26:30])))
                 media = f.read(size)
-            if len(media) != size or zlib.crc32(media) != crc:
-                raise ValueError("the member's bytes do not match the directory")
-            return media, attempt, None
-        except (OSError, ValueError) as e:
-            error = f"{type(e).__name__}: {e}"[:300]
-    return None, retries + 1, error
+                if len(media) != size or zlib.crc32(media) != crc:
+                    raise ValueError("the member's bytes do not match the directory")
+                return media, attempt, None
+            except (OSError, ValueError) as e:
+                error = f"{type(e).__name__}: {e}"[:300]
+                self.close()
+        return None, retries + 1, error
+
+    def close(self) -> None:
+        if self.handle is not None:
+            with contextlib.suppress(OSError):
+                self.handle.close()
+            self.handle = None
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -241,27 +285,27 @@ def read_archives(spark: SparkSession, where: str, range_bytes: int = RANGE_BYTE
     return spark.read.format("archive_media").option("path", where).option("range_bytes", range_bytes).option("retries", retries).load()
 
 
-def media_digest(media: DataFrame) -> DataFrame:
-    """Of each member read: doc_id, lengths, hashes and the feature of its samples; error where it could not be read."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+def media_digest(media: DataFrame, kind: str = "bigint") -> DataFrame:
+    """Of each member read: doc_id (of the given type), lengths, hashes and the feature of its samples; error where it
+    could not be read."""
+    schema = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for member, media, error in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                name = member[10:-4]
-                doc_id = int(name) if name else None
+                doc_id = member_id(member)
                 if error is None:
                     raw = media.as_buffer().to_pybytes()
                     payload, n = decode_png(raw)
                     out.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), sample_feature(payload), None))
                 else:
                     out.append((doc_id, None, None, None, None, None, None, None, error))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             columns = list(zip(*out, strict=True)) if out else [()] * 9
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
 
-    return media.select("member", "media", "error").mapInArrow(work, schema)
+    return media.select("member", "media", "error").mapInArrow(work, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def store_and_digest(docs: DataFrame) -> DataFrame:
@@ -269,4 +313,4 @@ def store_and_digest(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     where = qualified(spark, new_dir(spark, "media"))
     write_archives(docs, where)
-    return media_digest(read_archives(spark, where))
+    return media_digest(read_archives(spark, where), kind_of(docs, "doc_id"))

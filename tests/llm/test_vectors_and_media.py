@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -96,9 +98,40 @@ def test_members_are_retried_alone(tmp_path):
             raise OSError("lost")
         return open(tmp_path / "a.zip", "rb")
 
-    assert media.read_member(flaky, infos[1].header_offset, infos[1].compress_size, infos[1].CRC) == (b"second", 3, None)
-    data, attempts, error = media.read_member(lambda: open(tmp_path / "a.zip", "rb"), infos[0].header_offset, infos[0].compress_size, 1, retries=1)
+    archive = media.Archive(flaky)
+    assert archive.member(infos[1].header_offset, infos[1].compress_size, infos[1].CRC) == (b"second", 3, None)
+    assert archive.member(infos[0].header_offset, infos[0].compress_size, infos[0].CRC) == (b"first", 1, None) and len(calls) == 3
+    data, attempts, error = archive.member(infos[0].header_offset, infos[0].compress_size, 1, retries=1)
     assert data is None and attempts == 2 and "directory" in error
+    assert archive.member(infos[0].header_offset, infos[0].compress_size, infos[0].CRC) == (b"first", 1, None)
+
+
+def test_archives_of_lost_attempts_do_not_count(spark, docs, tmp_path):
+    rows = docs([(i, f"text {i}", "en", "s", 0) for i in range(20)])
+    where = f"file://{tmp_path}/a"
+    media.write_archives(rows, where)
+    first = next(p for p in (tmp_path / "a").iterdir() if p.suffix == ".zip")
+    (tmp_path / "a" / "part-000000-0000-lost.zip").write_bytes(first.read_bytes()[:-30])
+    got = media.read_archives(spark, where).collect()
+    assert sorted(int(media.member_id(r.member)) for r in got) == list(range(20)) and not any(r.error for r in got)
+
+
+def test_features_equal_plain_statistics(spark, odd_text_ids):
+    got = {r.doc_id: r for r in media.store_and_digest(odd_text_ids).collect()}
+    assert set(got) == {r.doc_id for r in odd_text_ids.collect()}
+    for r in odd_text_ids.collect():
+        data = (r.text or "").encode()
+        x = list(data + b"\0" * ((-len(data)) % 64 or (0 if data else 64)))
+        n = len(x)
+        mean = sum(x) / n
+        sd = math.sqrt(sum((v - mean) ** 2 for v in x) / n)
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(x).values())
+        own = dict(part.split("=") for part in got[r.doc_id].feature.split(";"))
+        assert int(own["rows"]) == n // 64 and all(abs(float(own[k]) - v) < 2e-4 for k, v in (("mean", mean), ("sd", sd), ("zero", x.count(0) / n), ("high", sum(v > 127 for v in x) / n), ("entropy", abs(entropy))))
+        lines = zlib.compress(b"".join(b"\0" + bytes(x[i : i + 64]) for i in range(0, n, 64)), 1)
+        chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (64).to_bytes(4, "big") + (n // 64).to_bytes(4, "big") + b"\x08\0\0\0\0") + chunk(b"nbYt", len(data).to_bytes(8, "big")) + chunk(b"IDAT", lines) + chunk(b"IEND", b"")
+        assert (got[r.doc_id].media_bytes, got[r.doc_id].media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
 
 
 THREAD = [
