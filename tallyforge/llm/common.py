@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import sys
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,18 +35,40 @@ def modest_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def doc_text(docs: DataFrame, *more: str) -> DataFrame:
+def doc_text(docs: DataFrame) -> DataFrame:
     """doc_id and text (null: empty), and nothing else that could clash with what an operator adds."""
-    return modest_batches(docs).select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    """The type of a column, as schema strings name it."""
+    return df.select(column).schema[0].dataType.simpleString()
+
+
+# ---- columns that are passed on --------------------------------------------------------
+
+
+def numbered(names: Iterable[str]) -> list[Column]:
+    """Columns under the names c0, c1, ..., which clash with nothing, whatever they are called outside."""
+    return [F.col("`" + n.replace("`", "``") + "`").alias(f"c{i}") for i, n in enumerate(names)]
+
+
+def renamed(names: Iterable[str]) -> list[Column]:
+    """Numbered columns under their own names again."""
+    return [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
 
 
 # ---- storage that all executors share --------------------------------------------------
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of its own only where that is unset (tests, one machine)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary folder if Spark runs on this machine alone
+    (tests); on a cluster an error, as executors would each write to a disk of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: on {master} it must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", where)
         atexit.register(_remove, where)
@@ -57,8 +81,51 @@ def _remove(where: str) -> None:
     shutil.rmtree(where.removeprefix("file://"), ignore_errors=True)
 
 
+#: Folders handed out by new_dir inside of `scratch`, by nesting; for each thread.
+_open = threading.local()
+_apps: set[str] = set()
+
+
+def _path(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tallyforge/{label}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one. What is left of an application's folders goes when its driver ends."""
+    app = f"{shared_dir(spark)}/tallyforge-{spark.sparkContext.applicationId}"
+    if app not in _apps:
+        fs, path = _path(spark, app)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _apps.add(app)
+    at = f"{app}/{label}-{uuid.uuid4().hex}"
+    if getattr(_open, "made", None):
+        _open.made[-1].append(at)
+    return at
+
+
+def remove_dir(spark: SparkSession, where: str) -> None:
+    fs, path = _path(spark, where)
+    fs.delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Deletes at its end the folders made inside, but for those of the materialised tables given to what it yields."""
+    kept: set[str] = set()
+    if not hasattr(_open, "made"):
+        _open.made = []
+    _open.made.append([])
+    try:
+        yield lambda *tables: kept.update(filter(None, map(_folder, tables)))
+    finally:
+        made = _open.made.pop()
+        for where in made:
+            if where not in kept:
+                remove_dir(spark, where)
+        if _open.made:
+            _open.made[-1].extend(w for w in made if w in kept)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -66,16 +133,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     at = new_dir(spark, label)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._tallyforge_folder = at
+    return out
+
+
+def _folder(df: DataFrame) -> str | None:
+    return getattr(df, "_tallyforge_folder", None)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
+def discard(df: DataFrame) -> None:
     """Drop the files of a materialised table that nothing reads any more."""
-    jvm, gateway = spark._jvm, spark._jsc
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tallyforge/" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(gateway.hadoopConfiguration()).delete(path, True)
+    where = _folder(df)
+    if where:
+        remove_dir(df.sparkSession, where)
 
 
 def broadcast_if_small(side: DataFrame, rows: int, most: int) -> DataFrame:

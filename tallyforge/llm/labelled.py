@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import modest_batches
+from tallyforge.llm.common import materialise, modest_batches
 
 #: Labelled rows that a classifier is fitted on at most (a parameter of each fit).
 SAMPLE = 8000
+#: Bytes of their texts together at most (a parameter too): what a fit sends to the driver grows with these bytes.
+SAMPLE_BYTES = 48 << 20
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
@@ -17,18 +19,32 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)).cast("int")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE, where: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, target (0/1) and more of up to `rows` labelled documents, the first by a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE, where: Column | None = None, more: tuple[str, ...] = (), most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, text, target (0/1) and more of up to `rows` labelled documents, the first by a hash of doc_id, of up to
+    `most_bytes` bytes of text together: a text that would go beyond is left out whole, and the next ones are tried.
 
     Labels that are null, or neither 0 nor 1, and rows without a doc_id are left out; of repeated labels the
-    largest holds. The drawn ids are at most `rows`, so their side of the join is broadcast with a proven bound.
+    largest holds; documents that repeat an id and a text count once. The drawn ids are at most `rows`, so their side of
+    the join is broadcast with a proven bound. The sample is a table in the shared folder, which the caller's scratch deletes.
     """
     own = labels.select(F.col("doc_id"), F.col(target).cast("int").alias("target")).filter(F.col("doc_id").isNotNull() & F.col("target").isin(0, 1))
     if where is not None:
         own = own.filter(where)
     drawn = own.groupBy("doc_id").agg(F.max("target").alias("target")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     shaped = modest_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
-    return shaped.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "target", *more)
+    found = shaped.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "target", *more, F.xxhash64("doc_id", "text").alias("_row"), F.octet_length("text").alias("_bytes"))
+    found = materialise(found, "sample")
+    sizes = found.groupBy(F.xxhash64("doc_id").alias("at"), "_row").agg(F.min("_bytes").alias("n"), F.count("*").alias("times")).orderBy("at", "_row").limit(rows).collect()
+    taken, left = [], most_bytes
+    for r in sizes:
+        if r.n <= left:
+            taken.append(r._row)
+            left -= r.n
+    if len(taken) < len(sizes) or len(sizes) == rows:
+        found = found.filter(F.col("_row").isin(taken))
+    if any(r.times > 1 for r in sizes):
+        found = found.dropDuplicates(["_row"])
+    return found.select("doc_id", "text", "target", *more)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, classes: int = 2, ridge: float = 1.0, steps: int = 300, rate: float = 0.5) -> np.ndarray:

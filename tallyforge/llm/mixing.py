@@ -4,8 +4,8 @@ A softmax regression on byte frequencies, fitted on at most `sample` rows that t
 document a posterior over domains (the languages of those rows). Rates r >= 0 are then fitted so that the expected
 tokens of each domain, sum of r * tokens * posterior, meet the target weights times the corpus total: projected
 gradient on least squares, with the residuals weighed by the inverse second moments of the posteriors, from r = 1.
-All domains of the sample are told apart. Where the largest residual is not below CLOSE after STEPS steps, a warning
-gives it.
+All domains of the sample are told apart. The largest residual is returned; where it is not below CLOSE after STEPS
+steps, a warning gives it, too.
 
 The fit is distributed and keeps no state by document: a document's rate follows from its posterior and the residuals
 of the earlier steps, so each step is one pass that replays them and sums one number for each domain. A lost executor
@@ -27,10 +27,12 @@ import logging
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyforge.llm.common import LOWER, SPACE, arrow_map, materialise, mix as mix_bits, modest_batches, text_buffers
+from tallyforge.llm.common import LOWER, SPACE, arrow_map, doc_text, kind_of, materialise, mix as mix_bits, modest_batches, numbered, renamed, scratch, text_buffers
 from tallyforge.llm.labelled import SAMPLE, fit_logistic, labelled_sample, softmax
 
 #: Target weights of the registered query.
@@ -77,8 +79,10 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = "lang", sample
         return pa.record_batch([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], ["id", "x", "domain"])
 
     any_label = labels.select("doc_id", F.lit(1).alias("target"))
-    drawn = labelled_sample(docs, any_label, "target", sample, None, (domain,)).select(F.col("doc_id").cast("string").alias("id"), "text", F.col(domain).cast("string").alias("domain")).filter("domain IS NOT NULL")
-    got = drawn.mapInArrow(arrow_map(work), "id string, x array<double>, domain string").toPandas().sort_values("id", kind="stable")
+    with scratch(docs.sparkSession):
+        shaped = docs.select("doc_id", "text", F.col(domain).cast("string").alias("domain"))
+        drawn = labelled_sample(shaped, any_label, "target", sample, None, ("domain",)).select(F.col("doc_id").cast("string").alias("id"), "text", "domain").filter("domain IS NOT NULL")
+        got = drawn.mapInArrow(arrow_map(work), "id string, x array<double>, domain string").toPandas().sort_values("id", kind="stable")
     return Domains(np.array(got.x.tolist(), float).reshape(len(got), 256), got.domain.tolist())
 
 
@@ -90,8 +94,9 @@ def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def fit_rates(weighted: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
-    """The steps of the fit. weighted: tokens (long) and p (array of double) of each document."""
+def fit_rates(weighted: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """The steps of the fit, and the largest residual after them (as a share of all tokens). weighted: tokens (long)
+    and p (array of double) of each document."""
     d = len(targets)
 
     def sums(steps: list[np.ndarray], moments: bool) -> np.ndarray:
@@ -120,17 +125,17 @@ def fit_rates(weighted: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
         got = sums(steps, weigh is None)
         total = got[0]
         if not total:
-            break
+            return steps, 0.0
         if weigh is None:
             weigh = np.linalg.pinv(got[1 + d :].reshape(d, d) / total + 1e-9 * np.eye(d))
         error = got[1 : 1 + d] / total - targets
-        if np.abs(error).max() < CLOSE:
-            break
+        residual = float(np.abs(error).max())
+        if residual < CLOSE:
+            return steps, residual
         if len(steps) == STEPS:
-            log.warning("mixing: largest residual %.2g of the tokens after %d steps, above %g", np.abs(error).max(), STEPS, CLOSE)
-            break
+            log.warning("mixing: largest residual %.2g of the tokens after %d steps, above %g", residual, STEPS, CLOSE)
+            return steps, residual
         steps.append(weigh @ error)
-    return steps
 
 
 def copies(rate: np.ndarray, ids: pa.Array, seed: int = 0) -> np.ndarray:
@@ -141,7 +146,9 @@ def copies(rate: np.ndarray, ids: pa.Array, seed: int = 0) -> np.ndarray:
 
 
 def hash_id(i, seed: int) -> int:
-    return ((hash(int(i)) if i is not None else 0x5BD1E995) * 0x9E3779B97F4A7C15 + seed * 0xD6E8FEB86659FD93 + 1) % (1 << 64)
+    """A 64-bit key of an id: of its value where it is a whole number, of its text otherwise; nulls share one."""
+    own = 0x5BD1E995 if i is None else hash(i) if isinstance(i, int) else xxhash.xxh64_intdigest(str(i))
+    return (own * 0x9E3779B97F4A7C15 + seed * 0xD6E8FEB86659FD93 + 1) % (1 << 64)
 
 
 def _target_vector(model: Domains, targets: dict[str, float]) -> np.ndarray:
@@ -167,15 +174,16 @@ def _posteriors(docs: DataFrame, model: Domains) -> DataFrame:
         x, tokens = features(batch.column(1))
         return pa.record_batch([batch.column(0), pa.array(tokens.astype(np.int64)), pa.array(list(shared.value.posterior(x)), pa.list_(pa.float64()))], ["doc_id", "tokens", "p"])
 
-    return modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(arrow_map(work), "doc_id long, tokens long, p array<double>")
+    return doc_text(modest_batches(docs)).mapInArrow(arrow_map(work), f"doc_id {kind_of(docs, 'doc_id')}, tokens long, p array<double>")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang", sample: int = SAMPLE, seed: int = 0) -> DataFrame:
-    """doc_id, domain (the likeliest), posterior (its probability), tokens, rate, copies for each row of docs."""
+    """doc_id, domain (the likeliest), posterior (its probability), tokens, rate, copies for each row of docs, and
+    residual: by how much the totals miss the targets at most, as a share of all tokens (the same in each row)."""
     model = fit_domains(docs, labels, domain, sample)
     _check_targets(docs, model, targets, domain)
     rows = materialise(_posteriors(docs, model), "posteriors")
-    steps = fit_rates(rows, _target_vector(model, targets)) if len(model.names) > 1 else []
+    steps, residual = fit_rates(rows, _target_vector(model, targets)) if len(model.names) > 1 else ([], 0.0)
 
     def work(batches):
         for batch in batches:
@@ -183,27 +191,29 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
             r = rates(p, steps) if steps else np.ones(len(p))
             r = np.where(batch.column(1).to_numpy() > 0, r, 1.0)
             names = np.array(model.names or [None], dtype=object)[p.argmax(1)] if len(p) else []
-            yield pa.record_batch([batch.column(0), pa.array(list(names), pa.string()), pa.array(p.max(1, initial=0)), batch.column(1), pa.array(np.round(r, 6)), pa.array(copies(r, batch.column(0), seed))], ["doc_id", "domain", "posterior", "tokens", "rate", "copies"])
+            out = [batch.column(0), pa.array(list(names), pa.string()), pa.array(p.max(1, initial=0)), batch.column(1), pa.array(np.round(r, 6)), pa.array(copies(r, batch.column(0), seed)), pa.array(np.full(len(r), residual))]
+            yield pa.record_batch(out, ["doc_id", "domain", "posterior", "tokens", "rate", "copies", "residual"])
 
-    return rows.mapInArrow(work, "doc_id long, domain string, posterior double, tokens long, rate double, copies long")
+    return rows.mapInArrow(work, f"doc_id {kind_of(docs, 'doc_id')}, domain string, posterior double, tokens long, rate double, copies long, residual double")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang", sample: int = SAMPLE, seed: int = 0) -> DataFrame:
     """The rows of docs, with their columns, each as often as its copies. Texts are read twice and not shuffled."""
     model = fit_domains(docs, labels, domain, sample)
     _check_targets(docs, model, targets, domain)
-    rows = materialise(_posteriors(docs, model).select("tokens", "p"), "posteriors")
-    steps = fit_rates(rows, _target_vector(model, targets)) if len(model.names) > 1 else []
+    with scratch(docs.sparkSession):
+        rows = materialise(_posteriors(docs, model).select("tokens", "p"), "posteriors")
+        steps, _ = fit_rates(rows, _target_vector(model, targets)) if len(model.names) > 1 else ([], 0.0)
     shared = docs.sparkSession.sparkContext.broadcast((model, steps))
     names = docs.columns
-    shaped = docs.select(*names, F.coalesce("text", F.lit("")).alias("_text"), F.col("doc_id").cast("long").alias("_id"))
-    schema = docs.select(*names).schema.add("_copies", "long")
+    shaped = modest_batches(docs).select(*numbered(names), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("key"))
+    schema = T.StructType([*shaped.schema.fields[:-2], T.StructField("copies", T.LongType())])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model, steps = shared.value
         x, tokens = features(batch.column(len(names)))
         r = np.where(tokens > 0, rates(model.posterior(x), steps), 1.0) if steps else np.ones(len(x))
-        return pa.record_batch([*batch.columns[: len(names)], pa.array(copies(r, batch.column(len(names) + 1), seed))], [*names, "_copies"])
+        return pa.record_batch([*batch.columns[: len(names)], pa.array(copies(r, batch.column(len(names) + 1), seed))], schema.names)
 
-    out = shaped.mapInArrow(arrow_map(work), schema).filter("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*names)
+    out = shaped.mapInArrow(arrow_map(work), schema).filter("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*renamed(names))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACE, arrow_map, broadcast_if_small, discard, materialise, mix, modest_batches, words_of
+from tallyforge.llm.common import SPACE, arrow_map, broadcast_if_small, discard, doc_text, kind_of, materialise, mix, modest_batches, numbered, renamed, scratch, words_of
 
 REGISTERS, BANDS, ROWS = 256, 64, 6
 #: Bits of a register's mantissa; the leading-zero count has the other 5 of 16.
@@ -151,11 +151,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             ["doc_id", "h", "n_shingles", "node", "regs"],
         )
 
-    return _shaped(docs).withColumn("h", F.xxhash64("text")).mapInArrow(arrow_map(work, 4 << 20), "doc_id long, h long, n_shingles long, node long, regs binary")
-
-
-def _shaped(docs: DataFrame) -> DataFrame:
-    return modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return doc_text(modest_batches(docs)).withColumn("h", F.xxhash64("text")).mapInArrow(arrow_map(work, 4 << 20), f"doc_id {kind_of(docs, 'doc_id')}, h long, n_shingles long, node long, regs binary")
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -163,7 +159,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int)
     n = nodes.count()
     wanted = classes.select("node", "first_id").join(broadcast_if_small(nodes, n, BROADCAST_IDS), "node", "left_semi")
     wanted = broadcast_if_small(wanted, n, BROADCAST_IDS)
-    rows = _shaped(docs).join(wanted, F.col("doc_id") == F.col("first_id")).select("node", "text")
+    rows = doc_text(modest_batches(docs)).join(wanted, F.col("doc_id") == F.col("first_id")).select("node", "text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         kept = [(n, _signed(s)) for n, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True) if len(s) and _set_key(s) == n]
@@ -199,7 +195,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     links = materialise(both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b"), "links")
-    discard(docs.sparkSession, sets)
+    discard(sets)
     return links
 
 
@@ -248,7 +244,7 @@ def components(links: DataFrame, label: str = "components", one_task: int = ONE_
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         new = materialise(small, label)
         found = new.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first()
-        discard(spark, edges)
+        discard(edges)
         edges = new
         if tuple(found) == digest or not found[0]:
             break
@@ -370,10 +366,25 @@ def block_links(node: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndar
 
 
 def linked_components(docs: DataFrame, size: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, h, n_shingles, node) of docs, and node, component_id for the classes in components of more than one."""
-    spark = docs.sparkSession
-    rows = materialise(sketches(docs, size), "sketches")
-    classes = materialise(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("regs").alias("regs")), "classes")
+    """Rows (doc_id, h, n_shingles, node) of docs, and node, component_id of their classes, as tables in the shared folder."""
+    with scratch(docs.sparkSession) as keep:
+        rows = materialise(sketches(docs, size), "sketches")
+        classes = materialise(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("regs").alias("regs")), "classes")
+        comps = _linked(docs, classes, size, percent)
+        if comps is None:
+            members = classes.select("node", F.col("first_id").alias("component_id"))
+            keep(rows, classes)
+        else:
+            # components are named by nodes so far; their smallest doc_id names them from here
+            first = classes.select("node", "first_id").join(comps, "node")
+            smallest = first.join(first.groupBy("comp").agg(F.min("first_id").alias("component_id")), "comp").select("node", "component_id")
+            members = materialise(classes.select("node", "first_id").join(smallest, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")), "members")
+            keep(rows, members)
+    return rows.select("doc_id", "h", "n_shingles", "node"), members
+
+
+def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """node, comp of the classes that are linked with others; None if none is."""
     links = comps = tried = rest = None
     for bands, turns in STAGES:
         members = _with_comp(_buckets(classes, bands), comps)
@@ -396,12 +407,7 @@ def linked_components(docs: DataFrame, size: int = 4, percent: int = 80) -> tupl
     if not left.isEmpty():
         links = _more(links, left)
         comps = components(links)
-    if comps is None:
-        comps = spark.createDataFrame([], "node long, comp long")
-    # components are named by nodes so far; their smallest doc_id names them from here
-    first = classes.select("node", "first_id").join(comps, "node")
-    named = first.join(first.groupBy("comp").agg(F.min("first_id").alias("component_id")), "comp").select("node", "component_id")
-    return rows.select("doc_id", "h", "n_shingles", "node"), classes.select("node", "first_id").join(named, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
+    return comps
 
 
 def _more(all_: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -410,9 +416,9 @@ def _more(all_: DataFrame | None, new: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
-    rows, named = linked_components(docs, size, percent)
+    rows, members = linked_components(docs, size, percent)
     takes_part = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
-    found = rows.filter(takes_part).join(named, "node").select("doc_id", "n_shingles", "component_id")
+    found = rows.filter(takes_part).join(members, "node").select("doc_id", "n_shingles", "component_id")
     alone = rows.filter(~takes_part).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionAll(alone).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
@@ -420,21 +426,23 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with their columns, less all but one of each component: the one with the smallest doc_id, of
     rows with that id the one with the smallest text hash, and one of rows that repeat it. Rows with null doc_id and
-    rows without shingles all stay. Only ids are shuffled, unless more go than BROADCAST_IDS."""
-    rows, named = linked_components(docs, size, percent)
-    placed = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").join(named, "node").select("component_id", "doc_id", "h")
-    placed = materialise(placed, "placed")
-    first = placed.filter("doc_id = component_id").groupBy("component_id").agg(F.min("h").alias("first_h"))
-    out = placed.join(first, "component_id").filter("doc_id <> component_id OR h <> first_h").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    out = materialise(out, "dropped")
-    twice = materialise(placed.join(first, "component_id").filter("doc_id = component_id AND h = first_h").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count("*").alias("n")).filter("n > 1").select("_id", "_h"), "repeated")
+    rows without shingles all stay. Only ids are shuffled, unless more go than BROADCAST_IDS. Shingles are of five
+    words, as stages on word shingles take them; near_duplicates takes four, as its contract says."""
     names = docs.columns
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (text_hash == F.col("_h"))
-    left = docs.join(broadcast_if_small(out, out.count(), BROADCAST_IDS), same, "left_anti")
+    with scratch(docs.sparkSession) as keep:
+        rows, members = linked_components(docs, size, percent)
+        placed = materialise(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").join(members, "node").select("component_id", "doc_id", "h"), "placed")
+        first = placed.filter("doc_id = component_id").groupBy("component_id").agg(F.min("h").alias("first_h"))
+        ids = [F.col("doc_id").alias("at_id"), F.col("h").alias("at_h")]
+        out = materialise(placed.join(first, "component_id").filter("doc_id <> component_id OR h <> first_h").select(*ids).distinct(), "dropped")
+        twice = materialise(placed.join(first, "component_id").filter("doc_id = component_id AND h = first_h").groupBy(*ids).agg(F.count("*").alias("n")).filter("n > 1").select("at_id", "at_h"), "repeated")
+        keep(out, twice)
+    own = docs.select(*numbered(names), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_h"))
+    same = (F.col("own_id") == F.col("at_id")) & (F.col("own_h") == F.col("at_h"))
+    left = own.join(broadcast_if_small(out, out.count(), BROADCAST_IDS), same, "left_anti")
     repeated = twice.count()
     if not repeated:
-        return left.select(*names)
+        return left.select(*renamed(names))
     twice = broadcast_if_small(twice, repeated, BROADCAST_IDS)
-    once = left.join(twice, same).groupBy("_id", "_h").agg(F.first(F.struct(*[docs[c] for c in names])).alias("r")).select("r.*")
-    return left.join(twice, same, "left_anti").select(*names).unionAll(once.select(*names))
+    once = left.join(twice, same).groupBy("at_id", "at_h").agg(F.first(F.struct(*[f"c{i}" for i in range(len(names))])).alias("row")).select("row.*")
+    return left.join(twice, same, "left_anti").select(*renamed(names)).unionAll(once.select(*renamed(names)))

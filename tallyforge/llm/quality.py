@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyforge.llm.common import SPACE, arrow_map, broadcast_if_small, materialise, modest_batches, text_buffers, words_of
-from tallyforge.llm.labelled import SAMPLE, fit_logistic, labelled_sample
+from tallyforge.llm.common import SPACE, arrow_map, broadcast_if_small, materialise, modest_batches, numbered, renamed, scratch, text_buffers, words_of
+from tallyforge.llm.labelled import SAMPLE, fit_logistic, fold, labelled_sample
 
 BROADCAST_PATHS = 200_000
 THRESHOLD = 0.5
@@ -83,29 +84,41 @@ class Evidence:
         return np.clip(z[:, 1] - z[:, 0], -12, 12)
 
 
-def fit_evidence(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
+def fit_evidence(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where: Column | None = None) -> Evidence:
+    """Fitted on labelled rows (of those, where given, on the ones that pass it)."""
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = features(batch.column(1))
         return pa.record_batch([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], ["id", "x", "target"])
 
-    drawn = labelled_sample(docs, labels, "quality", sample).select(F.col("doc_id").cast("string").alias("id"), "text", "target")
-    got = drawn.mapInArrow(arrow_map(work), "id string, x array<double>, target int").toPandas().sort_values("id", kind="stable")
+    with scratch(docs.sparkSession):
+        drawn = labelled_sample(docs, labels, "quality", sample, where).select(F.col("doc_id").cast("string").alias("id"), "text", "target")
+        got = drawn.mapInArrow(arrow_map(work), "id string, x array<double>, target int").toPandas().sort_values("id", kind="stable")
     return Evidence(np.array(got.x.tolist(), float).reshape(len(got), N_FEATURES), got.target.to_numpy().astype(np.int64))
 
 
 def with_evidence(docs: DataFrame, model: Evidence, keep: list[str], host: Column, path: Column) -> DataFrame:
-    """docs' columns in keep, and _host, _path, _evidence."""
+    """docs' columns in keep, numbered (c0, c1, ...), with _host, _path and _evidence."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    shaped = modest_batches(docs).select(*keep, host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.coalesce("text", F.lit("")).alias("_text"))
-    schema = shaped.drop("_text").schema.add("_evidence", "double")
+    shaped = modest_batches(docs).select(*numbered(keep), host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType([*shaped.schema.fields[:-1], T.StructField("_evidence", T.DoubleType())])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        z = shared.value.log_odds(features(batch.column(len(keep) + 2)))
-        return pa.record_batch([*batch.columns[: len(keep) + 2], pa.array(z)], [*keep, "_host", "_path", "_evidence"])
+        found = shared.value.log_odds(features(batch.column(len(keep) + 2)))
+        return pa.record_batch([*batch.columns[: len(keep) + 2], pa.array(found)], schema.names)
 
     return shaped.mapInArrow(arrow_map(work), schema)
 
 
+def url_site(url: Column) -> tuple[Column, Column]:
+    """Host and path level of a URL: its host in lower case, without port and "www.", and its first path segment ("/" if
+    it has none). Null where there is no host."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
+    top = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)", 1)
+    there = F.coalesce(host != "", F.lit(False))
+    return F.when(there, host), F.when(there, F.when(top == "", "/").otherwise(top))
+
+
 def _strength(mean: float, groups: int, rows: float, squares: float, between: float) -> float:
     """Rows that a prior is worth, from the spread of group means beyond what their sizes explain (moments)."""
     if groups < 2 or not 0 < mean < 1:
@@ -145,18 +158,28 @@ def _scored(rows: DataFrame, sites: DataFrame, mean: float, paths: int) -> DataF
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, host, path, evidence, host_posterior, path_posterior, score, keep for each row of docs."""
+    """doc_id, host, path, evidence, host_posterior, path_posterior, score, keep, held_out for each row of docs. Labels
+    of rows that are held out (crc32(doc_id) mod 5 is 0) are not learned from."""
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
-    rows = materialise(with_evidence(docs, fit_evidence(docs, labels, sample), ["doc_id"], host, path), "evidence")
-    out = _scored(rows, *site_posteriors(rows))
-    return out.select("doc_id", F.col("_host").alias("host"), F.col("_path").alias("path"), (1 / (1 + F.exp(-F.col("_evidence")))).alias("evidence"), "host_posterior", "path_posterior", F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).alias("keep"))
+    with scratch(docs.sparkSession) as keep:
+        model = fit_evidence(docs, labels, sample, fold(F.col("doc_id")) != 0)
+        rows = materialise(with_evidence(docs, model, ["doc_id"], host, path), "evidence")
+        sites, mean, paths = site_posteriors(rows)
+        sites = materialise(sites, "sites")
+        keep(rows, sites)
+    out = _scored(rows.withColumnRenamed("c0", "doc_id"), sites, mean, paths)
+    held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
+    return out.select("doc_id", F.col("_host").alias("host"), F.col("_path").alias("path"), (1 / (1 + F.exp(-F.col("_evidence")))).alias("evidence"), "host_posterior", "path_posterior", F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).alias("keep"), held)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with their columns, whose score is at least THRESHOLD. Texts are read twice and not shuffled
-    unless there are more paths than BROADCAST_PATHS."""
+    unless there are more paths than BROADCAST_PATHS. All labels are learned from."""
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
-    model = fit_evidence(docs, labels, sample)
-    sites, mean, paths = site_posteriors(with_evidence(docs, model, [], host, path))
     names = docs.columns
-    return _scored(with_evidence(docs, model, names, host, path), sites, mean, paths).filter(F.col("_score") >= THRESHOLD).select(*names)
+    with scratch(docs.sparkSession) as keep:
+        model = fit_evidence(docs, labels, sample)
+        sites, mean, paths = site_posteriors(with_evidence(docs, model, [], host, path))
+        sites = materialise(sites, "sites")
+        keep(sites)
+    return _scored(with_evidence(docs, model, names, host, path), sites, mean, paths).filter(F.col("_score") >= THRESHOLD).select(*renamed(names))

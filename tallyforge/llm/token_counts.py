@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tallyforge.llm.common import arrow_map, doc_text
+from tallyforge.llm.common import arrow_map, doc_text, kind_of, modest_batches
 
 #: Pre-tokens of byte-level BPE (a fixed value of the public tokenizer).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -107,6 +107,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from arrow_map(work, 2 << 20)(batches)
 
-    rows = doc_text(docs)
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return doc_text(modest_batches(docs)).mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, n_bytes long, n_tokens long, over_limit boolean")

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyforge.llm.common import NOT_ALNUM, arrow_map, modest_batches, words_of
+from tallyforge.llm.common import NOT_ALNUM, arrow_map, modest_batches, numbered, renamed, scratch, words_of
 from tallyforge.llm.labelled import SAMPLE, fold, labelled_sample, platt, sigmoid
 
 ROWS_BITS, DIM, FILTERS, WIDTHS, STEMS = 18, 8, 8, (1, 2, 3), (4, 6)
@@ -198,15 +199,15 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    drawn = labelled_sample(docs, labels, "toxic", sample, fold(F.col("doc_id")) != 0, ("lang",))
-
     def rows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, offsets = word_rows(batch.column(1))
         body = pa.array([rows[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.large_binary())
         return pa.record_batch([batch.column(0), body.cast(pa.binary()), batch.column(2), batch.column(3), batch.column(4)], ["fold", "words", "target", "lang", "id"])
 
-    shaped = drawn.select(fold(F.col("doc_id")).alias("fold"), "text", "target", "lang", F.col("doc_id").cast("string").alias("id"))
-    got = shaped.mapInArrow(arrow_map(rows_of, 4 << 20), "fold int, words binary, target int, lang string, id string").toPandas().sort_values("id", kind="stable")
+    with scratch(docs.sparkSession):
+        drawn = labelled_sample(docs, labels, "toxic", sample, fold(F.col("doc_id")) != 0, ("lang",))
+        shaped = drawn.select(fold(F.col("doc_id")).alias("fold"), "text", "target", F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("string").alias("id"))
+        got = shaped.mapInArrow(arrow_map(rows_of, 4 << 20), "fold int, words binary, target int, lang string, id string").toPandas().sort_values("id", kind="stable")
     model = Model()
     y = got.target.to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
@@ -225,28 +226,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def apply_model(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs' columns in keep, and _score, _threshold, for each row."""
+    """docs' columns in keep, numbered (c0, c1, ...), with score and threshold, for each row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    shaped = modest_batches(docs).select(*[F.col(c) for c in keep], F.coalesce("text", F.lit("")).alias("_text"), F.col("lang").cast("string").alias("_lang"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) if keep else ""
+    shaped = modest_batches(docs).select(*numbered(keep), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    schema = T.StructType([*shaped.schema.fields[:-2], T.StructField("score", T.DoubleType()), T.StructField("threshold", T.DoubleType())])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
         rows, offsets = word_rows(batch.column(len(keep)))
         cut = [m.thresholds.get(x, m.common) for x in batch.column(len(keep) + 1).to_pylist()]
-        return pa.record_batch([*batch.columns[: len(keep)], pa.array(m.score(rows, offsets).astype(np.float64)), pa.array(cut, pa.float64())], [*keep, "_score", "_threshold"])
+        return pa.record_batch([*batch.columns[: len(keep)], pa.array(m.score(rows, offsets).astype(np.float64)), pa.array(cut, pa.float64())], schema.names)
 
-    return shaped.mapInArrow(arrow_map(work, 4 << 20), f"{kinds}{', ' if kinds else ''}_score double, _threshold double")
+    return shaped.mapInArrow(arrow_map(work, 4 << 20), schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.5), lang_threshold, flagged (score >= it) for each row of docs."""
+    scored = apply_model(docs, fit(docs, labels, sample), ("doc_id",)).withColumnRenamed("c0", "doc_id")
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
-    return apply_model(docs, fit(docs, labels, sample), ("doc_id",)).select("doc_id", held, F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_threshold").alias("lang_threshold"), (F.col("_score") >= F.col("_threshold")).alias("flagged"))
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("threshold").alias("lang_threshold"), (F.col("score") >= F.col("threshold")).alias("flagged"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with their columns, that are not flagged."""
     names = tuple(docs.columns)
-    return apply_model(docs, fit(docs, labels, sample), names).filter("_score < _threshold").select(*names)
+    return apply_model(docs, fit(docs, labels, sample), names).filter("score < threshold").select(*renamed(names))

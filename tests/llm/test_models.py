@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tallyforge.llm import labelled, mixing, piece_sampling, quality, toxicity
+from pyspark.sql import functions as F
+
+from tallyforge.llm import common, labelled, mixing, near_dup, piece_sampling, quality, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -35,9 +37,13 @@ def test_quality_keeps_the_good(spark, mid):
     rows = quality.score_quality(docs, labels).join(labels, "doc_id").collect()
     good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
     assert sum(r.keep for r in good) >= 0.99 * len(good) and sum(not r.keep for r in bad) >= 0.9 * len(bad)
+    good, bad = [r for r in good if r.held_out], [r for r in bad if r.held_out]
+    assert sum(r.keep for r in good) >= 0.97 * len(good) > 0 and sum(not r.keep for r in bad) >= 0.85 * len(bad) > 0
     kept = quality.keep_quality(docs, labels)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in quality.score_quality(docs, labels).filter("keep").collect())
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    left = {r.doc_id for r in kept.collect()}
+    assert sum((i in left) == (q == 1) for i, q in known.items()) >= 0.97 * len(known)
 
 
 def test_posteriors_equal_plain_sums(spark):
@@ -78,17 +84,19 @@ def test_toxicity_on_held_out_rows(spark, mid):
     docs, labels = mid
     out = toxicity.score_toxicity(docs, labels)
     rows = out.join(labels, "doc_id").filter("held_out").collect()
-    assert sum(r.predicted == r.toxic for r in rows) >= 0.9 * len(rows)
-    clean = [r for r in rows if r.toxic == 0]
-    assert sum(r.flagged for r in clean) <= 0.05 * len(clean)
+    clean, toxic = [r for r in rows if r.toxic == 0], [r for r in rows if r.toxic == 1]
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean) and sum(r.predicted for r in toxic) >= 0.8 * len(toxic) > 0
+    assert sum(r.flagged for r in clean) <= 0.05 * len(clean) and sum(r.flagged for r in toxic) >= 0.8 * len(toxic)
+    # better than the constant answer, which is right for all clean rows
+    assert sum(r.predicted == r.toxic for r in rows) > len(clean)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
 def test_scores_do_not_see_other_columns(spark, mid):
     docs, labels = mid
     model = toxicity.fit(docs, labels)
-    a = {r.doc_id: r._score for r in toxicity.apply_model(docs, model, ("doc_id",)).collect()}
-    b = {r.doc_id: r._score for r in toxicity.apply_model(docs.withColumn("lang", labelled.F.lit("xx")).withColumn("source", labelled.F.lit(None)), model, ("doc_id",)).collect()}
+    a = {r.c0: r.score for r in toxicity.apply_model(docs, model, ("doc_id",)).collect()}
+    b = {r.c0: r.score for r in toxicity.apply_model(docs.withColumn("lang", labelled.F.lit("xx")).withColumn("source", labelled.F.lit(None)), model, ("doc_id",)).collect()}
     assert a == b
 
 
@@ -185,10 +193,10 @@ def test_targets_outside_the_sample(spark, docs, caplog):
 def test_residual_is_reported(spark, caplog):
     rows = spark.createDataFrame([(10, [0.6, 0.4]), (10, [0.4, 0.6])], "tokens long, p array<double>")
     with caplog.at_level("WARNING", mixing.__name__):
-        steps = mixing.fit_rates(rows, np.array([0.5, 0.5]))
-        assert len(steps) < mixing.STEPS and not caplog.text
-        steps = mixing.fit_rates(rows, np.array([1.0, 0.0]))
-    assert len(steps) == mixing.STEPS and "largest residual" in caplog.text
+        steps, residual = mixing.fit_rates(rows, np.array([0.5, 0.5]))
+        assert len(steps) < mixing.STEPS and residual < mixing.CLOSE and not caplog.text
+        steps, residual = mixing.fit_rates(rows, np.array([1.0, 0.0]))
+    assert len(steps) == mixing.STEPS and residual > mixing.CLOSE and "largest residual" in caplog.text
 
 
 def test_rates_stay_nonnegative(spark):
@@ -197,7 +205,7 @@ def test_rates_stay_nonnegative(spark):
     t = r.integers(0, 50, 500)
     df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "tokens long, p array<double>")
     target = np.array([0.9, 0.1, 0.0])
-    steps = mixing.fit_rates(df, target)
+    steps, _ = mixing.fit_rates(df, target)
     rate = mixing.rates(p, steps)
     assert rate.min() >= 0 and np.abs((rate * t) @ p / t.sum() - target).max() < 0.05
     assert (rate[p[:, 2] > 0.9] < 0.2).all()
@@ -392,3 +400,86 @@ def test_pipeline_on_empty_documents(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, MID)
     assert docs.count() == 0
+
+
+# ---- ids and names of any kind
+
+
+def test_stages_keep_odd_columns_and_ids(spark, odd, odd_text_ids, labels):
+    for docs in (odd, odd_text_ids):
+        want = Counter(r.doc_id for r in docs.collect())
+        own = labels.selectExpr("concat('doc/', doc_id) doc_id", "quality", "toxic") if docs is odd_text_ids else labels
+        for out in (quality.keep_quality(docs, own), toxicity.drop_toxic(docs, own.filter("false")), mixing.mix(docs, own.filter("false")), near_dup.keep_one(docs)):
+            assert out.schema.simpleString() == docs.schema.simpleString()
+            got = out.collect()
+            assert all(tuple(r)[5:] == tuple(range(len(docs.columns) - 5)) for r in got) and not Counter(r.doc_id for r in got) - want
+        assert Counter(r.doc_id for r in near_dup.keep_one(docs).collect()) == Counter(set(want))
+        for scored in (quality.score_quality(docs, own), toxicity.score_toxicity(docs, own), mixing.mixing_rates(docs, own), near_dup.near_duplicates(docs), piece_sampling.encode_best(docs, PIECES), piece_sampling.sampling_digest(docs, PIECES).filter("sample = 1")):
+            assert Counter(r.doc_id for r in scored.collect()) == want and scored.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+
+
+def test_best_encoding_is_the_library_s(spark, odd):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = piece_sampling.encode_best(odd, PIECES)
+    text = {r.doc_id: r.text or "" for r in odd.collect()}
+    assert all(r.ids == sp.encode(text[r.doc_id]) and r.n_pieces == len(r.ids) for r in got.collect())
+    assert all(r.text == sp.decode(sp.encode(text[r.doc_id])) for r in piece_sampling.decode_ids(got, PIECES).collect())
+
+
+# ---- samples and storage
+
+
+def test_sample_is_bounded_in_bytes(spark, docs):
+    rows = docs([(i, "x" * (1000 if i == 7 else 10), "en", "s", 1) for i in range(40)] + [(3, "x" * 10, "en", "s", 1)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = labelled.labelled_sample(rows, labels, "quality", most_bytes=390).collect()
+    assert len(got) == 39 and 7 not in {r.doc_id for r in got} and all(len(r.text) == 10 and r.target == r.doc_id % 2 for r in got)
+    assert len(labelled.labelled_sample(rows, labels, "quality", most_bytes=100).collect()) == 10
+    assert len(labelled.labelled_sample(rows, labels, "quality", rows=5).collect()) == 5
+
+
+def test_tables_are_left_for_what_is_returned_only(spark, mid):
+    import os
+
+    docs, labels = mid
+    app = common.shared_dir(spark).removeprefix("file://") + f"/tallyforge-{spark.sparkContext.applicationId}"
+    for run, left in ((lambda: quality.keep_quality(docs, labels), 1), (lambda: toxicity.drop_toxic(docs, labels), 0), (lambda: mixing.mix(docs, labels), 0), (lambda: near_dup.keep_one(docs), 2)):
+        before = set(os.listdir(app)) if os.path.isdir(app) else set()
+        run().count()
+        assert len(set(os.listdir(app)) - before) == left
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
+def test_sites_of_urls(spark):
+    rows = [("http://www.A.example.com:80/fr/825?page=2#x",), ("https://m.b.org",), ("https://u@c.net/x/",), ("no url",), (None,)]
+    host, path = quality.url_site(labelled.F.col("url"))
+    got = [(r.h, r.p) for r in spark.createDataFrame(rows, "url string").select(host.alias("h"), path.alias("p")).collect()]
+    assert got == [("a.example.com", "/fr"), ("m.b.org", "/"), ("c.net", "/x"), (None, None), (None, None)]
+
+
+def test_sparse_sites_shrink_toward_what_is_above_them(spark, mid):
+    """Planted sites: a good one and a bad one with many rows, and hosts and paths of one row each."""
+    docs, labels = mid
+    good = F.col("quality") == 1
+    rows = docs.join(labels, "doc_id", "left").withColumn("url", F.when(F.col("doc_id") % 25 == 0, F.concat(F.lit("https://h"), "doc_id", F.lit(".org/a"))).otherwise(F.concat(F.when(F.coalesce(good, F.col("doc_id") % 2 == 0), "https://good.org/p").otherwise("https://bad.org/p"), F.when(F.col("doc_id") % 10 == 1, F.col("doc_id").cast("string")).otherwise(""))))
+    out = quality.score_quality(rows.drop("quality", "toxic"), labels, *quality.url_site(F.col("url"))).collect()
+    mean = sum(r.evidence for r in out) / len(out)
+    sparse = [r for r in out if r.host.startswith("h")]
+    assert len(sparse) > 20 and all(abs(r.host_posterior - mean) < abs(r.evidence - mean) + 1e-9 for r in sparse)
+    big = {h: next(r.host_posterior for r in out if r.host == h) for h in ("good.org", "bad.org")}
+    assert big["good.org"] > big["bad.org"]
+    single = [r for r in out if r.host in big and r.path != "/p"]
+    assert len(single) > 20 and all(abs(r.path_posterior - r.host_posterior) <= abs(r.evidence - r.host_posterior) + 1e-9 for r in single)
