@@ -154,6 +154,28 @@ def broadcast_if_small(side: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(side) if rows <= most else side
 
 
+#: Rows of one key up to which a join leaves them to one task, and keys that may have more (see join_dealt).
+HOT_ROWS, HOT_KEYS = 256, 50_000
+
+
+def join_dealt(rows: DataFrame, side: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with side (a materialised table of one row a key, whose column n counts the key's rows) on key.
+
+    The rows of a hot key are dealt over parts, by a hash of the column `by`, and the key's row of side goes to each
+    part, so no task gets all of them. A key is hot beyond HOT_ROWS rows and the HOT_KEYS-th part of all rows: there
+    are HOT_KEYS hot keys at most, which proves the bound of their broadcast.
+    """
+    total, most = side.agg(F.sum("n"), F.max("n")).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= least:
+        return rows.join(side.drop("n"), key)
+    parts = F.ceil(F.col("n") / least).cast("int")
+    hot = side.filter(F.col("n") > least).select(key, parts.alias("_parts"))
+    own = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    spread = side.withColumn("_part", F.explode(F.when(F.col("n") > least, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))).drop("n")
+    return own.join(spread, [key, "_part"]).drop("_part")
+
+
 # ---- words as hashes, in numpy ---------------------------------------------------------
 
 #: A-Z to a-z, all other bytes as they are.

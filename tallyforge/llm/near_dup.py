@@ -26,15 +26,13 @@ empty table gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACE, arrow_map, broadcast_if_small, discard, doc_text, kind_of, materialise, mix, modest_batches, numbered, renamed, scratch, words_of
+from tallyforge.llm.common import SPACE, arrow_map, broadcast_if_small, discard, doc_text, join_dealt, kind_of, materialise, mix, modest_batches, numbered, renamed, scratch, words_of
 
 REGISTERS, BANDS, ROWS = 256, 64, 6
 #: Bits of a register's mantissa; the leading-zero count has the other 5 of 16.
@@ -173,9 +171,9 @@ def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int)
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the estimate does not rule out, with set sizes."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    side = classes.select("node", "n_shingles", "regs").join(broadcast_if_small(nodes, nodes.count(), BROADCAST_IDS), "node", "left_semi")
-    both = pairs.join(side.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra")), "a").join(side.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb")), "b")
+    side = materialise(_of_pairs(pairs).join(classes.select("node", "n_shingles", "regs"), "node"), "paired")
+    with_a = join_dealt(pairs, side.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"), "n"), "a", "b")
+    both = join_dealt(with_a, side.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"), "n"), "b", "a")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b, na, ra, nb, rb = (batch.column(i) for i in (batch.schema.get_field_index(n) for n in ("a", "b", "na", "ra", "nb", "rb")))
@@ -187,12 +185,17 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(arrow_map(work, 8 << 20), "a long, b long, na long, nb long")
 
 
+def _of_pairs(pairs: DataFrame) -> DataFrame:
+    """node, n: the classes in the pairs (a, b), and in how many."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the pairs (a, b, na, nb), those whose full sets are similar enough."""
-    nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    sets = materialise(_full_sets(docs, classes, nodes, size).dropDuplicates(["node"]), "sets")
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    nodes = materialise(_of_pairs(pairs), "nodes")
+    sets = materialise(_full_sets(docs, classes, nodes.select("node"), size).dropDuplicates(["node"]).join(nodes, "node"), "sets")
+    with_b = join_dealt(pairs, sets.select(F.col("node").alias("b"), F.col("s").alias("sb"), "n"), "b", "a")
+    both = join_dealt(with_b, sets.select(F.col("node").alias("a"), F.col("s").alias("sa"), "n"), "a", "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     links = materialise(both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b"), "links")
     discard(sets)
@@ -236,15 +239,16 @@ def components(links: DataFrame, label: str = "components", one_task: int = ONE_
     digest = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), label)
         # large star: greater neighbours go to the least neighbour
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = materialise(join_dealt(both, least, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), label)
         # small star: smaller neighbours, and the node itself, go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), label)
+        small = join_dealt(large, low, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         new = materialise(small, label)
         found = new.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first()
-        discard(edges)
+        for done in (edges, least, large, low):
+            discard(done)
         edges = new
         if tuple(found) == digest or not found[0]:
             break
@@ -264,8 +268,8 @@ def _buckets(classes: DataFrame, bands: range) -> DataFrame:
 
     rows = classes.select("node", "regs").mapInArrow(arrow_map(work, 1 << 20), "bucket long, node long")
     # most buckets hold one class: only what shares its bucket goes on
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket")
-    return materialise(rows.join(shared, "bucket", "left_semi"), "buckets")
+    shared = materialise(rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low <> high").select("bucket", "n"), "shared")
+    return materialise(join_dealt(rows, shared, "bucket", "node"), "buckets")
 
 
 def _with_comp(members: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -275,58 +279,87 @@ def _with_comp(members: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _open_buckets(members: DataFrame, turn: int) -> DataFrame:
-    """Of the buckets that hold more than one component: the leader's node and component."""
-    turned = F.struct(F.xxhash64(F.lit(turn), "node").alias("p"), "node", "comp")
-    return members.groupBy("bucket").agg(F.min(turned).alias("lead"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket", F.col("lead.node").alias("leader"), F.col("lead.comp").alias("leader_comp"))
+    """Of the buckets that hold more than one component: the leader's node and component, and the number of members."""
+    turned = F.xxhash64(F.lit(turn), "node")
+    led = members.groupBy("bucket").agg(F.min_by("node", turned).alias("leader"), F.min_by("comp", turned).alias("leader_comp"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"))
+    return materialise(led.filter("c0 <> c1").drop("c0", "c1"), "leaders")
+
+
+def _groups(members: DataFrame) -> DataFrame:
+    """bucket, node, comp of what the rounds left, in groups that are each compared as one.
+
+    Buckets that share members form a cluster; a cluster of up to CLUSTER classes is one group, so that a class is read
+    once and not for each bucket. Buckets of larger clusters are groups of their own.
+    """
+    mixed = materialise(members.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1").select("bucket", "n"), "mixed")
+    members = materialise(join_dealt(members, mixed, "bucket", "node"), "rest-open")
+    cluster = components(members.select(F.col("bucket").alias("a"), F.col("node").alias("b")), "clusters").select(F.col("node").alias("bucket"), F.col("comp").alias("cluster"))
+    grouped = materialise(join_dealt(members, materialise(mixed.join(cluster, "bucket"), "placed-buckets"), "bucket", "node"), "grouped")
+    sizes = grouped.groupBy("cluster", "node").agg(F.count("*").alias("n")).groupBy("cluster").agg((F.count("*") <= CLUSTER).alias("small"), F.sum("n").alias("n"))
+    sized = join_dealt(grouped, materialise(sizes, "sizes"), "cluster", "node")
+    return sized.select(F.when(F.col("small"), F.col("cluster")).otherwise(F.col("bucket")).alias("bucket"), "node", "comp").distinct()
 
 
 def _in_blocks(docs: DataFrame, members: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that join the components in what the rounds left of the buckets; exact, on full sets.
 
-    Buckets that share members form a cluster; a cluster of up to CLUSTER classes is compared as one group, so that a
-    class is read once and not for each bucket. Buckets of larger clusters are groups of their own. A group's main
-    component (that of one member drawn by hash) is compared with all others, and the others with each other, in
-    blocks; members of the main component are not compared among themselves.
+    A group's main component (that of one member drawn by hash) is compared with all others, and the others with each
+    other, in blocks of bounded size; members of the main component are not compared among themselves. Blocks get
+    registers first; full sets go to the blocks where an estimate lets a pair through, and for its classes only.
     """
-    mixed = members.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket")
-    members = materialise(members.join(mixed, "bucket"), "rest-open")
-    cluster = components(members.select(F.col("bucket").alias("a"), F.col("node").alias("b")), "clusters").select(F.col("node").alias("bucket"), F.col("comp").alias("cluster"))
-    # a cluster may hold most rows: its size is summed up, and known where its rows are
-    grouped = materialise(members.join(broadcast_if_small(cluster, cluster.count(), BROADCAST_IDS), "bucket"), "grouped")
-    small = grouped.select("cluster", "node").distinct().groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") <= CLUSTER).select("cluster", F.lit(True).alias("small"))
-    small = materialise(small, "small")
-    members = grouped.join(broadcast_if_small(small, small.count(), BROADCAST_IDS), "cluster", "left").select(F.when(F.col("small"), F.col("cluster")).otherwise(F.col("bucket")).alias("bucket"), "node", "comp").distinct()
-    drawn = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(99), "node").alias("p"), "comp")).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket", F.col("m.comp").alias("main_comp"))
-    rows = materialise(members.join(drawn, "bucket").select("bucket", "node", "comp", (F.col("comp") == F.col("main_comp")).alias("main")), "rest-rows")
-    sized = rows.groupBy("bucket").agg(F.ceil(F.count_if("main") / BLOCK).cast("int").alias("mains"), F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("others"))
-    sets = _full_sets(docs, classes, rows.select("node").distinct(), size).dropDuplicates(["node"])
+    members = materialise(_groups(members), "groups")
+    drawn = members.groupBy("bucket").agg(F.min_by("comp", F.xxhash64(F.lit(99), "node")).alias("main_comp"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1").select("bucket", "main_comp", "n")
+    drawn = materialise(drawn, "drawn")
+    rows = materialise(join_dealt(members, drawn, "bucket", "node").select("bucket", "node", "comp", (F.col("comp") == F.col("main_comp")).alias("main")), "rest-rows")
+    sized = rows.groupBy("bucket").agg(F.ceil(F.count_if("main") / BLOCK).cast("int").alias("mains"), F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("others"), F.count("*").alias("n"))
     own = F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
-    placed = rows.join(sized, "bucket").withColumn("own", own)
+    placed = join_dealt(rows, materialise(sized, "sized"), "bucket", "node").withColumn("own", own)
     kind = "array<struct<kind:int,i:int,j:int>>"
     with_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.lit(0).alias("kind"), F.least("own", o).alias("i"), F.greatest("own", o).alias("j"))).cast(kind)
     with_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: F.struct(F.lit(1).alias("kind"), F.col("own").alias("i"), m.alias("j"))).cast(kind)
     from_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.lit(1).alias("kind"), o.alias("i"), F.col("own").alias("j"))).cast(kind)
-    spread = placed.withColumn("at", F.explode(F.when(F.col("main"), from_main).otherwise(F.concat(with_others, with_mains)))).select("bucket", "at.*", "own", "main", "node", "comp")
-    full = spread.join(classes.select("node", "n_shingles", "regs"), "node").join(sets, "node")
+    full = placed.join(classes.select("node", "n_shingles", "regs"), "node")
+    spread = full.withColumn("at", F.explode(F.when(F.col("main"), from_main).otherwise(F.concat(with_others, with_mains)))).select("bucket", "at.*", "own", "main", "node", "comp", "n_shingles", "regs")
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
+    def sides(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         kind, i, j = part.kind.iloc[0], part.i.iloc[0], part.j.iloc[0]
         main, own = part.main.to_numpy(), part.own.to_numpy()
-        left = np.flatnonzero(~main if kind else own == i)
-        right = np.flatnonzero(main if kind else own == j)
-        found = block_links(part.node.to_numpy(), part.comp.to_numpy(), part.n_shingles.to_numpy(), np.frombuffer(b"".join(part.regs), np.uint16).reshape(-1, REGISTERS), part.s.to_list(), left, right, percent)
+        return np.flatnonzero(~main if kind else own == i), np.flatnonzero(main if kind else own == j)
+
+    def likely(part: pd.DataFrame) -> pd.DataFrame:
+        left, right = sides(part)
+        mask = block_mask(part.comp.to_numpy(), part.n_shingles.to_numpy(), _registers(part.regs), left, right, percent)
+        return part.iloc[np.union1d(left[mask.any(1)], right[mask.any(0)])]
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        left, right = sides(part)
+        found = block_links(part.node.to_numpy(), part.comp.to_numpy(), part.n_shingles.to_numpy(), _registers(part.regs), part.s.to_list(), left, right, percent)
         return pd.DataFrame({"a": [min(x) for x in found], "b": [max(x) for x in found]}, dtype="int64")
 
-    return full.groupBy("bucket", "kind", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    blocks = ["bucket", "kind", "i", "j"]
+    left = materialise(spread.groupBy(*blocks).applyInPandas(likely, spread.schema), "likely-rows")
+    nodes = materialise(left.groupBy("node").agg(F.count("*").alias("n")), "nodes")
+    sets = materialise(_full_sets(docs, classes, nodes.select("node"), size).dropDuplicates(["node"]).join(nodes, "node"), "sets")
+    return join_dealt(left, sets, "node", "bucket").groupBy(*blocks).applyInPandas(compare, "a long, b long").distinct()
 
 
-def block_links(node: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between rows left and right that join components, no more than needed to join them."""
+def _registers(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, REGISTERS)
+
+
+def block_mask(comp: np.ndarray, n: np.ndarray, regs: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows left and right are of different components and may link by their estimate."""
     mask = np.zeros((len(left), len(right)), bool)
     for k, x in enumerate(left):
         y = np.flatnonzero(comp[right] != comp[x])
         if len(y):
             mask[k, y] = may_link((regs[right[y]] == regs[x]).sum(1), n[x], n[right[y]], percent)
+    return mask
+
+
+def block_links(node: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between rows left and right that join components, no more than needed to join them."""
+    mask = block_mask(comp, n, regs, left, right, percent)
     if not mask.any():
         return []
     left, right, mask = left[mask.any(1)], right[mask.any(0)], mask[mask.any(1)][:, mask.any(0)]
@@ -390,7 +423,7 @@ def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
         members = _with_comp(_buckets(classes, bands), comps)
         for turn in range(turns):
             leaders = _open_buckets(members, turn)
-            active = materialise(members.join(leaders, "bucket"), "active")
+            active = materialise(join_dealt(members, leaders, "bucket", "node"), "active")
             pairs = active.filter("comp <> leader_comp").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")

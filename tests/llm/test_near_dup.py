@@ -116,3 +116,37 @@ def test_estimate_is_near_and_links_pass():
         assert near_dup.may_link(np.array([agree]), n, m, 80)[0] == (j >= 0.8)
     assert len(np.unique(near_dup.band_keys(near_dup.registers(s)[None]))) == near_dup.BANDS
     assert set(near_dup._MEMBERS.reshape(-1)) == set(range(near_dup.REGISTERS))
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    """Rows of a hot key meet its row of the other side all the same, and in several parts."""
+    from pyspark.sql import functions as F
+
+    from tallyforge.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.range(500).select((F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 40)).alias("key"), F.col("id").alias("node"))
+    side = common.materialise(rows.groupBy("key").agg(F.count("*").alias("n"), (F.max("node") * 2).alias("x")), "side")
+    got = Counter(tuple(r) for r in common.join_dealt(rows, side, "key", "node").select("key", "node", "x").collect())
+    assert got == Counter(tuple(r) for r in rows.join(side, "key").select("key", "node", "x").collect())
+    plan = common.join_dealt(rows, side, "key", "node")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan
+
+
+def test_components_with_hot_keys(spark, monkeypatch):
+    """A large group of near copies, with every bucket, pair and star dealt over parts, and small blocks."""
+    from tallyforge.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "CLUSTER", 20)
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = corpus(60, 5)
+    for i in range(70):
+        w = list(base)
+        w[r.randrange(60)] = f"x{i}"
+        rows.append((10_000 + i, " ".join(w)))
+    half = [f"h{i}" for i in range(40)]
+    rows += [(20_000 + i, " ".join(half + [f"y{i}_{j}" for j in range(30)])) for i in range(40)]
+    assert as_counter(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
