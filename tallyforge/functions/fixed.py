@@ -63,8 +63,26 @@ SOCIAL_FRAGMENTS = ("linkedin.com", "twitter.com", "x.com", "facebook.com", "ins
 NAME_STOP_WORDS = ("capital", "ventures", "venture", "management", "group", "partners", "partner", "investments", "investment", "holdings", "fund", "funds", "equity", "vc", "lp", "llc", "co", "company")
 
 TARGET_CHECK = 1_000_000.0
-SECTOR_TERMS = {"fintech": ["fintech", "financial", "finance", "payments", "banking", "insurtech", "lending"]}
-STAGE_TERMS = {"seed": ["seed", "startup", "startups", "early stage", "venture capital", "vc"]}
+TARGET_SECTOR, TARGET_STAGE, TARGET_GEOGRAPHY = "fintech", "seed", "U.S."
+SECTOR_TERMS = {
+    "ai": ["artificial intelligence", "ai", "machine learning", "ml", "data science", "software"],
+    "fintech": ["fintech", "financial", "finance", "payments", "banking", "insurtech", "lending"],
+    "real estate": ["real estate", "office", "industrial", "multifamily", "commercial", "retail", "proptech"],
+    "hospitality": ["hospitality", "hotel", "travel", "leisure"],
+    "sports": ["sports", "fitness", "athletic"],
+    "entertainment": ["entertainment", "media", "consumer internet", "digital media"],
+}
+STAGE_TERMS = {
+    "pre-seed": ["pre-seed", "angel", "incubator", "accelerator", "early stage"],
+    "seed": ["seed", "startup", "startups", "early stage", "venture capital", "vc"],
+    "series a": ["series a", "a round", "institutional seed", "venture capital", "vc"],
+    "growth": ["growth", "expansion", "late stage", "series b", "series c", "scale"],
+    "private equity": ["private equity", "pe", "buyout", "acquisition"],
+}
+TARGET_US = ("u.s.", "us", "usa", "united states")
+TARGET_US_PLACES = ("united states", "u.s.", "usa", "texas", "california", "new york")
+MERGE_THIN, MERGE_THIN_GEO = 12, 8
+LEAST_SITE_CHARS = LEAST_SEARCH_CHARS = 120
 FINTECH_EXPLICIT = ("fintech", "payments", "payment", "banking", "insurtech", "lending", "financial services", "credit", "credit card", "embedded finance", "wealthtech", "debt financing")
 FINTECH_WEAK = ("financial", "finance", "financing", "insurance", "capital markets")
 INSTITUTIONAL_MARKERS = ("endowment", "foundation", "university", "nonprofit", "philanthrop", "charitable", "pension")
@@ -83,7 +101,22 @@ WARM_PLACES = ("u.s.", "united states", "usa", "texas", "california", "new york"
 PORTFOLIO_MARKERS = ("portfolio", "invested in", "backed", "led round", "co-invest")
 PUBLIC_ACTIVITY = ("investment thesis", "blog", "press", "announcement", "conference")
 SITE_WORDS = ("official", "about", "team", "portfolio", "contact", "partners", "venture")
+SITE_ACTIVITY_TERMS = ("investment", "invested", "funding", "fund", "portfolio", "announced", "press release", "news", "hiring", "careers", "launch", "closed")
 RECENT_VERBS = ("announced", "invested", "led", "launch", "closed", "hiring")
+TEXT_BUCKETS = ("team", "contact", "portfolio", "careers", "news", "general")
+BENIGN_STATUSES = (401, 403, 404, 410)
+PAGE_CHARS, PAGES_A_SITE, RANKED_SHOWN, DEBUG_CHARS = 8000, 4, 12, 400
+ACTIVE_INTENT = 5
+QUERY_TEMPLATES = {
+    "recent_deal_text": '"{name}" investment funding round led {year} {site_bias}',
+    "new_fund_text": '"{name}" new fund raised closes {site_bias}',
+    "hiring_text": '"{name}" careers hiring investment team associate {site_bias}',
+    "public_signal_text": '"{name}" portfolio press announcement investment',
+    "outreach_text": '"{name}" partner principal contact pitch founders submit deck {site_bias}',
+}
+GENERATED_SIGNALS = ("pitchbook_activity", "pitchbook_activity_count", "fundraising_status")
+FIT_KEYS = ("Sector Match", "Stage Match", "Check Size Match", "Geography Match", "Strategic Alignment")
+INTENT_KEYS = ("Recent Investment", "New Fund", "Hiring", "Public Signals", "Warm Intro")
 QUERY_KEYS = ("recent_deal_text", "new_fund_text", "hiring_text", "public_signal_text", "outreach_text")
 ACTIVITY_SOURCES = ("news_rss", "google_news", "news_mention", "linkedin_post", "twitter_post", "press_release", "portfolio_announcement", "crunchbase_deal", "pitchbook_activity", "pitchbook_activity_count", "fundraising_status", "pitchbook_deal")
 
@@ -92,3 +125,22 @@ MONTH_PATTERN = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)
 
 REPORT_COLUMNS = ("Investor", "Signal Score", "Investment Probability (%)", "Signal Type", "Sector Relevance", "Check Size Fit", "Warm Intro Signal", "Recency", "Confidence", "Reason", "Recommended Action", "Signal Bucket", "Urgency / Timing", "Data Source", "Last Updated")
 DOCUMENT_NAMES = ("tear_sheet", "pitch_deck", "financial_projections", "nda", "ppm", "subscription_agreement", "wiring_instructions", "use_of_funds")
+
+FOCUS_LABELS = {
+    "Artificial Intelligence": ["ai", "machine learning", "ml"],
+    "Fintech": ["fintech", "payments", "banking"],
+    "Healthtech": ["health", "medtech", "digital health"],
+    "Climate Tech": ["climate", "cleantech", "sustainability"],
+    "Enterprise Software": ["enterprise", "software", "developer"],
+}
+RAISED_STAGES = ("pre-seed", "seed", "series a", "series b", "growth")
+WARM_FIRMS = ("sequoia", "a16z", "khosla")
+
+DOSSIER_FIELDS = (
+    "company_name", "legal_company_name", "website", "industry_or_sector", "company_stage_or_company_idea", "headquarters_location", "incorporation_location", "year_founded", "legal_entity_structure", "one_line_description",
+    "company_problem", "company_solution", "business_model", "target_customers", "competitive_advantage", "product_status", "revenue", "mrr", "arr", "growth_rate", "gross_margin", "burn_rate", "runway_months", "cash_on_hand",
+    "ltv", "cac", "ltv_cac_ratio", "payback_period", "amount_raised_to_date", "cap_table_summary", "previous_investors", "valuation_last_round", "target_raise_amount", "minimum_investment", "valuation_current_ask",
+    "pre_money_valuation", "post_money_valuation", "current_round", "instrument", "use_of_funds", "funding_milestones", "users_total", "users_active", "dau", "mau", "sales_pipeline", "conversion_rates", "average_order_value",
+    "retention_rates", "churn_rate", "engagement_metrics", "partnerships", "contracts_signed", "lois", "key_milestones", "key_hires", "incorporation_documents", "ip_ownership", "trademarks_patents", "regulatory_exposure",
+    "risk_disclosures", "market_size",
+)

@@ -16,38 +16,61 @@ def article_text(html: Column) -> Column:
 
 
 class _Visible(HTMLParser):
-    hidden = frozenset({"script", "style", "noscript", "nav", "header", "footer", "form", "aside"})
-    empty = frozenset({"meta", "br", "img", "link", "input", "hr"})
+    """Text of a page: all of it without navigation, header and footer, and that of its first main part."""
+
+    never = frozenset({"script", "style", "noscript"})
+    chrome = frozenset({"nav", "footer", "header"})
+    beside = frozenset({"nav", "footer", "aside", "form"})
+    empty = frozenset({"meta", "br", "img", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"})
+    described_by = (("name", "description"), ("property", "og:description"), ("name", "twitter:description"))
 
     def __init__(self):
         super().__init__()
-        self.depth, self.main, self.all, self.inner, self.described = 0, 0, [], [], []
+        self.open, self.main, self.done = [], None, False
+        self.all, self.inner, self.described = [], [], {}
+
+    @staticmethod
+    def _is_main(tag, have) -> bool:
+        classes = (have.get("class") or "").split()
+        return tag in ("main", "article") or have.get("role") == "main" or have.get("id") in ("main", "content") or any(c in ("main-content", "content-main", "post-content", "entry-content") for c in classes)
 
     def handle_starttag(self, tag, attrs):
         have = dict(attrs)
-        if tag == "meta" and (have.get("name") == "description" or have.get("property") == "og:description"):
-            self.described.append(have.get("content") or "")
+        if tag == "meta":
+            for key in self.described_by:
+                if have.get(key[0]) == key[1] and have.get("content"):
+                    self.described.setdefault(key, have["content"].strip())
         if tag in self.empty:
             return
-        self.depth += tag in self.hidden
-        self.main += tag in ("main", "article")
+        self.open.append(tag)
+        if self.main is None and not self.done and self._is_main(tag, have):
+            self.main = len(self.open)
 
     def handle_endtag(self, tag):
-        self.depth -= tag in self.hidden and self.depth > 0
-        self.main -= tag in ("main", "article") and self.main > 0
+        if tag not in self.open:
+            return
+        while self.open.pop() != tag:
+            pass
+        if self.main is not None and len(self.open) < self.main:
+            self.main, self.done = None, True
 
     def handle_data(self, data):
-        if not self.depth and data.strip():
-            self.all.append(data.strip())
-            if self.main:
-                self.inner.append(data.strip())
+        text = data.strip()
+        if not text or not self.never.isdisjoint(self.open):
+            return
+        if self.chrome.isdisjoint(self.open):
+            self.all.append(text)
+        if self.main is not None and self.beside.isdisjoint(self.open[self.main :]):
+            self.inner.append(text)
 
 
 def visible_text(html: str | None) -> str:
-    """Descriptions, and the text of main or article, else of the page without its chrome; lower case."""
+    """Descriptions, and the text of the first main part, else of the page without its chrome; lower case."""
     p = _Visible()
     p.feed(html or "")
-    return " ".join(" ".join([*p.described, *(p.inner or p.all)]).lower().split())
+    p.close()
+    body = p.inner if p.done or p.main is not None else p.all
+    return " ".join([*(p.described[k] for k in p.described_by if k in p.described), " ".join(body)]).lower()
 
 
 def page_text(html: Column) -> Column:

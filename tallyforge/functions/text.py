@@ -37,10 +37,25 @@ def has_any(text: Column, terms: Sequence[str]) -> Column:
     return text.rlike("|".join(re.escape(t) for t in terms))
 
 
+def contains_any(text: Column, terms: Sequence[str]) -> Column:
+    """Whether any of the terms is a substring, by plain search; for a text that is a column or a bound variable."""
+    out = F.lit(False)
+    for t in terms:
+        out = out | F.contains(text, F.lit(t))
+    return out
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often use mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tag_terms(text: Column, needles: dict[str, Sequence[str]]) -> Column:
-    """Labels of which a needle is in the text, padded by a space on either side."""
+    """Labels of which a needle is in the text, padded by a space on either side. Needles that contain others of a label
+    are not searched for."""
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
-    return F.array_compact(F.array(*[F.when(has_any(padded, words), F.lit(label)) for label, words in needles.items()]))
+    least = {label: [w for w in words if not any(o != w and o in w for o in words)] for label, words in needles.items()}
+    return bound(padded, lambda t: F.array_compact(F.array(*[F.when(contains_any(t, words), F.lit(label)) for label, words in least.items()])))
 
 
 def _holds(word: str):
@@ -100,5 +115,9 @@ def tiered_merge(sheet: Column, official: Column, news: Column, snippet: Column,
     """Higher tiers always; the lowest only where they are blank, thin, or cover the terms less than it does."""
     s, o, n, q = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (sheet, official, news, snippet))
     so_far = F.array_join(F.filter(F.array(s, o, n), lambda x: x != ""), " ")
-    weak = (F.length(so_far) < thin) | (hits(so_far, terms) == 0) | (hits(q, terms) > hits(so_far, terms))
-    return F.when((q != "") & weak, F.trim(F.concat_ws(" ", F.when(so_far != "", so_far), q))).otherwise(so_far)
+
+    def merged(x: Column) -> Column:
+        weak = (F.length(x.m) < thin) | (hits(x.m, terms) == 0) | (hits(x.q, terms) > hits(x.m, terms))
+        return F.when((x.q != "") & weak, F.trim(F.concat_ws(" ", F.when(x.m != "", x.m), x.q))).otherwise(x.m)
+
+    return bound(F.struct(so_far.alias("m"), q.alias("q")), merged)

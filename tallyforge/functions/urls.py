@@ -76,7 +76,7 @@ def candidate_score(url: Column, title: Column, body: Column, name: Column, offi
         + F.when(named, 18.0).otherwise(0.0)
         + F.when((official != "") & F.contains(u, official), 25.0).otherwise(0.0)
         + F.when(has_any(u, TRUSTED_PATH_WORDS), 5.0).otherwise(0.0)
-        - F.when(F.contains(u, F.lit(".pdf")), 80.0).otherwise(0.0)
+        - F.when(u.endswith(".pdf"), 80.0).otherwise(0.0)
         - F.when(F.contains(u, F.lit("linkedin.com/in/")), 25.0).otherwise(0.0)
         - F.when(has_any(u, SOCIAL_FRAGMENTS), 18.0).otherwise(0.0)
         - F.when(has_any(u, BLOCKED_FRAGMENTS), 10.0).otherwise(0.0)

@@ -5,15 +5,16 @@ Candidates are a DataFrame with the columns that each operator names; a profile
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tallyforge.functions.dates import recency_score
-from tallyforge.functions.fixed import FINAL_WEIGHTS, TERM_EXPANSION
-from tallyforge.functions.text import geography_matches, strings
+from tallyforge.functions.dates import parse_date, recency_score
+from tallyforge.functions.fixed import FINAL_WEIGHTS, INDUSTRY_NEEDLES, TERM_EXPANSION
+from tallyforge.functions.text import bound, contains_any, geography_matches, has_any, strings, tag_terms
 from tallyforge.functions.vectors import clamp01
 
 
@@ -62,17 +63,19 @@ def expand_terms(terms: Column) -> Column:
 
 
 def industry_alignment(profile_terms: Column, focus_terms: Column, investor_terms: Column) -> Column:
-    p = expand_terms(profile_terms)
-    common = F.size(F.array_intersect(investor_terms, p))
-    s = F.lit(0.20) + F.lit(0.60) * F.try_divide(common, F.size(p)) + F.lit(0.20) * F.try_divide(common, F.size(investor_terms))
-    broad = F.size(investor_terms) > F.greatest(F.lit(4), F.size(p) + 3)
-    return (
-        F.when(F.size(p) == 0, 0.0)
-        .when((F.size(focus_terms) > 0) & ~F.arrays_overlap(focus_terms, p), 0.0)
-        .when(F.size(investor_terms) == 0, 0.5)
-        .when(common == 0, 0.0)
-        .otherwise(F.least(F.lit(1.0), F.when(broad, F.least(s, F.lit(0.65))).otherwise(s)))
-    )
+    def scored(x: Column) -> Column:
+        common = F.size(F.array_intersect(x.own, x.p))
+        s = F.lit(0.20) + F.lit(0.60) * F.try_divide(common, F.size(x.p)) + F.lit(0.20) * F.try_divide(common, F.size(x.own))
+        broad = F.size(x.own) > F.greatest(F.lit(4), F.size(x.p) + 3)
+        return (
+            F.when(F.size(x.p) == 0, 0.0)
+            .when((F.size(x.focus) > 0) & ~F.arrays_overlap(x.focus, x.p), 0.0)
+            .when(F.size(x.own) == 0, 0.5)
+            .when(common == 0, 0.0)
+            .otherwise(F.least(F.lit(1.0), F.when(broad, F.least(s, F.lit(0.65))).otherwise(s)))
+        )
+
+    return bound(F.struct(bound(profile_terms, expand_terms).alias("p"), focus_terms.alias("focus"), investor_terms.alias("own")), scored)
 
 
 def semantic_fit(vector: Column, keyword: Column, industry: Column) -> Column:
@@ -120,11 +123,23 @@ def final_score() -> Column:
     return clamp01(sum((F.lit(w) * parts[n] for n, w in FINAL_WEIGHTS.items()), F.lit(0.0)))
 
 
-def shortlist(scored: DataFrame, key: str, k: int) -> DataFrame:
-    """Keys among the max(3k, 20) best by any of three scores, or with a warm path. Each list is a top-n of its own."""
+def shortlisted(scored: DataFrame, key: str, k: int) -> DataFrame:
+    """The rows among the max(3k, 20) best by any of three scores, or with a warm path, each once.
+
+    scored is read once: each row stands in three lists, and in one of its own where it has a warm path; the lists' limits
+    are applied before the shuffle, too.
+    """
     n = max(3 * k, 20)
-    lists = [scored.orderBy(F.desc(s), key).limit(n).select(key) for s in ("vector_score", "keyword_score", "industry_score")]
-    return lists[0].union(lists[1]).union(lists[2]).union(scored.filter("warm_paths > 0").select(key)).distinct()
+    lists = [F.struct(F.lit(s).alias("list"), F.lit(None).cast("string").alias("own"), F.col(s).alias("by")) for s in ("vector_score", "keyword_score", "industry_score")]
+    warm = F.when(F.col("warm_paths") > 0, F.struct(F.lit("warm").alias("list"), F.col(key).cast("string").alias("own"), F.lit(0.0).alias("by")))
+    each = scored.withColumn("_in", F.explode(F.array_compact(F.array(*lists, warm))))
+    w = W.Window.partitionBy("_in.list", "_in.own").orderBy(F.desc("_in.by"), key)
+    return each.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).dropDuplicates([key]).drop("_in", "_n")
+
+
+def shortlist(scored: DataFrame, key: str, k: int) -> DataFrame:
+    """The keys of the shortlisted rows."""
+    return shortlisted(scored.select(key, "vector_score", "keyword_score", "industry_score", "warm_paths"), key, k).select(key)
 
 
 def canonical(identifier: Column) -> Column:
@@ -143,18 +158,96 @@ def amount_text(x: Column) -> Column:
     return F.when(x >= 1e6, F.concat(F.lit("$"), F.format_string("%.1f", x / 1e6), F.lit("M"))).otherwise(F.concat(F.lit("$"), F.format_string("%.0f", x / 1e3), F.lit("K")))
 
 
+def _words(p: Profile) -> list[str]:
+    return sorted(set(re.sub(r"[^a-z\s]", "", p.industry.lower()).split()))
+
+
+def portfolio_hits(p: Profile, companies: Column) -> Column:
+    """How many companies have a word of the profile's industry in their names."""
+    return F.size(F.filter(companies, lambda c: contains_any(F.lower(c), p.industry.lower().split())))
+
+
+def last_activity(stated: Column, signals: Column) -> Column:
+    """The stated date of the last investment, else the newest date of an activity signal."""
+    dates = F.transform(F.filter(signals, lambda s: (s.source_type == "pitchbook_activity") & (s.date != "")), lambda s: parse_date(s.date))
+    return F.coalesce(parse_date(stated), F.array_max(dates))
+
+
+def aligned_with_texts(market: Column, industry: str, focus: Column, texts: list[Column]) -> Column:
+    """industry_alignment over labels tagged from texts: of the deal (industry and market), of the focus lists, and of these
+    with the investor's other texts."""
+    profile = F.array_distinct(F.concat(tag_terms(F.lit(industry), INDUSTRY_NEEDLES), tag_terms(market, INDUSTRY_NEEDLES)))
+    listed = F.array_join(F.coalesce(focus, strings([])), " ")
+    every = F.concat(listed, *[F.concat(F.lit(" "), F.coalesce(t, F.lit(""))) for t in texts])
+    return industry_alignment(profile, tag_terms(listed, INDUSTRY_NEEDLES), tag_terms(every, INDUSTRY_NEEDLES))
+
+
 def reasons(p: Profile) -> Column:
-    """Up to five reasons, in the order of the features, or the one for borderline fits."""
+    """Up to five reasons, in the order of the features, or the one for borderline fits.
+
+    Needs the features, industry_focus, stage_focus, check_min, check_max, geography, count_12m, and: investment_thesis, companies,
+    signals (structs with source_type, text, date), warm (texts of paths).
+    """
+    words, c = _words(p), F.col
     stages = F.array_join(F.transform(F.slice("stage_focus", 1, 3), lambda s: F.replace(s, F.lit("_"), F.lit(" "))), ", ")
-    low = F.when(F.col("check_min") > 0, amount_text(F.col("check_min"))).otherwise("open")
+    low = F.when(c("check_min") > 0, amount_text(c("check_min"))).otherwise("open")
+    focus = F.array_join(F.slice("industry_focus", 1, 3), ", ")
+    sentences = F.filter(F.transform(F.split(F.coalesce("investment_thesis", F.lit("")), "[.!?]"), lambda s: F.trim(s)), lambda s: F.length(s) > 20)
+    relevant = F.get(F.filter(sentences, lambda s: contains_any(F.lower(s), words)), F.lit(0))
+    has_focus = F.size("industry_focus") > 0
+    thesis = (
+        F.when((c("semantic_fit") >= 0.5) & (F.coalesce("investment_thesis", F.lit("")) != ""), F.when(relevant.isNotNull(), F.concat(F.lit('Thesis: "'), F.trim(F.substring(relevant, 1, 130)), F.lit('"'))).when(has_focus, F.concat(F.lit("Fund sector focus: "), focus)).otherwise(f"Semantic signal indicates strong {p.industry} alignment"))
+        .when((c("semantic_fit") >= 0.25) & has_focus, F.concat(F.lit("Sector overlap: "), focus))
+    )
+    near = F.filter("companies", lambda x: contains_any(F.lower(x), words))
+    portfolio = F.when(F.size(near) > 0, F.concat(F.lit("Portfolio includes adjacent bets: "), F.array_join(F.slice(near, 1, 3), ", "))).otherwise(F.concat(F.lit("Portfolio of "), F.size("companies"), F.lit(" companies shows sector exposure")))
+    deal = F.get(F.filter("signals", lambda s: (s.source_type == "pitchbook_activity") & (s.date != "")), F.lit(0))
+    company = F.get(F.transform(F.filter(F.transform(F.split(deal.text, r"\|"), lambda x: F.trim(x)), lambda x: x.startswith("company:")), lambda x: F.trim(F.substr(x, F.lit(9)))), F.lit(0))
+    month = F.substring(deal.date, 1, 7)
+    recent = F.when(c("count_12m") > 0, F.concat(F.lit("Actively deploying: "), c("count_12m"), F.lit(" deals in last 12 months"))).when(F.coalesce(company, F.lit("")) != "", F.concat(F.lit("Recent investment: "), company, F.lit(" ("), month, F.lit(")"))).when(deal.isNotNull(), F.concat(F.lit("Recent investment activity recorded ("), month, F.lit(")")))
+
+    def meets(g: Column) -> Column:
+        out = F.lit(False)
+        for own in p.geography:
+            out = out | F.contains(F.lower(g), F.lit(own.lower())) | F.contains(F.lit(own.lower()), F.lower(g))
+        return out
+
+    place = F.coalesce(F.get(F.filter("geography", meets), F.lit(0)), F.get("geography", F.lit(0)))
     found = F.array_compact(
         F.array(
-            F.when((F.col("semantic_fit") >= 0.25) & (F.size("industry_focus") > 0), F.concat(F.lit("Sector overlap: "), F.array_join(F.slice("industry_focus", 1, 3), ", "))),
-            F.when((F.col("stage_fit") >= 0.9) & (F.size("stage_focus") > 0), F.concat(F.lit(f"Invests at {p.stage.replace('_', ' ')} stage ("), stages, F.lit(")"))),
-            F.when((F.col("check_fit") >= 0.9) & (F.col("check_max") > 0), F.concat(F.lit("Cheque range "), low, F.lit("–"), amount_text(F.col("check_max")), F.lit(" fits a "), amount_text(F.lit(p.raise_amount)), F.lit(" raise"))),
-            F.when((F.col("portfolio_adjacency") >= 0.55) & (F.col("n_companies") > 0), F.concat(F.lit("Portfolio of "), F.col("n_companies"), F.lit(" companies shows sector exposure"))),
-            F.when((F.col("recent_activity") >= 0.7) & (F.col("count_12m") > 0), F.concat(F.lit("Actively deploying: "), F.col("count_12m"), F.lit(" deals in last 12 months"))),
-            F.when((F.col("geography_fit") >= 1.0) & (F.size("geography") > 0), F.concat(F.lit("Geographic focus includes "), F.get("geography", F.lit(0)))),
+            thesis,
+            F.when((c("stage_fit") >= 0.9) & (F.size("stage_focus") > 0), F.concat(F.lit(f"Invests at {p.stage.replace('_', ' ')} stage ("), stages, F.lit(")"))),
+            F.when((c("check_fit") >= 0.9) & (c("check_max") > 0), F.concat(F.lit("Cheque range "), low, F.lit("–"), amount_text(c("check_max")), F.lit(" fits a $"), amount_text(F.lit(p.raise_amount)), F.lit(" raise"))),
+            F.when((c("portfolio_adjacency") >= 0.55) & (F.size("companies") > 0), portfolio),
+            F.when(c("recent_activity") >= 0.7, recent),
+            F.when((c("geography_fit") >= 1.0) & (F.size("geography") > 0) & F.lit(bool(p.geography)), F.concat(F.lit("Geographic focus includes "), place)),
+            F.get("warm", F.lit(0)),
         )
     )
     return F.when(F.size(found) > 0, F.slice(found, 1, 5)).otherwise(F.array(F.lit("Passed eligibility filters; borderline fit — review manually")))
+
+
+def warnings() -> Column:
+    """What to check before outreach. Needs data_quality_confidence, email, linkedin_url."""
+    return F.array_compact(
+        F.array(
+            F.when(F.col("data_quality_confidence") < 0.75, "Data confidence moderate — verify before outreach"),
+            F.when(F.coalesce("email", F.lit("")) == "", "No email on file — research required"),
+            F.when(F.coalesce("linkedin_url", F.lit("")) == "", "No LinkedIn URL — verify identity before contacting"),
+        )
+    )
+
+
+def segment(p: Profile, thesis: Column, warm: Column) -> Column:
+    t, ai = F.lower(F.coalesce(thesis, F.lit(""))), "ai" in p.industry.lower()
+    return F.when(has_any(t, ("infrastructure", "developer")), "ai_infra" if ai else "deep_tech").when(has_any(t, ("application", "saas")), "ai_apps" if ai else "software").when(F.size(warm) > 0, "warm_network").otherwise("general_early_stage")
+
+
+def provenance(signals: Column) -> Column:
+    """Where the first three signals come from."""
+    return F.transform(F.slice(signals, 1, 3), lambda s: F.struct(s.source_type.alias("source_type"), s.source_url.alias("source_url"), s.date.alias("date"), s.confidence.alias("confidence")))
+
+
+def explanation(p: Profile) -> Column:
+    """Reasons, warnings, provenance and segment of a match, as one struct."""
+    return F.struct(reasons(p).alias("reasons"), warnings().alias("warnings"), provenance(F.col("signals")).alias("source_provenance"), segment(p, F.col("investment_thesis"), F.col("warm")).alias("match_segment"))

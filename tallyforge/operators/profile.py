@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from tallyforge.functions import urls as U
-from tallyforge.functions.fixed import ACTIVITY_SOURCES, ACTIVITY_TERMS, NEWS_FRAGMENTS, QUERY_KEYS, RECENT_VERBS, SITE_WORDS, SOCIAL_FRAGMENTS
+from tallyforge.functions.fixed import ACTIVITY_SOURCES, NEWS_FRAGMENTS, QUERY_KEYS, RECENT_VERBS, SITE_ACTIVITY_TERMS, SITE_WORDS, SOCIAL_FRAGMENTS
 from tallyforge.functions.text import has_any, hits, normalize_stage, stage_from_raise, strings
 
 
+NO_TRACTION = "Traction metrics pending detailed data room uploads; use placeholders until validated."
+
+
 def dollars(x: Column) -> Column:
     """Whole dollars with thousands separators; halves go to the even dollar."""
     return F.concat(F.lit("$"), F.format_number(F.bround(x).cast("long"), 0))
@@ -40,6 +44,7 @@ def deal_profile(d: DataFrame) -> DataFrame:
         F.when(some(c("problem")), c("problem")).otherwise(F.concat(c("company_name"), F.lit(" addresses a core problem in "), c("industry"), F.lit("."))).alias("problem"),
         F.coalesce("solution", F.lit("")).alias("solution"),
         F.concat(c("industry"), F.lit(" market opportunity. "), F.when(some(c("market_size")), c("market_size")).otherwise(F.concat(c("industry"), F.lit(" market opportunity.")))).alias("industry_market"),
+        (c("traction_metrics") if "traction_metrics" in d.columns else F.lit(NO_TRACTION)).alias("traction"),
         F.concat_ws(" ", raising, F.when(some(c("use_of_funds_breakdown")), F.concat(F.lit("Use of funds: "), c("use_of_funds_breakdown"))), worth).alias("raise_thesis"),
     )
 
@@ -106,8 +111,8 @@ def site_score(url: Column, title: Column, body: Column, name: Column) -> Column
 
 
 def recently_active(text: Column, newest_age: Column) -> Column:
-    """A date within a year and an activity term, or three terms and a verb."""
-    terms = hits(text, ACTIVITY_TERMS)
+    """A date within a year and a term of site activity, or three terms and a verb."""
+    terms = hits(text, SITE_ACTIVITY_TERMS)
     return F.coalesce((newest_age.between(0, 365) & (terms >= 1)), F.lit(False)) | ((terms >= 3) & has_any(text, RECENT_VERBS))
 
 
@@ -116,10 +121,18 @@ def query_keys(urls_found: Column, text: Column, least: int = 120) -> Column:
     return F.when((urls_found > 0) | (F.length(F.trim(text)) >= least), strings(QUERY_KEYS[:4])).otherwise(strings(QUERY_KEYS))
 
 
+OUTREACH = ("firm", "title", "email", "phone", "linkedin_url", "twitter_handle", "website", "investment_thesis", "portfolio_companies", "check_size_range", "source_tags", "data_quality_confidence", "last_verified_at")
+
+
 def outreach(ranked: DataFrame) -> DataFrame:
-    """Ranked matches (rank, key, name, score, reasons) as outreach rows: score of 100, half-even, first four reasons."""
-    why = F.array_join(F.slice("reasons", 1, 4), "; ")
-    return ranked.select("rank", "investor_id", "full_name", F.bround(F.col("score") * 100).cast("int").alias("fit_score"), F.when(why == "", "Hybrid matching score indicates strong fit.").otherwise(why).alias("why_good_fit"), F.round("score", 4).alias("final_score"))
+    """Ranked matches as outreach rows: score of 100 (half-even), the first four reasons, segment, provenance, first three
+    signals, paths, and the contact columns that ranked has. Needs rank, investor_id, full_name, score, explanation, signals, warm."""
+    why = F.array_join(F.slice("explanation.reasons", 1, 4), "; ")
+    return ranked.select(
+        "investor_id", "rank", "full_name", *[c for c in OUTREACH if c in ranked.columns], F.bround(F.col("score") * 100).cast("int").alias("fit_score"), F.when(why == "", "Hybrid matching score indicates strong fit.").otherwise(why).alias("why_good_fit"),
+        "explanation", F.col("explanation.source_provenance").alias("source_provenance"), F.slice("signals", 1, 3).alias("recent_signals"), F.col("warm").alias("warm_intro_paths"), F.size("warm").alias("n_warm"),
+        F.col("explanation.match_segment").alias("match_segment"), F.round("score", 4).alias("final_score"),
+    )
 
 
 def pending_wires(wires: Column) -> Column:
@@ -132,6 +145,32 @@ def first_non_empty(variants: DataFrame, key: str, order: str, value: str) -> Da
     return variants.filter(some(F.col(value))).groupBy(key).agg(F.min(F.struct(order, value)).alias("b")).select(key, F.col(f"b.{order}").alias(order), F.col(f"b.{value}").alias(value))
 
 
-def positional_join(left: DataFrame, right: DataFrame, left_pos: str, right_pos: str) -> DataFrame:
-    """The i-th row of one side with the i-th of the other where there is one; positions are columns, not row order."""
-    return left.join(right, F.col(left_pos) == F.col(right_pos), "left")
+def positions(rows: DataFrame, order: str, name: str = "pos") -> DataFrame:
+    """rows with their positions (from 0) by order, which is unique: ranges of order are counted, so no task numbers all rows."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a stated number of ranges, which adaptive execution leaves as they are
+    cut = rows.select(order).repartitionByRange(n, order).select(order, F.spark_partition_id().alias("_p"))
+    at = W.Window.partitionBy("_p").orderBy(order)
+    sizes = cut.groupBy("_p").agg(F.count("*").alias("_n"))
+    # one row for each partition of the shuffle
+    before = sizes.select("_p", (F.sum("_n").over(W.Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    placed = cut.withColumn("_i", F.row_number().over(at) - 1).join(F.broadcast(before), "_p").select(order, (F.col("_i") + F.col("_before")).cast("long").alias(name))
+    return rows.join(placed, order)
+
+
+def positional_join(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """The i-th row of one side with the i-th of the other where there is one, each side in its own (unique) order."""
+    return positions(left, left_order, "_i").join(positions(right, right_order, "_i"), "_i", "left").drop("_i")
+
+
+def portfolio_text(companies: Column) -> Column:
+    return F.array_join(F.coalesce(companies, strings([])), " ")
+
+
+def profile_artifacts(profiles: DataFrame, embed) -> DataFrame:
+    """deal_id, part, embedding for the five texts of a deal's profile that are embedded. embed: a frame (doc_id, text) to one
+    of (doc_id, embedding)."""
+    parts = ("company_core", "problem", "industry_market", "traction", "raise_thesis")
+    long = profiles.select("deal_id", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.coalesce(F.col(p), F.lit("")).alias("text")) for p in parts])).alias("x")).select("deal_id", "x.*")
+    keyed = long.withColumn("doc_id", F.concat(F.col("deal_id").cast("string"), F.lit("/"), "part"))
+    return keyed.join(embed(keyed.select("doc_id", "text")), "doc_id", "left").select("deal_id", "part", "embedding")

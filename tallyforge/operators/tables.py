@@ -63,23 +63,29 @@ def coverage(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(n.alias("total"), *[F.count(c).alias(f"n_{c}") for c in columns], *[F.round(F.try_divide(F.lit(100.0) * F.count(c), n), 1).alias(f"pct_{c}") for c in columns])
 
 
-def metadata_signals(company: Column, date: Column, counts: list[Column], fundraising: Column, today: str) -> Column:
-    """Up to three signal structs (source_type, text, date, confidence) from metadata columns."""
-    who, when = clean_text(company), clean_text(date)
-    day = F.when(when != "", when).otherwise(today)
-    texts = [clean_text(c) for c in counts]
-    some = F.lit(False)
-    for t in texts:
-        some = some | (t != "")
-
-    def signal(kind: str, text: Column, confidence: float) -> Column:
-        return F.struct(F.lit(kind).alias("source_type"), text.alias("text"), day.alias("date"), F.lit(confidence).alias("confidence"))
+def metadata_signals(meta: dict[str, Column], count_12m: Column, today: str) -> Column:
+    """Up to three signal structs out of metadata: the last investment, counts of activity, the fundraising outlook.
 
+    meta: last_company, last_date, last_type, last_size, total, five_years, two_years, active, fundraising, url (texts).
+    """
+    m = {k: clean_text(v) for k, v in meta.items()}
+    m = {k: F.when(F.lower(v) == "null", "").otherwise(v) for k, v in m.items()}
+
+    def part(label: str, value: Column) -> Column:
+        return F.when(value != "", F.concat(F.lit(f"{label}: "), value))
+
+    def signal(kind: str, text: Column, day: Column, confidence: float) -> Column:
+        return F.struct(F.lit(kind).alias("source_type"), text.alias("text"), m["url"].alias("source_url"), day.alias("date"), F.lit(confidence).alias("confidence"), F.lit("public").alias("visibility"))
+
+    deal = F.concat_ws(" | ", F.lit("Most recent PitchBook investment"), part("company", m["last_company"]), part("date", m["last_date"]), part("type", m["last_type"]), part("size", m["last_size"]))
+    many = F.when(F.coalesce(count_12m, F.lit(0)) != 0, F.concat(F.lit("investments past 12 months: "), count_12m.cast("string")))
+    counts = F.concat_ws(" | ", part("total investments", m["total"]), part("investments past 5 years", m["five_years"]), part("investments past 24 months", m["two_years"]), part("active portfolio companies", m["active"]), many)
+    now = F.lit(today)
     return F.array_compact(
         F.array(
-            F.when((who != "") | (when != ""), signal("activity", F.concat_ws(" | ", F.when(who != "", F.concat(F.lit("company: "), who)), F.when(when != "", F.concat(F.lit("date: "), when))), 0.85)),
-            F.when(some, signal("counts", F.concat_ws(" | ", *[F.when(t != "", t) for t in texts]), 0.80)),
-            F.when(clean_text(fundraising) != "", signal("fundraising", clean_text(fundraising), 0.75)),
+            F.when((m["last_company"] != "") | (m["last_date"] != ""), signal("pitchbook_activity", deal, F.when(m["last_date"] != "", m["last_date"]).otherwise(now), 0.85)),
+            F.when(counts != "", signal("pitchbook_activity_count", F.concat(F.lit("PitchBook activity counts | "), counts), now, 0.80)),
+            F.when(m["fundraising"] != "", signal("fundraising_status", F.concat(F.lit("PitchBook fundraising outlook: "), m["fundraising"]), now, 0.75)),
         )
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tallyforge.functions.fixed import FUSION_WEIGHTS
+from tallyforge.functions.text import bound
 from tallyforge.functions.vectors import cosine_unit
 
 
@@ -32,11 +33,30 @@ def late_fusion(found: DataFrame, every: DataFrame, key: str) -> DataFrame:
     return every.select(key).join(best, key, "left").select(key, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in FUSION_WEIGHTS], F.round(fused, 6).alias("vector_score"))
 
 
+def scored_by_namespace(vectors: DataFrame, queries: DataFrame, score=cosine_unit) -> DataFrame:
+    """vectors (namespace, record, embedding) scored against the query vector of their namespace. queries: namespace, q; one
+    row a namespace, so it is broadcast."""
+    return vectors.join(F.broadcast(queries.select("namespace", "q")), "namespace").withColumn("score", F.round(score(F.col("embedding"), F.col("q")), 6)).drop("q")
+
+
+def upsert_columns(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
+    """old with one column set from new where it has the key; keys that old lacks are added, with what else new has. All
+    other columns of rows that are there stay as they are."""
+    own = new.select(key, F.col(column).alias("_new"))
+    kept = old.join(own, key, "left").select(*[F.coalesce("_new", column).alias(column) if c == column else F.col(c) for c in old.columns])
+    return kept.unionByName(new.join(old.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """new, and the rows of old whose keys it does not have."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def in_place(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """The last version of each key, with the place (first version) at which the key came in."""
+    return last_wins(rows, keys, version).join(rows.groupBy(*keys).agg(F.min(version).alias("place")), keys)
+
+
 def last_wins(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     w = W.Window.partitionBy(*keys).orderBy(F.desc(version))
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
@@ -52,16 +72,31 @@ def metadata_matches(conditions: dict[str, object], arrays: set[str] = frozenset
 
 
 def hash_embedding(docs: DataFrame, dim: int = 96) -> DataFrame:
-    """doc_id, i, x: unit vectors of signed feature hashing, in long form without zeros; token multiplicity counts."""
+    """doc_id, i, x: unit vectors of signed feature hashing, in long form without zeros; token multiplicity counts.
+
+    All of a text's sums are made within its row, so nothing is shuffled. Weights are twentieths, summed as whole numbers.
+    """
     t = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([a-zA-Z0-9_#+.-]+)"), F.lit(1))
-    h = F.sha2("token", 256)
-    i = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim))
-    sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    # equal tokens of one text are hashed once
-    each = docs.select("doc_id", F.explode(t).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n")).select("doc_id", i.alias("i"), (sign * (1.0 + F.length("token") / 20.0) * F.col("n")).alias("x"))
-    cells = each.groupBy("doc_id", "i").agg(F.sum(F.col("x").cast("decimal(20,6)")).cast("double").alias("x"))
-    norm = cells.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return cells.join(norm, "doc_id").filter("x <> 0").select("doc_id", "i", F.round(F.col("x") / F.col("norm"), 6).alias("x"))
+
+    def cell(token: Column) -> Column:
+        def placed(h: Column) -> Column:
+            i = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim))
+            sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+            return F.struct(i.alias("i"), (sign * (20 + F.length(token))).cast("long").alias("x"))
+
+        return bound(F.sha2(token, 256), placed)
+
+    def total(cells: Column, i: Column) -> Column:
+        return F.aggregate(F.filter(cells, lambda c: c.i == i), F.lit(0).cast("long"), lambda a, c: a + c.x)
+
+    def summed(cells: Column) -> Column:
+        return F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.struct(i.alias("i"), (total(cells, i) / 20).alias("x"))), lambda c: c.x != 0)
+
+    def unit(sums: Column) -> Column:
+        norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, c: a + c.x * c.x))
+        return bound(norm, lambda n: F.transform(sums, lambda c: F.struct(c.i.alias("i"), F.round(c.x / n, 6).alias("x"))))
+
+    return docs.select("doc_id", F.inline(bound(bound(F.transform(t, cell), summed), unit)))
 
 
 def dense(cells: DataFrame, dim: int = 96) -> DataFrame:

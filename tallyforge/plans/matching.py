@@ -10,7 +10,7 @@ from tallyforge.functions.dates import recency_score
 from tallyforge.functions.fixed import INDUSTRY_NEEDLES
 from tallyforge.functions.text import geography_matches, strings, tag_terms, tokens
 from tallyforge.operators import matching as M
-from tallyforge.plans.book import Book, sql_any, table
+from tallyforge.plans.book import Book, quoted, sql_any, table
 from tallyforge.plans.vectors import SCORED, fused
 
 book = Book()
@@ -25,7 +25,8 @@ inv AS (SELECT c_custkey, c_name, c_mktsegment AS segment, CASE WHEN c_custkey %
     CASE WHEN c_acctbal < -500 THEN 'inactive' ELSE 'active' END AS status, CASE WHEN c_custkey % 11 = 0 THEN [c_mktsegment] ELSE [] END AS exclusions,
     CASE c_custkey % 4 WHEN 0 THEN ['seed'] WHEN 1 THEN ['series_a'] WHEN 2 THEN ['seed', 'series_a'] ELSE ['growth'] END AS stage_focus,
     CASE WHEN c_mktsegment = 'FURNITURE' THEN ['crypto'] ELSE [] END AS thesis_terms,
-    (c_acctbal + 1000) / 11000 AS quality, (c_custkey % 5)::INT AS n_companies, (c_custkey % 4)::INT AS portfolio_hits, (CASE WHEN c_custkey % 49 = 0 THEN 2 WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END)::INT AS warm_paths,
+    (c_acctbal + 1000) / 11000 AS quality, (c_custkey % 5)::INT AS n_companies, list_transform(range(c_custkey % 5), lambda i: CASE WHEN (i + c_custkey) % 3 = 0 THEN 'Building Works ' ELSE 'Trading ' END || i) AS companies,
+    len(list_filter(range(c_custkey % 5), lambda i: (i + c_custkey) % 3 = 0)) AS portfolio_hits, (CASE WHEN c_custkey % 49 = 0 THEN 2 WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END)::INT AS warm_paths,
     c_mktsegment AS focus
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN o ON o_custkey = c_custkey),
 g AS (SELECT *, len(list_filter(geography, lambda x: contains('global|america|united states', x))) > 0 OR list_contains(geography, 'united states') AS geo_ok FROM inv),
@@ -40,6 +41,8 @@ def investors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), F.max(F.col("o_orderdate").cast("date")).alias("last_date"), F.count_if(F.col("o_orderdate").cast("date") > F.date_sub(DEAL.date, 365)).alias("n12")
     )
     key = F.col("c_custkey")
+    several = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")), lambda i: i < key % 5)
+    companies = F.transform(several, lambda i: F.concat(F.when((i + key) % 3 == 0, "Building Works ").otherwise("Trading "), i))
     stages = F.when(key % 4 == 0, strings(["seed"])).when(key % 4 == 1, strings(["series_a"])).when(key % 4 == 2, strings(["seed", "series_a"])).otherwise(strings(["growth"]))
     return (
         table(spark, sf_dir, "customer")
@@ -53,7 +56,7 @@ def investors(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("c_acctbal") < -500, "inactive").otherwise("active").alias("status"),
             F.when(key % 11 == 0, F.array("c_mktsegment")).otherwise(strings([])).alias("exclusions"),
             stages.alias("stage_focus"), F.when(F.col("c_mktsegment") == "FURNITURE", strings(["crypto"])).otherwise(strings([])).alias("thesis_terms"),
-            ((F.col("c_acctbal") + 1000) / 11000).alias("quality"), (key % 5).cast("int").alias("n_companies"), (key % 4).cast("int").alias("portfolio_hits"),
+            ((F.col("c_acctbal") + 1000) / 11000).alias("quality"), (key % 5).cast("int").alias("n_companies"), companies.alias("companies"), M.portfolio_hits(DEAL, companies).alias("portfolio_hits"),
             F.when(key % 49 == 0, 2).when(key % 7 == 0, 1).otherwise(0).alias("warm_paths"), F.array("c_mktsegment").alias("industry_focus"),
         )
     )
@@ -205,36 +208,101 @@ def stage2_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @book.query(f"WITH {FEATURES}, {SHORT} SELECT row_number() OVER (ORDER BY score DESC, c_custkey)::INT AS rank, c_custkey, c_name, score, round(semantic_fit, 6) AS semantic_fit, round(recent_activity, 6) AS recent_activity FROM fin SEMI JOIN short USING (c_custkey) ORDER BY score DESC, c_custkey LIMIT 20")
 def hybrid_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = featured(spark, sf_dir).select("c_custkey", "c_name", "score", "vector_score", "keyword_score", "industry_score", "warm_paths", "semantic_fit", "recent_activity")
-    kept = rows.join(M.shortlist(rows, "c_custkey", 20), "c_custkey", "left_semi")
-    return M.ranked(kept, "c_custkey", 20).select("rank", "c_custkey", "c_name", "score", F.round("semantic_fit", 6).alias("semantic_fit"), F.round("recent_activity", 6).alias("recent_activity"))
+    return M.ranked(M.shortlisted(rows, "c_custkey", 20), "c_custkey", 20).select("rank", "c_custkey", "c_name", "score", F.round("semantic_fit", 6).alias("semantic_fit"), F.round("recent_activity", 6).alias("recent_activity"))
 
 
 def _amount(x: str) -> str:
     return f"(CASE WHEN {x} >= 1e6 THEN '$' || printf('%.1f', {x} / 1e6) || 'M' ELSE '$' || printf('%.0f', {x} / 1e3) || 'K' END)"
 
 
+THESES = ["", "We back building companies across the country. Short one.", "Infrastructure for developer teams is our main focus! Other.", "We like saas application makers. Nothing else matters here"]
+DESCRIBED = f"""d AS (SELECT *, [{quoted(THESES)}][(c_custkey % 4 + 1)::INT] AS thesis, CASE WHEN c_custkey % 2 = 0 THEN c_name || '@x.com' ELSE '' END AS email, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'in/' || c_custkey END AS linkedin,
+  CASE c_custkey % 3 WHEN 0 THEN [{{'k': 'pitchbook_activity', 't': 'Most recent | company: Acme Co | x', 'd': '2002-05-01'}}] WHEN 1 THEN [{{'k': 'google_news', 't': 'n', 'd': ''}}, {{'k': 'pitchbook_activity', 't': 'no name here', 'd': '2002-04-02'}}] ELSE [] END AS signals FROM fin),
+n AS (SELECT *, list_filter(list_transform(string_split_regex(thesis, '[.!?]'), lambda x: trim(x)), lambda x: length(x) > 20 AND contains(lower(x), 'building'))[1] AS rel, list_filter(companies, lambda x: contains(lower(x), 'building')) AS near,
+  list_filter(signals, lambda x: x.k = 'pitchbook_activity' AND x.d <> '')[1] AS deal FROM d)"""
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """rows with the texts, contacts, signals and paths that an explanation tells of."""
+    k = F.col("c_custkey")
+    sig = "array<struct<source_type:string,text:string,source_url:string,date:string,confidence:double>>"
+
+    def one(kind: str, text: str, day: str) -> F.Column:
+        return F.struct(F.lit(kind).alias("source_type"), F.lit(text).alias("text"), F.lit("").alias("source_url"), F.lit(day).alias("date"), F.lit(0.8).alias("confidence"))
+
+    signals = F.when(k % 3 == 0, F.array(one("pitchbook_activity", "Most recent | company: Acme Co | x", "2002-05-01"))).when(k % 3 == 1, F.array(one("google_news", "n", ""), one("pitchbook_activity", "no name here", "2002-04-02"))).otherwise(F.array().cast(sig))
+    warm = F.transform(F.filter(F.sequence(F.lit(1), F.lit(2)), lambda i: i <= F.col("warm_paths")), lambda i: F.concat(F.lit("Warm path "), i))
+    return rows.withColumns({"investment_thesis": F.get(F.array(*map(F.lit, THESES)), (k % 4).cast("int")), "email": F.when(k % 2 == 0, F.concat("c_name", F.lit("@x.com"))).otherwise(""), "linkedin_url": F.when(k % 5 != 0, F.concat(F.lit("in/"), k)), "signals": signals, "warm": warm})
+
+
 @book.query(
-    f"""WITH {FEATURES},
-r AS (SELECT c_custkey, list_filter([CASE WHEN semantic_fit >= 0.25 THEN 'Sector overlap: ' || focus END,
+    f"""WITH {FEATURES}, {DESCRIBED},
+r AS (SELECT *, list_filter([CASE WHEN semantic_fit >= 0.5 AND thesis <> '' THEN CASE WHEN rel IS NOT NULL THEN 'Thesis: "' || trim(substr(rel, 1, 130)) || '"' ELSE 'Fund sector focus: ' || focus END WHEN semantic_fit >= 0.25 THEN 'Sector overlap: ' || focus END,
   CASE WHEN stage_fit >= 0.9 THEN 'Invests at series a stage (' || replace(array_to_string(stage_focus, ', '), '_', ' ') || ')' END,
-  CASE WHEN check_fit >= 0.9 AND check_max > 0 THEN 'Cheque range ' || CASE WHEN check_min > 0 THEN {_amount('check_min')} ELSE 'open' END || '–' || {_amount('check_max')} || ' fits a ' || {_amount('100000000.0')} || ' raise' END,
-  CASE WHEN portfolio_adjacency >= 0.55 AND n_companies > 0 THEN 'Portfolio of ' || n_companies || ' companies shows sector exposure' END,
-  CASE WHEN recent_activity >= 0.7 AND count_12m > 0 THEN 'Actively deploying: ' || count_12m || ' deals in last 12 months' END,
-  CASE WHEN geography_fit >= 1.0 THEN 'Geographic focus includes ' || geography[1] END], lambda x: x IS NOT NULL) AS l FROM fin)
-SELECT c_custkey, CASE WHEN len(l) > 0 THEN array_to_string(l[1:5], '; ') ELSE 'Passed eligibility filters; borderline fit — review manually' END AS reasons FROM r"""
+  CASE WHEN check_fit >= 0.9 AND check_max > 0 THEN 'Cheque range ' || CASE WHEN check_min > 0 THEN {_amount('check_min')} ELSE 'open' END || '–' || {_amount('check_max')} || ' fits a $' || {_amount('100000000.0')} || ' raise' END,
+  CASE WHEN portfolio_adjacency >= 0.55 AND len(companies) > 0 THEN CASE WHEN len(near) > 0 THEN 'Portfolio includes adjacent bets: ' || array_to_string(near[1:3], ', ') ELSE 'Portfolio of ' || len(companies) || ' companies shows sector exposure' END END,
+  CASE WHEN recent_activity >= 0.7 THEN CASE WHEN count_12m > 0 THEN 'Actively deploying: ' || count_12m || ' deals in last 12 months' WHEN contains(deal.t, 'company:') THEN 'Recent investment: Acme Co (' || deal.d[1:7] || ')' WHEN deal IS NOT NULL THEN 'Recent investment activity recorded (' || deal.d[1:7] || ')' END END,
+  CASE WHEN geography_fit >= 1.0 THEN 'Geographic focus includes ' || coalesce(list_filter(geography, lambda g: contains(lower(g), 'america') OR contains('america', lower(g)))[1], geography[1]) END, CASE WHEN warm_paths > 0 THEN 'Warm path 1' END], lambda x: x IS NOT NULL) AS l FROM n)
+SELECT c_custkey, CASE WHEN len(l) > 0 THEN array_to_string(l[1:5], '; ') ELSE 'Passed eligibility filters; borderline fit — review manually' END AS reasons,
+  array_to_string(list_filter([CASE WHEN data_quality_confidence < 0.75 THEN 'Data confidence moderate — verify before outreach' END, CASE WHEN email = '' THEN 'No email on file — research required' END, CASE WHEN linkedin IS NULL THEN 'No LinkedIn URL — verify identity before contacting' END], lambda x: x IS NOT NULL), '; ') AS warnings,
+  CASE WHEN contains(lower(thesis), 'infrastructure') OR contains(lower(thesis), 'developer') THEN 'deep_tech' WHEN contains(lower(thesis), 'application') OR contains(lower(thesis), 'saas') THEN 'software' WHEN warm_paths > 0 THEN 'warm_network' ELSE 'general_early_stage' END AS segment,
+  array_to_string(list_transform(signals, lambda x: x.k || '@' || x.d), ',') AS provenance FROM r"""
 )
 def match_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return featured(spark, sf_dir).select("c_custkey", F.array_join(M.reasons(DEAL), "; ").alias("reasons"))
+    rows = described(featured(spark, sf_dir)).select("c_custkey", M.explanation(DEAL).alias("e"))
+    found = F.array_join(F.transform("e.source_provenance", lambda x: F.concat(x.source_type, F.lit("@"), x.date)), ",")
+    return rows.select("c_custkey", F.array_join("e.reasons", "; ").alias("reasons"), F.array_join("e.warnings", "; ").alias("warnings"), F.col("e.match_segment").alias("segment"), found.alias("provenance"))
 
 
 @book.query(
     f"""WITH {FEATURES}, {SHORT}
-SELECT (SELECT count(*) FROM inv) AS n_candidates, (SELECT count(*) FROM fin) AS n_eligible, (SELECT count(*) FROM elig WHERE reject_reason IS NOT NULL) AS n_rejected, (SELECT count(*) FROM short) AS n_shortlist"""
+SELECT (SELECT count(*) FROM inv) AS n_candidates, (SELECT count(*) FROM fin) AS n_eligible, (SELECT count(*) FROM elig WHERE reject_reason IS NOT NULL) AS n_rejected, (SELECT count(*) FROM short) AS n_shortlist, (SELECT least(20, count(*)) FROM short) AS n_ranked"""
 )
 def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = judged(spark, sf_dir).agg(F.count("*").alias("n_candidates"), F.count_if(F.col("reject_reason").isNull()).alias("n_eligible"), F.count("reject_reason").alias("n_rejected"))
-    short = M.shortlist(featured(spark, sf_dir), "c_custkey", 20).agg(F.count("*").alias("n_shortlist"))
-    return counts.crossJoin(short)  # one row each
+    short = M.shortlist(featured(spark, sf_dir), "c_custkey", 20)
+    ranked = short.groupBy(M.canonical(F.col("c_custkey")).alias("c")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_shortlist"), F.least(F.lit(20), F.count("*")).alias("n_ranked"))
+    return counts.crossJoin(ranked)  # one row each
+
+
+@book.query(
+    f"""WITH x AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN '2001-05-06' WHEN 1 THEN 'nonsense' WHEN 2 THEN '' END AS stated, CASE WHEN c_custkey % 3 = 0 THEN DATE '2002-04-02' WHEN c_custkey % 3 = 1 THEN DATE '2002-05-01' END AS signalled FROM customer),
+y AS (SELECT k, coalesce(CASE WHEN k % 4 = 0 THEN stated::DATE END, signalled) AS d FROM x) SELECT k AS c_custkey, d AS last_date, {TIER.format(d='d', a=AS_OF)} AS recency FROM y"""
+)
+def last_activity_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated date of the last investment, else the newest one of the activity signals."""
+    k = F.col("c_custkey")
+
+    def one(kind: str, day: str) -> F.Column:
+        return F.struct(F.lit(kind).alias("source_type"), F.lit(day).alias("date"))
+
+    a, b, c = one("pitchbook_activity", "02-Apr-2002"), one("pitchbook_activity", "2002/05/01"), one("google_news", "2002-05-30")
+    signals = F.when(k % 3 == 0, F.array(a, c)).when(k % 3 == 1, F.array(a, b)).otherwise(F.array(c))
+    stated = F.when(k % 4 == 0, "2001-05-06").when(k % 4 == 1, "nonsense").when(k % 4 == 2, "")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", M.last_activity(stated, signals).alias("last_date"))
+    return rows.withColumn("recency", recency_score(F.col("last_date"), DEAL.date))
+
+
+FOCUS = ["Fintech", "Retail", "Aerospace", ""]
+NOTES = ["payments and lending", "we back solar power", "", "saas workflow", "medical devices"]
+
+
+def _terms(text: str) -> str:
+    return _tags(text)
+
+
+@book.query(
+    f"""WITH x AS (SELECT p_partkey, [{quoted(FOCUS)}][(p_partkey % 4 + 1)::INT] AS f, [{quoted(NOTES)}][(p_partkey % 5 + 1)::INT] || ' ' || p_type AS t FROM part),
+y AS (SELECT p_partkey, ['fintech', 'consumer', 'enterprise_software'] AS p, {_terms('f')} AS focus, {_terms("(f || ' ' || t)")} AS own FROM x), z AS (SELECT *, len(list_intersect(own, p)) AS n FROM y)
+SELECT p_partkey, CASE WHEN len(focus) > 0 AND NOT list_has_any(focus, p) THEN 0.0 WHEN len(own) = 0 THEN 0.5 WHEN n = 0 THEN 0.0 ELSE round(least(1.0, CASE WHEN len(own) > 6 THEN least(0.65, 0.2 + 0.6 * n / 3.0 + 0.2 * n / len(own)) ELSE 0.2 + 0.6 * n / 3.0 + 0.2 * n / len(own) END), 6) END::DOUBLE AS industry_score FROM z"""
+)
+def alignment_from_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well investors' focus and texts agree with a deal's industry and market, by tagged labels."""
+    k = F.col("p_partkey")
+    focus = F.get(F.array(*map(F.lit, FOCUS)), (k % 4).cast("int"))
+    note = F.concat(F.get(F.array(*map(F.lit, NOTES)), (k % 5).cast("int")), F.lit(" "), "p_type")
+    score = M.aligned_with_texts(F.lit("payments for retail stores"), "Fintech", F.array(focus), [note])
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("industry_score"))
 
 
 @book.query("WITH x AS (SELECT c_custkey, c_name || CASE WHEN c_custkey % 3 = 0 THEN '__dup' || (c_custkey % 5 + 2) ELSE '' END AS id, c_acctbal AS score FROM customer UNION ALL SELECT c_custkey, c_name, c_acctbal - 1 FROM customer WHERE c_custkey % 3 = 0) SELECT regexp_replace(id, '__dup\\d+$', '') AS canonical_id, max(score) AS score FROM x GROUP BY 1")

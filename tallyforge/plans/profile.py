@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.fixed import ACTIVITY_TERMS, NEWS_FRAGMENTS, QUERY_KEYS, RECENT_VERBS, SITE_WORDS, SOCIAL_FRAGMENTS
+from tallyforge.functions.fixed import NEWS_FRAGMENTS, QUERY_KEYS, RECENT_VERBS, SITE_ACTIVITY_TERMS, SITE_WORDS, SOCIAL_FRAGMENTS
 from tallyforge.functions.text import strings
+from tallyforge.operators import candidates as C
 from tallyforge.operators import matching as M
 from tallyforge.operators import profile as P
 from tallyforge.plans.book import Book, quoted, sql_any, sql_hits, table
-from tallyforge.plans.matching import DEAL, FEATURES, SHORT, featured
+from tallyforge.plans.matching import DEAL, DESCRIBED, FEATURES, SHORT, _amount, described, featured
 
 book = Book()
 
@@ -81,7 +82,7 @@ def official_site_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.query(
     f"""WITH x AS (SELECT doc_id, lower(text) || CASE doc_id % 3 WHEN 0 THEN ' led a funding round' WHEN 1 THEN ' portfolio' ELSE '' END AS t, CASE WHEN doc_id % 4 = 0 THEN (doc_id % 500)::INT END AS age, (doc_id % 2)::INT AS n FROM documents)
-SELECT doc_id, coalesce(age BETWEEN 0 AND 365 AND {sql_hits('t', ACTIVITY_TERMS)} >= 1, false) OR ({sql_hits('t', ACTIVITY_TERMS)} >= 3 AND {sql_any('t', RECENT_VERBS)}) AS active, CASE WHEN n > 0 OR length(trim(t)) >= 120 THEN {quoted([','.join(QUERY_KEYS[:4])])} ELSE {quoted([','.join(QUERY_KEYS)])} END AS query_keys FROM x"""
+SELECT doc_id, coalesce(age BETWEEN 0 AND 365 AND {sql_hits('t', SITE_ACTIVITY_TERMS)} >= 1, false) OR ({sql_hits('t', SITE_ACTIVITY_TERMS)} >= 3 AND {sql_any('t', RECENT_VERBS)}) AS active, CASE WHEN n > 0 OR length(trim(t)) >= 120 THEN {quoted([','.join(QUERY_KEYS[:4])])} ELSE {quoted([','.join(QUERY_KEYS)])} END AS query_keys FROM x"""
 )
 def search_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
@@ -90,11 +91,22 @@ def search_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", P.recently_active(F.col("t"), F.col("age")).alias("active"), F.array_join(P.query_keys(F.col("n"), F.col("t")), ",").alias("query_keys"))
 
 
-@book.query(f"WITH {FEATURES}, {SHORT}, r AS (SELECT row_number() OVER (ORDER BY score DESC, c_custkey)::INT AS rank, c_custkey::VARCHAR AS investor_id, c_name AS full_name, score FROM fin SEMI JOIN short USING (c_custkey)) SELECT rank, investor_id, full_name, round_even(score * 100, 0)::INT AS fit_score, round(score, 4) AS final_score FROM r WHERE rank <= 20")
+@book.query(
+    f"""WITH {FEATURES}, {SHORT}, {DESCRIBED}, best AS (SELECT *, row_number() OVER (ORDER BY score DESC, c_custkey)::INT AS rank FROM n SEMI JOIN short USING (c_custkey) QUALIFY rank <= 20),
+r AS (SELECT *, list_filter([CASE WHEN semantic_fit >= 0.5 AND thesis <> '' THEN CASE WHEN rel IS NOT NULL THEN 'Thesis: "' || trim(substr(rel, 1, 130)) || '"' ELSE 'Fund sector focus: ' || focus END WHEN semantic_fit >= 0.25 THEN 'Sector overlap: ' || focus END,
+  CASE WHEN stage_fit >= 0.9 THEN 'Invests at series a stage (' || replace(array_to_string(stage_focus, ', '), '_', ' ') || ')' END,
+  CASE WHEN check_fit >= 0.9 AND check_max > 0 THEN 'Cheque range ' || CASE WHEN check_min > 0 THEN {_amount('check_min')} ELSE 'open' END || '–' || {_amount('check_max')} || ' fits a $' || {_amount('100000000.0')} || ' raise' END,
+  CASE WHEN portfolio_adjacency >= 0.55 AND len(companies) > 0 THEN CASE WHEN len(near) > 0 THEN 'Portfolio includes adjacent bets: ' || array_to_string(near[1:3], ', ') ELSE 'Portfolio of ' || len(companies) || ' companies shows sector exposure' END END,
+  CASE WHEN recent_activity >= 0.7 THEN CASE WHEN count_12m > 0 THEN 'Actively deploying: ' || count_12m || ' deals in last 12 months' WHEN contains(deal.t, 'company:') THEN 'Recent investment: Acme Co (' || deal.d[1:7] || ')' WHEN deal IS NOT NULL THEN 'Recent investment activity recorded (' || deal.d[1:7] || ')' END END,
+  CASE WHEN geography_fit >= 1.0 THEN 'Geographic focus includes ' || coalesce(list_filter(geography, lambda g: contains(lower(g), 'america') OR contains('america', lower(g)))[1], geography[1]) END, CASE WHEN warm_paths > 0 THEN 'Warm path 1' END], lambda x: x IS NOT NULL) AS l FROM best)
+SELECT rank, c_custkey::VARCHAR AS investor_id, c_name AS full_name, round_even(score * 100, 0)::INT AS fit_score, CASE WHEN len(l) > 0 THEN array_to_string(l[1:4], '; ') ELSE 'Passed eligibility filters; borderline fit — review manually' END AS why_good_fit,
+  CASE WHEN contains(lower(thesis), 'infrastructure') OR contains(lower(thesis), 'developer') THEN 'deep_tech' WHEN contains(lower(thesis), 'application') OR contains(lower(thesis), 'saas') THEN 'software' WHEN warm_paths > 0 THEN 'warm_network' ELSE 'general_early_stage' END AS match_segment,
+  warm_paths AS n_warm, round(score, 4) AS final_score FROM r"""
+)
 def outreach_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = featured(spark, sf_dir).withColumn("reasons", M.reasons(DEAL)).select("c_custkey", "c_name", "score", "vector_score", "keyword_score", "industry_score", "warm_paths", "reasons")
-    best = M.ranked(rows.join(M.shortlist(rows, "c_custkey", 20), "c_custkey", "left_semi"), "c_custkey", 20)
-    return P.outreach(best.select("rank", F.col("c_custkey").cast("string").alias("investor_id"), F.col("c_name").alias("full_name"), "score", "reasons")).drop("why_good_fit")
+    best = M.ranked(M.shortlisted(featured(spark, sf_dir), "c_custkey", 20), "c_custkey", 20)
+    rows = described(best).withColumn("explanation", M.explanation(DEAL)).withColumns({"investor_id": F.col("c_custkey").cast("string"), "full_name": F.col("c_name")})
+    return P.outreach(rows).select("rank", "investor_id", "full_name", "fit_score", "why_good_fit", "match_segment", "n_warm", "final_score")
 
 
 @book.query("SELECT o_orderkey, (CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END + 1)::INT AS n_pending, (o_orderkey % 4 = 0) AS needs_approval FROM orders")
@@ -103,7 +115,7 @@ def wires_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     wires = F.array(F.struct(F.when(k % 3 == 0, "completed").otherwise("pending").alias("status")), F.struct(F.lit(None).cast("string").alias("status")))
     status = F.when(k % 4 == 0, "client_confirmed").otherwise("pending")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.size(P.pending_wires(wires)).alias("n_pending"), status.isin("client_confirmed", "investor_confirmed").alias("needs_approval"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.size(P.pending_wires(wires)).alias("n_pending"), C.needs_approval(status).alias("needs_approval"))
 
 
 @book.query("SELECT user_id, min(event_id) FILTER (props <> '' AND event_type <> 'view') AS event_id, arg_min(props, event_id) FILTER (props <> '' AND event_type <> 'view') AS props FROM events GROUP BY user_id HAVING count(*) FILTER (props <> '' AND event_type <> 'view') > 0")
@@ -112,10 +124,11 @@ def first_non_empty_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.first_non_empty(rows, "user_id", "event_id", "props")
 
 
-@book.query("SELECT doc_id, item_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) LEFT JOIN benchmark ON item_id = i")
+@book.query("SELECT doc_id, item_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM labels) LEFT JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM (SELECT item_id * item_id AS item_id FROM benchmark)) USING (i)")
 def positional_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of documents run from 0 without gaps, so the id is the position."""
-    return P.positional_join(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "benchmark").select("item_id"), "doc_id", "item_id")
+    """The i-th labelled document with the i-th item; ids of both have gaps."""
+    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") * F.col("item_id")).alias("item_id"))
+    return P.positional_join(table(spark, sf_dir, "labels").select("doc_id"), items, "doc_id", "item_id")
 
 
 @book.query("SELECT c.conv_id, c.turn, coalesce(u.status, 'keep') AS status FROM conversations c LEFT JOIN (SELECT conv_id, turn, 'discard' AS status FROM conversations WHERE turn % 5 = 3) u USING (conv_id, turn)")

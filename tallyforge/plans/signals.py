@@ -166,20 +166,3 @@ def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probability_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.range(101).select(F.col("id").cast("int").alias("score"), F.explode(F.array(*map(F.lit, ("Low", "Medium", "High")))).alias("confidence"))
     return rows.withColumn("probability", S.probability(F.col("score"), F.col("confidence")))
-
-
-@book.query("SELECT user_id, max(ts)::DATE AS newest, count(*) FILTER (event_type = 'purchase') AS purchases FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY user_id")
-def evidence_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").filter(F.col("ts") <= F.lit("2024-01-20 00:00:00").cast("timestamp"))
-    return rows.groupBy("user_id").agg(F.max("ts").cast("date").alias("newest"), F.count_if(F.col("event_type") == "purchase").alias("purchases"))
-
-
-@book.query(
-    f"""WITH {REPORT} SELECT c_custkey, array_to_string(list_sort(list_filter([CASE WHEN site = '' THEN 'no_website_evidence' END, CASE WHEN last_date IS NULL THEN 'no_dated_investment' END, CASE WHEN low IS NULL AND high IS NULL THEN 'no_check_size' END, CASE WHEN place = '' THEN 'no_location' END], lambda x: x IS NOT NULL)), ',') AS codes,
-  CASE WHEN site = '' AND place = '' THEN 'failed' WHEN site = '' OR place = '' THEN 'degraded' ELSE 'ok' END AS status FROM r4"""
-)
-def reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = evidence(spark, sf_dir)
-    no_site, no_place = F.col("site") == "", F.col("place") == ""
-    codes = F.array_sort(F.array_compact(F.array(F.when(no_site, "no_website_evidence"), F.when(F.col("last_date").isNull(), "no_dated_investment"), F.when(F.col("low").isNull() & F.col("high").isNull(), "no_check_size"), F.when(no_place, "no_location"))))
-    return e.select("c_custkey", F.array_join(codes, ",").alias("codes"), F.when(no_site & no_place, "failed").when(no_site | no_place, "degraded").otherwise("ok").alias("status"))

@@ -76,16 +76,22 @@ def indexed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", sum((F.col(c).isNotNull().cast("int") for c in ("quality", "toxic", "text")), F.lit(0)).alias("n_indexed"))
 
 
-META = """m AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE 'nan' END AS company, CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS day, CASE WHEN o_orderkey % 5 = 0 THEN 'total: ' || (o_orderkey % 9) ELSE '' END AS counts,
-  CASE WHEN o_orderkey % 7 = 0 THEN 'Likely' ELSE 'None' END AS raising FROM orders), c AS (SELECT o_orderkey, CASE WHEN company = 'nan' THEN '' ELSE company END AS company, day, CASE WHEN day = '' THEN '2002-06-01' ELSE day END AS date, counts, CASE WHEN raising = 'None' THEN '' ELSE raising END AS raising FROM m),
-s AS (SELECT o_orderkey, 'activity' AS source_type, array_to_string(list_filter([CASE WHEN company <> '' THEN 'company: ' || company END, CASE WHEN day <> '' THEN 'date: ' || day END], lambda x: x IS NOT NULL), ' | ') AS text, date, 0.85::DOUBLE AS confidence FROM c WHERE company <> '' OR day <> ''
-  UNION ALL SELECT o_orderkey, 'counts', counts, date, 0.80 FROM c WHERE counts <> '' UNION ALL SELECT o_orderkey, 'fundraising', raising, date, 0.75 FROM c WHERE raising <> '')"""
+META = """m AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE '' END AS company, CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS day, CASE WHEN o_orderkey % 6 = 0 THEN 'Seed' ELSE '' END AS kind, CASE WHEN o_orderkey % 10 = 0 THEN '2.5' ELSE '' END AS size,
+  CASE WHEN o_orderkey % 5 = 0 THEN (o_orderkey % 9)::VARCHAR ELSE '' END AS total, CASE WHEN o_orderkey % 2 = 0 THEN '7' ELSE '' END AS active, (o_orderkey % 3)::INT AS n12, CASE WHEN o_orderkey % 7 = 0 THEN 'Likely' ELSE '' END AS raising, CASE WHEN o_orderkey % 8 = 0 THEN 'https://p.com/' || o_orderkey ELSE '' END AS url FROM orders),
+c AS (SELECT *, array_to_string(list_filter([CASE WHEN total <> '' THEN 'total investments: ' || total END, CASE WHEN active <> '' THEN 'active portfolio companies: ' || active END, CASE WHEN n12 <> 0 THEN 'investments past 12 months: ' || n12 END], lambda x: x IS NOT NULL), ' | ') AS counts FROM m),
+s AS (SELECT k AS o_orderkey, 'pitchbook_activity' AS source_type, 'Most recent PitchBook investment' || CASE WHEN company <> '' THEN ' | company: ' || company ELSE '' END || CASE WHEN day <> '' THEN ' | date: ' || day ELSE '' END || CASE WHEN kind <> '' THEN ' | type: ' || kind ELSE '' END || CASE WHEN size <> '' THEN ' | size: ' || size ELSE '' END AS text, url AS source_url,
+    CASE WHEN day <> '' THEN day ELSE '2002-06-01' END AS date, 0.85::DOUBLE AS confidence, 'public' AS visibility FROM c WHERE company <> '' OR day <> ''
+  UNION ALL SELECT k, 'pitchbook_activity_count', 'PitchBook activity counts | ' || counts, url, '2002-06-01', 0.80, 'public' FROM c WHERE counts <> ''
+  UNION ALL SELECT k, 'fundraising_status', 'PitchBook fundraising outlook: ' || raising, url, '2002-06-01', 0.75, 'public' FROM c WHERE raising <> '')"""
 
 
 def metadata_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    m = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 3 == 0, F.col("o_orderpriority")).otherwise("nan").alias("company"), F.when(k % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("").alias("day"), F.when(k % 5 == 0, F.concat(F.lit("total: "), k % 9)).otherwise("").alias("counts"), F.when(k % 7 == 0, "Likely").otherwise("None").alias("raising"))
-    return m.select("o_orderkey", F.inline(T.metadata_signals(F.col("company"), F.col("day"), [F.col("counts")], F.col("raising"), "2002-06-01")))
+    meta = {
+        "last_company": F.when(k % 3 == 0, F.col("o_orderpriority")).otherwise("nan"), "last_date": F.when(k % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(""), "last_type": F.when(k % 6 == 0, " Seed "), "last_size": F.when(k % 10 == 0, "2.5").otherwise("null"),
+        "total": F.when(k % 5 == 0, (k % 9).cast("string")).otherwise("None"), "five_years": F.lit(None).cast("string"), "two_years": F.lit(""), "active": F.when(k % 2 == 0, "7"), "fundraising": F.when(k % 7 == 0, "Likely").otherwise("None"), "url": F.when(k % 8 == 0, F.concat(F.lit("https://p.com/"), k)),
+    }
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.inline(T.metadata_signals(meta, (k % 3).cast("int"), "2002-06-01")))
 
 
 @book.query(f"WITH {META} SELECT * FROM s")

@@ -114,7 +114,7 @@ TIER = f"CASE WHEN {D} = '{OFFICIAL}' OR ends_with({D}, '.{OFFICIAL}') THEN 'off
 HOSTED = f"CASE WHEN page_id % 3 = 1 THEN 'https://reuters.com/x' || page_id || [{quoted(TAILS)}][(page_id % 7 + 1)::INT] ELSE {TAILED} END"
 SCORE = f"""(CASE {TIER} WHEN 'official' THEN 120.0 WHEN 'news' THEN 55.0 ELSE 8.0 END + CASE {BUCKET} WHEN 'portfolio' THEN 14 WHEN 'team' THEN 14 WHEN 'contact' THEN 12 WHEN 'careers' THEN 10 WHEN 'news' THEN 9 ELSE 2 END
  + CASE WHEN contains(lower(title || ' '), 'the') THEN 18 ELSE 0 END + CASE WHEN contains(lower(u), '{OFFICIAL}') THEN 25 ELSE 0 END + CASE WHEN {sql_any('lower(u)', TRUSTED_PATH_WORDS)} THEN 5 ELSE 0 END
- - CASE WHEN contains(lower(u), '.pdf') THEN 80 ELSE 0 END - CASE WHEN contains(lower(u), 'linkedin.com/in/') THEN 25 ELSE 0 END - CASE WHEN {sql_any('lower(u)', SOCIAL_FRAGMENTS)} THEN 18 ELSE 0 END - CASE WHEN {sql_any('lower(u)', BLOCKED_FRAGMENTS)} THEN 10 ELSE 0 END)::DOUBLE"""
+ - CASE WHEN ends_with(lower(u), '.pdf') THEN 80 ELSE 0 END - CASE WHEN contains(lower(u), 'linkedin.com/in/') THEN 25 ELSE 0 END - CASE WHEN {sql_any('lower(u)', SOCIAL_FRAGMENTS)} THEN 18 ELSE 0 END - CASE WHEN {sql_any('lower(u)', BLOCKED_FRAGMENTS)} THEN 10 ELSE 0 END)::DOUBLE"""
 RANKED = f"h AS (SELECT page_id, {HOSTED} AS u, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages), r AS (SELECT page_id, u, {TIER} AS tier, {SCORE} AS score, {BLOCKED} AS blocked FROM h)"
 
 
