@@ -2,8 +2,8 @@
 
 A word's vector is the sum of three rows of one hashed table: of the word, and of its first 4 and 6 bytes (words that
 share a stem share evidence). Filters of widths 1, 2 and 3 slide over the words, the largest value of each filter over
-the whole text is kept, and one dense layer gives the log-odds. One dimension starts at the smoothed log-odds of each
-row of the table in the training texts; all parameters are then trained by mini-batches.
+the whole text is kept, and one dense layer gives the log-odds. All parameters start at random and are trained by
+mini-batches, with words left out at random; the log-odds of MEMBERS such networks are averaged.
 
 The model is fitted on at most `sample` labelled rows whose crc32(doc_id) mod 5 is not 0. Of these, those with
 remainder 1 are kept apart to calibrate: scores become probabilities by Platt scaling, and each language gets the
@@ -28,7 +28,12 @@ from tallyforge.llm.common import NOT_ALNUM, arrow_map, modest_batches, numbered
 from tallyforge.llm.labelled import SAMPLE, fold, labelled_sample, platt, sigmoid
 
 ROWS_BITS, DIM, FILTERS, WIDTHS, STEMS = 18, 8, 8, (1, 2, 3), (4, 6)
-EPOCHS, BATCH = 6, 64
+#: Texts drawn in training, the passes over the sample that this may come to, and the texts of a mini-batch.
+DRAWS, PASSES, BATCH = 15_000, (2, 40), 32
+#: The share of words that a pass sees, and how many of a very long text.
+KEEP, LONG = 0.25, 20_000
+#: Networks that begin at different random values; their log-odds are averaged.
+MEMBERS = 3
 #: Toxic rows kept apart at which a threshold of their own and the one above it (0.5 above the common one) weigh the same.
 SHRINK = 20
 WINDOW = 1 << 15
@@ -49,7 +54,6 @@ class Model:
         self.bias = np.zeros(len(WIDTHS) * FILTERS, np.float32)
         self.out = (r.standard_normal(len(WIDTHS) * FILTERS) * 0.1).astype(np.float32)
         self.out_bias = np.float32(0)
-        self.scale, self.shift, self.thresholds, self.common, self.constant = 1.0, 0.0, {}, 0.5, None
 
     # -- forward
 
@@ -91,40 +95,25 @@ class Model:
     def logits(self, rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.maximum(self.pooled(rows, offsets) + self.bias, 0) @ self.out + self.out_bias
 
-    def score(self, rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(offsets) - 1, self.constant)
-        return sigmoid(self.scale * self.logits(rows, offsets).astype(np.float64) + self.shift)
-
     # -- training
 
-    def start(self, texts: list[np.ndarray], y: np.ndarray) -> None:
-        """Dimension 0 of the table: shrunk log-odds of the texts that have the row."""
-        pos, neg = np.zeros(1 << ROWS_BITS), np.zeros(1 << ROWS_BITS)
-        for rows, label in zip(texts, y, strict=True):
-            (pos if label else neg)[np.unique(rows)] += 1
-        prior, strength = y.mean(), 8.0
-        p = (pos + strength * prior) / (pos + neg + strength)
-        self.table[:, 0] = 0.5 * (np.log(p / (1 - p)) - np.log(prior / (1 - prior)))
-        self.conv[0, :, 0] = 0
-        self.conv[0, 0, 0] = 1
-        self.out[0] = 1
-        self.out_bias = np.float32(np.log(prior / (1 - prior)))
-
-    def train(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> None:
+    def train(self, texts: list[np.ndarray], y: np.ndarray, seed: int = 11) -> None:
+        """Mini-batches in random order, about DRAWS texts in all. Of each text a part of the words is left out at random,
+        so that no filter can rest on one word of it; of a very long one, all but some LONG words of a pass."""
         r = np.random.default_rng(seed)
         weight = np.where(y == 1, min(4.0, ((y == 0).sum() / max(1, (y == 1).sum())) ** 0.5), 1.0).astype(np.float32)
         dense = ["conv", "bias", "out"]
         m = {k: np.zeros_like(getattr(self, k)) for k in dense}
         v = {k: np.zeros_like(getattr(self, k)) for k in dense}
-        seen = np.full(1 << ROWS_BITS, 1e-2, np.float32)
+        # the sums of squares begin near nothing, so the first step of a row is a whole one, however small its gradient
+        seen = np.full(1 << ROWS_BITS, 1e-7, np.float32)
         t = 0
-        for _ in range(epochs):
+        for _ in range(int(np.clip(round(DRAWS / max(1, len(texts))), *PASSES))):
             for part in np.array_split(r.permutation(len(texts)), max(1, len(texts) // BATCH)):
-                t += 1
-                own = [texts[i] for i in part]
-                rows = np.concatenate(own) if sum(map(len, own)) else np.zeros((0, 3), np.int32)
+                own = [self._some(texts[i], r) for i in part]
+                rows = np.concatenate(own)
                 offsets = np.concatenate([[0], np.cumsum([len(o) for o in own])])
+                t += 1
                 grads, touched, row_grad = self._gradients(rows, offsets, y[part], weight[part])
                 for k in dense:
                     g = grads[k]
@@ -135,6 +124,10 @@ class Model:
                     seen[touched] += (row_grad * row_grad).sum(1)
                     self.table[touched] -= 0.05 * row_grad / np.sqrt(seen[touched])[:, None]
 
+    @staticmethod
+    def _some(rows: np.ndarray, r: np.random.Generator) -> np.ndarray:
+        return rows[r.random(len(rows)) < min(KEEP, LONG / max(1, len(rows)))] if len(rows) > 3 else rows
+
     def _gradients(self, rows: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight: np.ndarray):
         x = self._values(rows)
         ends = np.repeat(offsets[1:], np.diff(offsets))
@@ -170,6 +163,27 @@ class Model:
         np.add.at(total, inverse.reshape(-1), np.repeat(g, flat.shape[1], axis=0))
         return grads, touched, total
 
+
+class Ensemble:
+    """Networks whose mean log-odds are turned into probabilities; without both labels a constant."""
+
+    def __init__(self, constant: float | None = None):
+        self.members: list[Model] = []
+        self.scale, self.shift, self.thresholds, self.common, self.constant = 1.0, 0.0, {}, 0.5, constant
+
+    def train(self, texts: list[np.ndarray], y: np.ndarray) -> None:
+        for n in range(MEMBERS):
+            self.members.append(Model(seed=7 + n))
+            self.members[-1].train(texts, y, seed=11 + n)
+
+    def logits(self, rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return np.mean([m.logits(rows, offsets) for m in self.members], 0, dtype=np.float64)
+
+    def score(self, rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(offsets) - 1, self.constant)
+        return sigmoid(self.scale * self.logits(rows, offsets) + self.shift)
+
     def calibrate(self, z: np.ndarray, y: np.ndarray, lang: list) -> None:
         self.scale, self.shift = platt(z.astype(np.float64), y)
         p = sigmoid(self.scale * z.astype(np.float64) + self.shift)
@@ -198,7 +212,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(cut[good[np.abs(cut[good] - 0.5).argmin()]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
     def rows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, offsets = word_rows(batch.column(1))
         body = pa.array([rows[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.large_binary())
@@ -208,16 +222,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         drawn = labelled_sample(docs, labels, "toxic", sample, fold(F.col("doc_id")) != 0, ("lang",))
         shaped = drawn.select(fold(F.col("doc_id")).alias("fold"), "text", "target", F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("string").alias("id"))
         got = shaped.mapInArrow(arrow_map(rows_of, 4 << 20), "fold int, words binary, target int, lang string, id string").toPandas().sort_values("id", kind="stable")
-    model = Model()
     y = got.target.to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
-        model.constant = float(y.mean()) if len(y) else 0.0
-        return model
+        return Ensemble(float(y.mean()) if len(y) else 0.0)
+    model = Ensemble()
     texts = [np.frombuffer(b, np.int32).reshape(-1, 1 + len(STEMS)) for b in got.words]
     kept = got.fold.to_numpy() == 1
     learn = np.flatnonzero(~kept) if 0 < y[~kept].sum() < (~kept).sum() else np.arange(len(y))
     hold = np.flatnonzero(kept) if 0 < y[kept].sum() < kept.sum() else np.arange(len(y))
-    model.start([texts[i] for i in learn], y[learn])
     model.train([texts[i] for i in learn], y[learn])
     own = [texts[i] for i in hold]
     z = model.logits(np.concatenate(own), np.concatenate([[0], np.cumsum([len(o) for o in own])]))
@@ -225,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def apply_model(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+def apply_model(docs: DataFrame, model: Ensemble, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs' columns in keep, numbered (c0, c1, ...), with score and threshold, for each row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
