@@ -1,9 +1,13 @@
 """Corpus pipeline: quality, toxicity, near-duplicates, mixing to target weights, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of documents; the last returns the sampled segmentations
-(doc_id, sample, n_pieces, log_prob, perturbed, inclusion, ids). The classifiers' labels come from
-the labels table in sf_dir.
+next stage's docs; then what the stage worked with, and the docs before it, are deleted. All but the last return the columns
+of documents; the last returns the sampled segmentations (doc_id, sample, n_pieces, log_prob, perturbed, inclusion, ids).
+The classifiers' labels come from the labels table in sf_dir.
+
+Cases: null and empty texts go through all stages, and come out of the last with one empty segmentation; texts of any length
+are read whole; rows with null doc_ids are never duplicates of others and draw like one id in mixing; of repeated rows one stays;
+ties go to the smallest doc_id and text hash; an empty table gives an empty one; other columns, of any names, stay as they are.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm.common import new_dir, table
+from tallyforge.llm.common import new_dir, remove_dir, scratch, table
 from tallyforge.llm.mixing import mix
 from tallyforge.llm.near_dup import keep_one
 from tallyforge.llm.piece_sampling import sample_segmentations
@@ -46,9 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         at = new_dir(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(at)
+        if before is not None:
+            remove_dir(spark, before)
+        docs, before = spark.read.parquet(at), at
     return docs
