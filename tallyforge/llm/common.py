@@ -1,4 +1,9 @@
-"""Helpers shared by the corpus operators: input shaping, shared storage, hashing of words in numpy."""
+"""Helpers shared by the corpus operators: input shaping, shared storage, hashing of words in numpy.
+
+Cases: null texts count as empty; words of texts of any length are hashed whole; numbered columns clash with no names, whatever
+these hold; joins that deal hot keys keep every row, also of keys that one side lacks (they drop out, as in any inner join);
+tables without rows are written and read like others.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Bounded samples of labelled rows for the classifiers, drawn alike at every size."""
+"""Bounded samples of labelled rows for the classifiers, drawn alike at every size.
+
+Cases: null texts count as empty; texts are taken whole or not at all; null ids and labels that are neither 0 nor 1 are left
+out; of repeated labels the largest holds, and repeated documents count once; ties in the hash go to the smaller id; without
+labelled rows a sample is empty, and a logistic fit of it gives zero weights; other columns are ignored.
+"""
 
 from __future__ import annotations
 

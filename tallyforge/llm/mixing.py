@@ -38,7 +38,7 @@ from tallyforge.llm.labelled import SAMPLE, fit_logistic, labelled_sample, softm
 #: Target weights of the registered query.
 TARGETS = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
 #: Steps of the fit at most; the residual that ends it.
-STEPS, CLOSE = 25, 1e-5
+STEPS, CLOSE = 60, 1e-5
 log = logging.getLogger(__name__)
 
 

@@ -60,7 +60,10 @@ class PreTokenCounter:
             config = json.load(f)
         if config.get("normalizer") or config["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             raise ValueError("the shortcut is proved for byte-level BPE without a normalizer only")
-        special = [t["content"] for t in config.get("added_tokens", [])]
+        added = config.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in what stands beside them, or stand as words only, are not cut out here")
+        special = [t["content"] for t in added]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.find = regex.compile(PRE_TOKEN).findall
         self.whole = dict.fromkeys(whole, 1)

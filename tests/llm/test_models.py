@@ -63,6 +63,25 @@ def test_posteriors_equal_plain_sums(spark):
     assert abs(got[("tiny", None)][0] - mean) < abs(by["tiny"][0] - mean)
 
 
+def test_scores_equal_the_formula(spark, mid):
+    rows = quality.score_quality(*mid).collect()
+    p = np.array([r.evidence for r in rows])
+    mean = p.sum() / len(rows)
+    groups: dict = {}
+    for r, x in zip(rows, p, strict=True):
+        groups.setdefault(r.host, {}).setdefault(r.path, []).append(x)
+    hosts = {h: [x for v in by.values() for x in v] for h, by in groups.items()}
+    k = quality._strength(mean, len(hosts), len(p), sum(len(v) ** 2 for v in hosts.values()), sum(len(v) * (sum(v) / len(v) - mean) ** 2 for v in hosts.values()))
+    up = {h: (sum(v) + k * mean) / (len(v) + k) for h, v in hosts.items()}
+    paths = {(h, q): v for h, by in groups.items() for q, v in by.items()}
+    k = quality._strength(mean, len(paths), len(p), sum(len(v) ** 2 for v in paths.values()), sum(len(v) * (sum(v) / len(v) - up[h]) ** 2 for (h, _), v in paths.items()))
+    for r in rows:
+        v = paths[(r.host, r.path)]
+        site = (sum(v) + k * up[r.host]) / (len(v) + k)
+        z = math.log(r.evidence / (1 - r.evidence)) - math.log(mean / (1 - mean)) + math.log(site / (1 - site))
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6 and r.keep == (r.score >= 0.5)
+
+
 def test_sites_move_scores(spark):
     rows = [(i, 0.0, h) for i, h in enumerate(["good"] * 200 + ["bad"] * 200)]
     df = spark.createDataFrame([(i, h, "p", 3.0 if h == "good" else -3.0) for i, _, h in rows[1:]] + [(0, "bad", "p", 0.2), (999, "new", "p", 0.2)], "doc_id long, _host string, _path string, _evidence double")
@@ -199,6 +218,22 @@ def test_residual_is_reported(spark, caplog):
     assert len(steps) == mixing.STEPS and residual > mixing.CLOSE and "largest residual" in caplog.text
 
 
+def test_rates_equal_a_plain_fit(spark):
+    """The replayed fit against one that keeps each document's rate, on plain sums."""
+    r = np.random.default_rng(9)
+    p = r.dirichlet([0.5, 0.8, 1.5], 200)
+    t = r.integers(0, 90, 200)
+    target = np.array([0.5, 0.2, 0.3])
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "tokens long, p array<double>")
+    steps, residual = mixing.fit_rates(df, target)
+    rate, weigh = np.ones(200), np.linalg.pinv(sum(a * np.outer(b, b) for a, b in zip(t, p, strict=True)) / t.sum() + 1e-9 * np.eye(3))
+    for _ in range(len(steps)):
+        error = sum(x * a * b for x, a, b in zip(rate, t, p, strict=True)) / t.sum() - target
+        rate = np.maximum(rate - p @ (weigh @ error), 0)
+    assert np.abs(rate - mixing.rates(p, steps)).max() < 1e-4
+    assert abs(residual - np.abs((rate * t) @ p / t.sum() - target).max()) < 1e-5 and residual < mixing.CLOSE
+
+
 def test_rates_stay_nonnegative(spark):
     r = np.random.default_rng(1)
     p = r.dirichlet([0.2, 0.2, 0.2], 500)
@@ -395,6 +430,26 @@ def test_stages_take_effect(spark, mid, tmp_path):
     assert seen[0] > seen[1] > seen[2] > seen[3] and seen[5] >= seen[4]
 
 
+def test_stages_on_odd_rows(spark, odd):
+    docs, want = odd, Counter(r.doc_id for r in odd.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, MID)
+        if name != "encoding":
+            assert docs.columns == odd.columns
+    assert set(Counter(r.doc_id for r in docs.collect())) <= set(want)
+
+
+def test_run_leaves_its_last_table_only(spark, tmp_path):
+    import os
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    app = common.shared_dir(spark).removeprefix("file://") + f"/tallyforge-{spark.sparkContext.applicationId}"
+    before = set(os.listdir(app)) if os.path.isdir(app) else set()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() > 0 and [x.rsplit("-", 1)[0] for x in set(os.listdir(app)) - before] == ["pipeline-encoding"]
+
+
 def test_pipeline_on_empty_documents(spark, none):
     docs = none
     for _, stage in corpus_pipeline.STAGES:

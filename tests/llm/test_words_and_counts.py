@@ -52,6 +52,15 @@ def test_counts_equal_the_library_on_any_text(text):
     assert token_counts.PreTokenCounter(PATH, ["a"]).count([text]) == [len(t.encode(text, add_special_tokens=False).ids)]
 
 
+def test_counts_equal_the_library_on_all_kinds_of_characters():
+    """Every 29th code point, beside letters, digits, blanks and itself (all of them were swept once)."""
+    t = token_counts._tokenizer(PATH)
+    counter = token_counts.PreTokenCounter(PATH, token_counts.whole_tokens(PATH))
+    points = [chr(x) for x in range(0, 0x110000, 29) if not 0xD800 <= x <= 0xDFFF]
+    texts = [f"a{c}b{c}1 {c}{c} .{c}" for c in points]
+    assert counter.count(texts) == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_whole_tokens_are_proved():
     t = token_counts._tokenizer(PATH)
     whole = token_counts.whole_tokens(PATH)
