@@ -1,6 +1,6 @@
-"""Readers: investor and signal exports, deals, templates, binary documents, spreadsheets, a snapshot data source.
+"""Readers: investor and signal exports, deals, templates, binary documents, sheets, a snapshot data source.
 
-All readers are lazy and distributed, except spreadsheets, which one driver process opens (a workbook of a few rows).
+All readers are lazy and distributed. Spreadsheets come in as rows of text (clean_sheet); no workbook is opened here.
 Unknown keys are dropped by the schema; rows that do not parse are kept apart and do not end the file.
 """
 
@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tallyforge.functions.fixed import DOCUMENT_NAMES
 from tallyforge.functions.text import clean_text
+from tallyforge.operators.candidates import from_raw, wire
+from tallyforge.operators.tables import first_wins, identity_key, in_order
 
 SIGNAL = T.StructType([T.StructField(n, T.StringType()) for n in ("source_type", "text", "source_url", "date")] + [T.StructField("confidence", T.DoubleType()), T.StructField("visibility", T.StringType())])
 FUND = T.StructType(
@@ -68,22 +71,71 @@ def attach_signals(investors: DataFrame, signals: DataFrame) -> DataFrame:
     return joined.withColumn("signals", F.concat("signals", F.coalesce("external_signals", F.array().cast(T.ArrayType(SIGNAL))))).drop("external_signals")
 
 
+def read_sample(spark: SparkSession, path: str, tag: str = "mock_seed_dataset") -> DataFrame:
+    """Candidates of a raw sample file ({"investors": [...]}), numbered from 1 in the order of the file."""
+    text = ("full_name", "firm", "title", "email", "phone", "linkedin_url", "twitter_handle", "website", "check_size_range", "investment_thesis", "why_good_fit")
+    row = T.StructType([T.StructField(n, T.StringType()) for n in text] + [T.StructField("portfolio_companies", T.ArrayType(T.StringType()))])
+    raw = spark.read.schema(T.StructType([T.StructField("investors", T.ArrayType(row))])).option("multiLine", True).json(path)
+    return from_raw(raw.select(F.posexplode("investors").alias("pos", "i")).select((F.col("pos") + 1).alias("idx"), "i.*"), tag)
+
+
+def load_all(ingested: DataFrame, sample: DataFrame | None = None, dedupe: bool = False) -> DataFrame:
+    """The whole corpus without a deal: ingested investors, the sample after them where one is given, and of rows with one
+    identity the first where asked for."""
+    rows = in_order(ingested, *([sample] if sample is not None else []))
+    return first_wins(rows, identity_key(F.col("email"), F.col("full_name"), F.col("firm")), "src_prio", "investor_id") if dedupe else rows
+
+
+def read_templates(spark: SparkSession, glob: str) -> DataFrame:
+    """template (file name without its end), fields (name, description) of template files, one row each."""
+    field = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("description", T.StringType())]))
+    raw = spark.read.schema(T.StructType([T.StructField("template_name", T.StringType()), T.StructField("description", T.StringType()), T.StructField("fields", field)])).option("multiLine", True).json(glob)
+    return raw.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("template"), "description", "fields")
+
+
+def template(templates: DataFrame, name: str) -> DataFrame:
+    """The one template of that name; reading it raises where there is none."""
+    found = templates.filter(F.col("template") == name)
+    none = found.agg(F.count("*").alias("_n")).filter(F.assert_true(F.col("_n") > 0, F.lit(f"template not found: {name}")).isNull())
+    return found.crossJoin(F.broadcast(none.select("_n"))).drop("_n")  # one row
+
+
 DEAL_REQUIRED = ("deal_id", "company_name", "company_website", "industry", "raise_amount", "founder_name", "founder_email", "founder_linkedin")
 
 
+WIRE = T.StructType([T.StructField(n, T.StringType()) for n in ("investor_name", "firm", "status", "client_confirmed_at", "investor_confirmed_at", "dock_walls_approved_at", "notes")] + [T.StructField("wire_amount", T.DoubleType())])
+DEAL_STATUSES = ("missing", "draft", "approved", "distributed")
+
+
 def read_deals(spark: SparkSession, glob: str) -> DataFrame:
-    """Deals; a missing required field raises when the row is read."""
-    text = ("deal_id", "company_name", "company_website", "industry", "founder_name", "founder_email", "founder_linkedin", "stage_label", "geography", "problem", "solution")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in text] + [T.StructField("raise_amount", T.DoubleType()), T.StructField("valuation", T.DoubleType()), T.StructField("documents", T.MapType(T.StringType(), T.StringType()))])
+    """Deals with defaults: documents missing, lists empty, wires pending. A missing required field, and a document status
+    that is none, raise when the row is read."""
+    text = ("deal_id", "company_name", "company_website", "industry", "founder_name", "founder_email", "founder_linkedin", "stage", "stage_label", "geography", "problem", "solution", "market_size", "team_bios", "traction_metrics", "competitors", "use_of_funds_breakdown", "created_at", "last_updated")
+    lists = ("nda_signed_by", "errors", "skipped_steps")
+    people = ("investors_contacted", "investors_responded", "investors_committed", "disqualified_investors")
+    maps = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
+    schema = T.StructType(
+        [T.StructField(n, T.StringType()) for n in text] + [T.StructField("raise_amount", T.DoubleType()), T.StructField("valuation", T.DoubleType()), T.StructField("documents", T.MapType(T.StringType(), T.StringType()))]
+        + [T.StructField(n, T.ArrayType(T.StringType())) for n in lists] + [T.StructField(n, maps) for n in people] + [T.StructField("wire_verifications", T.ArrayType(WIRE)), T.StructField("outreach_week", T.IntegerType()), T.StructField("campaign_active", T.BooleanType())]
+    )
     rows = spark.read.schema(schema).option("multiLine", True).json(glob)
     for name in DEAL_REQUIRED:
         rows = rows.withColumn(name, F.when(F.col(name).isNull(), F.raise_error(F.lit(f"missing required field {name}"))).otherwise(F.col(name)))
-    return rows
+
+    def status(name: str) -> Column:
+        own = F.coalesce(F.try_element_at("documents", F.lit(name)), F.lit("missing"))
+        return F.when(own.isin(*DEAL_STATUSES), own).otherwise(F.raise_error(F.concat(F.lit("not a document status: "), own)))
+
+    papers = F.create_map(*[x for n in DOCUMENT_NAMES for x in (F.lit(n), status(n))])
+    full = {n: F.coalesce(n, F.array().cast("array<string>")) for n in lists} | {n: F.coalesce(n, F.array().cast(maps)) for n in people}
+    wires = F.transform(F.coalesce("wire_verifications", F.array().cast(T.ArrayType(WIRE))), wire)
+    return rows.withColumns(full | {"documents": papers, "wire_verifications": wires, "stage": F.coalesce("stage", F.lit("onboarded")), "outreach_week": F.coalesce("outreach_week", F.lit(0)), "campaign_active": F.coalesce("campaign_active", F.lit(False))})
 
 
 def read_documents(spark: SparkSession, glob: str) -> DataFrame:
-    """Binary files with name and content, for parsers that run in pandas UDFs."""
-    return spark.read.format("binaryFile").load(glob).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "length", "content")
+    """Binary files with name and content, for parsers that run in pandas UDFs, and the content as base64, for models that take it so."""
+    rows = spark.read.format("binaryFile").load(glob)
+    return rows.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "length", "content", F.base64("content").alias("content_b64"))
 
 
 def clean_sheet(rows: DataFrame, names: dict[str, str], name: str = "name", most: int | None = None) -> DataFrame:

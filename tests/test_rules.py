@@ -219,3 +219,46 @@ def test_requirements(spark, force):
     todo, counts = cache.requirements(texts, store, force)
     assert {(r.investor_id, r.namespace, r.reason) for r in todo.collect()} == ({("a", "activity", "force"), ("a", "portfolio", "force"), ("b", "activity", "force")} if force else {("b", "activity", "v1_no_hash")})
     assert {r.fully_cached for r in counts.collect()} == {0 if force else 1}
+
+
+def test_deals_with_defaults(spark, tmp_path):
+    from tallyforge.sources import readers
+
+    deal = {n: "v" for n in readers.DEAL_REQUIRED} | {"raise_amount": 2.0, "documents": {"nda": "draft"}, "wire_verifications": [{"investor_name": "A", "wire_amount": 5}], "nda_signed_by": ["x"]}
+    (tmp_path / "d.json").write_text(json.dumps(deal))
+    d = readers.read_deals(spark, f"{tmp_path}/d.json").first()
+    assert d.documents["nda"] == "draft" and d.documents["ppm"] == "missing" and len(d.documents) == 8 and d.stage == "onboarded" and d.errors == [] and d.outreach_week == 0
+    assert (d.wire_verifications[0].status, d.wire_verifications[0].wire_amount, d.wire_verifications[0].notes) == ("pending", 5.0, "")
+    (tmp_path / "e.json").write_text(json.dumps(deal | {"documents": {"nda": "lost"}}))
+    with pytest.raises(Exception, match="not a document status: lost"):
+        readers.read_deals(spark, f"{tmp_path}/e.json").collect()
+
+
+def test_samples_and_templates(spark, tmp_path):
+    from tallyforge.sources import readers
+
+    (tmp_path / "s.json").write_text(json.dumps({"investors": [{"full_name": "A", "firm": "F", "email": "a@b"}, {"full_name": "B", "firm": "F"}]}))
+    sample = readers.read_sample(spark, f"{tmp_path}/s.json")
+    assert [(r.investor_id, r.full_name, r.source_tags) for r in sample.orderBy("investor_id").collect()] == [("seed_1", "A", ["mock_seed_dataset"]), ("seed_2", "B", ["mock_seed_dataset"])]
+    own = spark.createDataFrame([("i1", "X", "Y", " A@B "), ("i2", "b", "f", "")], "investor_id string, full_name string, firm string, email string")
+    assert readers.load_all(own, sample).count() == 4 and {r.investor_id for r in readers.load_all(own, sample, True).collect()} == {"i1", "i2"} and readers.load_all(own).count() == 2
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "one.json").write_text(json.dumps({"template_name": "n", "fields": [{"name": "a", "description": "b"}]}))
+    found = readers.read_templates(spark, f"{tmp_path}/t/*.json")
+    assert [(r.template, r.fields[0].name) for r in readers.template(found, "one").collect()] == [("one", "a")]
+    with pytest.raises(Exception, match="template not found: two"):
+        readers.template(found, "two").collect()
+
+
+def test_ten_sheets(spark, tmp_path):
+    from tallyforge.sources import writers
+
+    docs = spark.createDataFrame([("d1", "f.pdf")], "doc_id string, file_name string")
+    cleaned = spark.createDataFrame([("t1", "f.pdf", 1, "cap", ["a", "b"], [{"a": "1"}, {"a": "2"}], ["odd"])], "table_id string, file_name string, page_no int, caption string, columns array<string>, rows array<map<string,string>>, issues array<string>")
+    raw = spark.createDataFrame([("t1", "m", "h")], "table_id string, raw_markdown string, raw_html string")
+    dossier = spark.createDataFrame([({"arr": ("5", "said")}, [("d1", "s")])], "final_fields map<string,struct<value:string,answer:string>>, documents array<struct<doc_id:string,short_summary:string>>")
+    sheets = writers.dossier_sheets(docs, docs, raw, cleaned, docs, docs, dossier, "run_1")
+    assert len(sheets) == 10 and sheets["raw_tables"].columns == ["table_id"] and tuple(sheets["cleaned_tables"].first()) == ("t1", "f.pdf", 1, "cap", 2, "a, b", "odd")
+    assert [tuple(r) for r in sheets["cleaned_table_rows"].collect()] == [("t1", 1, {"a": "1"}), ("t1", 2, {"a": "2"})] and tuple(sheets["dossier_fields"].first()) == ("arr", "5", "said", 0) and tuple(sheets["overview"].first()) == ("run_1", 1)
+    writers.write_sheets(sheets, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").iterdir())) == 10
