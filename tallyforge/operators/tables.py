@@ -28,8 +28,9 @@ def first_wins(rows: DataFrame, key: Column, *order: str) -> DataFrame:
 
 
 def running_ids(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """dup_id: the key, with __dup2, __dup3, ... from its second row on; blank keys stay."""
-    w = W.Window.partitionBy(key).orderBy(*order)
+    """dup_id: the key, with __dup2, __dup3, ... from its second row on; blank keys stay, and are not gathered in one task."""
+    blank = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
+    w = W.Window.partitionBy(key, F.when(blank, F.xxhash64(*order))).orderBy(*order)
     n = F.row_number().over(w)
     return rows.withColumn("_n", n).withColumn("dup_id", F.when((F.col("_n") > 1) & (F.col(key).cast("string") != ""), F.concat(F.col(key).cast("string"), F.lit("__dup"), F.col("_n"))).otherwise(F.col(key).cast("string"))).drop("_n")
 

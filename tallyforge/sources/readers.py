@@ -43,9 +43,10 @@ def read_investors(spark: SparkSession, glob: str) -> DataFrame:
         F.coalesce("fund.sector_exclusions", F.array().cast("array<string>")).alias("sector_exclusions"), F.coalesce("fund.status", F.lit("active")).alias("status"),
         F.coalesce("fund.recent_investment_count_12m", F.lit(0)).alias("recent_investment_count_12m"), F.coalesce("fund.thesis_text", F.lit("")).alias("thesis_text"), F.coalesce("fund.preferred_verticals", F.array().cast("array<string>")).alias("preferred_verticals"),
     )
-    w = W.Window.partitionBy("canonical_investor_id").orderBy("file", "pos")
-    rows = rows.withColumn("canonical_investor_id", F.coalesce("investor_id", F.lit(""))).withColumn("_n", F.row_number().over(w))
     blank = F.col("canonical_investor_id") == ""
+    # rows without an id are not numbered, and so are not gathered in one task
+    w = W.Window.partitionBy("canonical_investor_id", F.when(blank, F.xxhash64("file", "pos"))).orderBy("file", "pos")
+    rows = rows.withColumn("canonical_investor_id", F.trim(F.coalesce("investor_id", F.lit("")))).withColumn("_n", F.row_number().over(w))
     return (
         rows.withColumn("investor_id", F.when(blank | (F.col("_n") == 1), F.col("canonical_investor_id")).otherwise(F.concat("canonical_investor_id", F.lit("__dup"), F.col("_n"))))
         .withColumn("fund", fund)
