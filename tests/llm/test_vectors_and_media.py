@@ -26,6 +26,7 @@ def plain_top(rows, k, every):
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "CANDIDATES", 64)
     monkeypatch.setattr(vector_search, "QUERIES", 8)
+    monkeypatch.setattr(vector_search, "AT_ONCE", 3)
     r = np.random.default_rng(3)
     base = r.standard_normal((240, 8)) / 3
     base[40:90] = base[0]  # many ties
@@ -37,6 +38,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert vector_search.top_k(df.filter("false")).count() == 0
 
 
+def test_large_components_take_part(spark):
+    rows = [(0, [1e6, -3e7, 2.5]), (1, [5e5, 1.0, 1.0]), (2, [0.5, 0.25, -0.5]), (20, [2e7, 1.0, 0.0]), (3, [1e305, 1.0, 1.0]), (4, [1.7e308, -1.7e308, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.vec_id): x.score for x in vector_search.top_k(df).collect()}
+    exact = {i: [int(np.floor(64 * np.float64(c))) for c in v] for i, v in rows[:4]}
+    for a, b in ((0, 1), (0, 2), (0, 20), (20, 1), (20, 2)):
+        assert got[(a, b)] == sum(x * y for x, y in zip(exact[a], exact[b], strict=True))
+    assert got[(20, 3)] == (1 << 63) - 1 and len(got) == 10
+
+
 @pytest.mark.parametrize("dim", [1, 3, 64])
 def test_bounds_hold(dim):
     r = np.random.default_rng(dim)
@@ -179,6 +190,52 @@ def test_longer_common_text_decides(spark):
     assert got[2] == (0, 1) and got[3] == (2, 0)
 
 
+def plain_replies(messages):
+    """reply_to of each message (turn, text) of one conversation, by looking at every earlier message."""
+    parsed = [(t, *quote_threads.parse(text)) for t, text in messages]
+    out = {}
+    for turn, _, passages in parsed:
+        earlier = [(t, set(quote_threads.unit_hashes(body.split("\n")))) for t, body, _ in parsed if t < turn]
+        score: dict = {}
+        for level, lines in passages:
+            votes: dict = {}
+            for h, n in quote_threads.unit_hashes(lines).items():
+                at = max((t for t, own in earlier if h in own), default=None)
+                if at is not None:
+                    votes[at] = votes.get(at, 0) + n
+            if votes and level == 1:
+                n, at = max((n, t) for t, n in votes.items())
+                score[at] = score.get(at, 0) + n
+        prior = max((t for t, _ in earlier), default=None)
+        out[turn] = max((n, t) for t, n in score.items())[1] if score else prior
+    return out
+
+
+def test_replies_equal_a_plain_search(spark):
+    r = np.random.default_rng(8)
+    words = [f"word{i}" for i in range(60)]
+    want, rows = {}, []
+    for conv in range(12):
+        messages: list = []
+        for turn in range(14):
+            own = "\n".join(". ".join(" ".join(r.choice(words, 3)) for _ in range(2)) + "." for _ in range(int(r.integers(1, 4))))
+            quotes = []
+            for _ in range(int(r.integers(0, 3))):
+                if messages:
+                    body = quote_threads.parse(messages[int(r.integers(len(messages)))][1])[0].split("\n")
+                    mark = ">" * int(r.integers(1, 3))
+                    quotes += [f"{mark} {x}" for x in body[: int(r.integers(1, 4))]]
+            messages.append((turn * 2, "\n".join([*quotes, own])))
+        rows += [(conv, t, "u", x) for t, x in messages]
+        want |= {(conv, t): b for t, b in plain_replies(messages).items()}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    linked = quote_threads.link_quotes(df).collect()
+    assert {(x.conv_id, x.turn): x.reply_to for x in linked} == want and any(x.branch is not None for x in linked)
+    # branches come right after what they answer: a message stands behind the one that it replies to
+    place = {(x.conv_id, x.turn): i for i, x in enumerate(sorted(linked, key=lambda x: (x.conv_id, x.order_key)))}
+    assert all(place[(c, b)] < place[(c, t)] for (c, t), b in want.items() if b is not None)
+
+
 def test_latest_before_crosses_spans(spark, monkeypatch):
     monkeypatch.setattr(quote_threads, "SPAN", 4)
     r = np.random.default_rng(5)
