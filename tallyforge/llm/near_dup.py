@@ -410,7 +410,8 @@ def linked_components(docs: DataFrame, size: int = 4, percent: int = 80) -> tupl
         else:
             # components are named by nodes so far; their smallest doc_id names them from here
             first = classes.select("node", "first_id").join(comps, "node")
-            smallest = first.join(first.groupBy("comp").agg(F.min("first_id").alias("component_id")), "comp").select("node", "component_id")
+            named = materialise(first.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), "named")
+            smallest = join_dealt(first, named, "comp", "node").select("node", "component_id")
             members = materialise(classes.select("node", "first_id").join(smallest, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")), "members")
             keep(rows, members)
     return rows.select("doc_id", "h", "n_shingles", "node"), members
@@ -465,10 +466,11 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     with scratch(docs.sparkSession) as keep:
         rows, members = linked_components(docs, size, percent)
         placed = materialise(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").join(members, "node").select("component_id", "doc_id", "h"), "placed")
-        first = placed.filter("doc_id = component_id").groupBy("component_id").agg(F.min("h").alias("first_h"))
+        first = materialise(placed.groupBy("component_id").agg(F.min(F.when(F.expr("doc_id = component_id"), F.col("h"))).alias("first_h"), F.count("*").alias("n")), "first")
+        led = join_dealt(placed, first, "component_id", "doc_id")
         ids = [F.col("doc_id").alias("at_id"), F.col("h").alias("at_h")]
-        out = materialise(placed.join(first, "component_id").filter("doc_id <> component_id OR h <> first_h").select(*ids).distinct(), "dropped")
-        twice = materialise(placed.join(first, "component_id").filter("doc_id = component_id AND h = first_h").groupBy(*ids).agg(F.count("*").alias("n")).filter("n > 1").select("at_id", "at_h"), "repeated")
+        out = materialise(led.filter("doc_id <> component_id OR h <> first_h").select(*ids).distinct(), "dropped")
+        twice = materialise(led.filter("doc_id = component_id AND h = first_h").groupBy(*ids).agg(F.count("*").alias("n")).filter("n > 1").select("at_id", "at_h"), "repeated")
         keep(out, twice)
     own = docs.select(*numbered(names), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_h"))
     same = (F.col("own_id") == F.col("at_id")) & (F.col("own_h") == F.col("at_h"))
