@@ -15,6 +15,7 @@ from tallyforge.llm.near_dup import near_duplicates
 from tallyforge.llm.piece_sampling import sampling_digest
 from tallyforge.llm.quality import score_quality
 from tallyforge.llm.quote_threads import quote_digest
+from tallyforge.llm.row_pattern import match_rows
 from tallyforge.llm.token_counts import count_tokens
 from tallyforge.llm.toxicity import score_toxicity
 from tallyforge.llm.vector_search import top_k
@@ -60,5 +61,9 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op13_row_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_rows(table(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_piece_sampling, op2_mixing, op3_quote_threads, op4_media_columns, op5_license_scan, op6_token_counts, op7_quality, op8_toxicity, op9_minhash_near_dedup, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_piece_sampling, op2_mixing, op3_quote_threads, op4_media_columns, op5_license_scan, op6_token_counts, op7_quality, op8_toxicity, op9_minhash_near_dedup, op10_exact_top_k, op13_row_pattern)}
