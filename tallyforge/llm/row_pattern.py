@@ -156,7 +156,8 @@ def _matches(rows: pa.Table, linked: np.ndarray) -> tuple[np.ndarray, list[pa.Ar
 class _Slice:
     """One slice as it streams by: whole segments are searched, the first and the last one put out as pieces."""
 
-    def __init__(self, schema: pa.Schema, number: int):
+    def __init__(self, schema: pa.Schema, number: int, at_once: int):
+        self.at_once = at_once
         self.schema, self.number, self.first, self.client, self.seen = schema, number, True, None, 0
         self.held: list[pa.RecordBatch] = []
 
@@ -195,7 +196,7 @@ class _Slice:
             breaks = bool((~_linked(joint)[len(joint) - batch.num_rows :]).any())
             self.held.append(batch)
             last = batch.slice(batch.num_rows - 1)
-            if breaks and sum(b.num_rows for b in self.held) >= ROWS_AT_ONCE:
+            if breaks and sum(b.num_rows for b in self.held) >= self.at_once:
                 yield from self.flush(False)
         if self.held:
             yield from self.flush(True)
@@ -228,7 +229,7 @@ def _linked(rows: pa.Table) -> np.ndarray:
     return out
 
 
-def _in_slices(clicks: DataFrame) -> tuple[DataFrame, str, str]:
+def _in_slices(clicks: DataFrame, at_once: int) -> tuple[DataFrame, str, str]:
     client, click = kind_of(clicks, "client_id"), kind_of(clicks, "click_id")
     rows = ordered_rows(clicks)
     time = rows.schema["ts"].dataType.simpleString()
@@ -236,7 +237,7 @@ def _in_slices(clicks: DataFrame) -> tuple[DataFrame, str, str]:
     schema = _arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _Slice(schema, TaskContext.get().partitionId()).run(batches)
+        yield from _Slice(schema, TaskContext.get().partitionId(), at_once).run(batches)
 
     return rows.mapInArrow(run, kind), client, click
 
@@ -260,10 +261,10 @@ def _chains(pieces: DataFrame) -> DataFrame:
     return pieces.join(flagged.select("slice", "pos", F.sum("opens").over(order).alias("chain")).hint("shuffle_hash"), ["slice", "pos"])
 
 
-def match_rows(clicks: DataFrame) -> DataFrame:
+def match_rows(clicks: DataFrame, at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """client_id, match_no, first_id, last_id, n_rows, sum_cents, labels_sha256 for each match."""
     with scratch(clicks.sparkSession) as keep:
-        made, client, click = _in_slices(clicks)
+        made, client, click = _in_slices(clicks, at_once)
         made = materialise(made, "slices")
         keep(made)
     own = made.filter("of_ts IS NULL").select("client_id", "slice", "pos", "idx", *MATCH)

@@ -79,7 +79,7 @@ def result(df):
 
 
 @pytest.mark.parametrize(("n", "clients", "seed", "prices", "gap"), [(900, 6, 1, 6, 60), (700, 200, 2, 50, 1200), (600, 1, 3, 2, 10), (500, 2, 4, 1000, 5)])
-def test_matches_equal_backtracking(spark, monkeypatch, n, clients, seed, prices, gap):
+def test_matches_equal_backtracking(spark, n, clients, seed, prices, gap):
     """Over many slices, so that segments cross them, and in small batches."""
     rows = clicks(n, clients, seed, prices, gap)
     df = spark.createDataFrame(rows, CLICKS)
@@ -88,9 +88,8 @@ def test_matches_equal_backtracking(spark, monkeypatch, n, clients, seed, prices
     spark.conf.set("spark.sql.shuffle.partitions", "40")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    monkeypatch.setattr(row_pattern, "ROWS_AT_ONCE", 3)
     try:
-        assert result(row_pattern.match_rows(df)) == want
+        assert result(row_pattern.match_rows(df, 3)) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
