@@ -54,7 +54,7 @@ def test_people_snapshot(spark, tmp_path):
 def test_sheet(spark):
     rows = spark.createDataFrame([(0, "Acme", "nan"), (1, " ", "x"), (2, "acme", "y"), (3, "Beta", "z")], "pos int, `Investors` string, `Note` string")
     got = readers.clean_sheet(rows, {"Investors": "name", "Note": "note"}, most=5).collect()
-    assert [(r.name, r.note) for r in got] == [("Acme", ""), ("Beta", "z")]
+    assert [(r.name, r.note) for r in got] == [("Acme", ""), ("acme", "y"), ("Beta", "z")]  # names in other letters are others
 
 
 def test_writers(spark, tmp_path, sf):
@@ -102,7 +102,7 @@ def test_whole_texts_are_split(spark, tmp_path):
     rows = [(1, 0, "system", "left out"), (1, 1, "user", "two\n\nlines "), (1, 2, "assistant", "see\n# Document: other\nits text"), (2, 0, "system", "alone")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.name, r.body.strip()) for r in catalogue.QUERIES["doc_split_texts"](spark, str(tmp_path)).collect()}
-    assert got == {("1", "[1] user: two\n\nlines \n[2] assistant: see"), ("other", "its text"), ("2", "")}
+    assert got == {("1", "[1] user: two\n\nlines \n[2] assistant: see"), ("other", "its text"), ("2", "2")}
 
 
 def test_windows_match_batch(spark, sf, tmp_path):
