@@ -5,12 +5,16 @@ A table of another model counts as empty; entries without a hash are old ones, w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.fixed import NAMESPACES
 from tallyforge.operators.tables import STALE_REASONS, staleness
 from tallyforge.operators.vectors import upsert
+from tallyforge.sources import json_ranges
 
 KEYS = ["investor_id", "namespace"]
 
@@ -20,15 +24,36 @@ def load(entries: DataFrame, model: str) -> DataFrame:
     return entries.filter((F.col("model") == model) & F.col("vector").isNotNull()).withColumn("text_hash", F.coalesce("text_hash", F.lit("")))
 
 
-def read(spark: SparkSession, path: str, model: str) -> DataFrame:
-    """A cache file as JSON ({model, embeddings: {id: {namespace: {v, h} or a bare vector}}}), of both formats."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("j"))
-    ids = raw.select(F.try_variant_get("j", "$.model", "string").alias("model"), F.from_json(F.try_variant_get("j", "$.embeddings", "string"), "map<string,map<string,string>>").alias("e"))
-    rows = ids.select("model", F.explode("e").alias("investor_id", "by")).select("model", "investor_id", F.explode("by").alias("namespace", "entry"))
+def read(spark: SparkSession, path: str, model: str, range_bytes: int = json_ranges.RANGE) -> DataFrame:
+    """Cache files as JSON ({model, embeddings: {id: {namespace: {v, h} or a bare vector}}}), of both formats, read by byte
+    ranges: one huge file is dealt over tasks. No file, a file of another model, and one that is damaged count as empty (the last with a warning)."""
+    try:
+        planned = json_ranges.plan(spark, path, ["model", "embeddings"], range_bytes)
+    except ValueError as e:
+        warnings.warn(f"the cache is not read, and starts empty: {e}", stacklevel=2)
+        planned = {}
+    own = {p: x for p, x in planned.items() if json_ranges.root_value(planned, p, "model") == model}
+    rows = json_ranges.rows_of(spark, own, "embeddings").select(F.col("name").alias("investor_id"), F.explode(F.from_json("value", "map<string,string>")).alias("namespace", "entry"))
     bare = F.trim("entry").startswith("[")
     entry = F.from_json("entry", "v array<double>, h string")
-    rows = rows.select("investor_id", "namespace", F.when(bare, F.from_json("entry", "array<double>")).otherwise(entry.v).alias("vector"), F.when(bare, "").otherwise(entry.h).alias("text_hash"), "model")
-    return load(rows, model)
+    vector = F.when(bare, F.from_json("entry", "array<double>")).otherwise(entry.v)
+    return load(rows.select("investor_id", "namespace", vector.alias("vector"), F.when(bare, "").otherwise(entry.h).alias("text_hash"), F.lit(model).alias("model")), model)
+
+
+def write(rows: DataFrame, path: str, model: str, files: int = 1) -> None:
+    """Cache files in the format that `read` takes. Each of so many is one JSON document, written by one task as it streams
+    by, so their number is to grow with the rows."""
+    entry = F.struct(F.col("vector").alias("v"), F.coalesce("text_hash", F.lit("")).alias("h"))
+    own = rows.groupBy("investor_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("namespace", entry.alias("entry"))))).alias("by"))
+    one = F.to_json(F.create_map("investor_id", "by"))
+    part = F.pmod(F.xxhash64("investor_id"), F.lit(files)).cast("int")
+    lines = own.select(part.alias("part"), F.lit(1).alias("place"), "investor_id", F.substring(one, F.lit(2), F.length(one) - 2).alias("value"))
+    first = F.row_number().over(Window.partitionBy("part").orderBy("investor_id")) == 1
+    lines = lines.withColumn("value", F.concat(F.when(first, "").otherwise(","), "value"))
+    head = json.dumps({"model": model, "namespaces": list(NAMESPACES)}).removesuffix("}") + ', "embeddings": {'
+    ends = rows.sparkSession.range(files).select(F.col("id").cast("int").alias("part"), F.inline(F.array(*[F.struct(F.lit(p).alias("place"), F.lit("").alias("investor_id"), F.lit(t).alias("value")) for p, t in ((0, head), (2, "}}"))])))
+    ordered = lines.unionByName(ends).repartition("part").sortWithinPartitions("part", "place", "investor_id")
+    ordered.select("part", "value").write.partitionBy("part").mode("overwrite").text(path)
 
 
 def put(cache: DataFrame, new: DataFrame) -> DataFrame:

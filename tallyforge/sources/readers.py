@@ -1,6 +1,6 @@
 """Readers: investor and signal exports, deals, templates, binary documents, sheets, a snapshot data source.
 
-All readers are lazy and distributed. Spreadsheets come in as rows of text (clean_sheet); no workbook is opened here.
+All readers are lazy and distributed. Spreadsheets come in as rows of text (workbook.py, clean_sheet).
 Unknown keys are dropped by the schema; rows that do not parse are kept apart and do not end the file.
 """
 
@@ -18,6 +18,7 @@ from tallyforge.functions.fixed import DOCUMENT_NAMES
 from tallyforge.functions.text import clean_text
 from tallyforge.operators.candidates import from_raw, wire
 from tallyforge.operators.tables import first_wins, identity_key, in_order
+from tallyforge.sources.workbook import read_workbooks
 
 SIGNAL = T.StructType([T.StructField(n, T.StringType()) for n in ("source_type", "text", "source_url", "date")] + [T.StructField("confidence", T.DoubleType()), T.StructField("visibility", T.StringType())])
 FUND = T.StructType(
@@ -139,14 +140,25 @@ def read_documents(spark: SparkSession, glob: str) -> DataFrame:
     return rows.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "length", "content", F.base64("content").alias("content_b64"))
 
 
-def clean_sheet(rows: DataFrame, names: dict[str, str], name: str = "name", most: int | None = None) -> DataFrame:
-    """A spreadsheet's rows (pos and text columns): renamed, cleaned, without blank names, first of each name, at most so many."""
-    out = rows.select("pos", *[clean_text(F.col(f"`{h}`")).alias(k) for h, k in names.items()]).filter(F.length(F.trim(name)) > 0)
-    w = W.Window.partitionBy(F.lower(name)).orderBy("pos")
+def clean_sheet(rows: DataFrame, names: dict[str, str], name: str = "name", most: int | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+    """A spreadsheet's rows (pos and text columns): renamed, cleaned, without blank names or required fields, first of each name,
+    at most so many."""
+    out = rows.select("pos", *[clean_text(F.col(f"`{h}`")).alias(k) for h, k in names.items()])
+    for key in (name, *required):
+        out = out.filter(F.length(F.trim(key)) > 0)
+    w = W.Window.partitionBy(name).orderBy("pos")
     out = out.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").orderBy("pos")
     return out.limit(most) if most is not None else out
 
 
+def load_investors(spark: SparkSession, where: str, names: dict[str, str], name: str = "name", most: int | None = None, sheet: str | None = None, header: int = 6, required: tuple[str, ...] = ()) -> DataFrame:
+    """Investors from a workbook: the columns of names (header -> key; empty where the sheet has none), cleaned, the first of
+    each name, without rows that lack a required field, at most so many in their order."""
+    rows = read_workbooks(spark, where, sheet, header)
+    missing = {h: F.lit(None).cast("string") for h in names if h not in rows.columns}
+    return clean_sheet(rows.withColumns(missing), names, name, most, required)
+
+
 class SnapshotRange(InputPartition):
     def __init__(self, path: str):
         self.path = path
