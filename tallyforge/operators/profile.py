@@ -168,9 +168,8 @@ def portfolio_text(companies: Column) -> Column:
 
 
 def profile_artifacts(profiles: DataFrame, embed) -> DataFrame:
-    """deal_id, part, embedding for the five texts of a deal's profile that are embedded. embed: a frame (doc_id, text) to one
-    of (doc_id, embedding)."""
+    """deal_id, part, embedding for the five texts of a deal's profile that are embedded. embed: a function of a frame with a
+    column text to the frame with a column embedding, row by row."""
     parts = ("company_core", "problem", "industry_market", "traction", "raise_thesis")
     long = profiles.select("deal_id", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.coalesce(F.col(p), F.lit("")).alias("text")) for p in parts])).alias("x")).select("deal_id", "x.*")
-    keyed = long.withColumn("doc_id", F.concat(F.col("deal_id").cast("string"), F.lit("/"), "part"))
-    return keyed.join(embed(keyed.select("doc_id", "text")), "doc_id", "left").select("deal_id", "part", "embedding")
+    return embed(long).select("deal_id", "part", "embedding")

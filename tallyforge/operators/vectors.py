@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tallyforge.functions.fixed import FUSION_WEIGHTS
-from tallyforge.functions.text import bound
 from tallyforge.functions.vectors import cosine_unit
 
 
@@ -71,32 +76,58 @@ def metadata_matches(conditions: dict[str, object], arrays: set[str] = frozenset
     return F.coalesce(out, F.lit(False))
 
 
-def hash_embedding(docs: DataFrame, dim: int = 96) -> DataFrame:
-    """doc_id, i, x: unit vectors of signed feature hashing, in long form without zeros; token multiplicity counts.
+#: Tokens whose place and weight a worker remembers, and their longest.
+KNOWN_TOKENS, KNOWN_LENGTH = 200_000, 64
+
+
+def _token_sums(dim: int):
+    """A function of texts (in small letters) to the signed weights of their tokens, in twentieths, added up at dim places."""
+    word = re.compile(r"[a-zA-Z0-9_#+.-]+")
 
-    All of a text's sums are made within its row, so nothing is shuffled. Weights are twentieths, summed as whole numbers.
-    """
-    t = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([a-zA-Z0-9_#+.-]+)"), F.lit(1))
+    def place(token: str) -> tuple[int, int]:
+        h = hashlib.sha256(token.encode()).digest()
+        return int.from_bytes(h[:4], "big") % dim, (20 + len(token)) * (-1 if h[4] % 2 else 1)
 
-    def cell(token: Column) -> Column:
-        def placed(h: Column) -> Column:
-            i = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim))
-            sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-            return F.struct(i.alias("i"), (sign * (20 + F.length(token))).cast("long").alias("x"))
+    def sums(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, tuple[int, int]] = {}
+        for part in parts:
+            out = []
+            for text in part:
+                at, weight = [], []
+                for token in word.findall(text):
+                    cell = known.get(token)
+                    if cell is None:
+                        cell = place(token)
+                        if len(token) <= KNOWN_LENGTH:
+                            if len(known) >= KNOWN_TOKENS:
+                                known.clear()
+                            known[token] = cell
+                    at.append(cell[0])
+                    weight.append(cell[1])
+                out.append(np.bincount(np.array(at, np.int64), np.array(weight, np.float64), dim).astype(np.int64))
+            yield pd.Series(out)
 
-        return bound(F.sha2(token, 256), placed)
+    return F.pandas_udf(sums, "array<long>")
 
-    def total(cells: Column, i: Column) -> Column:
-        return F.aggregate(F.filter(cells, lambda c: c.i == i), F.lit(0).cast("long"), lambda a, c: a + c.x)
 
-    def summed(cells: Column) -> Column:
-        return F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.struct(i.alias("i"), (total(cells, i) / 20).alias("x"))), lambda c: c.x != 0)
+def _unit(sums: Column) -> Column:
+    """The length of a vector of twentieths."""
+    return F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + (x / 20) * (x / 20)))
 
-    def unit(sums: Column) -> Column:
-        norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, c: a + c.x * c.x))
-        return bound(norm, lambda n: F.transform(sums, lambda c: F.struct(c.i.alias("i"), F.round(c.x / n, 6).alias("x"))))
 
-    return docs.select("doc_id", F.inline(bound(bound(F.transform(t, cell), summed), unit)))
+def hash_vectors(rows: DataFrame, text: Column, name: str = "embedding", dim: int = 96) -> DataFrame:
+    """rows with the unit vector of signed feature hashing of a text (dim floats; null where no token counts). Nothing is
+    shuffled: a row's vector comes from the row."""
+    known = rows.withColumn("_sums", _token_sums(dim)(F.lower(F.coalesce(text, F.lit(""))))).withColumn("_norm", _unit(F.col("_sums")))
+    scaled = F.transform("_sums", lambda x: F.round((x / 20) / F.col("_norm"), 6).cast("float"))
+    return known.withColumn(name, F.when(F.col("_norm") > 0, scaled)).drop("_sums", "_norm")
+
+
+def hash_embedding(docs: DataFrame, dim: int = 96) -> DataFrame:
+    """doc_id, i, x: the same in long form without zeros; token multiplicity counts."""
+    known = docs.select("doc_id", _token_sums(dim)(F.lower(F.coalesce("text", F.lit("")))).alias("sums")).withColumn("norm", _unit(F.col("sums")))
+    cells = F.filter(F.transform("sums", lambda x, i: F.struct(i.cast("long").alias("i"), (x / 20).alias("x"))), lambda c: c.x != 0)
+    return known.select("doc_id", F.inline(F.transform(cells, lambda c: F.struct(c.i.alias("i"), F.round(c.x / F.col("norm"), 6).alias("x")))))
 
 
 def dense(cells: DataFrame, dim: int = 96) -> DataFrame:

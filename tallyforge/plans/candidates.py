@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.fixed import FOCUS_LABELS, NAMESPACES, RAISED_STAGES
 from tallyforge.functions.text import strings
-from tallyforge.functions.vectors import dot
 from tallyforge.operators import cache as K
 from tallyforge.operators import candidates as C
 from tallyforge.operators import profile as P
 from tallyforge.operators import vectors as V
 from tallyforge.plans.book import Book, quoted, sql_any, table
-from tallyforge.plans.profile import deals
+from tallyforge.plans.profile import DEALS, MONEY, deals
 
 book = Book()
 
@@ -102,16 +101,16 @@ def wire_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.query(
     """SELECT s_suppkey, '{"fund_id":"f' || s_suppkey || '","name":"' || s_name || '","stage_focus":[],"check_size_min":100000,"check_size_max":' || CASE WHEN s_suppkey % 2 = 0 THEN '5000000' ELSE '2000000' END || ',"geography":["United States"],"industry_focus":[],"sector_exclusions":[],"lead_preference":"either","status":"' || CASE WHEN s_suppkey % 3 = 0 THEN 'closed' ELSE 'active' END || '","recent_investment_count_12m":0,"thesis_text":"","aum_millions":null,"dry_powder_millions":null,"preferred_verticals":[]}' AS fund,
-  '{"source_type":"news","text":"t' || s_suppkey || '","source_url":"","date":"","confidence":0.7,"visibility":"public"}' AS signal, 23 AS n_fields FROM supplier"""
+  '{"source_type":"news","text":"t' || s_suppkey || '","source_url":"","date":"","confidence":0.7,"visibility":"public"}' AS signal, '{"investor_id":"' || s_suppkey || '","full_name":"' || s_name || '","firm":"","title":"","email":"","phone":"","linkedin_url":"","twitter_handle":"","website":"","investment_thesis":"","check_size_range":"","last_verified_at":"","investor_type":"","pitchbook_id":"","hq_location":"","hq_state":"","portfolio_companies":["P' || s_suppkey || '"],"source_tags":[],"warm_intro_paths":[],"data_quality_confidence":0.8,"fund":' || fund || ',"signals":[' || signal || '],"metadata":{}}' AS record FROM supplier"""
 )
 def fund_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Funds and signals as JSON with every field, and how many fields a candidate's public record has."""
+    """Funds, signals and the public records of candidates as JSON with every field."""
     k = F.col("s_suppkey")
     fund = C.fund(fund_id=F.concat(F.lit("f"), k), name=F.col("s_name"), check_size_max=F.when(k % 2 == 0, F.lit(5_000_000).cast("long")), status=F.when(k % 3 == 0, "closed"))
     rows = table(spark, sf_dir, "supplier")
-    record = C.candidate(rows, investor_id=k.cast("string"), fund=fund, signals=F.array(C.signal("news", F.concat(F.lit("t"), k))))
+    record = C.candidate(rows, investor_id=k.cast("string"), full_name=F.col("s_name"), portfolio_companies=F.array(F.concat(F.lit("P"), k)), fund=fund, signals=F.array(C.signal("news", F.concat(F.lit("t"), k))))
     one = F.get("signals", F.lit(0))
-    return record.select(F.col("investor_id").cast("long").alias("s_suppkey"), C.as_json(F.col("fund")).alias("fund"), C.as_json(one).alias("signal"), F.lit(len(record.columns)).alias("n_fields"))
+    return record.select(F.col("investor_id").cast("long").alias("s_suppkey"), C.as_json(F.col("fund")).alias("fund"), C.as_json(one).alias("signal"), C.as_json(F.struct(*record.columns)).alias("record"))
 
 
 @book.query(
@@ -235,8 +234,18 @@ def vector_fusion_by_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.late_fusion(hits, e.select("record").distinct(), "record").select("record", "vector_score")
 
 
-@book.query("SELECT o_orderkey AS deal_id, unnest(['company_core', 'problem', 'industry_market', 'traction', 'raise_thesis']) AS part, 1.0::DOUBLE AS norm FROM orders")
+@book.query(
+    f"""WITH {DEALS}, p AS (SELECT deal_id, unnest(['company_core', 'problem', 'industry_market', 'traction', 'raise_thesis']) AS part, unnest([company_name || ' is a ' || industry || ' company raising ' || {MONEY.format(x='raise_amount')} || '.',
+    coalesce(problem, company_name || ' addresses a core problem in ' || industry || '.'), industry || ' market opportunity. ' || industry || ' market opportunity.', {quoted([P.NO_TRACTION])},
+    'Raising ' || {MONEY.format(x='raise_amount')} || ' over a 90-day process to fund growth milestones, investor outreach, and execution.' || CASE WHEN funds <> '' THEN ' Use of funds: ' || funds ELSE '' END || CASE WHEN valuation IS NOT NULL THEN ' Valuation: ' || {MONEY.format(x='valuation')} ELSE '' END]) AS text FROM d),
+t AS (SELECT deal_id, part, unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9_#+.-]+')) AS token FROM p), u AS (SELECT deal_id, part, token, count(*) AS n, sha256(token) AS h FROM t GROUP BY ALL),
+e AS (SELECT deal_id, part, (('0x' || h[1:8])::BIGINT % 96) AS i, (CASE WHEN ('0x' || h[9:10])::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END) * (1.0 + length(token) / 20.0) * n AS x FROM u),
+c AS (SELECT deal_id, part, i, sum(x::DECIMAL(20, 6))::DOUBLE AS x FROM e GROUP BY ALL), v AS (SELECT deal_id, part, i, round(1000000 * (x / sqrt(sum(x * x) OVER (PARTITION BY deal_id, part))))::BIGINT AS m FROM c)
+SELECT deal_id, part, count(*) FILTER (m <> 0)::INT AS n_cells, sum(m * (i + 1))::BIGINT AS cell_sum, sum(m * m)::BIGINT BETWEEN 999000000000 AND 1001000000000 AS is_unit FROM v GROUP BY ALL"""
+)
 def profile_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five texts of deals' profiles as hashed unit vectors."""
-    made = P.profile_artifacts(P.deal_profile(deals(spark, sf_dir)), lambda rows: V.dense(V.hash_embedding(rows)))
-    return made.select("deal_id", "part", F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 3).alias("norm"))
+    """The five texts of deals' profiles as hashed unit vectors: their cells in millionths, weighted by place."""
+    made = P.profile_artifacts(P.deal_profile(deals(spark, sf_dir)), lambda rows: V.hash_vectors(rows, F.col("text")))
+    cells = made.select("deal_id", "part", F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("long")).alias("m"))
+    added = lambda f: F.aggregate(F.transform("m", f), F.lit(0).cast("long"), lambda a, x: a + x)
+    return cells.select("deal_id", "part", F.size(F.filter("m", lambda x: x != 0)).alias("n_cells"), added(lambda x, i: x * (i + 1)).alias("cell_sum"), added(lambda x, i: x * x).between(999_000_000_000, 1_001_000_000_000).alias("is_unit"))

@@ -183,27 +183,37 @@ def merged_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("short_summary", F.size("final_fields").alias("n_fields"), F.col("n_fields").alias("n_found"), "n_documents", F.try_element_at("final_fields", F.lit("company_name")).value.alias("company_name"), F.try_element_at("final_fields", F.lit("arr")).answer.alias("missing"), unknown.alias("n_unknown"), said.alias("n_summaries"))
 
 
+ASKED = ("Term sheet", "Unknown")
+ASKS = [
+    "Read the document below and answer with one JSON object and nothing else.", "Document: {0}", "Keys: document_category (one of the categories), short_summary, long_summary, fields, key_people.", "fields maps each field name below to value, answer and evidence_quote (copied from the text); value is null where the text does not say.",
+    "Fields:", *[f"- {n}: the {n} it names" for n in DOSSIER_FIELDS], "Categories:", *[f"- {c}" for c in ASKED], "Text:", "{1}",
+]
+MERGES = ["Merge the fields that were found in these documents into one JSON object with short_summary, long_summary and final_fields.", "final_fields maps each name to value, answer and evidence; null where no document says it; lists are joined without repeats.", "Names: " + ", ".join(DOSSIER_FIELDS)]
+
+
 @book.query(
-    f"""WITH {DOCS} SELECT count(*) AS n_documents, count(*) FILTER (k % 3 = 0) AS n_named, true AS has_names FROM d"""
+    f"""WITH {DOCS}, e AS (SELECT k, 'doc_' || CASE WHEN k + 1 < 1000 THEN lpad((k + 1)::VARCHAR, 3, '0') ELSE (k + 1)::VARCHAR END AS doc_id, CASE WHEN k % 2 = 0 THEN 'f' || k || '.pdf' ELSE k::VARCHAR END AS file_name, CASE k % 3 WHEN 0 THEN 's' WHEN 1 THEN 'Extraction failed: LLM returned non-object JSON' ELSE 'Extraction failed: timeout' END AS said FROM d),
+m AS (SELECT md5({quoted([chr(10).join(MERGES)])} || chr(10) || string_agg('Document: ' || file_name || chr(10) || 'Fields:' || chr(10) || CASE WHEN k % 3 = 0 THEN '  company_name: Acme' || chr(10) || '  revenue: 5M' ELSE '' END, chr(10) || chr(10) ORDER BY doc_id)) AS merge_md5 FROM e)
+SELECT doc_id, md5(replace(replace({quoted([chr(10).join(ASKS)])}, '{{0}}', file_name), '{{1}}', said)) AS prompt_md5, merge_md5 FROM e, m"""
 )
 def extraction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts for each document and for the merge: what goes into them, not their wording."""
+    """Prompts for each document and for the merge, letter by letter."""
     docs = _extracted(spark, sf_dir)
-    one = O.document_prompt(F.col("file_name"), F.col("short_summary"), {n: n for n in DOSSIER_FIELDS}, ("Term sheet",))
-    asked = docs.agg(F.count_if(F.contains(one, F.col("file_name")) & F.contains(one, F.lit("market_size"))).alias("n_documents"))
-    merge = O.merge_prompt(docs).select(F.size(F.regexp_extract_all("prompt", F.lit("(  company_name: Acme)"), F.lit(1))).cast("long").alias("n_named"), F.contains("prompt", F.lit("market_size")).alias("has_names"))
-    return asked.crossJoin(merge)  # one row each
+    one = O.document_prompt(F.col("file_name"), F.col("short_summary"), {n: f"the {n} it names" for n in DOSSIER_FIELDS}, ASKED)
+    return docs.select("doc_id", F.md5(one).alias("prompt_md5")).crossJoin(O.merge_prompt(docs).select(F.md5("prompt").alias("merge_md5")))  # one row
 
 
-@book.query("SELECT conv_id, turn, contains(text, 'zzz') OR true AS has_text, CASE WHEN turn % 2 = 0 THEN 'note' ELSE '(none)' END AS note, conv_id || '/' || turn AS id FROM conversations")
+@book.query(
+    f"""SELECT conv_id, turn, md5('Describe the picture. Answer with one JSON object: visual_type, summary, visible_text, importance and issues.' || chr(10) || 'Picture ' || conv_id || '/' || turn || ' of f.pdf' || chr(10) || 'Text near it:' || chr(10) || {CLEAN} || chr(10) || 'Reviewer''s note:' || chr(10) || CASE WHEN turn % 2 = 0 THEN 'note' ELSE '(none)' END) AS picture_md5,
+  md5('Clean the table below. Answer with one JSON object: caption, columns, rows (objects by column) and issues. Keep every value; invent none.' || chr(10) || 'Table ' || conv_id || '/' || turn || ' of f.pdf, page ' || CASE WHEN turn % 2 = 0 THEN turn::VARCHAR ELSE 'unknown' END || chr(10) || 'Markdown:' || chr(10) || '| ' || role || ' |' || chr(10) || 'HTML:' || chr(10) || substr({CLEAN}, 1, 8000)) AS table_md5 FROM conversations"""
+)
 def review_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts for a table and a picture hold its id, the text around it and the reviewer's note."""
+    """Prompts for a picture and a table, letter by letter: ids, the text around, the reviewer's note, the table's text."""
     t = F.col("turn")
     rows = table(spark, sf_dir, "conversations").withColumn("id", F.concat("conv_id", F.lit("/"), "turn"))
     p = O.visual_prompt(F.col("id"), F.lit("f.pdf"), F.col("text"), F.when(t % 2 == 0, "note"))
-    q = O.table_prompt(F.lit("| a |"), F.lit(None).cast("string"), F.col("id"), F.lit("f.pdf"), F.lit(3))
-    found = F.contains(p, F.substring(F.regexp_replace("text", r"\s+", " "), 1, 5)) | F.lit(True)
-    return rows.select("conv_id", "turn", (found & F.contains(q, F.lit("page 3"))).alias("has_text"), F.regexp_extract(p, "note:\n(.*)$", 1).alias("note"), F.regexp_extract(q, r"Table (\S+) of", 1).alias("id"))
+    q = O.table_prompt(F.concat(F.lit("| "), "role", F.lit(" |")), F.col("text"), F.col("id"), F.lit("f.pdf"), F.when(t % 2 == 0, t))
+    return rows.select("conv_id", "turn", F.md5(p).alias("picture_md5"), F.md5(q).alias("table_md5"))
 
 
 PHASED = ["input/a.pdf", "run_manifest.json", "file_llm_feed.md", "other.txt", "company_dossier_merged.json"]

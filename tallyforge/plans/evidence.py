@@ -180,8 +180,11 @@ def debug_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(K, d.raw_input["name"].alias("name"), d.raw_input.website.alias("website"), d.raw_input.description.alias("description"), d.website_evidence.summary.alias("site_summary"), F.size(d.website_evidence.by_category_summary).alias("n_buckets"), F.array_join(d.search_evidence.source_urls, ",").alias("urls"), F.size(d.search_evidence.snippet_summary).alias("n_snippets"))
 
 
-@book.query("SELECT 0 AS n_urls, 6 AS n_buckets, 0 AS n_errors, 0 AS n_found, 6 AS n_found_buckets, '' AS texts")
+@book.query("""SELECT page_id, CASE WHEN has THEN 1 ELSE 0 END AS n_urls, CASE WHEN has THEN 1 ELSE 6 END AS n_buckets, 0 AS n_errors, CASE WHEN has THEN length(url) ELSE 0 END::INT AS n_text, 0 AS n_found, 6 AS n_found_buckets, '' AS texts FROM (SELECT page_id, url, contains(html, '<article') AS has FROM pages)""")
 def empty_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands for a site that was not read and a search that was not made."""
-    row = spark.range(1).select(E.empty_site().alias("site"), E.empty_search().alias("search"))
-    return row.select(F.size("site.source_urls").alias("n_urls"), F.size("site.text_by_category").alias("n_buckets"), F.size("site.notes.errors").alias("n_errors"), F.size("search.official_urls").alias("n_found"), F.size("search.official_by_category").alias("n_found_buckets"), F.concat(*[F.col(f"search.{k}") for k in QUERY_KEYS]).alias("texts"))
+    """Sites that were read, and what stands for those whose page has no article, beside a search that was not made."""
+    pages = table(spark, sf_dir, "pages").withColumns({"none": E.empty_site(), "search": E.empty_search()})
+    none = F.col("none")
+    read = none.withField("source_urls", F.array("url")).withField("combined_text", F.col("url")).withField("text_by_category", F.create_map(F.lit("general"), F.col("url")))
+    rows = pages.withColumn("site", F.when(F.contains("html", F.lit("<article")), read).otherwise(none))
+    return rows.select("page_id", F.size("site.source_urls").alias("n_urls"), F.size("site.text_by_category").alias("n_buckets"), F.size("site.notes.errors").alias("n_errors"), F.length("site.combined_text").alias("n_text"), F.size("search.official_urls").alias("n_found"), F.size("search.official_by_category").alias("n_found_buckets"), F.concat(*[F.col(f"search.{k}") for k in QUERY_KEYS]).alias("texts"))

@@ -162,7 +162,8 @@ def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[x.alias(name) for x, name in zip(columns, REPORT_COLUMNS, strict=True)])
 
 
-@book.query(f"SELECT s::INT AS score, c AS confidence, {PROB.format(c='c')} AS probability FROM (SELECT s, c, round_even(2 + 0.78::DOUBLE * s, 0) AS b FROM (SELECT unnest(range(101)) AS s), (SELECT unnest(['Low', 'Medium', 'High']) AS c))")
+@book.query(f"SELECT event_id, s::INT AS score, c AS confidence, {PROB.format(c='c')} AS probability FROM (SELECT event_id, s, c, round_even(2 + 0.78::DOUBLE * s, 0) AS b FROM (SELECT event_id, floor(abs(value))::BIGINT % 101 AS s, ['Low', 'Medium', 'High'][(user_id % 3 + 1)::INT] AS c FROM events))")
 def probability_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(101).select(F.col("id").cast("int").alias("score"), F.explode(F.array(*map(F.lit, ("Low", "Medium", "High")))).alias("confidence"))
+    """Scores and confidences of events, as percentages."""
+    rows = table(spark, sf_dir, "events").select("event_id", (F.floor(F.abs("value")) % 101).cast("int").alias("score"), F.get(F.array(*map(F.lit, ("Low", "Medium", "High"))), (F.col("user_id") % 3).cast("int")).alias("confidence"))
     return rows.withColumn("probability", S.probability(F.col("score"), F.col("confidence")))
