@@ -80,19 +80,20 @@ def metadata_matches(conditions: dict[str, object], arrays: set[str] = frozenset
 KNOWN_TOKENS, KNOWN_LENGTH = 200_000, 64
 
 
-def _token_sums(dim: int):
-    """A function of texts (in small letters) to the signed weights of their tokens, in twentieths, added up at dim places."""
+def _hashed(dim: int):
+    """A function of texts (in small letters) to unit vectors: the signed weights of their tokens, in twentieths, added up at
+    dim places and divided by the vector's length, to six digits; null where all is zero."""
     word = re.compile(r"[a-zA-Z0-9_#+.-]+")
 
     def place(token: str) -> tuple[int, int]:
         h = hashlib.sha256(token.encode()).digest()
         return int.from_bytes(h[:4], "big") % dim, (20 + len(token)) * (-1 if h[4] % 2 else 1)
 
-    def sums(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, tuple[int, int]] = {}
         for part in parts:
-            out = []
-            for text in part:
+            sums = np.zeros((len(part), dim))
+            for row, text in enumerate(part):
                 at, weight = [], []
                 for token in word.findall(text):
                     cell = known.get(token)
@@ -104,30 +105,26 @@ def _token_sums(dim: int):
                             known[token] = cell
                     at.append(cell[0])
                     weight.append(cell[1])
-                out.append(np.bincount(np.array(at, np.int64), np.array(weight, np.float64), dim).astype(np.int64))
-            yield pd.Series(out)
+                if at:
+                    sums[row] = np.bincount(np.array(at, np.int64), np.array(weight, np.float64), dim)
+            sums /= 20
+            length = np.sqrt((sums * sums).sum(1))
+            unit = np.round(sums / np.where(length > 0, length, 1)[:, None], 6)
+            yield pd.Series([u if n > 0 else None for u, n in zip(unit, length.tolist(), strict=True)], dtype=object)
 
-    return F.pandas_udf(sums, "array<long>")
-
-
-def _unit(sums: Column) -> Column:
-    """The length of a vector of twentieths."""
-    return F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + (x / 20) * (x / 20)))
+    return F.pandas_udf(vectors, "array<double>")
 
 
 def hash_vectors(rows: DataFrame, text: Column, name: str = "embedding", dim: int = 96) -> DataFrame:
     """rows with the unit vector of signed feature hashing of a text (dim floats; null where no token counts). Nothing is
     shuffled: a row's vector comes from the row."""
-    known = rows.withColumn("_sums", _token_sums(dim)(F.lower(F.coalesce(text, F.lit(""))))).withColumn("_norm", _unit(F.col("_sums")))
-    scaled = F.transform("_sums", lambda x: F.round((x / 20) / F.col("_norm"), 6).cast("float"))
-    return known.withColumn(name, F.when(F.col("_norm") > 0, scaled)).drop("_sums", "_norm")
+    return rows.withColumn(name, _hashed(dim)(F.lower(F.coalesce(text, F.lit("")))).cast("array<float>"))
 
 
 def hash_embedding(docs: DataFrame, dim: int = 96) -> DataFrame:
     """doc_id, i, x: the same in long form without zeros; token multiplicity counts."""
-    known = docs.select("doc_id", _token_sums(dim)(F.lower(F.coalesce("text", F.lit("")))).alias("sums")).withColumn("norm", _unit(F.col("sums")))
-    cells = F.filter(F.transform("sums", lambda x, i: F.struct(i.cast("long").alias("i"), (x / 20).alias("x"))), lambda c: c.x != 0)
-    return known.select("doc_id", F.inline(F.transform(cells, lambda c: F.struct(c.i.alias("i"), F.round(c.x / F.col("norm"), 6).alias("x")))))
+    known = docs.select("doc_id", _hashed(dim)(F.lower(F.coalesce("text", F.lit("")))).alias("unit"))
+    return known.select("doc_id", F.posexplode("unit").alias("i", "x")).filter("x <> 0").select("doc_id", F.col("i").cast("long").alias("i"), "x")
 
 
 def dense(cells: DataFrame, dim: int = 96) -> DataFrame:

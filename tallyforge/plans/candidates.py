@@ -11,7 +11,7 @@ from tallyforge.operators import cache as K
 from tallyforge.operators import candidates as C
 from tallyforge.operators import profile as P
 from tallyforge.operators import vectors as V
-from tallyforge.plans.book import Book, quoted, sql_any, table
+from tallyforge.plans.book import Book, quoted, spread, sql_any, table
 from tallyforge.plans.profile import DEALS, MONEY, deals
 
 book = Book()
@@ -245,7 +245,6 @@ SELECT deal_id, part, count(*) FILTER (m <> 0)::INT AS n_cells, sum(m * (i + 1))
 )
 def profile_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five texts of deals' profiles as hashed unit vectors: their cells in millionths, weighted by place."""
-    made = P.profile_artifacts(P.deal_profile(deals(spark, sf_dir)), lambda rows: V.hash_vectors(rows, F.col("text")))
-    cells = made.select("deal_id", "part", F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("long")).alias("m"))
-    added = lambda f: F.aggregate(F.transform("m", f), F.lit(0).cast("long"), lambda a, x: a + x)
-    return cells.select("deal_id", "part", F.size(F.filter("m", lambda x: x != 0)).alias("n_cells"), added(lambda x, i: x * (i + 1)).alias("cell_sum"), added(lambda x, i: x * x).between(999_000_000_000, 1_001_000_000_000).alias("is_unit"))
+    made = P.profile_artifacts(P.deal_profile(spread(deals(spark, sf_dir))), lambda rows: V.hash_vectors(rows, F.col("text")))
+    cells = made.select("deal_id", "part", F.posexplode("embedding").alias("i", "x")).select("deal_id", "part", "i", F.round(F.col("x").cast("double") * 1_000_000).cast("long").alias("m"))
+    return cells.groupBy("deal_id", "part").agg(F.count_if(F.col("m") != 0).cast("int").alias("n_cells"), F.sum(F.col("m") * (F.col("i") + 1)).alias("cell_sum"), F.sum(F.col("m") * F.col("m")).between(999_000_000_000, 1_001_000_000_000).alias("is_unit"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.vectors import cosine
 from tallyforge.operators import vectors as V
-from tallyforge.plans.book import Book, table
+from tallyforge.plans.book import Book, spread, table
 
 book = Book()
 
@@ -96,4 +96,4 @@ c AS (SELECT doc_id, i, sum(x::DECIMAL(20, 6))::DOUBLE AS x FROM e GROUP BY ALL)
 SELECT doc_id, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM c QUALIFY x <> 0"""
 )
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.hash_embedding(table(spark, sf_dir, "documents"))
+    return V.hash_embedding(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
