@@ -147,7 +147,7 @@ def copies(rate: np.ndarray, ids: pa.Array, seed: int = 0) -> np.ndarray:
 
 def hash_id(i, seed: int) -> int:
     """A 64-bit key of an id: of its value where it is a whole number, of its text otherwise; nulls share one."""
-    own = 0x5BD1E995 if i is None else hash(i) if isinstance(i, int) else xxhash.xxh64_intdigest(str(i))
+    own = 0x5BD1E995 if i is None else i % (1 << 64) if isinstance(i, int) else xxhash.xxh64_intdigest(str(i))
     return (own * 0x9E3779B97F4A7C15 + seed * 0xD6E8FEB86659FD93 + 1) % (1 << 64)
 
 

@@ -399,20 +399,20 @@ def block_links(node: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndar
 
 
 def linked_components(docs: DataFrame, size: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, h, n_shingles, node) of docs, and node, component_id of their classes, as tables in the shared folder."""
+    """Rows (doc_id, h, n_shingles, node) of docs, and node, component_id, n (rows) of their classes, as tables in the shared folder."""
     with scratch(docs.sparkSession) as keep:
         rows = materialise(sketches(docs, size), "sketches")
-        classes = materialise(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("regs").alias("regs")), "classes")
+        classes = materialise(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("regs").alias("regs"), F.count("*").alias("n")), "classes")
         comps = _linked(docs, classes, size, percent)
         if comps is None:
-            members = classes.select("node", F.col("first_id").alias("component_id"))
+            members = classes.select("node", F.col("first_id").alias("component_id"), "n")
             keep(rows, classes)
         else:
             # components are named by nodes so far; their smallest doc_id names them from here
             first = classes.select("node", "first_id").join(comps, "node")
             named = materialise(first.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), "named")
             smallest = join_dealt(first, named, "comp", "node").select("node", "component_id")
-            members = materialise(classes.select("node", "first_id").join(smallest, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")), "members")
+            members = materialise(classes.select("node", "first_id", "n").join(smallest, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"), "n"), "members")
             keep(rows, members)
     return rows.select("doc_id", "h", "n_shingles", "node"), members
 
@@ -448,11 +448,16 @@ def _more(all_: DataFrame | None, new: DataFrame) -> DataFrame:
     return new if all_ is None else all_.unionAll(new)
 
 
+def _of_classes(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """rows with what members has of their class. All exact copies of a text are one class: they are dealt by their place."""
+    return join_dealt(rows.withColumn("place", F.monotonically_increasing_id()), members, "node", "place")
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     rows, members = linked_components(docs, size, percent)
     takes_part = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
-    found = rows.filter(takes_part).join(members, "node").select("doc_id", "n_shingles", "component_id")
+    found = _of_classes(rows.filter(takes_part), members).select("doc_id", "n_shingles", "component_id")
     alone = rows.filter(~takes_part).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionAll(alone).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
@@ -465,7 +470,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     names = docs.columns
     with scratch(docs.sparkSession) as keep:
         rows, members = linked_components(docs, size, percent)
-        placed = materialise(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").join(members, "node").select("component_id", "doc_id", "h"), "placed")
+        placed = materialise(_of_classes(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL"), members).select("component_id", "doc_id", "h"), "placed")
         first = materialise(placed.groupBy("component_id").agg(F.min(F.when(F.expr("doc_id = component_id"), F.col("h"))).alias("first_h"), F.count("*").alias("n")), "first")
         led = join_dealt(placed, first, "component_id", "doc_id")
         ids = [F.col("doc_id").alias("at_id"), F.col("h").alias("at_h")]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import SPACE, arrow_map, broadcast_if_small, materialise, modest_batches, numbered, renamed, scratch, text_buffers, words_of
+from tallyforge.llm.common import SPACE, arrow_map, join_dealt, materialise, modest_batches, numbered, renamed, scratch, text_buffers, words_of
 from tallyforge.llm.labelled import SAMPLE, fit_logistic, fold, labelled_sample
 
 BROADCAST_PATHS = 200_000
@@ -134,24 +134,35 @@ def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float, int]:
     paths = materialise(evidence.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), F.sum(F.round(p, 9).cast("decimal(38,9)")).cast("double").alias("s")), "paths")
     total = paths.agg(F.sum("n"), F.sum("s"), F.count("*")).first()
     if not total[0]:
-        return paths.select("_host", "_path", F.lit(0.0).alias("host_posterior"), F.lit(0.0).alias("path_posterior")), 0.5, 0
+        return paths.select("_host", "_path", F.lit(0.0).alias("host_posterior"), F.lit(0.0).alias("path_posterior"), F.col("n").cast("long").alias("n")), 0.5, 0
     mean = min(1 - 1e-6, max(1e-6, total[1] / total[0]))
     known = paths.filter("_host IS NOT NULL")
-    hosts = known.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+    hosts = known.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.count("*").alias("paths"))
     h = hosts.agg(F.count("*"), F.sum("hn"), F.sum(F.col("hn") * F.col("hn")), F.sum((F.col("hs") / F.col("hn") - mean) ** 2 * F.col("hn"))).first()
     k_host = _strength(mean, h[0], h[1] or 1.0, h[2] or 1.0, h[3] or 0.0)
     hosts = hosts.withColumn("host_posterior", (F.col("hs") + k_host * mean) / (F.col("hn") + k_host))
-    joined = known.join(hosts.select("_host", "host_posterior"), "_host")
+    few = total[2] <= BROADCAST_PATHS
+    sides = hosts.select("_host", "host_posterior") if few else materialise(hosts.select("_host", "host_posterior", F.col("paths").alias("n")), "hosts")
+    # hosts are no more than paths; beyond the bound the paths of a host with many are dealt over parts
+    joined = known.join(F.broadcast(sides), "_host") if few else join_dealt(known.withColumnRenamed("n", "rows"), sides, "_host", "_path").withColumnRenamed("rows", "n")
     q = joined.filter("_path IS NOT NULL").agg(F.count("*"), F.sum("n"), F.sum(F.col("n") * F.col("n")), F.sum((F.col("s") / F.col("n") - F.col("host_posterior")) ** 2 * F.col("n"))).first()
     k_path = _strength(mean, q[0], q[1] or 1.0, q[2] or 1.0, q[3] or 0.0)
     own = F.when(F.col("_path").isNull(), F.col("host_posterior")).otherwise((F.col("s") + k_path * F.col("host_posterior")) / (F.col("n") + k_path))
-    return joined.select("_host", "_path", "host_posterior", own.alias("path_posterior")), mean, total[2]
+    return joined.select("_host", "_path", "host_posterior", own.alias("path_posterior"), F.col("n").cast("long").alias("n")), mean, total[2]
 
 
 def _scored(rows: DataFrame, sites: DataFrame, mean: float, paths: int) -> DataFrame:
     """rows with host_posterior, path_posterior and _score."""
-    s = broadcast_if_small(sites.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "host_posterior", "path_posterior"), paths, BROADCAST_PATHS)
-    out = rows.join(s, (F.col("_host") == F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")), "left").drop("_h", "_p")
+    if paths <= BROADCAST_PATHS:
+        s = F.broadcast(sites.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "host_posterior", "path_posterior"))
+        out = rows.join(s, (F.col("_host") == F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")), "left").drop("_h", "_p")
+    else:
+        # each row of a known host has its path among the sites; those of a site with many are dealt over parts by their place
+        site = F.to_json(F.struct(F.col("_host").alias("h"), F.col("_path").alias("p")))
+        s = materialise(sites.select(site.alias("_site"), "host_posterior", "path_posterior", "n"), "dealt-sites")
+        known = rows.filter("_host IS NOT NULL").withColumns({"_site": site, "_place": F.monotonically_increasing_id()})
+        none = F.lit(None).cast("double")
+        out = join_dealt(known, s, "_site", "_place").drop("_site", "_place").unionByName(rows.filter("_host IS NULL").withColumns({"host_posterior": none, "path_posterior": none}))
     out = out.withColumn("host_posterior", F.coalesce("host_posterior", F.lit(mean))).withColumn("path_posterior", F.coalesce("path_posterior", F.lit(mean)))
     z = F.col("_evidence") - math.log(mean / (1 - mean)) + F.log(F.col("path_posterior") / (1 - F.col("path_posterior")))
     return out.withColumn("_score", 1 / (1 + F.exp(-z)))

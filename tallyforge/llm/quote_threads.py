@@ -30,11 +30,11 @@ from itertools import groupby
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tallyforge.llm.common import arrow_map, materialise
+from tallyforge.llm.common import arrow_map, discard, kind_of, materialise, scratch
 
 SPAN = 1024
 QUOTE = re.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$")
@@ -90,9 +90,14 @@ def _parsed(messages: DataFrame) -> DataFrame:
         return pa.record_batch([*batch.columns[:3], batch.column(4), pa.array(content), pa.array(own, pa.list_(pa.int64())), pa.array(quotes, kinds), pa.array(counts, pa.int32())], ["conv_id", "turn", "role", "message", "content", "own", "quotes", "n_quotes"])
 
     shaped = messages.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("conv_id", "turn", "role", "text").alias("message")
+        _key(messages), F.col("turn").try_cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("conv_id", "turn", "role", "text").alias("message")
     )
-    return shaped.mapInArrow(arrow_map(work), "conv_id long, turn long, role string, message long, content string, own array<long>, quotes array<struct<passage:int,level:int,h:long,chars:long>>, n_quotes int")
+    return shaped.mapInArrow(arrow_map(work), f"conv_id {kind_of(shaped, 'conv_id')}, turn long, role string, message long, content string, own array<long>, quotes array<struct<passage:int,level:int,h:long,chars:long>>, n_quotes int")
+
+
+def _key(messages: DataFrame) -> Column:
+    """conv_id as a long where it is a whole number, else as it is: texts name conversations, too."""
+    return (F.col("conv_id").cast("long") if kind_of(messages, "conv_id") in ("tinyint", "smallint", "int", "bigint") else F.col("conv_id")).alias("conv_id")
 
 
 def latest_before(asked: DataFrame, there: DataFrame) -> DataFrame:
@@ -126,38 +131,43 @@ def _paths(heads: DataFrame) -> DataFrame:
     """
     rows = materialise(heads.select("conv_id", "head", "up", F.array("reply_to", "head").alias("path")), "branches")
     while not rows.filter("up IS NOT NULL").isEmpty():
+        before = rows
         above = rows.select("conv_id", F.col("head").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
         rows = materialise(rows.join(above, ["conv_id", "up"], "left").select("conv_id", "head", F.col("up2").alias("up"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path")), "branches")
-    return rows.select("conv_id", "head", "path")
+        discard(before)
+    return rows
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, content (without quotes), reply_to, branch, order_key, n_quotes, n_linked for each message."""
-    parsed = materialise(_parsed(messages), "messages")
-    placed = parsed.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
-    links = materialise(_links(parsed), "links")
-    by_message = links.groupBy("conv_id", "message").agg(F.count("original").cast("int").alias("n_linked"))
-    first = links.filter("level = 1 AND original IS NOT NULL").groupBy("conv_id", "message", "original").agg(F.sum("n").alias("n")).groupBy("conv_id", "message").agg(F.max(F.struct("n", "original")).alias("b")).select("conv_id", "message", F.col("b.original").alias("quoted"))
-    turns = placed.select("conv_id", F.lit(0).cast("long").alias("h"), "turn").distinct()
-    prior = latest_before(turns, turns).select("conv_id", "turn", F.col("before").alias("prior"))
-    replies = placed.select("conv_id", "turn", "message").distinct().join(first, ["conv_id", "message"], "left").join(prior, ["conv_id", "turn"]).select("conv_id", "turn", "message", F.coalesce("quoted", "prior").alias("reply_to"), (F.col("quoted").isNotNull() & (F.col("quoted") != F.col("prior"))).alias("starts"))
-    replies = materialise(replies, "replies")
-    # of several messages with one turn, the smallest answered turn heads the branch
-    heads = replies.filter("starts").groupBy("conv_id", F.col("turn").alias("head")).agg(F.min("reply_to").alias("reply_to"))
-    trunk = placed
-    if heads.isEmpty():
-        keyed = replies.select("conv_id", "turn", "message", "reply_to", F.lit(None).cast("long").alias("branch"), F.array("turn").alias("order_key"))
-    else:
-        marks = heads.select("conv_id", F.lit(0).cast("long").alias("h"), F.col("head").alias("turn"))
-        # a turn's branch is the last head at or before it
-        branch = latest_before(turns.withColumn("turn", F.col("turn") + 1), marks).select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("before").alias("branch"))
-        up = heads.join(branch.select("conv_id", F.col("turn").alias("reply_to"), F.col("branch").alias("up")), ["conv_id", "reply_to"], "left")
-        paths = _paths(up)
-        keyed = (
-            replies.join(branch, ["conv_id", "turn"])
-            .join(paths.select("conv_id", F.col("head").alias("branch"), "path"), ["conv_id", "branch"], "left")
-            .select("conv_id", "turn", "message", "reply_to", "branch", F.when(F.col("path").isNull(), F.array("turn")).otherwise(F.concat("path", F.array("turn"))).alias("order_key"))
-        )
+    with scratch(messages.sparkSession) as keep:
+        parsed = materialise(_parsed(messages), "messages")
+        placed = parsed.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
+        links = materialise(_links(parsed), "links")
+        by_message = links.groupBy("conv_id", "message").agg(F.count("original").cast("int").alias("n_linked"))
+        first = links.filter("level = 1 AND original IS NOT NULL").groupBy("conv_id", "message", "original").agg(F.sum("n").alias("n")).groupBy("conv_id", "message").agg(F.max(F.struct("n", "original")).alias("b")).select("conv_id", "message", F.col("b.original").alias("quoted"))
+        turns = placed.select("conv_id", F.lit(0).cast("long").alias("h"), "turn").distinct()
+        prior = latest_before(turns, turns).select("conv_id", "turn", F.col("before").alias("prior"))
+        replies = placed.select("conv_id", "turn", "message").distinct().join(first, ["conv_id", "message"], "left").join(prior, ["conv_id", "turn"]).select("conv_id", "turn", "message", F.coalesce("quoted", "prior").alias("reply_to"), (F.col("quoted").isNotNull() & (F.col("quoted") != F.col("prior"))).alias("starts"))
+        replies = materialise(replies, "replies")
+        # of several messages with one turn, the smallest answered turn heads the branch
+        heads = replies.filter("starts").groupBy("conv_id", F.col("turn").alias("head")).agg(F.min("reply_to").alias("reply_to"))
+        trunk = placed
+        if heads.isEmpty():
+            keyed = replies.select("conv_id", "turn", "message", "reply_to", F.lit(None).cast("long").alias("branch"), F.array("turn").alias("order_key"))
+        else:
+            marks = heads.select("conv_id", F.lit(0).cast("long").alias("h"), F.col("head").alias("turn"))
+            # a turn's branch is the last head at or before it
+            branch = latest_before(turns.withColumn("turn", F.col("turn") + 1), marks).select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("before").alias("branch"))
+            up = heads.join(branch.select("conv_id", F.col("turn").alias("reply_to"), F.col("branch").alias("up")), ["conv_id", "reply_to"], "left")
+            paths = _paths(up)
+            keep(paths)
+            keyed = (
+                replies.join(branch, ["conv_id", "turn"])
+                .join(paths.select("conv_id", F.col("head").alias("branch"), "path"), ["conv_id", "branch"], "left")
+                .select("conv_id", "turn", "message", "reply_to", "branch", F.when(F.col("path").isNull(), F.array("turn")).otherwise(F.concat("path", F.array("turn"))).alias("order_key"))
+            )
+        keep(parsed, links, replies)
     full = trunk.join(keyed.drop("turn"), ["conv_id", "message"]).join(by_message, ["conv_id", "message"], "left")
     alone = parsed.filter("conv_id IS NULL OR turn IS NULL").select("*", F.lit(None).cast("long").alias("reply_to"), F.lit(None).cast("long").alias("branch"), F.when(F.col("turn").isNull(), F.array().cast("array<long>")).otherwise(F.array("turn")).alias("order_key"), F.lit(0).alias("n_linked"))
     names = ["conv_id", "turn", "role", "content", "reply_to", "branch", "order_key", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked")]

@@ -24,8 +24,8 @@ from tallyforge.llm.common import arrow_map, doc_text, kind_of, modest_batches
 #: Pre-tokens of byte-level BPE (a fixed value of the public tokenizer).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Distinct merged pre-tokens that a worker remembers; beyond it the memo starts anew.
-MEMO = 400_000
+#: Distinct merged pre-tokens that a worker remembers, and their greatest length; beyond the number the memo starts anew.
+MEMO, MEMO_LENGTH = 400_000, 64
 
 _state: dict = {}
 
@@ -82,12 +82,13 @@ class PreTokenCounter:
         memo = self.memo
         if len(memo) > len(self.whole) + MEMO:
             memo = self.memo = dict(self.whole)
+        long: dict[str, int] = {}
         rest = list({t for ts in cut for t in ts if t not in memo})
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             for t, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[t] = len(e.ids)
-        get = memo.__getitem__
+                (memo if len(t) <= MEMO_LENGTH else long)[t] = len(e.ids)
+        get = (lambda t: long[t] if t in long else memo[t]) if long else memo.__getitem__
         return [n + sum(map(get, ts)) for n, ts in zip(extra, cut, strict=True)]
 
 

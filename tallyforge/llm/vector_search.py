@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tallyforge.llm.common import materialise
+from tallyforge.llm.common import join_dealt, materialise
 
 SCALE = 64
 PIVOTS = 48
@@ -43,6 +43,10 @@ HUGE = 1e100
 FIRST, STEP = 512, 64
 
 
+#: Lengths of vectors whose counts (24 bytes each) may be broadcast.
+BROADCAST_DIMS = 10_000
+
+
 def quantise(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, v (doubles as bytes), dim: the rows that take part, equal rows once."""
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
@@ -169,8 +173,12 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = SCALE,
     rows = materialise(quantise(vectors, scale).mapInArrow(pivoted, "vec_id long, v binary, dim int, table binary"), "pivots")
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("nq"))
     # blocks by a hash of the row: their number follows from the counts, their size does not grow
-    counts = sizes.select("dim", F.ceil(F.col("n") / CANDIDATES).cast("int").alias("cb"), F.greatest(F.lit(1), F.ceil(F.col("nq") / QUERIES)).cast("int").alias("qb"))
-    blocked = rows.join(counts, "dim").withColumn("h", F.xxhash64("vec_id", "v"))
+    counts = sizes.select("dim", F.ceil(F.col("n") / CANDIDATES).cast("int").alias("cb"), F.greatest(F.lit(1), F.ceil(F.col("nq") / QUERIES)).cast("int").alias("qb"), "n")
+    counts = materialise(counts, "sizes")
+    # mostly one length for all rows: its counts go to them by broadcast, or to parts of them if lengths are many
+    few = counts.count() <= BROADCAST_DIMS
+    sized = rows.join(F.broadcast(counts.drop("n")), "dim") if few else join_dealt(rows.withColumn("place", F.monotonically_increasing_id()), counts, "dim", "place").drop("place")
+    blocked = sized.withColumn("h", F.xxhash64("vec_id", "v"))
     candidates = blocked.select("dim", F.pmod("h", F.col("cb")).alias("c"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), "vec_id", "v", "table")
     queries = blocked.filter(F.col("vec_id") % every == 0).select(
         F.col("dim").alias("qdim"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cb").cast("long") - 1)).alias("qc"), F.pmod("h", F.col("qb")).cast("int").alias("qq"), F.col("vec_id").alias("qid"), F.col("v").alias("qv"), F.col("table").alias("qtable")
