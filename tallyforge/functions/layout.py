@@ -61,10 +61,17 @@ def crop_statistics(greys: Column, width: Column) -> Column:
 
 
 # ---- fields of parsed items, given as JSON text ------------------------------------------
+# An item is parsed once (`parsed_item`); its fields are read from that. Shapes are tried in a loop over a list of their paths, so
+# the code of a row stays small.
+
+
+def parsed_item(item: Column) -> Column:
+    """The item as a variant, which the functions below take; null for text that is no JSON."""
+    return F.try_parse_json(item)
 
 
 def _field(item: Column, path: str) -> Column:
-    return F.get_json_object(item, "$." + path)
+    return F.try_variant_get(item, path if path.startswith("$") else "$." + path, "string")
 
 
 def _first(*values: Column) -> Column:
@@ -80,29 +87,38 @@ def item_text(item: Column) -> Column:
     return safe_text(_first(*[_field(item, n) for n in ("text", "orig", "caption", "markdown")]))
 
 
-def _page_at(item: Column, at: str) -> Column:
-    return F.coalesce(_field(item, at + "page_no").try_cast("int"), _field(item, at + "page").try_cast("int"), _field(item, at + "page_index").try_cast("int") + 1)
+def _at(item: Column, paths: tuple[str, ...]) -> Column:
+    """What the item has at each path."""
+    return F.array(*[F.try_variant_get(item, p, "variant") for p in paths])
+
+
+def _first_of(values: Column) -> Column:
+    return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
 def item_page(item: Column) -> Column:
     """Page number from where the item was found, else its own; an index counts from 0."""
-    return F.coalesce(*[_page_at(item, at) for at in ("prov[0].", "prov.", "provenance[0].", "provenance.", "")])
+    def page(v: Column) -> Column:
+        number = lambda n: _field(v, n).try_cast("int")
+        return F.coalesce(number("page_no"), number("page"), number("page_index") + 1)
 
+    return _first_of(F.transform(_at(item, ("$.prov[0]", "$.prov", "$.provenance[0]", "$.provenance", "$")), page))
 
-def _box_at(item: Column, at: str) -> Column:
-    def number(*names: str) -> Column:
-        return F.coalesce(*[_field(item, f"{at}{n}").try_cast("double") for n in names])
 
-    def box(*sides: Column) -> Column:
-        whole = sides[0].isNotNull() & sides[1].isNotNull() & sides[2].isNotNull() & sides[3].isNotNull()
-        return F.when(whole, F.struct(*[s.alias(n) for s, n in zip(sides, ("left", "top", "right", "bottom"), strict=True)], origin_name(_field(item, at + ".coord_origin")).alias("coord_origin")))
+def item_box(item: Column) -> Column:
+    """left, top, right, bottom, coord_origin of a box in any of its shapes: short or long names, corners, nested, a list."""
+    names = (("l", "left", "x0"), ("t", "top", "y0"), ("r", "right", "x1"), ("b", "bottom", "y1"))
 
-    return F.coalesce(box(*map(number, (".l", ".t", ".r", ".b"))), box(number(".left", ".x0"), number(".top", ".y0"), number(".right", ".x1"), number(".bottom", ".y1")), box(*map(number, ("[0]", "[1]", "[2]", "[3]"))))
+    def box(v: Column) -> Column:
+        number = lambda p: _field(v, p).try_cast("double")
 
+        def shape(sides: list[Column]) -> Column:
+            whole = sides[0].isNotNull() & sides[1].isNotNull() & sides[2].isNotNull() & sides[3].isNotNull()
+            return F.when(whole, F.struct(*[s.alias(n) for s, n in zip(sides, ("left", "top", "right", "bottom"), strict=True)], origin_name(_field(v, "coord_origin")).alias("coord_origin")))
 
-def item_box(item: Column) -> Column:
-    """left, top, right, bottom, coord_origin of a box in any of its shapes: short or long names, corners, nested, a list."""
-    return F.coalesce(*[_box_at(item, at) for at in ("prov[0].bbox", "prov[0].bbox.bbox", "prov.bbox", "prov.bbox.bbox", "provenance[0].bbox", "provenance.bbox", "bbox", "bbox.bbox")])
+        return F.coalesce(shape([number(n[0]) for n in names]), shape([F.coalesce(number(n[1]), number(n[2])) for n in names]), shape([number(f"$[{i}]") for i in range(4)]))
+
+    return _first_of(F.transform(_at(item, ("$.prov[0].bbox", "$.prov[0].bbox.bbox", "$.prov.bbox", "$.prov.bbox.bbox", "$.provenance[0].bbox", "$.provenance.bbox", "$.bbox", "$.bbox.bbox")), box))
 
 
 def json_in_text(text: Column) -> Column:

@@ -209,14 +209,17 @@ def extracted(docs: DataFrame, manifest: DataFrame, answers: DataFrame, names: t
     )
 
 
-def merged_dossier(documents: DataFrame, answer: DataFrame, names: tuple[str, ...] = DOSSIER_FIELDS) -> DataFrame:
+def merged_dossier(documents: DataFrame, answer: DataFrame, names: tuple[str, ...] = DOSSIER_FIELDS, run: str | None = None) -> DataFrame:
     """One row: the merged dossier. documents: of `extracted`. answer: one row (answer, error) of the model that merged them.
+    run: a column of both that tells dossiers apart; then one row for each run (of documents), also without an answer.
 
     Each field is there, those that the answer lacks as not found; n_fields counts those with a value.
     """
-    listed = documents.agg(F.array_sort(F.collect_list(F.struct("doc_id", "file_name", "document_category", "short_summary", "long_summary"))).alias("documents"), F.count("*").alias("n_documents"))
-    row = answer.limit(1).select(json_in_text(F.coalesce("answer", F.lit(""))).alias("_j"), "error")
-    both = listed.crossJoin(row)  # one row each
+    keys = [] if run is None else [run]
+    listed = documents.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("doc_id", "file_name", "document_category", "short_summary", "long_summary"))).alias("documents"), F.count("*").alias("n_documents"))
+    row = answer.select(*keys, json_in_text(F.coalesce("answer", F.lit(""))).alias("_j"), "error")
+    # without runs, one row each
+    both = listed.crossJoin(row.limit(1)) if run is None else listed.join(row, run, "left")
     good = F.col("error").isNull() & F.coalesce(F.ltrim("_j").startswith("{"), F.lit(False))
     both = both.withColumn("_f", F.when(good, F.from_json(F.get_json_object("_j", "$.final_fields"), "map<string,struct<value:string,answer:string>>")))
     missing = F.struct(F.lit(None).cast("string").alias("value"), F.lit(NOT_FOUND).alias("answer"))
@@ -224,7 +227,7 @@ def merged_dossier(documents: DataFrame, answer: DataFrame, names: tuple[str, ..
     fields = F.map_from_arrays(every, F.transform(every, lambda n: F.coalesce(F.try_element_at("_f", n), missing)))
     why = F.concat(F.lit("Merge failed: "), F.coalesce("error", F.lit("Merge returned non-object JSON")))
     out = both.select(
-        F.when(good, F.coalesce(F.get_json_object("_j", "$.short_summary"), F.lit(""))).otherwise(why).alias("short_summary"), F.when(good, F.coalesce(F.get_json_object("_j", "$.long_summary"), F.lit(""))).otherwise("").alias("long_summary"),
+        *keys, F.when(good, F.coalesce(F.get_json_object("_j", "$.short_summary"), F.lit(""))).otherwise(why).alias("short_summary"), F.when(good, F.coalesce(F.get_json_object("_j", "$.long_summary"), F.lit(""))).otherwise("").alias("long_summary"),
         fields.alias("final_fields"), "documents", "n_documents",
     )
     return out.withColumn("n_fields", F.size(F.filter(F.map_values("final_fields"), lambda f: f.value.isNotNull())))
@@ -246,12 +249,60 @@ def document_prompt(name: Column, text: Column, fields: dict[str, str], categori
     )
 
 
+def _merge_head(names: tuple[str, ...]) -> str:
+    return "\n".join(["Merge the fields that were found in these documents into one JSON object with short_summary, long_summary and final_fields.", "final_fields maps each name to value, answer and evidence; null where no document says it; lists are joined without repeats.", "Names: " + ", ".join(names)])
+
+
 def merge_prompt(documents: DataFrame, names: tuple[str, ...] = DOSSIER_FIELDS) -> DataFrame:
     """One row: what to ask a model that merges the fields of `extracted` documents; only fields with a value are listed."""
     found = F.filter(F.map_entries("doc_fields"), lambda e: e.value.value.isNotNull())
     part = _lines(F.concat(F.lit("Document: "), "file_name"), "Fields:", F.array_join(F.transform(found, lambda e: F.concat(F.lit("  "), e.key, F.lit(": "), e.value.value)), "\n"))
     listed = documents.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))), lambda x: x.p), "\n\n").alias("body"))
-    return listed.select(_lines("Merge the fields that were found in these documents into one JSON object with short_summary, long_summary and final_fields.", "final_fields maps each name to value, answer and evidence; null where no document says it; lists are joined without repeats.", "Names: " + ", ".join(names), F.col("body")).alias("prompt"))
+    return listed.select(_lines(_merge_head(names), F.col("body")).alias("prompt"))
+
+
+def _blocks(lines: Column, most: int) -> Column:
+    """Lines put together, line by line, into blocks of at most `most` letters; a longer line is cut there."""
+    def add(state: Column, line: Column) -> Column:
+        cut = F.substring(line, 1, most)
+        fits = (state.open == "") | (F.length(state.open) + 1 + F.length(cut) <= most)
+        return F.when(fits, F.struct(state.done.alias("done"), F.concat(state.open, F.when(state.open == "", "").otherwise("\n"), cut).alias("open"))).otherwise(F.struct(F.concat(state.done, F.array(state.open)).alias("done"), cut.alias("open")))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    return F.aggregate(lines, start, add, lambda s: F.concat(s.done, F.array(s.open)))
+
+
+def merge_parts(documents: DataFrame, run: str, most: int = 60_000, names: tuple[str, ...] = DOSSIER_FIELDS) -> DataFrame:
+    """run, part (from 0), n_parts, doc_ids, prompt: what to ask a model that merges the documents of each run, in prompts of
+    at most `most` letters. documents: run, doc_id, file_name, doc_fields.
+
+    A run with one part is merged by it. The answers of several are documents of the next round: with doc_id and file_name
+    of the part and the answer's fields as doc_fields they go through here again, until each run has one part.
+
+    A document's lines go into blocks of half a prompt's room at most, blocks into shares by a hash, and each share, which
+    is of bounded size, into parts in order; so no task has to hold all documents of a run.
+    """
+    head = _merge_head(names)
+    room = most - len(head) - 2
+    if room < 200:
+        raise ValueError(f"a prompt of {most} letters has no room beside its {len(head)} letters of instructions")
+    found = F.filter(F.map_entries("doc_fields"), lambda e: e.value.value.isNotNull())
+    lines = F.transform(found, lambda e: F.concat(F.lit("  "), e.key, F.lit(": "), e.value.value))
+    title = F.concat(F.lit("Document: "), F.substring("file_name", 1, 100), F.lit("\nFields:"))
+    block_room = room // 2 - 130
+    blocks = documents.select(run, "doc_id", title.alias("title"), F.posexplode(_blocks(F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(""))), block_room)).alias("block", "text"))
+    blocks = blocks.select(run, "doc_id", "block", F.concat("title", F.lit("\n"), "text").alias("text")).withColumn("size", F.length("text") + 2)
+    total = blocks.groupBy(run).agg(F.sum("size").alias("total"))
+    # a share has about sixteen prompts of text
+    shares = F.ceil(F.col("total") / (16 * room)).cast("int")
+    placed = blocks.join(total.select(run, shares.alias("shares")), run).withColumn("share", F.pmod(F.xxhash64("doc_id", "block"), F.col("shares")).cast("int"))
+    order = W.Window.partitionBy(run, "share").orderBy("doc_id", "block")
+    # blocks are at most half a room, so those that begin in one stretch of half a room fill at most one room
+    begins = F.coalesce(F.sum("size").over(order.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    parts = placed.withColumn("stretch", F.floor(begins / (room - room // 2)).cast("int")).groupBy(run, "share", "stretch").agg(F.array_sort(F.collect_list(F.struct("doc_id", "block", "text"))).alias("x"))
+    numbered = parts.withColumn("part", (F.row_number().over(W.Window.partitionBy(run).orderBy("share", "stretch")) - 1).cast("int")).withColumn("n_parts", F.count("*").over(W.Window.partitionBy(run)).cast("int"))
+    body = F.array_join(F.transform("x", lambda b: b.text), "\n\n")
+    return numbered.select(run, "part", "n_parts", F.array_distinct(F.transform("x", lambda b: b.doc_id)).alias("doc_ids"), F.concat(F.lit(head + "\n"), body).alias("prompt"))
 
 
 def table_prompt(markdown: Column, html: Column, table_id: Column, file_name: Column, page: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import fixed as V
+from tallyforge.functions.dates import any_date, dates_in_text
 from tallyforge.functions.text import clean_text, field_blob, has_any, strings, summarize, tiered_merge
 from tallyforge.functions.urls import domain
 
@@ -235,3 +236,10 @@ def strategy_reason(found_site: Column, active: Column) -> Column:
 
 def string_list(values: Column) -> Column:
     return F.array_join(F.coalesce(values, strings([])), "; ")
+
+
+def evidence_date(last_investment: Column, last_fund: Column, text: Column, today: Column) -> Column:
+    """The newest date that backs a score: of the last investment, the last fund (each in any writing), or the newest one in
+    the texts; not of the future; null if there is none."""
+    found = F.array(any_date(last_investment), any_date(last_fund), F.array_max(dates_in_text(text, today)))
+    return F.array_max(F.filter(found, lambda d: d <= today))

@@ -93,16 +93,10 @@ def _by_keys(kept: DataFrame, keys: list[str], order: str, groups: dict[str, Col
     return kept.groupBy(*keys).agg(*texts, *urls, buckets.alias("by_bucket"))
 
 
-def resolved(href: Column, home: Column) -> Column:
-    """An absolute URL: of a link as it stands on a page of the home's site."""
-    root = F.regexp_extract(home, r"^([A-Za-z]+://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(home, r"[?#].*$", ""), r"(?<=[^/])/[^/]*$", "")
-    return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(home, r"^([A-Za-z]+:)", 1), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .otherwise(F.concat(folder, F.lit("/"), href))
-    )
+def page_links(pages: DataFrame, keys: list[str], url: str = "url", html: str = "html") -> DataFrame:
+    """keys, url, pos, href, text, target: the links of each page, with the absolute URL that each leads to."""
+    rows = pages.select(*keys, F.col(url).alias("url"), F.inline(U.anchors(F.col(html))))
+    return rows.withColumn("target", U.joined(F.col("url"), F.col("href")))
 
 
 def site_pages(links: DataFrame, keys: list[str], home: Column, most: int = PAGES_A_SITE) -> DataFrame:
@@ -112,7 +106,7 @@ def site_pages(links: DataFrame, keys: list[str], home: Column, most: int = PAGE
     less for a query and for depth. The best score of a URL counts; links of equal score keep their order.
     """
     href = F.trim(F.coalesce("href", F.lit("")))
-    rows = links.filter((href != "") & ~href.startswith("#") & ~href.startswith("mailto:")).select(*keys, "pos", href.alias("href"), F.col("text").alias("label"), home.alias("home")).withColumn("url", resolved(F.col("href"), F.col("home")))
+    rows = links.filter((href != "") & ~href.startswith("#") & ~href.startswith("mailto:")).select(*keys, "pos", href.alias("href"), F.col("text").alias("label"), home.alias("home")).withColumn("url", U.joined(F.col("home"), F.col("href")))
     blob = F.lower(F.concat(F.coalesce("label", F.lit("")), F.lit(" "), F.col("href")))
     rows = rows.withColumn("blob", blob).filter(F.col("url").rlike("^https?://") & (U.domain(F.col("url")) == U.domain(F.col("home"))) & ~U.blocked(U.normalize(F.col("url"))) & has_any(F.col("blob"), DISCOVERY_WORDS))
     path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1)

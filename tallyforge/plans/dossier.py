@@ -216,6 +216,20 @@ def review_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.md5(p).alias("picture_md5"), F.md5(q).alias("table_md5"))
 
 
+@book.query(
+    f"""WITH {DOCS}, e AS (SELECT k % 7 AS run, 'doc_' || CASE WHEN k + 1 < 1000 THEN lpad((k + 1)::VARCHAR, 3, '0') ELSE (k + 1)::VARCHAR END AS doc_id, CASE WHEN k % 2 = 0 THEN 'f' || k || '.pdf' ELSE k::VARCHAR END AS file_name, k FROM d),
+m AS (SELECT run, count(*) AS n_documents, md5({quoted([chr(10).join(MERGES)])} || chr(10) || string_agg('Document: ' || file_name || chr(10) || 'Fields:' || chr(10) || CASE WHEN k % 3 = 0 THEN '  company_name: Acme' || chr(10) || '  revenue: 5M' ELSE '' END, chr(10) || chr(10) ORDER BY doc_id)) AS prompt_md5 FROM e GROUP BY run)
+SELECT run, n_documents, prompt_md5, CASE WHEN run % 2 = 0 THEN 'merged ' || run ELSE 'Merge failed: Merge returned non-object JSON' END AS short_summary, CASE WHEN run % 2 = 0 THEN 'Acme ' || run END AS company_name FROM m"""
+)
+def dossiers_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven runs in one table: what each run's merging model is asked, and the dossiers out of the answers that there are."""
+    docs = _extracted(spark, sf_dir).withColumn("run", (F.regexp_extract("doc_id", r"(\d+)$", 1).cast("long") - 1) % 7)
+    asked = O.merge_parts(docs, "run", 10_000_000).filter("n_parts = 1").select("run", F.md5("prompt").alias("prompt_md5"))
+    answers = asked.filter("run % 2 = 0").select("run", F.concat(F.lit('{"short_summary": "merged '), "run", F.lit('", "final_fields": {"company_name": {"value": "Acme '), "run", F.lit('", "answer": "a"}}}')).alias("answer"), F.lit(None).cast("string").alias("error"))
+    made = O.merged_dossier(docs, answers, run="run")
+    return made.join(asked, "run").select("run", "n_documents", "prompt_md5", "short_summary", F.try_element_at("final_fields", F.lit("company_name")).value.alias("company_name"))
+
+
 PHASED = ["input/a.pdf", "run_manifest.json", "file_llm_feed.md", "other.txt", "company_dossier_merged.json"]
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.dates import dates_in_text, parse_date
 from tallyforge.functions.fixed import BENIGN_STATUSES, FIT_KEYS, INTENT_KEYS, QUERY_KEYS, REPORT_COLUMNS, SECTOR_TERMS, STAGE_TERMS, TARGET_US_PLACES
 from tallyforge.functions.text import strings
 from tallyforge.operators import evidence as E
@@ -155,9 +154,9 @@ def evidence_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col(K)
     today = F.lit("2024-01-20").cast("date")
     text = F.when(k % 5 == 0, "On July 4, 2023 and 2020-01-02 they led.").when(k % 5 == 1, "Due Dec 31, 2024; was 2023-02-02").when(k % 5 == 2, "March 2021 news").otherwise("no date")
-    rows = table(spark, sf_dir, "part").select(K, parse_date(F.when(k % 3 == 0, "06-May-2023").when(k % 3 == 1, "2030-01-01")).alias("a"), parse_date(F.when(k % 4 == 0, "2023/6/1")).alias("b"), F.array_max(dates_in_text(text, today)).alias("c"))
-    newest = F.greatest(*[F.when(F.col(c) <= today, F.col(c)) for c in "abc"])
-    return rows.select(K, F.coalesce(F.date_format(newest, "yyyy-MM-dd"), F.lit("")).alias("newest"))
+    invested, fund = F.when(k % 3 == 0, "06-May-2023").when(k % 3 == 1, "2030-01-01"), F.when(k % 4 == 0, "2023/6/1")
+    rows = table(spark, sf_dir, "part").select(K, E.evidence_date(invested, fund, text, today).alias("newest"))
+    return rows.select(K, F.coalesce(F.date_format("newest", "yyyy-MM-dd"), F.lit("")).alias("newest"))
 
 
 @book.query("SELECT p_partkey, CASE WHEN p_partkey % 11 >= 5 THEN 'Active' ELSE 'Inactive' END AS active, array_to_string(list_filter([p_brand, CASE WHEN p_partkey % 2 = 0 THEN 'even' END, 'c', 'd', 'e', 'f', 'g'], lambda x: x IS NOT NULL)[1:6], ' | ') AS summary, (['b', 'a'] || CASE WHEN p_partkey % 3 = 0 THEN ['c'] ELSE [] END)::VARCHAR AS firsts FROM part")

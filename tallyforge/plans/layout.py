@@ -84,7 +84,7 @@ def item_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.get(F.array(*map(F.lit, ITEMS)), (F.col("page_id") % len(ITEMS)).cast("int"))
     box = L.item_box(F.col("item"))
     sides = F.concat_ws(",", *[box[n].cast("string") for n in ("left", "top", "right", "bottom", "coord_origin")])
-    return table(spark, sf_dir, "pages").select("page_id", item.alias("item")).select("page_id", L.item_label(F.col("item")).alias("label"), L.item_text(F.col("item")).alias("body"), L.item_page(F.col("item")).alias("page_no"), F.when(box.isNotNull(), sides).alias("box"))
+    return table(spark, sf_dir, "pages").select("page_id", L.parsed_item(item).alias("item")).select("page_id", L.item_label(F.col("item")).alias("label"), L.item_text(F.col("item")).alias("body"), L.item_page(F.col("item")).alias("page_no"), F.when(box.isNotNull(), sides).alias("box"))
 
 
 @book.query("SELECT vec_id, n AS area, round(white, 6) AS white, round((across + down) / 2, 4) AS detail, round(sqrt(greatest(sq - mean * mean, 0)), 4) AS spread FROM (SELECT vec_id, len(g) AS n, len(list_filter(g, lambda x: x > 245)) / len(g)::DOUBLE AS white, list_sum(g) / len(g)::DOUBLE AS mean, list_sum(list_transform(g, lambda x: x * x)) / len(g)::DOUBLE AS sq, list_avg(list_transform(list_filter(range(64), lambda i: i % 8 < 7), lambda i: abs(g[i + 2] - g[i + 1]))) AS across, list_avg(list_transform(range(56), lambda i: abs(g[i + 9] - g[i + 1]))) AS down FROM (SELECT vec_id, list_transform(range(64), lambda i: ((vec_id * 31 + i * i * 7) % 256)::DOUBLE) AS g FROM embeddings))")

@@ -149,3 +149,28 @@ def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "pages").select("page_id", "url", page_text(F.col("html")).alias("body"))
     return rows.select("page_id", U.bucket(F.col("url")).alias("bucket"), F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("digest"))
+
+
+# ---- the links that pages really have
+
+REAL = """a AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, unnest(range(len(t))) AS pos, unnest(t) AS tag FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">.*?</a>', 0, 's') AS t FROM pages)),
+l AS (SELECT page_id, url, root, pos::INT AS pos, trim(replace(regexp_extract(tag, '<a href="([^"]*)"', 1), '&amp;', '&')) AS href, trim(regexp_replace(replace(regexp_replace(regexp_extract(tag, '^<a href="[^"]*">(.*)</a>$', 1, 's'), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM a),
+j AS (SELECT *, CASE WHEN href ~ '^[a-z]+:' THEN href WHEN href = '/' OR href LIKE '/%' THEN root || href WHEN href LIKE '#%' THEN regexp_replace(url, '#.*$', '') || href WHEN href LIKE '?%' THEN regexp_replace(url, '[?#].*$', '') || href WHEN href = '' THEN url ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS target FROM l)"""
+
+
+@book.query(f"WITH {REAL} SELECT page_id, pos, href, text, target FROM j")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of every page, with its text and where it leads."""
+    return S.page_links(table(spark, sf_dir, "pages"), ["page_id"]).select("page_id", "pos", "href", "text", "target")
+
+
+@book.query(
+    f"""WITH {REAL}, b AS (SELECT page_id, url AS home, pos, target AS u, lower(text || ' ' || href) AS blob FROM j WHERE href <> '' AND href NOT LIKE '#%' AND href NOT LIKE 'mailto:%' AND starts_with(target, root)),
+s AS (SELECT page_id, home, pos, u, (10 + CASE {BUCKET} WHEN 'portfolio' THEN 14 WHEN 'team' THEN 14 WHEN 'contact' THEN 12 WHEN 'careers' THEN 10 WHEN 'news' THEN 9 ELSE 2 END + 2 * {sql_hits('blob', DISCOVERY_WORDS)})::DOUBLE AS score FROM b WHERE {sql_any('blob', DISCOVERY_WORDS)}),
+c AS (SELECT page_id, pos, u, score FROM s UNION ALL SELECT page_id, -1, url, 100.0 FROM pages WHERE page_id IN (SELECT page_id FROM j)),
+d AS (SELECT page_id, u, max(score) AS score, arg_max(pos, score) AS pos FROM c GROUP BY 1, 2), r AS (SELECT page_id, u AS url, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos)::INT AS rank FROM d) SELECT * FROM r WHERE rank <= 4"""
+)
+def site_pages_real(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages to read of the site that each page is the home of, by its own links."""
+    links = S.page_links(table(spark, sf_dir, "pages"), ["page_id"])
+    return S.site_pages(links, ["page_id"], F.col("url")).select("page_id", "url", "score", "rank")

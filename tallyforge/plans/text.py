@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tallyforge.functions import urls as U
-from tallyforge.functions.dates import check_range, dates_in_text, parse_date, to_amount
+from tallyforge.functions.dates import any_date, check_range, dates_in_text, parse_date, to_amount
 from tallyforge.functions.fixed import BLOCKED_FRAGMENTS, BLOCKED_SUFFIXES, DISCOVERY_WORDS, NEWS_FRAGMENTS, SECTOR_TERMS, SOCIAL_FRAGMENTS, TIER_QUOTA, TRUSTED_PATH_WORDS
 from tallyforge.functions.text import normalize_stage, safe_text, slugify, stage_from_raise, summarize, tiered_merge
 from tallyforge.operators.tables import first_wins
@@ -58,6 +58,17 @@ def date_parse_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@book.query("SELECT o_orderkey, CASE o_orderkey % 9 WHEN 2 THEN date_trunc('month', o_orderdate)::DATE WHEN 6 THEN date_trunc('quarter', o_orderdate)::DATE WHEN 7 THEN NULL ELSE o_orderdate::DATE END AS day FROM orders")
+def date_writings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of orders in nine writings, one of which names none."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 9
+    forms = {0: "MMMM d, yyyy", 1: "d MMM yyyy", 2: "MMM yyyy", 3: "yyyyMMdd", 4: "EEE, d MMM yyyy", 5: "M/d/yyyy 'at' h:mm a", 6: "yyyy-QQQ", 8: "yyyy-MM-dd'T'HH:mm:ss'Z'"}
+    text = F.lit("to be announced")
+    for i, form in forms.items():
+        text = F.when(k == i, F.date_format(d, form)).otherwise(text)
+    return table(spark, sf_dir, "orders").select("o_orderkey", any_date(text).alias("day"))
+
+
 @book.query(
     """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN make_date(2023, 4, doc_id % 28 + 1) WHEN 1 THEN make_date(2022, 3, doc_id % 28 + 1) WHEN 2 THEN make_date(2021, 9, doc_id % 28 + 1)
   WHEN 3 THEN DATE '2020-06-01' WHEN 4 THEN make_date(2024, 12, doc_id % 28 + 1) END AS newest, CASE doc_id % 6 WHEN 5 THEN 0 WHEN 2 THEN 2 ELSE 1 END::INT AS n FROM documents"""
