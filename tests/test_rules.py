@@ -206,7 +206,7 @@ def test_labels_by_plain_search(spark):
 
 def test_links_are_resolved(spark):
     rows = [("/a", "https://x.com/d/e?q#f"), ("b/c", "https://x.com/d/e"), ("//y.com/z", "http://x.com"), ("mailto:q", "https://x.com"), ("k", "https://x.com"), ("k", "https://x.com/")]
-    assert values(spark, search.resolved(F.col("h"), F.col("b")), rows, "h string, b string") == ["https://x.com/a", "https://x.com/d/b/c", "http://y.com/z", "mailto:q", "https://x.com/k", "https://x.com/k"]
+    assert values(spark, urls.joined(F.col("b"), F.col("h")), rows, "h string, b string") == ["https://x.com/a", "https://x.com/d/b/c", "http://y.com/z", "mailto:q", "https://x.com/k", "https://x.com/k"]
 
 
 @pytest.mark.parametrize("force", [False, True])
