@@ -18,6 +18,7 @@ from tallyforge.functions.fixed import DOCUMENT_NAMES
 from tallyforge.functions.text import clean_text
 from tallyforge.operators.candidates import from_raw, wire
 from tallyforge.operators.tables import first_wins, identity_key, in_order
+from tallyforge.sources.files import listing
 from tallyforge.sources.workbook import read_workbooks
 
 SIGNAL = T.StructType([T.StructField(n, T.StringType()) for n in ("source_type", "text", "source_url", "date")] + [T.StructField("confidence", T.DoubleType()), T.StructField("visibility", T.StringType())])
@@ -134,6 +135,13 @@ def read_deals(spark: SparkSession, glob: str) -> DataFrame:
     return rows.withColumns(full | {"documents": papers, "wire_verifications": wires, "stage": F.coalesce("stage", F.lit("onboarded")), "outreach_week": F.coalesce("outreach_week", F.lit(0)), "campaign_active": F.coalesce("campaign_active", F.lit(False))})
 
 
+def read_json(spark: SparkSession, path: str, schema: str, default: list | None = None) -> DataFrame:
+    """JSON documents (an object or a list each) in these columns; where no file is, the default rows."""
+    if not listing(spark, path):
+        return spark.createDataFrame(default or [], schema)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
 def read_documents(spark: SparkSession, glob: str) -> DataFrame:
     """Binary files with name and content, for parsers that run in pandas UDFs, and the content as base64, for models that take it so."""
     rows = spark.read.format("binaryFile").load(glob)

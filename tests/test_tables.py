@@ -51,6 +51,14 @@ def test_people_snapshot(spark, tmp_path):
     assert sorted((r.name, r.firm) for r in got.collect()) == [("A", "B"), ("C", "")]
 
 
+def test_json_with_a_default(spark, tmp_path):
+    at = f"{tmp_path}/m.json"
+    assert readers.read_json(spark, at, "a int, b string").count() == 0
+    assert [tuple(r) for r in readers.read_json(spark, at, "a int, b string", [(1, "d")]).collect()] == [(1, "d")]
+    (tmp_path / "m.json").write_text('[{"a": 2,\n "b": "x"}, {"a": 3}]')
+    assert sorted(r.a for r in readers.read_json(spark, at, "a int, b string", [(1, "d")]).collect()) == [2, 3]
+
+
 def test_sheet(spark):
     rows = spark.createDataFrame([(0, "Acme", "nan"), (1, " ", "x"), (2, "acme", "y"), (3, "Beta", "z")], "pos int, `Investors` string, `Note` string")
     got = readers.clean_sheet(rows, {"Investors": "name", "Note": "note"}, most=5).collect()
