@@ -10,9 +10,11 @@ from tallyforge.operators import cache as K
 from tallyforge.operators import cells as I
 from tallyforge.operators import embedding_run as R
 from tallyforge.plans.book import Book, table
+from tallyforge.sources import saved_answers as SA
 from tallyforge.sources import workbook as W
 from tallyforge.sources.bucket_store import BucketStore, set_columns
 from tallyforge.sources.files import new_dir
+from tallyforge.streaming import answers as ST
 
 book = Book()
 
@@ -118,3 +120,53 @@ def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.select(F.lit("suppliers").alias("sheet"), F.col("s_suppkey").cast("long").alias("key"), "name", F.col("s_acctbal").cast("double").alias("x"), F.col("flag").cast("boolean").alias("flag"), "nested")
     none = F.lit(None)
     return rows.unionByName(n.select(F.lit("nations").alias("sheet"), F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"), none.cast("double").alias("x"), none.cast("boolean").alias("flag"), none.cast("string").alias("nested")))
+
+
+# ---- saved answers: events stand for answers of searches, one a day, user and parity
+
+
+LABELS = ("primary", "fallback", "plain")
+WAIT_H = 6
+
+
+def event_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, kind = F.col("event_id"), F.col("event_type")
+    none = F.array().cast(SA.ENTRIES)
+    entry = F.struct(F.concat(F.lit("https://a.com/"), k).alias("href"), kind.alias("title"), F.col("props").alias("body"))
+    return table(spark, sf_dir, "events").select(
+        F.col("ts").cast("date").cast("string").alias("run"), F.col("user_id").cast("string").alias("entity"), (k % 2).cast("string").alias("family"), (k % 3).cast("int").alias("priority"), F.get(F.array(*map(F.lit, LABELS)), (k % 3).cast("int")).alias("label"),
+        F.lpad(k.cast("string"), 20, "0").alias("query"), F.col("ts").cast("timestamp").alias("at"), F.when(kind.isin("click", "view"), F.array(entry)).otherwise(none).alias("entries"), F.when(kind == "error", F.col("props")).otherwise("").alias("error"),
+    )
+
+
+ANSWERS = f"""a AS (SELECT ts::DATE::VARCHAR AS run, user_id::VARCHAR AS entity, (event_id % 2)::VARCHAR AS family, (event_id % 3)::INT AS priority, [{", ".join(f"'{x}'" for x in LABELS)}][(event_id % 3 + 1)::INT] AS label, lpad(event_id::VARCHAR, 20, '0') AS query, ts,
+  event_type IN ('click', 'view') AS filled, CASE WHEN filled THEN event_type || props ELSE '' END AS found, CASE WHEN event_type = 'error' THEN props ELSE '' END AS error FROM events),
+v AS (SELECT *, min(ts) OVER (PARTITION BY run, entity, family) AS first_at FROM a QUALIFY row_number() OVER (PARTITION BY run, entity, family, priority ORDER BY ts, query) = 1),
+o AS (SELECT * FROM v WHERE ts <= first_at + INTERVAL {WAIT_H} HOUR), w AS (SELECT *, min(priority) FILTER (filled) OVER (PARTITION BY run, entity, family) AS won FROM o), t AS (SELECT *, max(priority) OVER (PARTITION BY run, entity, family) AS last FROM w WHERE won IS NULL OR priority <= won)"""
+
+
+@book.query(
+    f"""WITH {ANSWERS} SELECT run, entity, family, epoch_us(any_value(first_at)) AS first_us, any_value(won)::INT AS priority, coalesce(max(query) FILTER (priority = won), '') AS query, coalesce(max(found) FILTER (priority = won), '') AS found, count(*)::INT AS n_tried,
+  array_to_string(list_concat(coalesce(list(label || ' query failed; trying fallback' ORDER BY priority) FILTER (error <> '' AND priority < last), []), CASE WHEN any_value(won) > 0 THEN ['used ' || max(label) FILTER (priority = won) || ' query fallback'] ELSE [] END), '; ') AS warnings,
+  CASE WHEN any_value(won) IS NULL THEN coalesce(arg_max(error, priority) FILTER (error <> ''), '') ELSE '' END AS error FROM t GROUP BY run, entity, family"""
+)
+def streamed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events saved as answers in segments; a stream takes the first half, is stopped, and goes on with the rest."""
+    at = new_dir(spark, "streamed")
+    rows = event_answers(spark, sf_dir)
+    least, most = rows.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
+    parts = spark.sparkContext.defaultParallelism
+    middle = None if least is None else (least + most) // 2
+    stream = ST.first_answers_stream(SA.parsed(SA.read_lines(spark, f"{at}/saved", stream=True)), WAIT_H * 3600)
+    early = F.unix_micros("at") < middle
+    done = 0
+    for half in (rows.filter(early), rows.filter(~early)):
+        done = SA.append(half.repartitionByRange(parts, "at").sortWithinPartitions("at"), f"{at}/saved", done)
+        if done > parts:
+            # an answer without an entity moves the clock on, so that the last searches end
+            tick = spark.range(1).select(*[F.lit("").alias(n) for n in ("run", "entity", "family", "label", "query", "error")], F.lit(0).alias("priority"), F.timestamp_micros(F.lit((most or 0) + 2 * WAIT_H * 3_600_000_000)).alias("at"), F.array().cast(SA.ENTRIES).alias("entries"))
+            done = SA.append(tick, f"{at}/saved", done)
+        ST.run_available(stream, f"{at}/out", f"{at}/checkpoint")
+    out = spark.read.schema(stream.schema).parquet(f"{at}/out")
+    found = F.get(F.transform("entries", lambda e: F.concat(e.title, e.body)), F.lit(0))
+    return out.select("run", "entity", "family", F.unix_micros("first_at").alias("first_us"), "priority", "query", F.coalesce(found, F.lit("")).alias("found"), F.size("attempts").alias("n_tried"), F.array_join("warnings", "; ").alias("warnings"), "error")

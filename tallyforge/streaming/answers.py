@@ -130,7 +130,14 @@ def rocks(spark: SparkSession):
 
 
 def run_available(results: DataFrame, out: str, checkpoint: str) -> None:
-    """Appends the results of what is there to a Parquet table; the checkpoint says where the next call goes on."""
+    """Appends the results of what is there to a Parquet table, and stops; the checkpoint says where the next call goes on.
+
+    Searches that the last answers end are given by a batch without data, which a trigger of what is available makes for no source
+    in Python; so the query runs until it has nothing to do.
+    """
     with rocks(results.sparkSession):
-        query = results.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
+        query = results.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
