@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.fixed import BENIGN_STATUSES, FIT_KEYS, INTENT_KEYS, QUERY_KEYS, REPORT_COLUMNS, SECTOR_TERMS, STAGE_TERMS, TARGET_US_PLACES
 from tallyforge.functions.text import strings
 from tallyforge.operators import evidence as E
+from tallyforge.operators import investor_run as R
 from tallyforge.plans.book import Book, quoted, sql_any, sql_hits, table
 
 book = Book()
@@ -187,3 +188,57 @@ def empty_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = none.withField("source_urls", F.array("url")).withField("combined_text", F.col("url")).withField("text_by_category", F.create_map(F.lit("general"), F.col("url")))
     rows = pages.withColumn("site", F.when(F.contains("html", F.lit("<article")), read).otherwise(none))
     return rows.select("page_id", F.size("site.source_urls").alias("n_urls"), F.size("site.text_by_category").alias("n_buckets"), F.size("site.notes.errors").alias("n_errors"), F.length("site.combined_text").alias("n_text"), F.size("search.official_urls").alias("n_found"), F.size("search.official_by_category").alias("n_found_buckets"), F.concat(*[F.col(f"search.{k}") for k in QUERY_KEYS]).alias("texts"))
+
+
+# ---- whole runs; failures of each stage are planted by key
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The made-up parts as the stages outside would answer for them, in JSON."""
+    k = F.col(K)
+    by = F.when(k % 37 == 4, "[1]").otherwise(F.to_json("site_by"))
+    site = F.to_json(F.struct(F.col("site_text").alias("combined_text"), F.col("site_urls").alias("source_urls"), F.col("site_errors").alias("errors"), F.col("site_warnings").alias("warnings")))
+    # the map goes in as it is, so that a wrong one can be planted
+    site = F.concat(F.regexp_replace(site, r"\}$", ""), F.when(site == "{}", "").otherwise(", "), F.lit('"text_by_category": '), F.coalesce(by, F.lit("null")), F.lit("}"))
+    search = F.struct(*QUERY_KEYS, F.col("found_official").alias("official"), F.col("found_news").alias("news"), F.col("found_official_urls").alias("official_urls"), F.col("found_news_urls").alias("news_urls"), "query_errors", "query_warnings", "scrape_errors", "scrape_warnings")
+    return made(spark, sf_dir).withColumns({
+        "discovery": F.when(k % 6 == 0, '{"website": "https://found.com"}').when(k % 6 == 4, "{}"), "discovery_error": F.when(k % 6 == 2, "timeout"), "site": F.when(k % 29 == 2, "{").otherwise(site), "site_error": F.when(k % 23 == 1, "http 503"),
+        "search": F.to_json(search), "search_error": F.when(k % 31 == 3, "refused"), "n7": F.when(k % 41 == 5, "many").otherwise("1"),
+    }).drop("notes", "site_text", "site_urls", "site_by", "site_errors", "site_warnings", "found_official", "found_news", "found_official_urls", "found_news_urls", "found_by", *QUERY_KEYS, "query_errors", "query_warnings", "scrape_errors", "scrape_warnings")
+
+
+_NO_SITE, _NO_SEARCH = "(p_partkey % 23 = 1 OR p_partkey % 29 = 2)", "p_partkey % 31 = 3"
+_SITE_ERROR = "CASE WHEN p_partkey % 23 = 1 THEN 'http 503' ELSE 'unreadable answer' END"
+RUNS = f"""{MADE}, y AS (SELECT * REPLACE ({", ".join(f"CASE WHEN {_NO_SITE} THEN {e} ELSE {n} END AS {n}" for n, e in (("site_text", "''"), ("site_urls", "[]"), ("site_warnings", "[]"), ("site_errors", f"[{_SITE_ERROR}]")))},
+  {", ".join(f"CASE WHEN {_NO_SEARCH} THEN {e} ELSE {n} END AS {n}" for n, e in [*((k, "''") for k in (*QUERY_KEYS, "found_official", "found_news")), *((k, "[]") for k in ("found_official_urls", "found_news_urls", "query_warnings", "scrape_errors", "scrape_warnings")), ("query_errors", "['refused']")])}, [] AS notes),
+  CASE WHEN website <> '' THEN website WHEN p_partkey % 6 = 0 THEN 'https://found.com' ELSE '' END AS effective FROM i),
+x AS (SELECT * REPLACE (CASE WHEN effective <> '' AND len(site_urls) > 0 THEN '' ELSE outreach_text END AS outreach_text) FROM y), {FLAGS.replace("FROM i)", "FROM x)")},
+z AS (SELECT *, NOT {_NO_SITE} AND p_partkey % 37 = 4 AS unmerged, p_partkey % 41 = 5 AS unscored FROM h), zz AS (SELECT *, list_sort(list_concat(failed, list_filter([CASE WHEN unmerged THEN 'merge_failed' END, CASE WHEN unscored THEN 'scoring_failed' END], lambda x: x IS NOT NULL))) AS reasons FROM z)"""
+
+
+@book.query(
+    f"""WITH {RUNS} SELECT p_partkey, CASE WHEN len(reasons) > 0 THEN 'partial_failure' ELSE 'success' END AS status, coalesce(reasons[1], '') AS failure_reason, has_site, has_search, unscored, array_to_string(list_concat(list_filter([
+  CASE WHEN website = '' THEN CASE p_partkey % 6 WHEN 0 THEN 'website discovered via search: https://found.com' WHEN 2 THEN 'website discovery failed: timeout' ELSE 'website missing and no confident official website discovered' END END,
+  CASE WHEN {_NO_SITE} THEN 'website evidence failed: ' || {_SITE_ERROR} END,
+  'search strategy: ' || CASE WHEN effective = '' THEN 'official_website_missing_or_not_discovered' WHEN has_site THEN 'augment_official_crawl_with_public_signals' ELSE 'website_evidence_weak_or_missing' END,
+  CASE WHEN {_NO_SEARCH} THEN 'search evidence failed: refused' END, CASE WHEN unmerged THEN 'merge failed: site texts by bucket are no map' END, CASE WHEN unscored THEN 'scoring failed: n7 can''t be read: many' END], lambda x: x IS NOT NULL),
+  list_transform(warned, lambda w: 'warning: ' || w), list_transform(reasons, lambda w: 'failure: ' || w)), '; ') AS notes, CASE WHEN unscored THEN 0 ELSE 3 END AS recent FROM zz"""
+)
+def investor_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record a part, whatever failed on the way."""
+    rows = R.run(answers(spark, sf_dir), F.lit("2024-06-01").cast("date"))
+    scores = F.col("record.scores")
+    return rows.select(K, "status", "failure_reason", "has_site", "has_search", F.array_contains(scores["fit_evidence"], "fit[0]: scoring unavailable").alias("unscored"), F.array_join("record.processing_notes", "; ").alias("notes"), scores["intent_breakdown"]["Recent Investment"].alias("recent"))
+
+
+@book.query(
+    f"""WITH {RUNS}, c AS (SELECT coalesce(reasons[1], '') AS r, count(*) AS n FROM zz GROUP BY 1) SELECT 'investors_processed' AS what, count(*) AS n FROM zz UNION ALL SELECT 'succeeded', count(*) FILTER (len(reasons) = 0) FROM zz UNION ALL SELECT 'no_website_evidence', count(*) FILTER (NOT has_site) FROM zz UNION ALL SELECT r, n FROM c WHERE r <> ''
+  UNION ALL SELECT * FROM (SELECT unnest(['discovery stage', 'site stage', 'search stage', 'merge stage', 'scoring stage']) AS what, unnest([count(*) FILTER (p_partkey % 6 = 2), count(*) FILTER ({_NO_SITE}), count(*) FILTER ({_NO_SEARCH}), count(*) FILTER (unmerged), count(*) FILTER (unscored)]) AS n FROM zz) WHERE n > 0"""
+)
+def investor_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that are observed while the records are written."""
+    seen = Observation()
+    R.observed(R.run(answers(spark, sf_dir), F.lit("2024-06-01").cast("date")), seen).select("record").write.format("noop").mode("overwrite").save()
+    s = R.summary(seen)
+    counts = [(k, s[k]) for k in ("investors_processed", "succeeded", "no_website_evidence")] + list(s["partial_failure_reason_counts"].items()) + [(f"{k} stage", n) for k, n in s["stage_errors"].items()]
+    return spark.createDataFrame(counts, "what string, n long")
