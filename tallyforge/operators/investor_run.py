@@ -55,6 +55,11 @@ def _with_notes(rows: DataFrame, *notes: Column) -> DataFrame:
     return rows.withColumn("notes", F.concat("notes", F.array_compact(F.array(*notes))))
 
 
+def _each(items: Column, text, before: str) -> Column:
+    """The text of each item, after `before`."""
+    return F.transform(items, lambda x: F.concat(F.lit(before), text(x)))
+
+
 def _buckets(raw: Column) -> Column:
     return F.from_json(raw, "map<string,string>")
 
@@ -137,7 +142,7 @@ def scored(rows: DataFrame, as_of: Column) -> DataFrame:
     for kind, by in parts.items():
         made = F.create_map(*[x for k, v in by.items() for x in (F.lit(k), F.coalesce(v.cast("int"), F.lit(0)))])
         rows = rows.withColumn(f"{kind}_points", F.when(fine, made).otherwise(E.empty_points(tuple(by))))
-        shown = F.transform(F.map_entries(f"{kind}_points"), lambda e, kind=kind: F.concat(F.lit(f"{kind}["), e.value, F.lit("]: "), e.key))
+        shown = _each(F.map_entries(f"{kind}_points"), lambda e: F.concat(F.lit("["), e.value, F.lit("]: "), e.key), kind)
         rows = rows.withColumns({f"{kind}_score": F.least(F.lit(10), E.map_sum(c(f"{kind}_points"))), f"{kind}_evidence": F.when(fine, shown).otherwise(strings([f"{kind}[0]: scoring unavailable"]))})
     return rows.withColumn("total", c("fit_score") + c("intent_score"))
 
@@ -165,7 +170,7 @@ def run(rows: DataFrame, as_of: Column) -> DataFrame:
         S.data_sources(present["sheet"], present["official"], present["news"], present["snippets"]), F.coalesce(F.date_format(E.evidence_date(c("last_date"), c("close_date"), c("merged_recent"), as_of), "yyyy-MM-dd"), F.lit("")),
     ]
     rows = rows.withColumn("report", F.create_map(*[x for k, v in zip(V.REPORT_COLUMNS, cells, strict=True) for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit("")))]))
-    said = [F.transform(c(n), lambda r, w=w: F.concat(F.lit(f"{w}: "), r)) for n, w in (("warning_reasons", "warning"), ("failure_reasons", "failure"))]
+    said = [_each(c(n), lambda r: r, w) for n, w in (("warning_reasons", "warning: "), ("failure_reasons", "failure: "))]
     rows = rows.withColumn("notes", F.concat("notes", E.row_issues(c("report")), *said))
     rows = E.debug_record(rows)
     scores = F.struct(

@@ -62,6 +62,7 @@ def test_scores(done):
     good = rows["good"].record.scores
     assert good.fit_breakdown == {"Sector Match": 3, "Stage Match": 2, "Check Size Match": 2, "Geography Match": 1, "Strategic Alignment": 2}
     assert good.intent_breakdown["Recent Investment"] == 3 and good.intent_breakdown["Hiring"] == 1
+    assert good.fit_evidence[0] == "fit[3]: Sector Match"
     assert good.total == good.fit + good.intent and rows["good"].report["Signal Score"] == str(good.score_100)
     # no scores without figures, but the merged texts stay
     assert rows["scoring"].record.scores.total == 0 and rows["scoring"].record.scores.fit_evidence == ["fit[0]: scoring unavailable"] and rows["scoring"].merged_sector == rows["good"].merged_sector
