@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.dates import check_range
-from tallyforge.functions.fixed import FINAL_WEIGHTS, FOCUS_LABELS, RAISED_STAGES, WARM_FIRMS
+from tallyforge.functions.fixed import DOCUMENT_NAMES, FINAL_WEIGHTS, FOCUS_LABELS, RAISED_STAGES, WARM_FIRMS
 from tallyforge.functions.text import has_any, strings
 
 
@@ -170,6 +170,41 @@ def run_record(results: DataFrame, deal: Column, inputs: Column, counts: Column,
     return listed.select(deal.alias("deal"), inputs.alias("query_inputs"), models.alias("model_versions"), weights_record().alias("score_weights"), counts.alias("candidate_counts"), "results", queue.alias("approval_queue"), F.lit(at).alias("generated_at"))
 
 
+def _record(fields: dict[str, Column], given: dict[str, Column]) -> Column:
+    if unknown := set(given) - set(fields):
+        raise ValueError(f"no fields of the record: {sorted(unknown)}")
+    return F.struct(*[F.coalesce(given[k], v).alias(k) if k in given else v.alias(k) for k, v in fields.items()])
+
+
+def company_record(**given: Column) -> Column:
+    """A company's profile with every field in order; those not given, and nulls, at their defaults."""
+    texts = F.create_map().cast("map<string,string>")
+    null = F.lit(None).cast("string")
+    fields = {n: F.lit("") for n in ("deal_id", "company_name", "industry", "company_website")} | {"raise_amount": F.lit(0.0), "stage": F.lit(""), "geography": strings(["United States"]), "subindustry": null, "business_model": null, "traction_metrics": texts, "text_fields": texts, "generated_at": null}
+    return _record(fields, given)
+
+
+def documents_record(documents: Column) -> Column:
+    """The status of each of the eight documents from a map of statuses; missing where there is none."""
+    return F.struct(*[F.coalesce(F.try_element_at(documents, F.lit(n)), F.lit("missing")).alias(n) for n in DOCUMENT_NAMES])
+
+
+def deal_record(**given: Column) -> Column:
+    """A deal with every field in order; those not given, and nulls, at their defaults. documents: a map of statuses."""
+    null = F.lit(None)
+    people = F.array().cast("array<map<string,string>>")
+    none = F.array().cast("array<string>")
+    no_wires = F.array().cast("array<struct<investor_name:string,firm:string,wire_amount:double,status:string,client_confirmed_at:string,investor_confirmed_at:string,dock_walls_approved_at:string,notes:string>>")
+    fields = {
+        "deal_id": F.lit(""), "company_name": F.lit(""), "company_website": F.lit(""), "industry": F.lit(""), "raise_amount": F.lit(0.0), "founder_name": F.lit(""), "founder_email": F.lit(""), "founder_linkedin": F.lit(""), "stage": F.lit("onboarded"),
+        "documents": documents_record(given.get("documents", F.create_map().cast("map<string,string>"))), **{n: null.cast("string") for n in ("stage_label", "geography", "problem", "solution", "market_size")}, "valuation": null.cast("double"),
+        **{n: null.cast("string") for n in ("team_bios", "traction_metrics", "competitors", "use_of_funds_breakdown")}, **{n: people for n in ("investors_contacted", "investors_responded", "investors_committed", "disqualified_investors")}, "nda_signed_by": none, "wire_verifications": no_wires,
+        "outreach_week": F.lit(0), "campaign_active": F.lit(False), "meetalfred_approved": F.lit(False), "meetalfred_campaign_id": null.cast("string"), "box_folder_id": null.cast("string"), "created_at": null.cast("string"), "last_updated": null.cast("string"),
+        "step_log": people, "errors": none, "skipped_steps": none,
+    }
+    return _record(fields, {k: v for k, v in given.items() if k != "documents"})
+
+
 def as_json(record: Column) -> Column:
     """A record as JSON text, nulls kept."""
     return F.to_json(record, {"ignoreNullFields": "false"})

@@ -248,3 +248,22 @@ def profile_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = P.profile_artifacts(P.deal_profile(spread(deals(spark, sf_dir))), lambda rows: V.hash_vectors(rows, F.col("text")))
     cells = made.select("deal_id", "part", F.posexplode("embedding").alias("i", "x")).select("deal_id", "part", "i", F.round(F.col("x").cast("double") * 1_000_000).cast("long").alias("m"))
     return cells.groupBy("deal_id", "part").agg(F.count_if(F.col("m") != 0).cast("int").alias("n_cells"), F.sum(F.col("m") * (F.col("i") + 1)).alias("cell_sum"), F.sum(F.col("m") * F.col("m")).between(999_000_000_000, 1_001_000_000_000).alias("is_unit"))
+
+
+NO_WORDS = ",".join(f'"{n}":null' for n in ("stage_label", "geography", "problem", "solution", "market_size"))
+NO_MORE = ",".join(f'"{n}":null' for n in ("team_bios", "traction_metrics", "competitors", "use_of_funds_breakdown"))
+
+
+@book.query(
+    f"""WITH d AS (SELECT s_suppkey, s_name, '{{"tear_sheet":"' || CASE WHEN s_suppkey % 2 = 0 THEN 'approved' ELSE 'missing' END || '","pitch_deck":"missing","financial_projections":"missing","nda":"draft","ppm":"missing","subscription_agreement":"missing","wiring_instructions":"missing","use_of_funds":"missing"}}' AS documents FROM supplier)
+SELECT s_suppkey, documents, '{{"deal_id":"d' || s_suppkey || '","company_name":"' || s_name || '","company_website":"","industry":"","raise_amount":' || CASE WHEN s_suppkey % 3 = 0 THEN '250000.0' ELSE '0.0' END || ',"founder_name":"","founder_email":"","founder_linkedin":"","stage":"onboarded","documents":' || documents || ',{NO_WORDS},"valuation":null,{NO_MORE},"investors_contacted":[{{"id":"' || s_suppkey || '"}}],"investors_responded":[],"investors_committed":[],"disqualified_investors":[],"nda_signed_by":[],"wire_verifications":[],"outreach_week":' || CASE WHEN s_suppkey % 5 = 0 THEN '3' ELSE '0' END || ',"campaign_active":false,"meetalfred_approved":false,"meetalfred_campaign_id":null,"box_folder_id":null,"created_at":null,"last_updated":null,"step_log":[],"errors":[],"skipped_steps":[]}}' AS deal,
+  '{{"deal_id":"d' || s_suppkey || '","company_name":"' || s_name || '","industry":"","company_website":"","raise_amount":0.0,"stage":"seed","geography":["United States"],"subindustry":null,"business_model":null,"traction_metrics":{{"arr":"' || s_suppkey || '"}},"text_fields":{{}},"generated_at":null}}' AS company FROM d"""
+)
+def deal_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public records of deals, their documents and companies as JSON with every field."""
+    k = F.col("s_suppkey")
+    papers = F.create_map(F.lit("nda"), F.lit("draft"), F.lit("tear_sheet"), F.when(k % 2 == 0, "approved"))
+    key = F.concat(F.lit("d"), k)
+    deal = C.deal_record(deal_id=key, company_name=F.col("s_name"), raise_amount=F.when(k % 3 == 0, 250_000.0), documents=papers, investors_contacted=F.array(F.create_map(F.lit("id"), k.cast("string"))), outreach_week=F.when(k % 5 == 0, 3))
+    company = C.company_record(deal_id=key, company_name=F.col("s_name"), stage=F.lit("seed"), traction_metrics=F.create_map(F.lit("arr"), k.cast("string")))
+    return table(spark, sf_dir, "supplier").select(k, C.as_json(C.documents_record(papers)).alias("documents"), C.as_json(deal).alias("deal"), C.as_json(company).alias("company"))

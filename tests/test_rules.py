@@ -262,3 +262,10 @@ def test_ten_sheets(spark, tmp_path):
     assert [tuple(r) for r in sheets["cleaned_table_rows"].collect()] == [("t1", 1, {"a": "1"}), ("t1", 2, {"a": "2"})] and tuple(sheets["dossier_fields"].first()) == ("arr", "5", "said", 0) and tuple(sheets["overview"].first()) == ("run_1", 1)
     writers.write_sheets(sheets, str(tmp_path / "out"))
     assert len(list((tmp_path / "out").iterdir())) == 10
+
+
+def test_records_have_every_field_and_no_other(spark):
+    row = json.loads(spark.range(1).select(candidates.as_json(candidates.deal_record(deal_id=F.lit("d"), documents=F.lit(None).cast("map<string,string>"))).alias("r")).first().r)
+    assert len(row) == 36 and row["deal_id"] == "d" and set(row["documents"].values()) == {"missing"} and len(row["documents"]) == 8 and row["valuation"] is None
+    with pytest.raises(ValueError, match="nme"):
+        candidates.company_record(nme=F.lit("x"))
