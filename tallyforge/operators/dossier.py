@@ -180,7 +180,9 @@ def extracted(docs: DataFrame, manifest: DataFrame, answers: DataFrame, names: t
     """
     rows = docs.join(manifest.select("part", F.col("file_name").alias("_file")), "part", "left").join(answers.select("part", "answer", "error"), "part", "left")
     json = json_in_text(F.coalesce("answer", F.lit("")))
-    rows = rows.withColumns({"_j": json, "file_name": F.coalesce("_file", "name"), "doc_id": F.concat(F.lit("doc_"), F.lpad((F.col("part") + 1).cast("string"), 3, "0"))})
+    # three digits or more: a longer number stays whole
+    number = (F.col("part") + 1).cast("string")
+    rows = rows.withColumns({"_j": json, "file_name": F.coalesce("_file", "name"), "doc_id": F.concat(F.lit("doc_"), F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0")))})
     good = F.col("error").isNull() & F.coalesce(F.ltrim("_j").startswith("{"), F.lit(False))
     why = F.concat(F.lit("Extraction failed: "), F.coalesce("error", F.lit("LLM returned non-object JSON")))
     # parsed once for all names

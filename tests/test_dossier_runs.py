@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
+from test_oracle import rows_of
 
 from tallyforge.operators import dossier
+from tallyforge.plans import catalogue
 
 KIND = "run string, doc_id string, file_name string, doc_fields map<string,struct<value:string,answer:string>>"
 
@@ -64,3 +68,13 @@ def test_dossiers_of_runs(spark):
     assert got["b"].short_summary == "Merge failed: timeout" and got["c"].short_summary.startswith("Merge failed") and got["c"].n_fields == 0
     with pytest.raises(ValueError, match="no room"):
         dossier.merge_parts(docs, "run", 300)
+
+
+@pytest.mark.parametrize("name", ["dossiers_by_run", "extracted_fields", "extraction_prompts"])
+def test_a_run_of_more_than_999_documents_equals_sql(spark, tmp_path, name):
+    """Numbers of four digits stay whole in doc_ids."""
+    rows = spark.range(1_103).select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("a text").alias("text"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert rows_of(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(duck.execute(catalogue.ORACLE_SQL[name]).df())
