@@ -80,6 +80,13 @@ def metadata_matches(conditions: dict[str, object], arrays: set[str] = frozenset
 KNOWN_TOKENS, KNOWN_LENGTH = 200_000, 64
 
 
+def _millionths(sums: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """sums / length in whole millionths; halves go away from zero, as in SQL. Whole sums of a whole length make exact halves."""
+    v = np.abs(sums) * 1_000_000 / length
+    whole = np.floor(v)
+    return np.copysign(whole + (v - whole >= 0.5), sums)
+
+
 def _hashed(dim: int):
     """A function of texts (in small letters) to unit vectors: the signed weights of their tokens, in twentieths, added up at
     dim places and divided by the vector's length, to six digits; null where all is zero."""
@@ -107,9 +114,9 @@ def _hashed(dim: int):
                     weight.append(cell[1])
                 if at:
                     sums[row] = np.bincount(np.array(at, np.int64), np.array(weight, np.float64), dim)
-            sums /= 20
+            # still in twentieths, so that the sum of squares is exact in any order
             length = np.sqrt((sums * sums).sum(1))
-            unit = np.round(sums / np.where(length > 0, length, 1)[:, None], 6)
+            unit = _millionths(sums, np.where(length > 0, length, 1)[:, None]) / 1_000_000
             yield pd.Series([u if n > 0 else None for u, n in zip(unit, length.tolist(), strict=True)], dtype=object)
 
     return F.pandas_udf(vectors, "array<double>")

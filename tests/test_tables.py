@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 
+import duckdb
 from pyspark.sql import functions as F
+from test_oracle import rows_of
 
 from tallyforge.functions.fixed import REPORT_COLUMNS
 from tallyforge.operators import dossier, tables, vectors
+from tallyforge.plans import catalogue
 from tallyforge.sources import readers, writers
 
 
@@ -156,3 +159,15 @@ def test_hash_embedding_equals_plain(spark):
             v[int(h[:8], 16) % 96] += (-1.0 if int(h[8:10], 16) % 2 else 1.0) * (1.0 + len(tok) / 20)
         n = math.sqrt(sum(x * x for x in v))
         assert (i in got) == (n > 0) and (n == 0 or max(abs(a - b / n) for a, b in zip(got[i], v, strict=True)) < 1e-5)
+
+
+def test_halves_of_hashed_vectors_go_away_from_zero(spark, tmp_path):
+    """In these two deals' profiles some cells are whole millionths and a half. The second's squares have no exact sum in floating
+    point, so SQL rounds it by the order of its rows: here its exact cells are stated."""
+    rows = spark.createDataFrame([(77933, 375904.68), (39648, 152421.53)], "o_orderkey long, o_totalprice double")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet' WHERE o_orderkey = 77933")
+    got = catalogue.QUERIES["profile_artifacts"](spark, str(tmp_path)).toPandas()
+    assert rows_of(got[got.deal_id == 77933]) == rows_of(duck.execute(catalogue.ORACLE_SQL["profile_artifacts"]).df())
+    assert got[(got.deal_id == 39648) & (got.part == "raise_thesis")].cell_sum.tolist() == [29984422]
