@@ -5,7 +5,8 @@ left out. Of each variant the earliest answer counts (of equal times the least b
 variant with entries wins. Answers without an entity only tell the time.
 
 The stream gives a search's result when the watermark passes its end, not before, so it is the batch's whatever the order of
-arrival within `late`. The state of an open search is an answer a variant; of a closed one a mark, for `keep`.
+arrival within `late`. The state of an open search is an answer a variant; of a closed one a mark, for `keep`. The state of many
+searches is kept together, in buckets.
 """
 
 from __future__ import annotations
@@ -60,60 +61,75 @@ def first_answers(answers: DataFrame, wait_s: int) -> DataFrame:
     return results(closed.withColumn("answers", F.filter("answers", lambda x: x.at_us <= F.col("first_us") + wait_s * 1_000_000)))
 
 
-class _Search(StatefulProcessor):
+class _Searches(StatefulProcessor):
+    """The searches of a bucket. Its state is read and written once a batch, whatever the number of its searches, and it has one
+    timer: the time at which the first of them ends, or the first mark goes."""
+
     def __init__(self, wait_s: int, keep_s: int):
         self.wait, self.keep = wait_s * 1000, keep_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "priority int", "answer string")
-        # when the search ends (ms), and whether it has: one row
-        self.ends = handle.getValueState("ends", "at_ms long, closed boolean")
+        # the timer that is set (ms), open searches with an answer a variant, and closed ones with the time up to which (ms) they are marked
+        self.bucket = handle.getValueState("bucket", "timer_ms long, open string, closed string")
+
+    def _read(self) -> tuple[int | None, dict[tuple, dict[int, tuple]], dict[tuple, int]]:
+        held = self.bucket.get()
+        if held is None:
+            return None, {}, {}
+        open_ = {tuple(k): {p: tuple(m) for p, *m in kept} for k, kept in json.loads(held[1])}
+        return held[0], open_, {tuple(k): until for k, until in json.loads(held[2])}
+
+    def _write(self, timer: int | None, open_: dict[tuple, dict[int, tuple]], closed: dict[tuple, int]) -> None:
+        """Keeps what is there; `timer` is one that is still set."""
+        due = min([*map(self._end, open_.values()), *closed.values()], default=None)
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is None:
+            self.bucket.clear()
+            return
+        if timer != due:
+            self.handle.registerTimer(due)
+        shown = [[k, [[p, *m] for p, m in kept.items()]] for k, kept in open_.items()]
+        self.bucket.update((due, json.dumps(shown, ensure_ascii=False), json.dumps(list(closed.items()), ensure_ascii=False)))
+
+    def _end(self, kept: dict[int, tuple]) -> int:
+        """The first millisecond at which no answer that counts can still come."""
+        return min(m[0] for m in kept.values()) // 1000 + self.wait + 1
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if key[1] == "":
-            return
-        ends = self.ends.get() if self.ends.exists() else None
-        if ends is not None and ends[1]:
-            return
-        best: dict[int, tuple] = {}
+        timer, open_, closed = self._read()
         for r in rows:
-            mine = tuple(r[n] for n in ORDER)
-            if r["priority"] not in best or mine < best[r["priority"]]:
-                best[r["priority"]] = mine
-        for priority, mine in best.items():
-            if not self.open.containsKey((priority,)) or mine < tuple(json.loads(self.open.getValue((priority,))[0])):
-                self.open.updateValue((priority,), (json.dumps(mine, ensure_ascii=False),))
-        if best:
-            # the first millisecond at which no answer that counts can still come
-            end = min(m[0] for m in best.values()) // 1000 + self.wait + 1
-            if ends is None or end < ends[0]:
-                if ends is not None:
-                    self.handle.deleteTimer(ends[0])
-                self.handle.registerTimer(end)
-                self.ends.update((end, False))
+            search, priority, mine = tuple(r[n] for n in KEYS), r["priority"], tuple(r[n] for n in ORDER)
+            if search[1] == "" or search in closed:
+                continue
+            kept = open_.setdefault(search, {})
+            if priority not in kept or mine < kept[priority]:
+                kept[priority] = mine
+        self._write(timer, open_, closed)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at, closed = self.ends.get()
-        if closed:
-            self.ends.clear()
-            return
-        kept = sorted((k[0], *json.loads(v[0])) for k, v in self.open.iterator())
-        first = min(k[1] for k in kept)
-        self.open.clear()
-        self.ends.update((at, True))
-        self.handle.registerTimer(max(at, expiredTimerInfo.getExpiryTimeInMs()) + self.keep)
-        yield Row(run=key[0], entity=key[1], family=key[2], first_us=first, answers=[k for k in kept if k[1] <= first + self.wait * 1000])
+        _, open_, closed = self._read()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        closed = {k: until for k, until in closed.items() if until > now}
+        for search in [k for k, kept in open_.items() if self._end(kept) <= now]:
+            kept = sorted((p, *m) for p, m in open_.pop(search).items())
+            first = min(k[1] for k in kept)
+            closed[search] = now + self.keep
+            yield Row(run=search[0], entity=search[1], family=search[2], first_us=first, answers=[k for k in kept if k[1] <= first + self.wait * 1000])
+        self._write(None, open_, closed)
 
     def close(self) -> None:
         pass
 
 
-def first_answers_stream(answers: DataFrame, wait_s: int, late: str = "10 minutes", keep_s: int = 86_400) -> DataFrame:
-    """Results of a stream of answers (`parsed`), each once. Start it within `rocks`."""
+def first_answers_stream(answers: DataFrame, wait_s: int, late: str = "10 minutes", keep_s: int = 86_400, buckets: int = 1024) -> DataFrame:
+    """Results of a stream of answers (`parsed`), each once. Start it within `rocks`. Searches are dealt over `buckets` by a hash:
+    a call for each bucket and batch, not for each search. A started stream keeps its number of buckets."""
     rows = _flat(answers).withWatermark("at", late)
-    closed = rows.groupBy(*KEYS).transformWithState(_Search(wait_s, keep_s), CLOSED, "Append", "EventTime")
+    rows = rows.select(F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int").alias("bucket"), *KEYS, "priority", *ORDER, "at")
+    closed = rows.groupBy("bucket").transformWithState(_Searches(wait_s, keep_s), CLOSED, "Append", "EventTime")
     return results(closed)
 
 

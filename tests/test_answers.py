@@ -114,3 +114,49 @@ def test_a_stream_equals_a_batch_over_restarts(spark, tmp_path):
     want = shown(S.first_answers(A.parsed(A.read_lines(spark, str(where))), 60))
     assert len(want) == 13
     assert shown(spark.read.parquet(out)) == want
+
+
+def test_calls_for_state_do_not_grow_with_the_searches(spark):
+    """A bucket of 3,000 searches: one read, one write and one timer for its rows, and as many when they end."""
+    from pyspark.sql import Row
+
+    calls, held = [], [None]
+
+    class Handle:
+        def getValueState(self, *a):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return held[0]
+
+        def update(self, v):
+            calls.append("update")
+            held[0] = v
+
+        def clear(self):
+            calls.append("clear")
+            held[0] = None
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+        def deleteTimer(self, at):
+            calls.append("no timer")
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 70_000
+
+        def getExpiryTimeInMs(self):
+            return 60_001
+
+    made = S._Searches(60, 3600)
+    made.init(Handle())
+    rows = [Row(run="r", entity=f"e{i}", family="f", priority=p, at_us=i + 5 * p, label="", query=f"{p}", error="", entries="[]") for i in range(3_000) for p in (1, 0)]
+    assert list(made.handleInputRows((7,), iter(rows), Clock())) == [] and calls == ["get", "timer", "update"]
+    calls.clear()
+    got = list(made.handleExpiredTimer((7,), Clock(), Clock()))
+    assert len(got) == 3_000 and all([a[0] for a in r.answers] == [0, 1] for r in got) and calls == ["get", "timer", "update"]
+    # an answer to a search that has ended counts no more
+    assert list(made.handleInputRows((7,), iter(rows[:2]), Clock())) == [] and json.loads(held[0][1]) == []
