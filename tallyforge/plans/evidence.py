@@ -9,7 +9,7 @@ from tallyforge.functions.fixed import BENIGN_STATUSES, FIT_KEYS, INTENT_KEYS, Q
 from tallyforge.functions.text import strings
 from tallyforge.operators import evidence as E
 from tallyforge.operators import investor_run as R
-from tallyforge.plans.book import Book, quoted, sql_any, sql_hits, table
+from tallyforge.plans.book import Book, quoted, spread, sql_any, sql_hits, table
 
 book = Book()
 
@@ -36,7 +36,8 @@ def made(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [F.when(k % m == r, v).otherwise("" if i % 2 else F.lit(None).cast("string")).alias(n) for i, (n, (m, r, v)) in enumerate(FIELDS.items())]
     lists = [F.when(k % m == r, F.array(F.lit(v))).otherwise(F.lit(None).cast("array<string>") if i % 2 else strings([])).alias(n) for i, (n, (m, r, v)) in enumerate(LISTS.items())]
     by = F.when(k % 10 == 0, F.create_map(F.lit("careers"), F.lit("Careers Page"), F.lit("team"), F.lit("t")))
-    return table(spark, sf_dir, "part").select(K, F.col("p_name").alias("name"), *fields, *lists, *[F.lit("").alias(n) for n in EMPTY], by.alias("site_by"), F.lit(None).cast("map<string,string>").alias("found_by"))
+    # long expressions over short rows: a file of some MB is work for all cores
+    return spread(table(spark, sf_dir, "part")).select(K, F.col("p_name").alias("name"), *fields, *lists, *[F.lit("").alias(n) for n in EMPTY], by.alias("site_by"), F.lit(None).cast("map<string,string>").alias("found_by"))
 
 
 def _blob(fields: tuple[str, ...]) -> str:

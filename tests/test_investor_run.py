@@ -84,3 +84,10 @@ def test_no_rows(spark):
     seen = Observation()
     assert R.observed(R.run(df, F.lit("2024-06-01").cast("date")), seen).collect() == []
     assert R.summary(seen)["investors_processed"] == 0
+
+
+def test_parts_are_dealt_over_all_cores(spark, sf):
+    """A small file makes one partition, and the run's long expressions are work for every core."""
+    from tallyforge.plans import evidence
+
+    assert evidence.answers(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
