@@ -88,19 +88,21 @@ def field_blob(*columns: Column) -> Column:
 
 def summarize(text: Column, most: int) -> Column:
     """White space squeezed, cut to so many characters with an ellipsis."""
-    t = F.regexp_replace(clean_text(text), r"\s+", " ")
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, most - 3)), F.lit("...")))
+    def cut(t: Column) -> Column:
+        return F.when(F.length(t) <= most, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, most - 3)), F.lit("...")))
+
+    return bound(F.regexp_replace(clean_text(text), r"\s+", " "), cut)
 
 
 def slugify(text: Column, fallback: str = "item") -> Column:
-    s = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9]+", "_"), r"^_+|_+$", ""))
-    return F.when(s == "", fallback).otherwise(s)
+    s = F.lower(F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9]+", "_"), F.lit("_")))
+    return bound(s, lambda x: F.when(x == "", fallback).otherwise(x))
 
 
 def safe_text(text: Column) -> Column:
     """No NUL, runs of blanks as one, at most one empty line in a row, trimmed."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "\x00", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    t = F.replace(F.coalesce(text, F.lit("")), F.lit("\x00"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"), F.lit(" \t\n\x0b\f\r"))
 
 
 def normalize_stage(label: Column) -> Column:

@@ -227,5 +227,4 @@ SELECT doc_id, CASE WHEN length(s) <= 80 THEN s ELSE rtrim(substr(s, 1, 77)) ||
 FROM (SELECT *, lower(regexp_replace(regexp_replace(s, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS k FROM t)"""
 )
 def summarize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    squeezed = F.regexp_replace(F.trim("text"), r"\s+", " ")
-    return table(spark, sf_dir, "documents").select("doc_id", summarize(F.col("text"), 80).alias("summary"), slugify(squeezed).alias("slug"), F.length(safe_text(F.col("text"))).cast("long").alias("safe_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", summarize(F.col("text"), 80).alias("summary"), slugify(F.col("text")).alias("slug"), F.length(safe_text(F.col("text"))).cast("long").alias("safe_chars"))

@@ -141,3 +141,11 @@ def test_rank_keeps_first_of_canonical(spark):
 def test_probability_is_half_even(spark, scores):
     got = many(spark, scores, "int", lambda v: signals.probability(v, F.lit("High")))
     assert got == [max(0, min(85, round(min(85.0, round(2 + 0.78 * s) * 1.05)))) for s in scores]
+
+
+def test_each_pass_over_a_text_is_made_once(spark, sf):
+    """White space, the slug's letters, blanks and line breaks: a pass each over the whole text."""
+    from tallyforge.plans import catalogue
+
+    plan = catalogue.QUERIES["summarize_text"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 4
