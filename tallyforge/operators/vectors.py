@@ -76,8 +76,8 @@ def metadata_matches(conditions: dict[str, object], arrays: set[str] = frozenset
     return F.coalesce(out, F.lit(False))
 
 
-#: Tokens whose place and weight a worker remembers, and their longest.
-KNOWN_TOKENS, KNOWN_LENGTH = 200_000, 64
+#: Tokens whose place and weight a worker remembers, and their longest; rows of a batch that is hashed.
+KNOWN_TOKENS, KNOWN_LENGTH, BATCH_ROWS = 50_000, 64, 1000
 
 
 def _millionths(sums: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -122,15 +122,24 @@ def _hashed(dim: int):
     return F.pandas_udf(vectors, "array<double>")
 
 
+def _modest(rows: DataFrame) -> DataFrame:
+    """rows, after lowering the session's rows of an Arrow batch to BATCH_ROWS where they are more: a worker holds a batch's texts
+    and vectors at once."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return rows
+
+
 def hash_vectors(rows: DataFrame, text: Column, name: str = "embedding", dim: int = 96) -> DataFrame:
     """rows with the unit vector of signed feature hashing of a text (dim floats; null where no token counts). Nothing is
     shuffled: a row's vector comes from the row."""
-    return rows.withColumn(name, _hashed(dim)(F.lower(F.coalesce(text, F.lit("")))).cast("array<float>"))
+    return _modest(rows).withColumn(name, _hashed(dim)(F.lower(F.coalesce(text, F.lit("")))).cast("array<float>"))
 
 
 def hash_embedding(docs: DataFrame, dim: int = 96) -> DataFrame:
     """doc_id, i, x: the same in long form without zeros; token multiplicity counts."""
-    known = docs.select("doc_id", _hashed(dim)(F.lower(F.coalesce("text", F.lit("")))).alias("unit"))
+    known = _modest(docs).select("doc_id", _hashed(dim)(F.lower(F.coalesce("text", F.lit("")))).alias("unit"))
     return known.select("doc_id", F.posexplode("unit").alias("i", "x")).filter("x <> 0").select("doc_id", F.col("i").cast("long").alias("i"), "x")
 
 

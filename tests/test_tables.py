@@ -171,3 +171,14 @@ def test_halves_of_hashed_vectors_go_away_from_zero(spark, tmp_path):
     got = catalogue.QUERIES["profile_artifacts"](spark, str(tmp_path)).toPandas()
     assert rows_of(got[got.deal_id == 77933]) == rows_of(duck.execute(catalogue.ORACLE_SQL["profile_artifacts"]).df())
     assert got[(got.deal_id == 39648) & (got.part == "raise_thesis")].cell_sum.tolist() == [29984422]
+
+
+def test_a_worker_that_hashes_holds_batches_of_bounded_rows(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        vectors.hash_embedding(spark.createDataFrame([(1, "a")], "doc_id int, text string"))
+        assert int(spark.conf.get(key)) == 1000
+    finally:
+        spark.conf.set(key, before)
