@@ -386,6 +386,17 @@ def test_all_segmentations_when_few():
     assert len(got[1]) == 1 and len(got[1][0][0]) == 0 and len(got[2]) >= 1
 
 
+@pytest.mark.parametrize("text", [" " * 7, "a" + " " * 7, " " * 6 + "if"])
+def test_unlikely_segmentations_are_found_too(text):
+    """All of them, also where masses are far below e^-40."""
+    model = piece_sampling.pieces(PIECES)
+    want = every_segmentation_with_runs(model, text)
+    t = piece_sampling.Texts(model, [text], np.arange(1, dtype=np.uint64))
+    got = t.top_k(len(want) + 1)[0]
+    assert min(want.values()) < -60 and len(got) == len(want) and {tuple(t.ids(a).tolist()) for a, *_ in got} == set(want)
+    assert [g for *_, g, _ in got] == sorted((g for *_, g, _ in got), reverse=True) and all(q == 1 for *_, q in got)
+
+
 def test_words_kept_from_other_batches_change_nothing():
     texts = ["some words and more words", "other é 漢 \x00 text", "x" * 300]
     keys = np.arange(3, dtype=np.uint64)
