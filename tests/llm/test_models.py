@@ -410,6 +410,23 @@ def test_words_kept_from_other_batches_change_nothing():
     assert run(fresh) == run(used)
 
 
+def test_repeated_words_are_kept_from_a_batch_with_more_words_than_are_kept(monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(50)), "often and often", "often w1 w77"]
+    keys = np.arange(3, dtype=np.uint64)
+
+    def run(model, part):
+        t = piece_sampling.Texts(model, texts[part], keys[part])
+        return [[(t.ids(a).tolist(), lp, g, q) for a, lp, g, q in x] for x in t.top_k(2)]
+
+    want = run(piece_sampling.Pieces(PIECES), slice(2, 3))
+    monkeypatch.setattr(piece_sampling, "KEPT", 20)
+    model = piece_sampling.Pieces(PIECES)
+    run(model, slice(0, 2))
+    assert len(model.kept[0]) == 1 and run(model, slice(2, 3)) == want
+    run(model, slice(0, 3))
+    assert len(model.kept[0]) == 2 and run(model, slice(2, 3)) == want
+
+
 def test_decoding_round_trip(spark, odd, none):
     out = piece_sampling.sample_segmentations(odd, PIECES, 2)
     text = {r.doc_id: (r.text or "") for r in odd.collect()}
