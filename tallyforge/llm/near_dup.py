@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACE, arrow_map, broadcast_if_small, discard, doc_text, join_dealt, kind_of, materialise, mix, modest_batches, numbered, renamed, scratch, words_of
+from tallyforge.llm.common import SPACE, arrow_map, broadcast_if_small, counted, discard, doc_text, join_dealt, kind_of, materialise, mix, modest_batches, numbered, renamed, scratch, words_of
 
 REGISTERS, BANDS, ROWS = 256, 64, 6
 #: Bits of a register's mantissa; the leading-zero count has the other 5 of 16.
@@ -153,9 +153,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, s (array of long): the sets of the asked classes, from the text of one row of each."""
-    n = nodes.count()
-    wanted = classes.select("node", "first_id").join(broadcast_if_small(nodes, n, BROADCAST_IDS), "node", "left_semi")
+    """node, s (array of long): the sets of the asked classes (a materialised table), from the text of one row of each."""
+    n = counted(nodes)[0]
+    wanted = classes.select("node", "first_id").join(broadcast_if_small(nodes.select("node"), n, BROADCAST_IDS), "node", "left_semi")
     wanted = broadcast_if_small(wanted, n, BROADCAST_IDS)
     rows = doc_text(modest_batches(docs)).join(wanted, F.col("doc_id") == F.col("first_id")).select("node", "text")
 
@@ -172,8 +172,8 @@ def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int)
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the estimate does not rule out, with set sizes."""
     side = materialise(_of_pairs(pairs).join(classes.select("node", "n_shingles", "regs"), "node"), "paired")
-    with_a = join_dealt(pairs, side.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"), "n"), "a", "b")
-    both = join_dealt(with_a, side.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"), "n"), "b", "a")
+    with_a = join_dealt(pairs, side.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"), "n"), "a", "b", side)
+    both = join_dealt(with_a, side.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"), "n"), "b", "a", side)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b, na, ra, nb, rb = (batch.column(i) for i in (batch.schema.get_field_index(n) for n in ("a", "b", "na", "ra", "nb", "rb")))
@@ -193,9 +193,9 @@ def _of_pairs(pairs: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the pairs (a, b, na, nb), those whose full sets are similar enough."""
     nodes = materialise(_of_pairs(pairs), "nodes")
-    sets = materialise(_full_sets(docs, classes, nodes.select("node"), size).dropDuplicates(["node"]).join(nodes, "node"), "sets")
-    with_b = join_dealt(pairs, sets.select(F.col("node").alias("b"), F.col("s").alias("sb"), "n"), "b", "a")
-    both = join_dealt(with_b, sets.select(F.col("node").alias("a"), F.col("s").alias("sa"), "n"), "a", "b")
+    sets = materialise(_full_sets(docs, classes, nodes, size).dropDuplicates(["node"]).join(nodes, "node"), "sets")
+    with_b = join_dealt(pairs, sets.select(F.col("node").alias("b"), F.col("s").alias("sb"), "n"), "b", "a", sets)
+    both = join_dealt(with_b, sets.select(F.col("node").alias("a"), F.col("s").alias("sa"), "n"), "a", "b", sets)
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     links = materialise(both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b"), "links")
     discard(sets)
@@ -228,7 +228,7 @@ def components(links: DataFrame, label: str = "components", one_task: int = ONE_
     """
     spark = links.sparkSession
     edges = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
-    if edges.count() <= one_task:
+    if counted(edges)[0] <= one_task:
 
         def find(batches):
             parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
@@ -285,13 +285,15 @@ def _open_buckets(members: DataFrame, turn: int) -> DataFrame:
     return materialise(led.filter("c0 <> c1").drop("c0", "c1"), "leaders")
 
 
-def _groups(members: DataFrame) -> DataFrame:
-    """bucket, node, comp of what the rounds left, in groups that are each compared as one.
+def _groups(members: DataFrame) -> DataFrame | None:
+    """bucket, node, comp of what the rounds left, in groups that are each compared as one; None if no bucket holds two components.
 
     Buckets that share members form a cluster; a cluster of up to CLUSTER classes is one group, so that a class is read
     once and not for each bucket. Buckets of larger clusters are groups of their own.
     """
     mixed = materialise(members.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1").select("bucket", "n"), "mixed")
+    if not counted(mixed)[0]:
+        return None
     members = materialise(join_dealt(members, mixed, "bucket", "node"), "rest-open")
     cluster = components(members.select(F.col("bucket").alias("a"), F.col("node").alias("b")), "clusters").select(F.col("node").alias("bucket"), F.col("comp").alias("cluster"))
     grouped = materialise(join_dealt(members, materialise(mixed.join(cluster, "bucket"), "placed-buckets"), "bucket", "node"), "grouped")
@@ -300,20 +302,23 @@ def _groups(members: DataFrame) -> DataFrame:
     return sized.select(F.when(F.col("small"), F.col("cluster")).otherwise(F.col("bucket")).alias("bucket"), "node", "comp").distinct()
 
 
-def _in_blocks(docs: DataFrame, members: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the components in what the rounds left of the buckets; exact, on full sets.
+def _in_blocks(docs: DataFrame, members: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links (a, b) that join the components in what the rounds left of the buckets; exact, on full sets. None if there is nothing to compare.
 
     A group's main component (that of one member drawn by hash) is compared with all others, and the others with each
     other, in blocks of bounded size; members of the main component are not compared among themselves. Blocks get
     registers first; full sets go to the blocks where an estimate lets a pair through, and for its classes only.
     """
-    members = materialise(_groups(members), "groups")
-    drawn = members.groupBy("bucket").agg(F.min_by("comp", F.xxhash64(F.lit(99), "node")).alias("main_comp"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1").select("bucket", "main_comp", "n")
-    drawn = materialise(drawn, "drawn")
-    rows = materialise(join_dealt(members, drawn, "bucket", "node").select("bucket", "node", "comp", (F.col("comp") == F.col("main_comp")).alias("main")), "rest-rows")
-    sized = rows.groupBy("bucket").agg(F.ceil(F.count_if("main") / BLOCK).cast("int").alias("mains"), F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("others"), F.count("*").alias("n"))
+    groups = _groups(members)
+    if groups is None:
+        return None
+    members = materialise(groups, "groups")
+    # one row a component first, so that its members are counted with the draw
+    parts = members.groupBy("bucket", "comp").agg(F.min(F.xxhash64(F.lit(99), "node")).alias("turned"), F.count("*").alias("n"))
+    drawn = parts.groupBy("bucket").agg(F.min_by("comp", "turned").alias("main_comp"), F.min_by("n", "turned").alias("own_n"), F.count("*").alias("comps"), F.sum("n").alias("n")).filter("comps > 1")
+    drawn = materialise(drawn.select("bucket", "main_comp", F.ceil(F.col("own_n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("own_n")) / BLOCK).cast("int").alias("others"), "n"), "drawn")
     own = F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
-    placed = join_dealt(rows, materialise(sized, "sized"), "bucket", "node").withColumn("own", own)
+    placed = join_dealt(members, drawn, "bucket", "node").withColumn("main", F.col("comp") == F.col("main_comp")).withColumn("own", own)
     kind = "array<struct<kind:int,i:int,j:int>>"
     with_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.lit(0).alias("kind"), F.least("own", o).alias("i"), F.greatest("own", o).alias("j"))).cast(kind)
     with_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: F.struct(F.lit(1).alias("kind"), F.col("own").alias("i"), m.alias("j"))).cast(kind)
@@ -339,7 +344,7 @@ def _in_blocks(docs: DataFrame, members: DataFrame, classes: DataFrame, size: in
     blocks = ["bucket", "kind", "i", "j"]
     left = materialise(spread.groupBy(*blocks).applyInPandas(likely, spread.schema), "likely-rows")
     nodes = materialise(left.groupBy("node").agg(F.count("*").alias("n")), "nodes")
-    sets = materialise(_full_sets(docs, classes, nodes.select("node"), size).dropDuplicates(["node"]).join(nodes, "node"), "sets")
+    sets = materialise(_full_sets(docs, classes, nodes, size).dropDuplicates(["node"]).join(nodes, "node"), "sets")
     return join_dealt(left, sets, "node", "bucket").groupBy(*blocks).applyInPandas(compare, "a long, b long").distinct()
 
 
@@ -429,16 +434,19 @@ def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = materialise(pairs, "pairs")
-            likely = materialise(_estimated(pairs, classes, percent), "likely")
-            tried = pairs if tried is None else tried.unionAll(pairs)
-            if not likely.isEmpty():
-                links = _more(links, _verified(docs, classes, likely, size, percent))
-                comps = components(links)
+            if counted(pairs)[0]:
+                likely = materialise(_estimated(pairs, classes, percent), "likely")
+                tried = pairs if tried is None else tried.unionAll(pairs)
+                if counted(likely)[0]:
+                    links = _more(links, _verified(docs, classes, likely, size, percent))
+                    comps = components(links)
             # all pairs of the leader have been looked at: it leaves its bucket
-            members = _with_comp(active.filter("node <> leader").select("bucket", "node"), comps)
-        rest = _more(rest, materialise(members.select("bucket", "node"), "rest"))
-    left = materialise(_in_blocks(docs, _with_comp(rest, comps), classes, size, percent), "left")
-    if not left.isEmpty():
+            after = active.filter("node <> leader").select("bucket", "node")
+            members = _with_comp(after, comps)
+        rest = _more(rest, after)
+    blocks = _in_blocks(docs, _with_comp(rest, comps), classes, size, percent)
+    left = None if blocks is None else materialise(blocks, "left")
+    if left is not None and counted(left)[0]:
         links = _more(links, left)
         comps = components(links)
     return comps
@@ -479,8 +487,8 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         keep(out, twice)
     own = docs.select(*numbered(names), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_h"))
     same = (F.col("own_id") == F.col("at_id")) & (F.col("own_h") == F.col("at_h"))
-    left = own.join(broadcast_if_small(out, out.count(), BROADCAST_IDS), same, "left_anti")
-    repeated = twice.count()
+    left = own.join(broadcast_if_small(out, counted(out)[0], BROADCAST_IDS), same, "left_anti")
+    repeated = counted(twice)[0]
     if not repeated:
         return left.select(*renamed(names))
     twice = broadcast_if_small(twice, repeated, BROADCAST_IDS)

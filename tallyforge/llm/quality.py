@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import SPACE, arrow_map, join_dealt, materialise, modest_batches, numbered, renamed, scratch, text_buffers, words_of
+from tallyforge.llm.common import SPACE, arrow_map, join_dealt, materialise, modest_batches, numbered, release_memory, renamed, scratch, text_buffers, words_of
 from tallyforge.llm.labelled import SAMPLE, fit_logistic, fold, labelled_sample
 
 BROADCAST_PATHS = 200_000
@@ -190,6 +190,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None,
     names = docs.columns
     with scratch(docs.sparkSession) as keep:
         model = fit_evidence(docs, labels, sample)
+        release_memory()  # of the fit, on the driver
         sites, mean, paths = site_posteriors(with_evidence(docs, model, [], host, path))
         sites = materialise(sites, "sites")
         keep(sites)

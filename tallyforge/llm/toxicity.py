@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import NOT_ALNUM, arrow_map, modest_batches, numbered, renamed, scratch, words_of
+from tallyforge.llm.common import NOT_ALNUM, arrow_map, modest_batches, numbered, release_memory, renamed, scratch, words_of
 from tallyforge.llm.labelled import SAMPLE, fold, labelled_sample, platt, sigmoid
 
 ROWS_BITS, DIM, FILTERS, WIDTHS, STEMS = 18, 8, 8, (1, 2, 3), (4, 6)
@@ -263,4 +263,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with their columns, that are not flagged."""
     names = tuple(docs.columns)
-    return apply_model(docs, fit(docs, labels, sample), names).filter("score < threshold").select(*renamed(names))
+    out = apply_model(docs, fit(docs, labels, sample), names).filter("score < threshold").select(*renamed(names))
+    release_memory()  # of the fit, on the driver
+    return out

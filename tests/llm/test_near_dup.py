@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tallyforge.llm import near_dup
+from tallyforge.llm import common, near_dup
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -150,3 +150,21 @@ def test_components_with_hot_keys(spark, monkeypatch):
     half = [f"h{i}" for i in range(40)]
     rows += [(20_000 + i, " ".join(half + [f"y{i}_{j}" for j in range(30)])) for i in range(40)]
     assert as_counter(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
+
+
+def test_dealt_join_needs_no_job_for_its_side(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(300).select((F.col("id") % 7).alias("key"), F.col("id").alias("node"))
+    side = common.materialise(rows.groupBy("key").agg(F.count("*").alias("n")), "noted")
+    none = common.materialise(rows.filter("node < 0").groupBy("key").agg(F.count("*").alias("n")), "noted")
+    context = spark.sparkContext
+    context.setJobGroup("noted", "a join that is only planned")
+    try:
+        common.join_dealt(rows, side, "key", "node")
+        common.join_dealt(rows, none, "key", "node")
+        assert not context.statusTracker().getJobIdsForGroup("noted")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert common.counted(side) == common.counted(side.select("*")) == (7, 300, 43)
+    assert common.counted(none) == (0, 0, 0) and common.counted(side.select("key")) == (7, 0, 0)
