@@ -5,13 +5,19 @@ Answers of language and vision models come in as tables of text; nothing here ca
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from tallyforge.functions.fixed import DOSSIER_FIELDS
 from tallyforge.functions.layout import json_in_text, table_markdown
 from tallyforge.functions.text import bound, safe_text, strings
+from tallyforge.operators.vectors import _modest
 
 TEXT_KINDS = ("user", "assistant")
 
@@ -255,23 +261,60 @@ def _merge_head(names: tuple[str, ...]) -> str:
     return "\n".join(["Merge the fields that were found in these documents into one JSON object with short_summary, long_summary and final_fields.", "final_fields maps each name to value, answer and evidence; null where no document says it; lists are joined without repeats.", "Names: " + ", ".join(names)])
 
 
+def _found_lines() -> Column:
+    """A line for each field of a document that has a value."""
+    found = F.filter(F.map_entries("doc_fields"), lambda e: e.value.value.isNotNull())
+    return F.transform(found, lambda e: F.concat(F.lit("  "), e.key, F.lit(": "), e.value.value))
+
+
+def _merge_part() -> Column:
+    return _lines(F.concat(F.lit("Document: "), "file_name"), "Fields:", F.array_join(_found_lines(), "\n"))
+
+
 def merge_prompt(documents: DataFrame, names: tuple[str, ...] = DOSSIER_FIELDS) -> DataFrame:
     """One row: what to ask a model that merges the fields of `extracted` documents; only fields with a value are listed."""
-    found = F.filter(F.map_entries("doc_fields"), lambda e: e.value.value.isNotNull())
-    part = _lines(F.concat(F.lit("Document: "), "file_name"), "Fields:", F.array_join(F.transform(found, lambda e: F.concat(F.lit("  "), e.key, F.lit(": "), e.value.value)), "\n"))
-    listed = documents.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))), lambda x: x.p), "\n\n").alias("body"))
+    listed = documents.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", _merge_part().alias("p")))), lambda x: x.p), "\n\n").alias("body"))
     return listed.select(_lines(_merge_head(names), F.col("body")).alias("prompt"))
 
 
+def merge_prompt_md5(documents: DataFrame, run: str, names: tuple[str, ...] = DOSSIER_FIELDS) -> DataFrame:
+    """run, prompt_md5: the MD5 of `merge_prompt` for each run, of any number of documents and any length: a run's documents go
+    by in order, and only the digest of those before is held."""
+    head = (_merge_head(names) + "\n").encode()
+    rows = _modest(documents).select(F.col(run).alias("run"), "doc_id", _merge_part().alias("p")).repartition("run").sortWithinPartitions("run", "doc_id", "p").select("run", "p")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, ended = None, None, []
+        for batch in batches:
+            for own, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is None or own != now:
+                    if digest is not None:
+                        ended.append((now, digest.hexdigest()))
+                    now, digest = own, hashlib.md5(head, usedforsecurity=False)
+                else:
+                    digest.update(b"\n\n")
+                digest.update(part.encode())
+            kind = batch.schema.field(0).type
+        if digest is not None:
+            ended.append((now, digest.hexdigest()))
+            yield pa.record_batch([pa.array([r for r, _ in ended], kind), pa.array([d for _, d in ended], pa.string())], ["run", "prompt_md5"])
+
+    made = rows.mapInArrow(work, T.StructType([T.StructField("run", documents.schema[run].dataType), T.StructField("prompt_md5", T.StringType())]))
+    return made.select(F.col("run").alias(run), "prompt_md5")
+
+
 def _blocks(lines: Column, most: int) -> Column:
-    """Lines put together, line by line, into blocks of at most `most` letters; a longer line is cut there."""
+    """Lines put together, line by line, into blocks of at most `most` letters; a longer line goes on in the next blocks."""
+    def split(line: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(line) / most) - 1, F.lit(0)).cast("int"))
+        return F.transform(places, lambda i: F.substr(line, i * most + 1, F.lit(most)))
+
     def add(state: Column, line: Column) -> Column:
-        cut = F.substring(line, 1, most)
-        fits = (state.open == "") | (F.length(state.open) + 1 + F.length(cut) <= most)
-        return F.when(fits, F.struct(state.done.alias("done"), F.concat(state.open, F.when(state.open == "", "").otherwise("\n"), cut).alias("open"))).otherwise(F.struct(F.concat(state.done, F.array(state.open)).alias("done"), cut.alias("open")))
+        fits = (state.open == "") | (F.length(state.open) + 1 + F.length(line) <= most)
+        return F.when(fits, F.struct(state.done.alias("done"), F.concat(state.open, F.when(state.open == "", "").otherwise("\n"), line).alias("open"))).otherwise(F.struct(F.concat(state.done, F.array(state.open)).alias("done"), line.alias("open")))
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-    return F.aggregate(lines, start, add, lambda s: F.concat(s.done, F.array(s.open)))
+    return F.aggregate(F.flatten(F.transform(lines, split)), start, add, lambda s: F.concat(s.done, F.array(s.open)))
 
 
 def merge_parts(documents: DataFrame, run: str, most: int = 60_000, names: tuple[str, ...] = DOSSIER_FIELDS) -> DataFrame:
@@ -282,22 +325,24 @@ def merge_parts(documents: DataFrame, run: str, most: int = 60_000, names: tuple
     of the part and the answer's fields as doc_fields they go through here again, until each run has one part.
 
     A document's lines go into blocks of half a prompt's room at most, blocks into shares by a hash, and each share, which
-    is of bounded size, into parts in order; so no task has to hold all documents of a run.
+    is of bounded size, into parts in order; so no task has to hold all documents of a run. Nothing is cut: a line that is
+    longer than a block goes on in the next, and a name of more than 100 letters, of which each block's title has the first
+    100, stands whole in a line of its own.
     """
     head = _merge_head(names)
     room = most - len(head) - 2
-    if room < 200:
+    if room < 400:
         raise ValueError(f"a prompt of {most} letters has no room beside its {len(head)} letters of instructions")
-    found = F.filter(F.map_entries("doc_fields"), lambda e: e.value.value.isNotNull())
-    lines = F.transform(found, lambda e: F.concat(F.lit("  "), e.key, F.lit(": "), e.value.value))
-    title = F.concat(F.lit("Document: "), F.substring("file_name", 1, 100), F.lit("\nFields:"))
+    title = _lines(F.concat(F.lit("Document: "), F.substring("file_name", 1, 100)), "Fields:")
+    named = F.when(F.length("file_name") > 100, F.array(F.concat(F.lit("  Document: "), "file_name"))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(named, F.coalesce(_found_lines(), F.array().cast("array<string>")))
     block_room = room // 2 - 130
     blocks = documents.select(run, "doc_id", title.alias("title"), F.posexplode(_blocks(F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(""))), block_room)).alias("block", "text"))
     blocks = blocks.select(run, "doc_id", "block", F.concat("title", F.lit("\n"), "text").alias("text")).withColumn("size", F.length("text") + 2)
-    total = blocks.groupBy(run).agg(F.sum("size").alias("total"))
     # a share has about sixteen prompts of text
-    shares = F.ceil(F.col("total") / (16 * room)).cast("int")
-    placed = blocks.join(total.select(run, shares.alias("shares")), run).withColumn("share", F.pmod(F.xxhash64("doc_id", "block"), F.col("shares")).cast("int"))
+    shares = F.ceil(F.sum("size") / (16 * room)).cast("int")
+    total = blocks.groupBy(F.col(run).alias("_run")).agg(shares.alias("shares"))
+    placed = blocks.join(total, F.col(run).eqNullSafe(F.col("_run"))).withColumn("share", F.pmod(F.xxhash64("doc_id", "block"), F.col("shares")).cast("int"))
     order = W.Window.partitionBy(run, "share").orderBy("doc_id", "block")
     # blocks are at most half a room, so those that begin in one stretch of half a room fill at most one room
     begins = F.coalesce(F.sum("size").over(order.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))

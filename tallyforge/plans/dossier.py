@@ -224,8 +224,8 @@ SELECT run, n_documents, prompt_md5, CASE WHEN run % 2 = 0 THEN 'merged ' || run
 def dossiers_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven runs in one table: what each run's merging model is asked, and the dossiers out of the answers that there are."""
     docs = _extracted(spark, sf_dir).withColumn("run", (F.regexp_extract("doc_id", r"(\d+)$", 1).cast("long") - 1) % 7)
-    asked = O.merge_parts(docs, "run", 10_000_000).filter("n_parts = 1").select("run", F.md5("prompt").alias("prompt_md5"))
-    answers = asked.filter("run % 2 = 0").select("run", F.concat(F.lit('{"short_summary": "merged '), "run", F.lit('", "final_fields": {"company_name": {"value": "Acme '), "run", F.lit('", "answer": "a"}}}')).alias("answer"), F.lit(None).cast("string").alias("error"))
+    asked = O.merge_prompt_md5(docs, "run")
+    answers = docs.select("run").distinct().filter("run % 2 = 0").select("run", F.concat(F.lit('{"short_summary": "merged '), "run", F.lit('", "final_fields": {"company_name": {"value": "Acme '), "run", F.lit('", "answer": "a"}}}')).alias("answer"), F.lit(None).cast("string").alias("error"))
     made = O.merged_dossier(docs, answers, run="run")
     return made.join(asked, "run").select("run", "n_documents", "prompt_md5", "short_summary", F.try_element_at("final_fields", F.lit("company_name")).value.alias("company_name"))
 

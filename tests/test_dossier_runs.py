@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import duckdb
@@ -78,3 +79,44 @@ def test_a_run_of_more_than_999_documents_equals_sql(spark, tmp_path, name):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert rows_of(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(duck.execute(catalogue.ORACLE_SQL[name]).df())
+
+
+@pytest.mark.parametrize("most", [700, 3_000, 100_000])
+def test_parts_have_the_whole_of_long_lines_and_names(spark, most):
+    """Also of a document without a file name, and one without a run."""
+    long = "".join(f"{i:05d}" for i in range(4_000))
+    docs = [("a", "d1", "one.pdf", {"f": (long, "")}), ("a", "d2", "n" * 150 + long[:3_000] + ".pdf", {"g": ("short", "")}), (None, "d3", None, {"f": (long, ""), "g": ("last", "")})]
+    parts = dossier.merge_parts(spark.createDataFrame(docs, KIND), "run", most, ("a",)).collect()
+    assert all(len(p.prompt) <= most for p in parts) and {p.run for p in parts} == {"a", None}
+    head = dossier._merge_head(("a",))
+    room = (most - len(head) - 2) // 2 - 130
+    for run, doc, name, fields in docs:
+        title = f"Document: {name[:100]}\nFields:\n" if name else "Fields:\n"
+        lines = ([f"  Document: {name}"] if name and len(name) > 100 else []) + [f"  {k}: {v}" for k, (v, _) in fields.items()]
+        want = [""]
+        for piece in [line[i : i + room] for line in lines for i in range(0, len(line), room)]:
+            if want[-1] and len(want[-1]) + 1 + len(piece) > room:
+                want.append(piece)
+            else:
+                want[-1] += ("\n" if want[-1] else "") + piece
+        found = [b for p in parts if p.run == run and doc in p.doc_ids for b in p.prompt[len(head) + 1 :].split("\n\n")]
+        assert sorted(b[len(title) :] for b in found if b.startswith(title)) == sorted(want)
+
+
+def test_the_prompt_of_a_run_of_any_length_has_its_digest(spark):
+    docs = [d for d in rows(5)] + [(None, "d", "no run.pdf", {"f": ("v", "")})]
+    got = {r.run: r.prompt_md5 for r in dossier.merge_prompt_md5(spark.createDataFrame(docs, KIND), "run", ("a", "b")).collect()}
+    for run in {d[0] for d in docs}:
+        [whole] = dossier.merge_prompt(spark.createDataFrame([d for d in docs if d[0] == run], KIND), ("a", "b")).collect()
+        assert got.pop(run) == hashlib.md5(whole.prompt.encode()).hexdigest()
+    assert not got and dossier.merge_prompt_md5(spark.createDataFrame([], KIND), "run").count() == 0
+
+
+def test_a_run_of_more_than_five_million_letters_has_its_dossier(spark, tmp_path):
+    """One run of 130,000 documents: its prompt is whole, whatever a model would take."""
+    rows = spark.range(130_000).select((F.col("id") * 7).alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("a text").alias("text"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = rows_of(catalogue.QUERIES["dossiers_by_run"](spark, str(tmp_path)).toPandas())
+    assert len(got[1]) == 1 and got == rows_of(duck.execute(catalogue.ORACLE_SQL["dossiers_by_run"]).df())
