@@ -441,6 +441,21 @@ def test_decoding_round_trip(spark, odd, none):
     assert all(piece_sampling.decode(model, sp.encode(t)) == t for t in ["Hello  world\n\nfoo\tbar", " lead", "é 漢 \x00"])
 
 
+def test_the_query_decodes_its_samples(spark, odd, tmp_path):
+    """A word mark in a text comes back as a space, so such a text is not the one that was given; all others are."""
+    from tallyforge.llm import queries
+
+    more = [(10, "a▁b"), (11, "▁"), (12, "x = 1,   y\n    if x:\treturn"), (13, URL * 30), (14, "<s> </s> <unk> <0x41> 漢字 \x01\x7f\ufeff"), (15, "   ")]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = queries.op1_piece_sampling(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(text)
+    decoded = piece_sampling.decode_ids(piece_sampling.sample_segmentations(docs, PIECES), PIECES).collect()
+    assert Counter((r.doc_id, r.sample, r.round_trip) for r in got) == Counter((r.doc_id, r.sample, r.text == text[r.doc_id]) for r in decoded)
+    assert {r.doc_id for r in got if not r.round_trip} == {10, 11}
+
+
 # ---- pipeline
 
 
